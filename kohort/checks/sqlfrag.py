@@ -156,3 +156,58 @@ def clean_ctes(district: str = DISTRICT) -> str:
 def with_clean(select: str, *extra_ctes: str) -> str:
     ctes = [clean_ctes()] + list(extra_ctes)
     return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+# --- K01 scaling and K03 Lloyd ------------------------------------------------
+
+def scaled_cte(src: str = "clean", present: list[str] | None = None) -> str:
+    """K01 over ``src``: absent features are constant 0.0; median fill; min-max; constant -> 0."""
+    present = CLEAN_FEATURES if present is None else present
+    med = ", ".join(f"coalesce(quantile_cont({f}, 0.5), 0) AS med_{f}, coalesce(min({f}), 0) AS mn_{f}, "
+                    f"coalesce(max({f}), 0) AS mx_{f}" for f in present)
+    cols = []
+    for f in FEATURES:
+        if f in present:
+            x = f"coalesce(CAST({src}.{f} AS DOUBLE), fit.med_{f})"
+            cols.append(f"CASE WHEN fit.mx_{f} - fit.mn_{f} = 0 THEN 0.0::DOUBLE "
+                        f"ELSE ({x} - fit.mn_{f}) / (fit.mx_{f} - fit.mn_{f}) END AS s_{f}")
+        else:
+            cols.append(f"0.0::DOUBLE AS s_{f}")
+    return (f"fit AS (SELECT {med} FROM {src}),\n"
+            f"scaled AS (SELECT {src}.*, {', '.join(cols)} FROM {src}, fit)")
+
+
+def lloyd_ctes(k: int = 3, iterations: int = 5, dist_digits: int = 4, cent_digits: int = 9) -> str:
+    """K03 unrolled: c0 = first k rows by row_id; a_i assigns against c_{i-1}; c_i = rounded means."""
+    s = [f"s_{f}" for f in FEATURES]
+    out = [f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS cluster, {', '.join(s)} "
+           f"FROM (SELECT * FROM scaled ORDER BY row_id LIMIT {k}))"]
+    for it in range(1, iterations + 1):
+        dist = "sqrt(0.0::DOUBLE + " + " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in s) + ")"
+        out.append(f"a{it} AS (SELECT p.row_id, first(c.cluster ORDER BY {rnd(dist, dist_digits)}, c.cluster) AS cluster "
+                   f"FROM scaled p, c{it - 1} c GROUP BY p.row_id)")
+        means = ", ".join(f"coalesce({rnd(f'avg(x.{c})', cent_digits)}, o.{c}) AS {c}" for c in s)
+        out.append(f"c{it} AS (SELECT o.cluster, {means} FROM c{it - 1} o LEFT JOIN "
+                   f"(SELECT a.cluster, p.* EXCLUDE (row_id) FROM a{it} a JOIN scaled p USING (row_id)) x "
+                   f"ON x.cluster = o.cluster GROUP BY o.cluster, {', '.join('o.' + c for c in s)})")
+    out.append(f"labels AS (SELECT row_id, cluster FROM a{iterations})")
+    out.append(f"centres AS (SELECT * FROM c{iterations})")
+    out.append("result AS (SELECT clean.*, labels.cluster FROM clean JOIN labels USING (row_id))")
+    return ",\n".join(out)
+
+
+def with_lloyd(select: str, *extra: str) -> str:
+    return with_clean(select, scaled_cte(), lloyd_ctes(), *extra)
+
+
+def risk_score_sql(prefix: str = "") -> str:
+    """K15 on a row of means (absent/NULL features add 0), rounded to 3."""
+    terms = []
+    for feat, steps in C.RISK_SCORE_RULES.items():
+        x = prefix + feat
+        whens = []
+        for rules, pts in steps:
+            cond = " OR ".join(f"{x} {op} {t}" for op, t in rules)
+            whens.append(f"WHEN {cond} THEN {pts}")
+        terms.append(f"coalesce(CASE {' '.join(whens)} ELSE 0.0 END, 0.0)")
+    return rnd("0.0::DOUBLE + " + " + ".join(terms), 3)

@@ -1 +1,305 @@
-"""Registered queries."""
+"""Registered clustering queries: scaling, Lloyd labels, metrics, profiles, risk rank."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kohort import config as C
+from kohort.checks import sqlfrag as Q
+from kohort.functions import risk
+from kohort.operators import kmeans, metrics, pca, ranking
+from kohort.plans.queries_clean import clean
+from kohort.registry import register
+from kohort.sources.tables import table
+
+S_COLS = [kmeans.SCALED_PREFIX + f for f in C.FEATURES]
+LLOYD = C.LloydParams()
+
+
+def scaled(spark, sf):
+    res = clean(spark, sf, sort=False)
+    df, model = kmeans.scale(res.table, C.FEATURES)
+    return df, model
+
+
+def clustered(spark, sf):
+    """Clean table + scaled features + K03 labels (k=3, 5 iterations, first 3 rows)."""
+    df, _ = scaled(spark, sf)
+    return kmeans.lloyd(df, S_COLS, LLOYD)
+
+
+def _r(c, d):
+    return F.round(F.col(c), d).alias(c)
+
+
+@register("k01_scaled_features", Q.with_clean(
+    "SELECT row_id, " + ", ".join(f"{Q.rnd('s_' + f, 9)} AS s_{f}" for f in C.FEATURES) + " FROM scaled",
+    Q.scaled_cte()))
+def k01(spark, sf):
+    df, _ = scaled(spark, sf)
+    return df.select("row_id", *[_r(c, 9) for c in S_COLS])
+
+
+@register("k03_lloyd_labels", Q.with_lloyd("SELECT row_id, cluster FROM labels"))
+def k03_labels(spark, sf):
+    return clustered(spark, sf).labelled.select("row_id", "cluster")
+
+
+@register("k03_lloyd_centres", Q.with_lloyd(
+    "SELECT cluster, " + ", ".join(f"{Q.rnd(c, 6)} AS {c}" for c in S_COLS) + " FROM centres"))
+def k03_centres(spark, sf):
+    res = clustered(spark, sf)
+    rows = [(j, *[kmeans.round_half_up(v, 6) for v in c]) for j, c in enumerate(res.centres)]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{c} double" for c in S_COLS))
+
+
+# --- profiles on the Lloyd clusters ----------------------------------------------
+PROFILE = [f for f in Q.CLEAN_FEATURES]
+
+
+@register("a07_cluster_sizes", Q.with_lloyd("SELECT cluster, count(*) AS n FROM labels GROUP BY cluster"))
+def a07(spark, sf):
+    return clustered(spark, sf).labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a08_cluster_profile", Q.with_lloyd(
+    "SELECT cluster, count(*) AS n, " + ", ".join(f"{Q.rnd(f'avg({f})', 2)} AS {f}" for f in PROFILE)
+    + " FROM result GROUP BY cluster"))
+def a08(spark, sf):
+    return ranking.cluster_means(clustered(spark, sf).labelled, PROFILE, digits=2)
+
+
+@register("a09_scaled_cluster_means", Q.with_lloyd(
+    "SELECT cluster, " + ", ".join(f"{Q.rnd(f'avg(s_{f})', 4)} AS s_{f}" for f in PROFILE)
+    + " FROM labels JOIN scaled USING (row_id) GROUP BY cluster"))
+def a09(spark, sf):
+    lab = clustered(spark, sf).labelled
+    return lab.groupBy("cluster").agg(*[F.round(F.avg("s_" + f), 4).alias("s_" + f) for f in PROFILE])
+
+
+_KEY = [f for f in C.RISK_KEY_FEATURES if f in Q.CLEAN_COLUMNS]
+
+
+def _rank_sql(round_means: int | None = None):
+    mean = (lambda f: Q.rnd(f"avg({f})", round_means)) if round_means else (lambda f: f"avg({f})")
+    means = ", ".join(f"{mean(f)} AS {f}" for f in _KEY)
+    return (f"cm AS (SELECT cluster, {means} FROM result GROUP BY cluster),\n"
+            f"sc AS (SELECT cluster, {Q.risk_score_sql()} AS risk_score FROM cm),\n"
+            "rk AS (SELECT cluster, risk_score, row_number() OVER (ORDER BY risk_score, cluster) AS r, "
+            "count(*) OVER () AS n FROM sc),\n"
+            "ranked AS (SELECT cluster, risk_score, CASE WHEN r = n THEN 'RISIKO TINGGI' WHEN r = 1 THEN "
+            "'RELATIF SEHAT' ELSE 'RISIKO SEDANG' END AS risk_label, CASE WHEN r = n THEN 'Tinggi' WHEN r = 1 "
+            "THEN 'Sehat' ELSE 'Sedang' END AS risk_level FROM rk)")
+
+
+def ranked_clusters(spark, sf, round_means: int | None = None):
+    lab = clustered(spark, sf).labelled
+    means = ranking.cluster_means(lab, _KEY, digits=round_means)
+    return lab, ranking.rank_clusters(means)
+
+
+@register("k16_cluster_risk_levels", Q.with_lloyd(
+    "SELECT cluster, risk_score, risk_label, risk_level FROM ranked", _rank_sql()))
+def k16(spark, sf):
+    _, ranked = ranked_clusters(spark, sf)
+    return ranked.select("cluster", "risk_score", "risk_label", "risk_level")
+
+
+@register("k15_risk_score_rounded_means", Q.with_lloyd(
+    "SELECT cluster, risk_score, risk_label FROM ranked", _rank_sql(round_means=2)))
+def k15(spark, sf):
+    _, ranked = ranked_clusters(spark, sf, round_means=2)
+    return ranked.select("cluster", "risk_score", "risk_label")
+
+
+def _tag_sql(f):
+    cuts, fb = C.INTERPRET_TAGS[f]
+    whens = " ".join(f"WHEN {f} >= {t} THEN '{tag}'" for t, tag in cuts)
+    return f"CASE {whens} ELSE '{fb}' END AS {f}_tag"
+
+
+@register("k17_cluster_interpretation", Q.with_lloyd(
+    "SELECT cm.cluster, n, " + ", ".join(_tag_sql(f) for f in C.INTERPRET_TAGS) +
+    ", risk_label, CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RISK_NOTES.items()) +
+    " END AS risk_note FROM cm JOIN ranked USING (cluster)",
+    _rank_sql().replace("cm AS (SELECT cluster,", "cm AS (SELECT cluster, count(*) AS n,")))
+def k17(spark, sf):
+    lab, ranked = ranked_clusters(spark, sf)
+    means = ranking.cluster_means(lab, _KEY)
+    notes = F.create_map(*[x for k, v in C.RISK_NOTES.items() for x in (F.lit(k), F.lit(v))])
+    return (means.join(F.broadcast(ranked.select("cluster", "risk_label")), "cluster")
+            .select("cluster", "n", *[risk.interpret_tag(f).alias(f"{f}_tag") for f in C.INTERPRET_TAGS],
+                    "risk_label", notes[F.col("risk_label")].alias("risk_note")))
+
+
+@register("k19_report_conclusion", Q.with_lloyd(
+    "SELECT cluster, CASE WHEN s >= 3 THEN 'Tinggi' WHEN s >= 1 THEN 'Sedang' ELSE 'Rendah (Sehat)' END AS conclusion "
+    "FROM (SELECT cluster, (coalesce(umur >= 70, false)::INT + coalesce(imt >= 30 OR imt < 18.5, false)::INT + "
+    "coalesce(sistolik >= 140, false)::INT + coalesce(kolesterol >= 200, false)::INT + "
+    "coalesce(gds_1 >= 140, false)::INT) AS s FROM (SELECT cluster, " +
+    ", ".join(f"{Q.rnd(f'avg({f})', 2)} AS {f}" for f in _KEY) + " FROM result GROUP BY cluster))"))
+def k19(spark, sf):
+    m = ranking.cluster_means(clustered(spark, sf).labelled, _KEY, digits=2)
+    return m.select("cluster", risk.report_conclusion().alias("conclusion"))
+
+
+# --- metrics on the embeddings table (given labels) -------------------------------
+EMB = "CAST(embedding AS DOUBLE[])"
+
+
+def _emb(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+
+
+def _eval_sql():
+    return f"""WITH e AS (SELECT vec_id, label, {EMB} AS v FROM embeddings),
+ex AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+cent AS (SELECT label, i, avg(x) AS m FROM ex GROUP BY label, i),
+dist AS (SELECT ex.vec_id, ex.label, sqrt(sum((x - m) * (x - m))) AS d, sum((x - m) * (x - m)) AS d2
+         FROM ex JOIN cent USING (label, i) GROUP BY ex.vec_id, ex.label),
+disp AS (SELECT label, avg(d) AS s, sum(d2) AS w, count(*) AS n FROM dist GROUP BY label),
+gm AS (SELECT i, avg(x) AS g FROM ex GROUP BY i),
+ssb AS (SELECT sum(n * dd) AS b FROM (SELECT label, sum((m - g) * (m - g)) AS dd FROM cent JOIN gm USING (i)
+        GROUP BY label) JOIN disp USING (label)),
+cd AS (SELECT a.label AS li, b.label AS lj, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS dij FROM cent a JOIN cent b
+       ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label),
+r AS (SELECT li, max(CASE WHEN dij > 0 THEN (si.s + sj.s) / dij ELSE 0 END) AS r FROM cd
+      JOIN disp si ON si.label = li JOIN disp sj ON sj.label = lj GROUP BY li),
+pairs AS (SELECT a.vec_id, a.label AS own, b.label AS ref, list_distance(a.v, b.v) AS d FROM e a JOIN e b
+          ON a.vec_id <> b.vec_id),
+per AS (SELECT vec_id, own, ref, avg(d) AS md FROM pairs GROUP BY vec_id, own, ref),
+sil AS (SELECT vec_id, own, max(md) FILTER (WHERE ref = own) AS a, min(md) FILTER (WHERE ref <> own) AS b
+        FROM per GROUP BY vec_id, own),
+pt AS (SELECT vec_id, own, a, b, CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM sil),
+k AS (SELECT count(*) AS nk, (SELECT count(*) FROM e) AS n FROM disp),
+ev AS (SELECT {Q.rnd('(SELECT avg(s) FROM pt)', 4)} AS silhouette_score,
+  {Q.rnd('(SELECT avg(r) FROM r)', 4)} AS davies_bouldin_index,
+  {Q.rnd('(SELECT b FROM ssb) * (n - nk) / ((SELECT sum(w) FROM disp) * (nk - 1))', 4)} AS calinski_harabasz_score,
+  {Q.rnd('(SELECT sum(w) FROM disp)', 2)} AS inertia FROM k)"""
+
+
+def embedding_evaluation(spark, sf):
+    df = _emb(spark, sf)
+    vec = metrics.as_vector(array_col="embedding")
+    st = metrics.cluster_stats(df, vec, "label")
+    sil = metrics.silhouette_mean(metrics.silhouette_points(df, vec, "vec_id", "label"))
+    return {"silhouette_score": kmeans.round_half_up(sil, 4),
+            "davies_bouldin_index": kmeans.round_half_up(metrics.davies_bouldin(st), 4),
+            "calinski_harabasz_score": kmeans.round_half_up(metrics.calinski_harabasz(st), 4),
+            "inertia": kmeans.round_half_up(metrics.inertia(st), 2)}
+
+
+@register("k06_cluster_evaluation", _eval_sql() + "\nSELECT * FROM ev")
+def k06(spark, sf):
+    ev = embedding_evaluation(spark, sf)
+    return spark.createDataFrame([tuple(ev.values())], ", ".join(f"{k} double" for k in ev))
+
+
+@register("k07_silhouette_points", _eval_sql() +
+          f"\nSELECT vec_id, own AS label, {Q.rnd('a', 6)} AS a, {Q.rnd('b', 6)} AS b, {Q.rnd('s', 6)} AS silhouette FROM pt")
+def k07(spark, sf):
+    df = _emb(spark, sf)
+    pts = metrics.silhouette_points(df, metrics.as_vector(array_col="embedding"), "vec_id", "label")
+    return pts.select("vec_id", F.col("label").cast("int").alias("label"), _r("a", 6), _r("b", 6), _r("silhouette", 6))
+
+
+@register("k08_cluster_dispersion", _eval_sql() +
+          f"\nSELECT label, n, {Q.rnd('s', 6)} AS dispersion, {Q.rnd('w', 6)} AS within_ss FROM disp")
+def k08(spark, sf):
+    df = _emb(spark, sf)
+    st = metrics.cluster_stats(df, metrics.as_vector(array_col="embedding"), "label")
+    rows = [(int(k), int(n), kmeans.round_half_up(s, 6), kmeans.round_half_up(w, 6))
+            for k, n, s, w in zip(st.ids, st.counts, st.spread, st.ssw)]
+    return spark.createDataFrame(rows, "label int, n long, dispersion double, within_ss double")
+
+
+@register("k20_quality_bands", _eval_sql() +
+          "\nSELECT silhouette_score, davies_bouldin_index, calinski_harabasz_score, "
+          "CASE WHEN silhouette_score >= 0.7 THEN 'Sangat Baik' WHEN silhouette_score >= 0.5 THEN 'Baik' "
+          "WHEN silhouette_score >= 0.25 THEN 'Cukup' ELSE 'Kurang' END AS silhouette_band, "
+          "CASE WHEN davies_bouldin_index <= 0.5 THEN 'Sangat Baik' WHEN davies_bouldin_index <= 1.0 THEN 'Baik' "
+          "WHEN davies_bouldin_index <= 2.0 THEN 'Cukup' ELSE 'Kurang' END AS dbi_band, "
+          "CASE WHEN calinski_harabasz_score >= 500 THEN 'Sangat Baik' WHEN calinski_harabasz_score >= 200 THEN 'Baik' "
+          "WHEN calinski_harabasz_score >= 100 THEN 'Cukup' ELSE 'Kurang' END AS ch_band FROM ev")
+def k20(spark, sf):
+    df = k06(spark, sf)
+    return df.select("silhouette_score", "davies_bouldin_index", "calinski_harabasz_score",
+                     risk.quality_band("silhouette_score", "silhouette").alias("silhouette_band"),
+                     risk.quality_band("davies_bouldin_index", "dbi").alias("dbi_band"),
+                     risk.quality_band("calinski_harabasz_score", "ch").alias("ch_band"))
+
+
+# --- metrics on the screening clusters -------------------------------------------------
+def _lloyd_eval_sql():
+    s = [f"s_{f}" for f in C.FEATURES]
+    vec = "[" + ", ".join(s) + "]::DOUBLE[]"
+    return Q.with_lloyd(
+        "SELECT " + Q.rnd("avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END)", 4) +
+        " AS silhouette_score FROM (SELECT p, own, max(md) FILTER (WHERE ref = own) AS a, "
+        "min(md) FILTER (WHERE ref <> own) AS b FROM (SELECT x.row_id AS p, x.cluster AS own, y.cluster AS ref, "
+        "avg(list_distance(x.v, y.v)) AS md FROM pts x JOIN pts y ON x.row_id <> y.row_id GROUP BY ALL) GROUP BY ALL)",
+        f"pts AS (SELECT row_id, cluster, {vec} AS v FROM labels JOIN scaled USING (row_id))")
+
+
+@register("k07_silhouette_screening", _lloyd_eval_sql())
+def k07_screening(spark, sf):
+    lab = clustered(spark, sf).labelled
+    sil = metrics.silhouette_mean(metrics.silhouette_points(lab, metrics.as_vector(S_COLS), "row_id"))
+    return spark.createDataFrame([(kmeans.round_half_up(sil, 4),)], "silhouette_score double")
+
+
+@register("k10_inertia_screening", Q.with_lloyd(
+    f"SELECT {Q.rnd('sum(d2)', 4)} AS inertia FROM (SELECT " +
+    " + ".join(f"(s_{f} - m_{f}) * (s_{f} - m_{f})" for f in C.FEATURES) +
+    " AS d2 FROM labels JOIN scaled USING (row_id) JOIN (SELECT cluster, " +
+    ", ".join(f"avg(s_{f}) AS m_{f}" for f in C.FEATURES) +
+    " FROM labels JOIN scaled USING (row_id) GROUP BY cluster) USING (cluster))"))
+def k10(spark, sf):
+    lab = clustered(spark, sf).labelled
+    st = metrics.cluster_stats(lab, metrics.as_vector(S_COLS))
+    return spark.createDataFrame([(kmeans.round_half_up(metrics.inertia(st), 4),)], "inertia double")
+
+
+# --- K12 covariance / K11 PCA ------------------------------------------------------
+@register("k12_covariance", Q.with_clean(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, {Q.rnd(f'covar_samp({a}, {b})', 6)} AS covariance FROM clean"
+        for i, a in enumerate(Q.CLEAN_FEATURES) for b in Q.CLEAN_FEATURES[i:]) + ")"))
+def k12(spark, sf):
+    t = clean(spark, sf, sort=False).table
+    return pca.covariance_long(t, Q.CLEAN_FEATURES).withColumn("covariance", F.round("covariance", 6))
+
+
+@register("k11_pca_2d")
+def k11(spark, sf):
+    res = clustered(spark, sf)
+    model = pca.fit_pca(res.labelled, S_COLS, 2)
+    out = pca.project(res.labelled, model)
+    return out.select("row_id", "cluster", F.round("pc1", 4).alias("x"), F.round("pc2", 4).alias("y"),
+                      "nama", "desa",
+                      F.lit(float(model.explained_variance_ratio[0])).alias("var_pc1"),
+                      F.lit(float(model.explained_variance_ratio[1])).alias("var_pc2"))
+
+
+# --- K02 / K04 / K05 ML K-Means (rows-only: library seeding differs) -----------------
+@register("k02_kmeans_labels")
+def k02(spark, sf):
+    df, _ = scaled(spark, sf)
+    labelled, _, _ = kmeans.kmeans_labels(df, S_COLS, 3, C.KMeansParams())
+    return labelled.select("row_id", "cluster", F.concat(F.lit("Cluster "), F.col("cluster")).alias("cluster_label"))
+
+
+@register("k04_elbow_k1", Q.with_clean(
+    f"SELECT 1 AS k, {Q.rnd(' + '.join(f'coalesce(var_pop(s_{f}) * count(s_{f}), 0)' for f in C.FEATURES), 6)} AS inertia FROM scaled",
+    Q.scaled_cte()))
+def k04_k1(spark, sf):
+    df, _ = scaled(spark, sf)
+    return spark.createDataFrame([(1, kmeans.round_half_up(kmeans.total_sum_squares(df, S_COLS), 6))],
+                                 "k int, inertia double")
+
+
+@register("k05_k_sweep")
+def k05(spark, sf):
+    from kohort.plans.clustering import evaluate_k_range
+    df, _ = scaled(spark, sf)
+    return evaluate_k_range(df, S_COLS, "row_id")
