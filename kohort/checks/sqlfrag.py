@@ -192,7 +192,8 @@ def lloyd_ctes(k: int = 3, iterations: int = 5, dist_digits: int = 4, cent_digit
                    f"ON x.cluster = o.cluster GROUP BY o.cluster, {', '.join('o.' + c for c in s)})")
     out.append(f"labels AS (SELECT row_id, cluster FROM a{iterations})")
     out.append(f"centres AS (SELECT * FROM c{iterations})")
-    out.append("result AS (SELECT clean.*, labels.cluster FROM clean JOIN labels USING (row_id))")
+    absent = "".join(f", 0.0::DOUBLE AS {f}" for f in FEATURES if f not in CLEAN_COLUMNS)
+    out.append(f"result AS (SELECT clean.*{absent}, labels.cluster FROM clean JOIN labels USING (row_id))")
     return ",\n".join(out)
 
 

@@ -1 +1,163 @@
-"""Registered queries."""
+"""Registered batch-store, export and streaming queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from kohort import config as C
+from kohort.checks import sqlfrag as Q
+from kohort.functions import text
+from kohort.plans import preprocessing as P
+from kohort.plans.queries_clean import PARAMS, clean
+from kohort.plans.queries_cluster import clustered
+from kohort.registry import register
+from kohort.sources import exports
+from kohort.sources.tables import raw_screening, upload_batch
+
+
+def batch_records(spark, sf):
+    """Records of each upload batch: the cleaned values of its district's rows."""
+    raw = P.select_raw(raw_screening(spark, sf))
+    df = P.encode_categories(P.derive_measures(P.clean_values(raw), PARAMS.as_of_year))
+    b = upload_batch(spark, sf).select("batch_id", F.col("kecamatan").alias("_district"))
+    # Batch metadata is one row per upload; AQE broadcasts it after measuring it.
+    return df.join(b, F.upper(text.strip("kecamatan")) == F.col("_district")).drop("_district")
+
+
+def batches(spark, sf):
+    return upload_batch(spark, sf).withColumn("bulan", text.month_of("filename"))
+
+
+REC = ",\n".join([Q.raw_cte(), Q.values_cte(), Q.batch_cte(),
+                  f"rec AS (SELECT v.*, {Q.enc_sex('v.jenis_kelamin')} AS sex, b.batch_id FROM vals v JOIN upload_batch b "
+                  f"ON upper({Q.strip('v.kecamatan')}) = b.kecamatan)"])
+
+
+def _month_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), '{m}') THEN '{m.capitalize()}'" for m in C.MONTHS) + " END"
+
+
+@register("s06_batch_month", "WITH " + Q.batch_cte() +
+          f"\nSELECT batch_id, filename, {_month_sql('filename')} AS bulan FROM upload_batch")
+def s06(spark, sf):
+    return batches(spark, sf).select("batch_id", "filename", "bulan")
+
+
+@register("s05_batch_metadata", "WITH " + REC +
+          f"\nSELECT b.batch_id, b.filename, {_month_sql('b.filename')} AS bulan, count(*) AS total_rows, "
+          "count(DISTINCT r.desa) AS total_desa, 'success' AS status FROM rec r JOIN upload_batch b USING (batch_id) "
+          "GROUP BY b.batch_id, b.filename")
+def s05(spark, sf):
+    agg = batch_records(spark, sf).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_distinct("desa").alias("total_desa"))
+    return (batches(spark, sf).join(agg, "batch_id")
+            .select("batch_id", "filename", "bulan", "total_rows", "total_desa", F.lit("success").alias("status")))
+
+
+@register("s08_latest_batch", "WITH " + Q.batch_cte() +
+          "\nSELECT batch_id, filename, uploaded_on FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1")
+def s08(spark, sf):
+    return (upload_batch(spark, sf).orderBy(F.col("uploaded_on").desc(), F.col("batch_id").desc()).limit(1)
+            .select("batch_id", "filename", "uploaded_on"))
+
+
+@register("s09_list_batches", "WITH " + Q.batch_cte() +
+          "\nSELECT batch_id, filename, uploaded_on FROM upload_batch ORDER BY uploaded_on DESC")
+def s09(spark, sf):
+    return upload_batch(spark, sf).orderBy(F.col("uploaded_on").desc()).select("batch_id", "filename", "uploaded_on")
+
+
+@register("s10_batch_records", "WITH " + REC + "\nSELECT row_id, desa, nik, batch_id FROM rec WHERE batch_id = 3")
+def s10(spark, sf):
+    return batch_records(spark, sf).where(F.col("batch_id") == 3).select("row_id", "desa", "nik", "batch_id")
+
+
+@register("s11_village_records", "WITH " + REC +
+          "\nSELECT row_id, desa, batch_id FROM rec WHERE desa = 'NATION_2' AND batch_id = 3")
+def s11(spark, sf):
+    return (batch_records(spark, sf).where((F.col("desa") == "NATION_2") & (F.col("batch_id") == 3))
+            .select("row_id", "desa", "batch_id"))
+
+
+@register("s12_delete_batch_survivors", "WITH " + REC +
+          "\nSELECT batch_id, count(*) AS n FROM rec WHERE batch_id IN (SELECT batch_id FROM upload_batch "
+          "WHERE batch_id <> 2) GROUP BY batch_id")
+def s12(spark, sf):
+    keep = upload_batch(spark, sf).where(F.col("batch_id") != 2).select("batch_id")
+    return (batch_records(spark, sf).join(keep, "batch_id", "left_semi")
+            .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("a06_batch_summary", "WITH " + REC +
+          ",\nlatest AS (SELECT batch_id FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1)"
+          "\nSELECT batch_id, count(*) AS total_lansia, count(DISTINCT desa) AS total_desa, "
+          "count(*) FILTER (WHERE sex = 1) AS laki_laki, count(*) FILTER (WHERE sex = 0) AS perempuan "
+          "FROM rec WHERE batch_id IN (SELECT batch_id FROM latest) GROUP BY batch_id")
+def a06(spark, sf):
+    latest = upload_batch(spark, sf).agg(
+        F.max_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
+    rec = batch_records(spark, sf).join(latest, "batch_id", "left_semi")
+    return rec.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("total_lansia"), F.count_distinct("desa").alias("total_desa"),
+        F.count_if(F.col("jenis_kelamin") == 1).alias("laki_laki"),
+        F.count_if(F.col("jenis_kelamin") == 0).alias("perempuan"))
+
+
+@register("a17_upload_history", "WITH " + Q.batch_cte() +
+          "\nSELECT filename, first(batch_id ORDER BY uploaded_on, batch_id) AS batch_id FROM upload_batch GROUP BY filename")
+def a17(spark, sf):
+    return upload_batch(spark, sf).groupBy("filename").agg(
+        F.min_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
+
+
+@register("s13_village_export_parts", Q.with_clean(
+    "SELECT row_id, desa, substring(desa, 1, 31) AS part FROM clean WHERE desa IS NOT NULL"))
+def s13(spark, sf):
+    return exports.village_parts(clean(spark, sf, sort=False).table).select("row_id", "desa", "part")
+
+
+def _gis_cols():
+    cols = [c for c in C.GIS_EXPORT_COLUMNS if c in Q.CLEAN_COLUMNS + ["cluster", "cluster_label"]]
+    return ", ".join("'Cluster ' || cluster AS cluster_label" if c == "cluster_label" else c for c in cols)
+
+
+@register("s17_gis_export", Q.with_lloyd(f"SELECT row_id, {_gis_cols()} FROM result"))
+def s17(spark, sf):
+    res = clustered(spark, sf).labelled.withColumn("cluster_label", F.concat(F.lit("Cluster "), F.col("cluster")))
+    return res.select("row_id", *exports.gis_projection(res).columns)
+
+
+@register("s18_report_dataset", Q.with_lloyd(
+    "SELECT row_id, nama, nik, desa, umur, CASE jenis_kelamin WHEN 1 THEN 'Laki-laki' WHEN 0 THEN 'Perempuan' END "
+    "AS jenis_kelamin, imt, sistolik, diastolik, cluster, 'Cluster ' || cluster AS cluster_label, kecamatan, "
+    "kolesterol FROM result"))
+def s18(spark, sf):
+    res = clustered(spark, sf).labelled.withColumn("cluster_label", F.concat(F.lit("Cluster "), F.col("cluster")))
+    rep = exports.report_dataset(res.select("row_id", *C.REPORT_FIRST_COLUMNS, "kecamatan", "kolesterol"))
+    return rep
+
+
+@register("s21_validation_summary", Q.with_clean(
+    "SELECT name, value FROM (SELECT 1::BIGINT AS sheets_diproses, (SELECT count(*) FROM raw) AS total_baris_mentah, "
+    "count(*) AS total_valid, (SELECT count(*) FROM raw) - count(*) AS baris_dihapus, "
+    "count(*) FILTER (WHERE umur IS NULL) AS umur_invalid, count(*) FILTER (WHERE imt IS NULL) AS imt_invalid, "
+    "count(*) FILTER (WHERE sistolik IS NULL) AS td_invalid FROM clean) "
+    "UNPIVOT (value FOR name IN (sheets_diproses, total_baris_mentah, total_valid, baris_dihapus, umur_invalid, "
+    "imt_invalid, td_invalid))"))
+def s21(spark, sf):
+    return exports.validation_summary(clean(spark, sf, sort=False).stats())
+
+
+@register("t01_stream_ingest")
+def t01(spark, sf):
+    """Each district file of the sheet lands as one upload and is ingested by the stream."""
+    from kohort.session import checkpoint_dir
+    from kohort.streaming.ingest import ingest
+    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    raw = raw_screening(spark, sf)
+    (raw.repartition(5, F.upper(text.strip("kecamatan"))).write.option("header", True)
+        .csv(f"{base}/landing"))
+    store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
+    return store.records()
