@@ -119,7 +119,7 @@ def s13(spark, sf):
 
 
 def _gis_cols():
-    cols = [c for c in C.GIS_EXPORT_COLUMNS if c in Q.CLEAN_COLUMNS + ["cluster", "cluster_label"]]
+    cols = [c for c in C.GIS_EXPORT_COLUMNS if c in Q.CLEAN_COLUMNS + C.FEATURES + ["cluster", "cluster_label"]]
     return ", ".join("'Cluster ' || cluster AS cluster_label" if c == "cluster_label" else c for c in cols)
 
 
