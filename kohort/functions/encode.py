@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.functions.text import _col, strip
 
-_NULL_INT = F.lit(None).cast("int")
-_NULL_DBL = F.lit(None).cast("double")
+
+
+def _null(t: str) -> Column:
+    return F.lit(None).cast(t)
 
 
 def sex(c) -> Column:
@@ -25,7 +27,7 @@ def hypertension(c) -> Column:
     out = None
     for text, code in C.HYPERTENSION_TEXT.items():
         out = F.when(t == text, F.lit(code)) if out is None else out.when(t == text, F.lit(code))
-    return out.otherwise(_NULL_INT)
+    return out.otherwise(_null("int"))
 
 
 def cognitive(c) -> Column:
@@ -33,7 +35,7 @@ def cognitive(c) -> Column:
     s = F.lower(strip(c))
     return (F.when(s.contains("ada gangguan") & ~s.contains("tidak"), F.lit(1))
             .when(s.contains("tidak ada gangguan"), F.lit(0))
-            .otherwise(_NULL_INT))
+            .otherwise(_null("int")))
 
 
 def malnutrition(c) -> Column:
@@ -41,13 +43,13 @@ def malnutrition(c) -> Column:
     s = F.lower(strip(c))
     return (F.when(s.contains("berisiko") | (s.contains("malnutrisi") & ~s.contains("normal")), F.lit(1))
             .when(s.contains("normal"), F.lit(0))
-            .otherwise(_NULL_INT))
+            .otherwise(_null("int")))
 
 
 def depression(c) -> Column:
     """P11: ''/'nan'/'none' -> NULL; 'ada' without 'tidak' -> 1; 'tidak' -> 0; other text -> 1."""
     s = F.lower(strip(c))
-    return (F.when(s.isNull() | s.isin("nan", "none", ""), _NULL_INT)
+    return (F.when(s.isNull() | s.isin("nan", "none", ""), _null("int"))
             .when(s.contains("ada") & ~s.contains("tidak"), F.lit(1))
             .when(s.contains("tidak"), F.lit(0))
             .otherwise(F.lit(1)))
@@ -58,7 +60,7 @@ def sex_code(c) -> Column:
     s = F.upper(strip(_col(c).cast("string")))
     return (F.when(s.isin(*C.SEX_CODE_MALE), F.lit(1.0))
             .when(s.isin(*C.SEX_CODE_FEMALE), F.lit(0.0))
-            .otherwise(_NULL_DBL))
+            .otherwise(_null("double")))
 
 
 def yes_no(c, visit: bool = False) -> Column:

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.functions.text import _col, strip
 
-_NULL_DBL = F.lit(None).cast("double")
+
+
+def _null(t: str) -> Column:
+    return F.lit(None).cast(t)
 
 
 def zero_as_null(c) -> Column:
     """0 means 'not measured'."""
     x = _col(c)
-    return F.when(x == 0, _NULL_DBL).otherwise(x)
+    return F.when(x == 0, _null("double")).otherwise(x)
 
 
 def parse_date(c) -> Column:
@@ -25,14 +28,14 @@ def parse_date(c) -> Column:
 def age(birth_date, as_of_year: int, lo: int = C.AGE_RANGE[0], hi: int = C.AGE_RANGE[1]) -> Column:
     """as_of_year - year(birth); outside [lo, hi] -> NULL."""
     a = (F.lit(as_of_year) - F.year(_col(birth_date))).cast("double")
-    return F.when(a.between(lo, hi), a).otherwise(_NULL_DBL)
+    return F.when(a.between(lo, hi), a).otherwise(_null("double"))
 
 
 def bmi(weight_kg, height_cm, lo: float = C.BMI_RANGE[0], hi: float = C.BMI_RANGE[1]) -> Column:
     """Kg / (cm/100)^2 rounded to 2 places; height 0 or outside [lo, hi] -> NULL."""
     h = _col(height_cm) / F.lit(100.0)
     v = F.round(F.try_divide(_col(weight_kg), h * h), 2)
-    return F.when(v.between(lo, hi), v).otherwise(_NULL_DBL)
+    return F.when(v.between(lo, hi), v).otherwise(_null("double"))
 
 
 def in_range(c, lo, hi) -> Column:
@@ -67,7 +70,7 @@ def bmi_from_text(val, weight, height, lo: float = C.BMI_RANGE[0], hi: float = C
     first = F.regexp_extract(strip(_col(val).cast("string")), r"([0-9]+(?:[.,][0-9]+)?)", 1)
     num = F.replace(first, F.lit(","), F.lit(".")).try_cast("double")
     text_ok = F.when(num.between(lo, hi), F.round(num, 2))
-    return F.coalesce(calc_ok, text_ok, _NULL_DBL)
+    return F.coalesce(calc_ok, text_ok, _null("double"))
 
 
 def split_blood_pressure(c) -> Column:
@@ -81,6 +84,6 @@ def split_blood_pressure(c) -> Column:
     ok = sys_v.isNotNull() & (p1.isNull() | dia_v.isNotNull())
     lo_s, hi_s = C.BP_SYS_RANGE
     lo_d, hi_d = C.BP_DIA_RANGE
-    sys_out = F.when(ok & sys_v.between(lo_s, hi_s), sys_v).otherwise(_NULL_DBL)
-    dia_out = F.when(ok & dia_v.between(lo_d, hi_d), dia_v).otherwise(_NULL_DBL)
+    sys_out = F.when(ok & sys_v.between(lo_s, hi_s), sys_v).otherwise(_null("double"))
+    dia_out = F.when(ok & dia_v.between(lo_d, hi_d), dia_v).otherwise(_null("double"))
     return F.struct(sys_out.alias("sistolik"), dia_out.alias("diastolik"))

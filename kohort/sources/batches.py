@@ -75,7 +75,7 @@ class BatchStore:
             (rec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch_id").parquet(self.records_path))
         meta = self.spark.createDataFrame(
-            [(bid, filename, uploaded_at or _dt.datetime.utcnow(), int(counts["n"]), int(counts["d"]),
+            [(bid, filename, uploaded_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), int(counts["n"]), int(counts["d"]),
               "success", {k: int(v) for k, v in stats.items()})],
             "batch_id int, filename string, uploaded_at timestamp, total_rows long, total_desa long, "
             "status string, stats map<string,bigint>")
