@@ -213,3 +213,30 @@ class BandSet:
     dbi: tuple = DBI_CUTS
     ch: tuple = CH_CUTS
     labels: tuple = field(default=BAND_LABELS)
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: cluster recommendations (K18), in the application's order.
+# ---------------------------------------------------------------------------
+LEVEL_META = {
+    "RISIKO TINGGI": ("Risiko Tinggi", "danger"),
+    "RISIKO SEDANG": ("Risiko Sedang", "warning"),
+    "RELATIF SEHAT": ("Relatif Sehat", "success"),
+}
+REC_AGE_70 = "Skrining kesehatan geriatri berkala (sebulan sekali) dan pendampingan mobilitas."
+REC_AGE_60 = "Skrining kesehatan lansia teratur (3 bulan sekali)."
+REC_BMI_30 = "Konseling gizi klinis untuk mengatasi obesitas dan pembatasan asupan kalori."
+REC_BMI_25 = "Program olahraga rutin dan edukasi porsi makan sehat untuk mengatasi overweight."
+REC_BMI_UNDER = "Program PMT (Pemberian Makanan Tambahan) lansia untuk mengatasi malnutrisi."
+REC_SYS_140 = "Terapi kepatuhan minum obat hipertensi, pembatasan garam, dan senam lansia."
+REC_SYS_120 = "Pantau tekanan darah rutin; anjurkan diet DASH (rendah garam, tinggi kalium)."
+REC_GLU_200 = "Rujukan ke poli penyakit dalam untuk penanganan DM tipe 2 dan monitoring gula rutin."
+REC_GLU_140 = "Edukasi diet rendah karbohidrat sederhana dan cek gula darah puasa berkala."
+REC_GLU_100 = "Waspada pra-diabetes; anjurkan aktivitas fisik aerobik minimal 30 menit/hari."
+REC_CHOL_200 = "Terapi statin sesuai resep dokter dan anjuran mengurangi konsumsi lemak jenuh/gorengan."
+REC_URIC_7 = "Hindari makanan tinggi purin (jeroan, kangkung) dan pastikan hidrasi cukup (≥8 gelas/hari)."
+REC_GENERAL = {
+    "RISIKO TINGGI": "Prioritaskan kunjungan Prolanis/Posyandu lansia dan koordinasi dengan dokter layanan primer.",
+    "RISIKO SEDANG": "Ikuti program senam lansia dan konseling kesehatan minimal sebulan sekali di Posyandu.",
+    "RELATIF SEHAT": "Pertahankan pola hidup sehat (PHBS); lakukan tes kesehatan rutin 3 bulan sekali.",
+}

@@ -107,3 +107,45 @@ def pct_column_for(risk_filter: str) -> str:
     """which percentage a risk filter reads (sehat/sedang/tinggi, anything else = all)."""
     f = str(risk_filter).lower().strip()
     return {"sehat": "pct_sehat", "sedang": "pct_sedang", "tinggi": "pct_tinggi"}.get(f, "pct_risiko")
+
+
+def recommendations(label="risk_label", age="umur", bmi="imt", systolic="sistolik", glucose="gds_1",
+                    cholesterol="kolesterol", uric=None, present: list[str] | None = None) -> Column:
+    """Ordered advice list from cluster means, then one general line per level.
+
+    Column names are parameters (defaults are the cleaned table's names, so every
+    branch can fire); a feature missing from ``present`` contributes nothing.
+    """
+    have = (lambda c: c is not None and (present is None or c in present))
+    items = []
+    if have(age):
+        a = F.col(age)
+        items.append(F.when(a >= 70, F.lit(C.REC_AGE_70)).when(a >= 60, F.lit(C.REC_AGE_60)))
+    if have(bmi):
+        b = F.col(bmi)
+        items.append(F.when(b >= 30, F.lit(C.REC_BMI_30)).when(b >= 25, F.lit(C.REC_BMI_25))
+                     .when(b < 18.5, F.lit(C.REC_BMI_UNDER)))
+    if have(systolic):
+        s = F.col(systolic)
+        items.append(F.when(s >= 140, F.lit(C.REC_SYS_140)).when(s >= 120, F.lit(C.REC_SYS_120)))
+    if have(glucose):
+        g = F.col(glucose)
+        items.append(F.when(g >= 200, F.lit(C.REC_GLU_200)).when(g >= 140, F.lit(C.REC_GLU_140))
+                     .when(g >= 100, F.lit(C.REC_GLU_100)))
+    if have(cholesterol):
+        items.append(F.when(F.col(cholesterol) >= 200, F.lit(C.REC_CHOL_200)))
+    if have(uric):
+        items.append(F.when(F.col(uric) >= 7.0, F.lit(C.REC_URIC_7)))
+    lab = _col(label)
+    general = F.when(lab == "RISIKO TINGGI", F.lit(C.REC_GENERAL["RISIKO TINGGI"])) \
+        .when(lab == "RISIKO SEDANG", F.lit(C.REC_GENERAL["RISIKO SEDANG"])) \
+        .otherwise(F.lit(C.REC_GENERAL["RELATIF SEHAT"]))
+    return F.array_compact(F.array(*items, general))
+
+
+def level_meta(label="risk_label") -> dict[str, Column]:
+    """Display level and colour of a relative risk label."""
+    lab = _col(label)
+    lv = F.create_map(*[x for k, (v, _) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
+    co = F.create_map(*[x for k, (_, v) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
+    return {"level": lv[lab], "color": co[lab]}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kohort import config as C
 from kohort.operators.missing import add_absent
-from kohort.operators.quantiles import exact_medians
+from kohort.operators.quantiles import exact_quantiles_with
 
 SCALED_PREFIX = "s_"
 
@@ -30,11 +30,13 @@ class ScaleModel:
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> ScaleModel:
-    """K01 fit: exact medians (F07) and min/max per feature, two passes in total."""
+    """K01 fit: exact medians (F07) and min/max per feature, two passes in total
+    (min/max ride along in the median sketch pass)."""
     df = add_absent(df, features)
-    medians = exact_medians(df, features)
-    row = df.agg(*[F.min(F.col(f).cast("double")).alias(f"mn_{f}") for f in features],
-                 *[F.max(F.col(f).cast("double")).alias(f"mx_{f}") for f in features]).collect()[0]
+    mm = ([F.min(F.col(f).cast("double")).alias(f"mn_{f}") for f in features] +
+          [F.max(F.col(f).cast("double")).alias(f"mx_{f}") for f in features])
+    q, row = exact_quantiles_with(df, features, [0.5], extra_aggs=mm)
+    medians = {f: q[f][0] for f in features}
     mins, maxs = {}, {}
     for f in features:
         med = medians[f] if medians[f] is not None else 0.0
@@ -136,18 +138,26 @@ def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fit_kmeans(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams()):
-    """K-means|| initialisation, ``restarts`` seeds, keep the lowest inertia."""
+    """K-means|| initialisation, ``restarts`` seeds, keep the lowest inertia.
+
+    The restarts are independent fits over the same cached vectors; they are
+    submitted from driver threads as concurrent Spark jobs.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     vec = _vectors(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for r in range(params.restarts):
+
+    def one(r):
         km = KMeans(k=k, seed=params.seed + r, maxIter=params.max_iter, tol=params.tol,
                     featuresCol="features", predictionCol="cluster")
         model = km.fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0], best[1], vec
+        return r, model, model.summary.trainingCost
+
+    with ThreadPoolExecutor(max_workers=min(params.restarts, 8)) as pool:
+        fits = list(pool.map(one, range(params.restarts)))
+    _, model, cost = min(fits, key=lambda t: (t[2], t[0]))
+    return model, cost, vec
 
 
 def kmeans_labels(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams()):
@@ -163,7 +173,7 @@ def total_sum_squares(df: DataFrame, cols: list[str]) -> float:
     return float(sum(row[c] or 0.0 for c in cols))
 
 
-def elbow(df: DataFrame, cols: list[str], max_k: int = C.ELBOW_MAX_K if hasattr(C, "ELBOW_MAX_K") else 10,
+def elbow(df: DataFrame, cols: list[str], max_k: int = C.KMeansParams().max_k,
           params: C.KMeansParams = C.KMeansParams()) -> list[tuple[int, float]]:
     """Inertia for k = 1..max_k (k clamped to the number of distinct points)."""
     out = [(1, total_sum_squares(df, cols))]

@@ -75,30 +75,34 @@ def iqr_outlier_flags(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFra
 
 
 def group_median_fill(df: DataFrame, cols: list[str], group: str = "desa") -> DataFrame:
-    """NULL -> median of its group, else the global median.
+    """NULL -> median of its group, else the global median (a NULL group uses
+    the global median).
 
-    Group medians come from (group, value, count) rows: a hot group contributes
-    one row per distinct value, never its raw rows, and the cumulative count runs
-    over that reduced table.
+    All columns are stacked into (group, column, value) and reduced to value
+    counts first (partial aggregation), so a hot group contributes one row per
+    distinct value, never its raw rows; the cumulative count then runs over that
+    reduced table, and one join brings every column's group median back.
     """
     glob = exact_medians(df, cols)
-    out = df
-    for c in cols:
-        vc = (df.where(F.col(group).isNotNull() & F.col(c).isNotNull())
-                .groupBy(group, F.col(c).alias("_v")).count())
-        w = Window.partitionBy(group).orderBy("_v")
-        ranked = (vc.withColumn("_hi", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                    .withColumn("_lo", F.col("_hi") - F.col("count"))
-                    .withColumn("_n", F.sum("count").over(Window.partitionBy(group))))
-        # 0-based ranks floor/ceil of (n-1)/2 and the values holding them.
-        r0 = F.floor((F.col("_n") - 1) / 2)
-        r1 = F.ceil((F.col("_n") - 1) / 2)
-        med = (ranked.groupBy(group).agg(
-            F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("_v"))).alias("_a"),
-            F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("_v"))).alias("_b"))
-            .select(group, ((F.col("_a") + F.col("_b")) / 2).alias(f"_med_{c}")))
-        fallback = F.lit(float(glob[c]) if glob[c] is not None else None).cast("double")
-        out = (out.join(F.broadcast(med), group, "left")
-                  .withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"), fallback))
-                  .drop(f"_med_{c}"))
-    return out
+    parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    long = (df.where(F.col(group).isNotNull())
+              .select(group, F.explode(F.array(*parts)).alias("e"))
+              .select(group, "e.i", "e.v").where(F.col("v").isNotNull()))
+    vc = long.groupBy(group, "i", "v").count()
+    w = Window.partitionBy(group, "i").orderBy("v")
+    ranked = (vc.withColumn("_hi", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .withColumn("_lo", F.col("_hi") - F.col("count"))
+                .withColumn("_n", F.sum("count").over(Window.partitionBy(group, "i"))))
+    r0 = F.floor((F.col("_n") - 1) / 2)
+    r1 = F.ceil((F.col("_n") - 1) / 2)
+    med = ranked.groupBy(group, "i").agg(
+        ((F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("v"))) +
+          F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("v")))) / 2).alias("m"))
+    wide = med.groupBy(group).pivot("i", list(range(len(cols)))).agg(F.first("m"))
+    wide = wide.select(group, *[F.col(str(i)).alias(f"_med_{i}") for i in range(len(cols))])
+    out = df.join(wide, group, "left")   # one row per group; AQE broadcasts it when small
+    fills = {}
+    for i, c in enumerate(cols):
+        g = F.lit(float(glob[c]) if glob[c] is not None else None).cast("double")
+        fills[c] = F.coalesce(F.col(c).cast("double"), F.col(f"_med_{i}"), g)
+    return out.withColumns(fills).drop(*[f"_med_{i}" for i in range(len(cols))])

@@ -28,8 +28,16 @@ def _ranks(n: int, q: float) -> tuple[int, int, float]:
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
                     accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """{column: [quantile for q in qs]} over non-null values; None for an empty column."""
+    return exact_quantiles_with(df, cols, qs, accuracy)[0]
+
+
+def exact_quantiles_with(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = ACCURACY,
+                         extra_aggs: list | None = None):
+    """As ``exact_quantiles``; ``extra_aggs`` ride along in the sketch pass and their
+    one-row result is returned second (saves a job for e.g. min/max)."""
+    extra_aggs = list(extra_aggs or [])
     if not cols:
-        return {}
+        return {}, (df.agg(*extra_aggs).collect()[0] if extra_aggs else None)
     out = {c: [None] * len(qs) for c in cols}
     widths = [3.0 / accuracy, 30.0 / accuracy, None]
     probes = sorted({min(1.0, max(0.0, q + s * w)) for q in qs for s in (-1, 1) for w in widths[:2]})
@@ -37,7 +45,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, probes, accuracy).alias(f"p{i}")]
-    first = df.agg(*aggs).collect()[0]
+    first = df.agg(*aggs, *extra_aggs).collect()[0]
     counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     approx = {c: dict(zip(probes, first[f"p{i}"] or [])) for i, c in enumerate(cols)}
 
@@ -65,7 +73,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
             else:
                 out[c][j] = v0 + (v1 - v0) * frac if frac else v0
         pending = retry
-    return out
+    return out, first
 
 
 def _value_at(values: list[tuple[float, int]], rank: int):

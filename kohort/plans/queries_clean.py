@@ -283,3 +283,46 @@ def p25(spark, sf):
     return t.select("row_id", text.format_value("imt", "double").alias("imt_text"),
                     text.format_value("kolesterol", "double").alias("kolesterol_text"),
                     text.format_value("riwayat_hipertensi", "int").alias("riwayat_hipertensi_text"))
+
+
+# --- F11 search page, F12 group-median fill, S02 header-named read ----------------
+_SEARCH_COLS = ["row_id", "kecamatan", "desa", "nik", "nama", "jenis_kelamin", "umur", "imt", "sistolik"]
+
+
+@register("f11_search_page", Q.with_clean(
+    "SELECT " + ", ".join(_SEARCH_COLS) + " FROM clean WHERE contains(lower(concat_ws(' ', " +
+    ", ".join(f"CAST({c} AS VARCHAR)" for c in _SEARCH_COLS) + ")), 'nation_2') ORDER BY row_id LIMIT 10 OFFSET 10"))
+def f11(spark, sf):
+    from kohort.sources.screening import search_page
+    t = clean(spark, sf, sort=False).table.select(*_SEARCH_COLS)
+    return search_page(t, "NATION_2", "row_id", True, page=2, size=10)
+
+
+_F12 = ["kolesterol", "gdp", "gd2pp"]
+
+
+@register("f12_group_median_fill", Q.with_clean(
+    "SELECT row_id, " + ", ".join(
+        f"{Q.rnd(f'CASE WHEN desa IS NULL THEN coalesce({c}, g_{c}) ELSE coalesce({c}, m_{c}, g_{c}) END', 6)} AS {c}"
+        for c in _F12) + " FROM (SELECT row_id, desa, " + ", ".join(
+        f"{c}, quantile_cont({c}, 0.5) OVER (PARTITION BY desa) AS m_{c}" for c in _F12) + " FROM clean), "
+    "(SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS g_{c}" for c in _F12) + " FROM clean)"))
+def f12(spark, sf):
+    t = clean(spark, sf, sort=False).table.select("row_id", "desa", *_F12)
+    out = missing.group_median_fill(t, _F12, "desa")
+    return out.select("row_id", *[F.round(c, 6).alias(c) for c in _F12])
+
+
+@register("s02_header_named_read", _raw(f"SELECT row_id, {', '.join(C.RAW_COLUMNS)} FROM raw"))
+def s02(spark, sf):
+    """The sheet written with its original headers (plus an extra column) and read back."""
+    import uuid
+
+    from kohort.session import checkpoint_dir
+    from kohort.sources.screening import read_screening
+    path = f"{checkpoint_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    inv = {v: k for k, v in C.HEADER_MAP.items()}
+    raw = raw_screening(spark, sf)
+    sheet = raw.select("row_id", *[F.col(c).alias(inv[c]) for c in C.RAW_COLUMNS], F.lit("x").alias("Catatan"))
+    sheet.write.parquet(path)
+    return read_screening(spark, path, fmt="parquet")

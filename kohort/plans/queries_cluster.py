@@ -303,3 +303,113 @@ def k05(spark, sf):
     from kohort.plans.clustering import evaluate_k_range
     df, _ = scaled(spark, sf)
     return evaluate_k_range(df, S_COLS, "row_id")
+
+
+# --- K18 recommendations (on 2-place means, as the interpretation page) -----------
+def _rec_sql():
+    def w(cond, text):
+        return f"CASE WHEN {cond} THEN '{text}' END"
+    items = [
+        f"CASE WHEN umur >= 70 THEN '{C.REC_AGE_70}' WHEN umur >= 60 THEN '{C.REC_AGE_60}' END",
+        f"CASE WHEN imt >= 30 THEN '{C.REC_BMI_30}' WHEN imt >= 25 THEN '{C.REC_BMI_25}' "
+        f"WHEN imt < 18.5 THEN '{C.REC_BMI_UNDER}' END",
+        f"CASE WHEN sistolik >= 140 THEN '{C.REC_SYS_140}' WHEN sistolik >= 120 THEN '{C.REC_SYS_120}' END",
+        f"CASE WHEN gds_1 >= 200 THEN '{C.REC_GLU_200}' WHEN gds_1 >= 140 THEN '{C.REC_GLU_140}' "
+        f"WHEN gds_1 >= 100 THEN '{C.REC_GLU_100}' END",
+        w("kolesterol >= 200", C.REC_CHOL_200),
+        "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.REC_GENERAL.items()) + " END",
+    ]
+    lv = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in C.LEVEL_META.items()) + " END"
+    co = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in C.LEVEL_META.items()) + " END"
+    return Q.with_lloyd(
+        f"SELECT cluster, {lv} AS level, {co} AS color, {Q.rnd('risk_score', 2)} AS risk_score, "
+        "array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), ' | ') AS recommendations "
+        "FROM cm JOIN sc USING (cluster) JOIN ranked USING (cluster, risk_score)",
+        _rank_sql(round_means=2).replace(
+            "cm AS (SELECT cluster,", "cm AS (SELECT cluster,", 1))
+
+
+@register("k18_recommendations", _rec_sql())
+def k18(spark, sf):
+    lab = clustered(spark, sf).labelled
+    means = ranking.cluster_means(lab, _KEY, digits=2)
+    ranked = ranking.rank_clusters(means)
+    meta = risk.level_meta()
+    return ranked.select("cluster", meta["level"].alias("level"), meta["color"].alias("color"),
+                         F.round("risk_score", 2).alias("risk_score"),
+                         F.array_join(risk.recommendations(present=_KEY), " | ").alias("recommendations"))
+
+
+# --- K04 / K21-K23 compositions and their exports (rows-only: library seeding) -------
+@register("k04_elbow")
+def k04(spark, sf):
+    df, _ = scaled(spark, sf)
+    pts = kmeans.elbow(df, S_COLS)
+    return spark.createDataFrame(pts, "k int, inertia double")
+
+
+def _run(spark, sf):
+    from kohort.plans.clustering import run_clustering
+    return run_clustering(clean(spark, sf, sort=False).table)
+
+
+@register("k23_clustering_result")
+def k23(spark, sf):
+    run = _run(spark, sf)
+    return run.result.select("row_id", "desa", "nama", "cluster", "cluster_label", *S_COLS)
+
+
+@register("k21_evaluation_summary")
+def k21(spark, sf):
+    from kohort.plans.clustering import evaluation_summary
+    s = evaluation_summary(_run(spark, sf))
+    b, q, m = s["best_k"], s["quality"], s["metrics"]
+    return spark.createDataFrame([(b["best_k_silhouette"], b["best_k_davies_bouldin"], b["best_k_calinski_harabasz"],
+                                   q["silhouette"], q["davies_bouldin"], q["calinski_harabasz"],
+                                   m["silhouette_score"], m["davies_bouldin_index"], m["calinski_harabasz_score"],
+                                   m["inertia"])],
+                                 "best_k_silhouette int, best_k_dbi int, best_k_ch int, silhouette_band string, "
+                                 "dbi_band string, ch_band string, silhouette_score double, davies_bouldin_index double, "
+                                 "calinski_harabasz_score double, inertia double")
+
+
+@register("k22_clustering_summary")
+def k22(spark, sf):
+    """A07 sizes + K14 centres + A08 profile (2 places) of the ML K-Means (k=3) run."""
+    df, _ = scaled(spark, sf)
+    labelled, centres, _ = kmeans.kmeans_labels(df, S_COLS, 3)
+    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    prof = ranking.cluster_means(labelled, PROFILE, digits=2).drop("n")
+    cents = kmeans.centres_frame(spark, centres, [f"c_{f}" for f in C.FEATURES]).drop("cluster_label")
+    return sizes.join(prof, "cluster").join(cents, "cluster")   # K rows each
+
+
+@register("s16_k_evaluation_export")
+def s16(spark, sf):
+    from kohort.plans.clustering import evaluate_k_range
+    df, _ = scaled(spark, sf)
+    return evaluate_k_range(df, S_COLS, "row_id")
+
+
+@register("s15_scaled_export", Q.with_lloyd(
+    "SELECT row_id, " + ", ".join(f"{Q.rnd(c, 9)} AS {c}" for c in S_COLS) + ", cluster FROM labels JOIN scaled USING (row_id)"))
+def s15(spark, sf):
+    from kohort.sources import exports
+    lab = clustered(spark, sf).labelled
+    return exports.scaled_export(lab.select("row_id", *[_r(c, 9) for c in S_COLS], "cluster"),
+                                 ["row_id", *S_COLS])
+
+
+@register("s19_evaluation_parameters", _eval_sql() +
+          "\nSELECT parameter, value FROM (SELECT 10.0::DOUBLE AS k, * FROM ev) "
+          "UNPIVOT (value FOR parameter IN (k, silhouette_score, davies_bouldin_index, calinski_harabasz_score, "
+          "inertia))")
+def s19(spark, sf):
+    from kohort.sources import exports
+    ev = k06(spark, sf).withColumn("k", F.lit(10))
+    out = exports.evaluation_parameters(ev)
+    names = {"Jumlah Cluster (K)": "k", "Silhouette Score": "silhouette_score",
+             "Davies-Bouldin Index": "davies_bouldin_index", "Calinski-Harabasz Score": "calinski_harabasz_score",
+             "Inertia (SSE)": "inertia"}
+    m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return out.select(m[F.col("parameter")].alias("parameter"), "value")
