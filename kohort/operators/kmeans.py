@@ -69,20 +69,30 @@ def scale(df: DataFrame, features: list[str] = C.FEATURES, model: ScaleModel | N
 
 # --- K03 Lloyd ---------------------------------------------------------------
 
+def _dlit(v: float) -> str:
+    """A double literal that parses back to exactly ``v``."""
+    return f"CAST({float(v)!r} AS DOUBLE)" if v != v or v in (float("inf"), float("-inf")) else f"{float(v)!r}D"
+
+
+def distance_sql(cols: list[str], centre: list[float], digits: int | None) -> str:
+    terms = " + ".join(f"(`{c}` - {_dlit(v)}) * (`{c}` - {_dlit(v)})" for c, v in zip(cols, centre))
+    dist = f"sqrt(0.0D + {terms})"
+    return f"round({dist}, {digits})" if digits is not None else dist
+
+
 def distance_expr(cols: list[str], centre: list[float], digits: int | None) -> Column:
-    acc = F.lit(0.0)
-    for c, v in zip(cols, centre):
-        d = F.col(c) - F.lit(float(v))
-        acc = acc + d * d
-    dist = F.sqrt(acc)
-    return F.round(dist, digits) if digits is not None else dist
+    return F.expr(distance_sql(cols, centre, digits))
 
 
 def nearest_expr(cols: list[str], centres: list[list[float]], digits: int | None = 4) -> Column:
-    """Index of the nearest centre; ties go to the lowest index."""
-    cand = [F.struct(distance_expr(cols, c, digits).alias("d"), F.lit(j).alias("k"))
-            for j, c in enumerate(centres)]
-    return F.array_min(F.array(*cand))["k"]
+    """Index of the nearest centre; ties go to the lowest index.
+
+    Built as one SQL expression (one driver call instead of hundreds of Column
+    calls); it compiles to the same native arithmetic.
+    """
+    cand = ", ".join(f"named_struct('d', {distance_sql(cols, c, digits)}, 'k', {j})"
+                     for j, c in enumerate(centres))
+    return F.expr(f"array_min(array({cand})).k")
 
 
 @dataclass
