@@ -240,3 +240,12 @@ REC_GENERAL = {
     "RISIKO SEDANG": "Ikuti program senam lansia dan konseling kesehatan minimal sebulan sekali di Posyandu.",
     "RELATIF SEHAT": "Pertahankan pola hidup sehat (PHBS); lakukan tes kesehatan rutin 3 bulan sekali.",
 }
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: console evaluation bands (S20), best to worst.
+# ---------------------------------------------------------------------------
+CONSOLE_SILHOUETTE = ((0.5, "BAIK – cluster terpisah dengan jelas"),
+                      (0.25, "CUKUP – cluster agak tumpang tindih"),
+                      (None, "KURANG – cluster saling tumpang tindih"))
+CONSOLE_DBI = ((1.0, "BAIK – cluster kompak & terpisah"), (2.0, "CUKUP"), (None, "KURANG"))

@@ -149,3 +149,16 @@ def level_meta(label="risk_label") -> dict[str, Column]:
     lv = F.create_map(*[x for k, (v, _) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
     co = F.create_map(*[x for k, (_, v) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
     return {"level": lv[lab], "color": co[lab]}
+
+
+def console_band(c, metric: str) -> Column:
+    """The text report's bands (silhouette higher is better, DBI lower)."""
+    x = _col(c)
+    table = C.CONSOLE_SILHOUETTE if metric == "silhouette" else C.CONSOLE_DBI
+    out = None
+    for cut, text in table:
+        if cut is None:
+            return out.otherwise(F.lit(text))
+        cond = x >= cut if metric == "silhouette" else x <= cut
+        out = F.when(cond, F.lit(text)) if out is None else out.when(cond, F.lit(text))
+    return out

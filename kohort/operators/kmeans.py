@@ -103,14 +103,30 @@ class LloydResult:
     cols: list
 
 
+def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
+    """Materialise a table an iterative job reads many times.
+
+    ``auto``: a reliable ``checkpoint()`` when the session names a shared
+    ``spark.checkpoint.dir`` (cluster: survives executor loss without replaying
+    the cleaning plan, and cuts the lineage), else an in-memory/disk cache.
+    """
+    if mode == "auto":
+        mode = "checkpoint" if df.sparkSession.conf.get("spark.checkpoint.dir", None) else "persist"
+    if mode == "checkpoint":
+        return df.checkpoint(eager=True)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def lloyd(df: DataFrame, cols: list[str], params: C.LloydParams = C.LloydParams(),
-          order_col: str = "row_id", persist: bool = True) -> LloydResult:
+          order_col: str = "row_id", persist: bool | str = True) -> LloydResult:
     """Initial centres = first k rows by ``order_col``; each iteration assigns
     (distances rounded, ties -> lowest id) and moves each centre to its members'
     mean (rounded); an empty cluster keeps its centre. ``labelled`` carries the
     assignment made in the last iteration (against the centres it started from).
     """
-    pts = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    pts = materialize(df, "auto" if persist is True else (persist or "none"))
     first = pts.orderBy(F.col(order_col).asc()).limit(params.k).select(*cols).collect()
     centres = [[float(r[c]) for c in cols] for r in first]
     history = [centres]

@@ -106,20 +106,18 @@ class CleanResult:
 
     def stats(self) -> DataFrame:
         """Raw rows, valid rows, removed, sheets, NULL age / BMI / systolic after cleaning."""
-        raw_n = self.raw.agg(F.count(F.lit(1)).alias("total_baris_mentah"))
+        raw_n = self.raw.agg(F.count(F.lit(1))).scalar()      # scalar subquery, no join
         t = self.table
-        clean = t.agg(
+        def nulls(c):
+            return F.count_if(F.col(c).isNull()) if c in t.columns else F.lit(0)
+        return t.agg(
+            raw_n.alias("total_baris_mentah"),
             F.count(F.lit(1)).alias("total_valid"),
-            (F.count_if(F.col("umur").isNull()) if "umur" in t.columns else F.lit(0)).alias("umur_invalid"),
-            (F.count_if(F.col("imt").isNull()) if "imt" in t.columns else F.lit(0)).alias("imt_invalid"),
-            (F.count_if(F.col("sistolik").isNull()) if "sistolik" in t.columns else F.lit(0)).alias("td_invalid"))
-        return (raw_n.crossJoin(clean)   # two one-row aggregates side by side
-                .select("total_baris_mentah", "total_valid",
-                        (F.col("total_baris_mentah") - F.col("total_valid")).alias("baris_dihapus"),
-                        F.lit(1).alias("sheets_diproses"),
-                        F.col("umur_invalid").cast("bigint").alias("umur_invalid"),
-                        F.col("imt_invalid").cast("bigint").alias("imt_invalid"),
-                        F.col("td_invalid").cast("bigint").alias("td_invalid")))
+            (raw_n - F.count(F.lit(1))).alias("baris_dihapus"),
+            F.lit(1).alias("sheets_diproses"),
+            nulls("umur").cast("bigint").alias("umur_invalid"),
+            nulls("imt").cast("bigint").alias("imt_invalid"),
+            nulls("sistolik").cast("bigint").alias("td_invalid"))
 
 
 def before_missing(raw: DataFrame, params: C.CleanParams) -> DataFrame:

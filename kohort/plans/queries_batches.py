@@ -161,3 +161,35 @@ def t01(spark, sf):
         .csv(f"{base}/landing"))
     store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
     return store.records()
+
+
+@register("s14_cluster_export_parts", Q.with_lloyd(
+    "SELECT row_id, desa, substring(desa, 1, 31) AS part, cluster, 'Cluster ' || cluster AS cluster_label "
+    "FROM result WHERE desa IS NOT NULL"))
+def s14(spark, sf):
+    res = clustered(spark, sf).labelled.withColumn("cluster_label", F.concat(F.lit("Cluster "), F.col("cluster")))
+    return exports.village_parts(res).select("row_id", "desa", "part", "cluster", "cluster_label")
+
+
+def _console_sql(x: str, table, higher: bool) -> str:
+    whens = " ".join(f"WHEN {x} {'>=' if higher else '<='} {cut} THEN '{t}'" for cut, t in table if cut is not None)
+    return f"CASE {whens} ELSE '{table[-1][1]}' END"
+
+
+def _s20_sql():
+    from kohort.plans.queries_cluster import _eval_sql
+    return (_eval_sql() + "\nSELECT d.label, d.n, silhouette_score, davies_bouldin_index, calinski_harabasz_score, "
+            f"inertia, {_console_sql('silhouette_score', C.CONSOLE_SILHOUETTE, True)} AS silhouette_quality, "
+            f"{_console_sql('davies_bouldin_index', C.CONSOLE_DBI, False)} AS dbi_quality FROM ev, disp d")
+
+
+@register("s20_evaluation_report", _s20_sql())
+def s20(spark, sf):
+    """Metrics, console quality bands and people per cluster (embeddings with their labels)."""
+    from kohort.functions.risk import console_band
+    from kohort.plans.queries_cluster import _emb, k06
+    ev = k06(spark, sf)
+    sizes = _emb(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    row = ev.select("*", console_band("silhouette_score", "silhouette").alias("silhouette_quality"),
+                    console_band("davies_bouldin_index", "dbi").alias("dbi_quality")).first()   # one row
+    return sizes.withColumns({k: F.lit(v) for k, v in row.asDict().items()})

@@ -413,3 +413,15 @@ def s19(spark, sf):
              "Inertia (SSE)": "inertia"}
     m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     return out.select(m[F.col("parameter")].alias("parameter"), "value")
+
+
+@register("k13_scatter_dataset")
+def k13(spark, sf):
+    """PCA x/y (4 places), cluster, name and village ('' only when the column is absent)."""
+    res = clustered(spark, sf)
+    model = pca.fit_pca(res.labelled, S_COLS, 2)
+    out = pca.project(res.labelled, model)
+    name = F.col("nama") if "nama" in out.columns else F.lit("")
+    desa = F.col("desa") if "desa" in out.columns else F.lit("")
+    return out.select(F.round("pc1", 4).alias("x"), F.round("pc2", 4).alias("y"), "cluster",
+                      name.alias("nama"), desa.alias("desa"))

@@ -29,10 +29,13 @@ def process_file(df: DataFrame, params: C.CleanParams):
 
 
 def ingest(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
-           params: C.CleanParams = C.CleanParams(), fmt: str = "csv", batch_base: int = 0):
-    """Run the ingest stream until the landing folder is drained; returns the store."""
+           params: C.CleanParams = C.CleanParams(), fmt: str = "csv", batch_base: int = 0,
+           max_files_per_trigger: int = 100):
+    """Run the ingest stream until the landing folder is drained; returns the store.
+    ``max_files_per_trigger`` bounds each micro-batch (and the file list it handles)."""
     store = BatchStore(spark, store_root)
-    stream = (spark.readStream.schema(RAW_SCHEMA).option("header", True).format(fmt)
+    stream = (spark.readStream.schema(RAW_SCHEMA).option("header", True)
+              .option("maxFilesPerTrigger", max_files_per_trigger).format(fmt)
               .load(landing).withColumn("_file", F.input_file_name()))
 
     def per_epoch(batch: DataFrame, epoch_id: int):
