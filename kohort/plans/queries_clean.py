@@ -326,3 +326,29 @@ def s02(spark, sf):
     sheet = raw.select("row_id", *[F.col(c).alias(inv[c]) for c in C.RAW_COLUMNS], F.lit("x").alias("Catatan"))
     sheet.write.parquet(path)
     return read_screening(spark, path, fmt="parquet")
+
+
+@register("f04_sparse_columns", "WITH " + ",\n".join([Q.raw_cte(), Q.values_cte(), Q.encoded_cte(), Q.missing_cte()]) +
+          "\nSELECT * FROM (" + " UNION ALL ".join(
+              f"SELECT '{f}' AS feature, {Q.rnd(f, 6)} AS null_ratio, {f} > {C.COL_MISSING_THRESHOLD} AS dropped FROM ratios"
+              for f in C.FEATURES) + ")")
+def f04(spark, sf):
+    df = P.before_missing(raw_screening(spark, sf), PARAMS)
+    r = missing.null_ratios(df, C.FEATURES)
+    long = r.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("null_ratio"))
+                                        for f in C.FEATURES])).alias("x")).select("x.*")
+    return long.select("feature", F.round("null_ratio", 6).alias("null_ratio"),
+                       (F.col("null_ratio") > F.lit(PARAMS.col_missing_threshold)).alias("dropped"))
+
+
+@register("p17_binary_domain", "WITH " + ",\n".join([Q.raw_cte(), Q.values_cte(), Q.encoded_cte(), Q.missing_cte()]) +
+          "\nSELECT row_id, " + ", ".join(f"CASE WHEN {c} IN (0, 1) THEN {c} END AS {c}" for c in C.BINARY_COLUMNS)
+          + " FROM rowf")
+def p17(spark, sf):
+    raw = raw_screening(spark, sf)
+    df = P.before_missing(raw, PARAMS)
+    feats = [f for f in PARAMS.features if f in df.columns]
+    dropped = missing.sparse_columns(df, feats, PARAMS.col_missing_threshold)
+    df = missing.drop_sparse_rows(df.drop(*dropped), [f for f in feats if f not in dropped],
+                                  PARAMS.row_missing_threshold)
+    return df.select("row_id", *[measures.binary_only(c).alias(c) for c in C.BINARY_COLUMNS])

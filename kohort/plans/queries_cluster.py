@@ -425,3 +425,35 @@ def k13(spark, sf):
     desa = F.col("desa") if "desa" in out.columns else F.lit("")
     return out.select(F.round("pc1", 4).alias("x"), F.round("pc2", 4).alias("y"), "cluster",
                       name.alias("nama"), desa.alias("desa"))
+
+
+@register("w03_nearest_initial_centre", Q.with_clean("SELECT row_id, cluster FROM a1",
+                                                      Q.scaled_cte(), Q.lloyd_ctes(iterations=1)))
+def w03(spark, sf):
+    """Assignment to the first k rows' centres (distances rounded, ties -> lowest id)."""
+    df, _ = scaled(spark, sf)
+    res = kmeans.lloyd(df, S_COLS, C.LloydParams(k=LLOYD.k, iterations=1))
+    return res.labelled.select("row_id", "cluster")
+
+
+@register("f07_feature_medians", Q.with_clean(
+    "SELECT " + ", ".join(f"{Q.rnd(f'coalesce(quantile_cont({f}, 0.5), 0)', 6)} AS {f}" for f in Q.CLEAN_FEATURES)
+    + " FROM clean"))
+def f07(spark, sf):
+    from kohort.operators.quantiles import exact_medians
+    t = clean(spark, sf, sort=False).table
+    med = exact_medians(t, Q.CLEAN_FEATURES)
+    return spark.createDataFrame([tuple(kmeans.round_half_up(med[f] or 0.0, 6) for f in Q.CLEAN_FEATURES)],
+                                 ", ".join(f"{f} double" for f in Q.CLEAN_FEATURES))
+
+
+@register("k09_calinski_harabasz", _eval_sql() +
+          f"\nSELECT calinski_harabasz_score, {Q.rnd('(SELECT b FROM ssb) / (nk - 1) / ((SELECT sum(w) FROM disp) / (n - nk))', 4)} "
+          "AS ch_explicit FROM ev, k")
+def k09(spark, sf):
+    df = _emb(spark, sf)
+    st = metrics.cluster_stats(df, metrics.as_vector(array_col="embedding"), "label")
+    return spark.createDataFrame(
+        [(kmeans.round_half_up(metrics.calinski_harabasz(st), 4),
+          kmeans.round_half_up(metrics.calinski_harabasz(st, explicit_guards=True), 4))],
+        "calinski_harabasz_score double, ch_explicit double")

@@ -10,7 +10,7 @@ from kohort.functions import risk, text
 from kohort.operators import villages
 from kohort.plans import riskmap
 from kohort.plans.queries_clean import clean
-from kohort.plans.queries_cluster import _rank_sql, clustered
+from kohort.plans.queries_cluster import _rank_sql, clustered, ranked_clusters
 from kohort.registry import register
 from kohort.sources.tables import raw_screening, village_boundary
 
@@ -191,3 +191,53 @@ def p26(spark, sf):
 def p21(spark, sf):
     m = risk_map(spark, sf).mapped
     return m.select("gid", "pct_risiko", F.col("fill_color"))
+
+
+# --- J01-J03 and U01 as their own queries -------------------------------------------
+@register("j01_primary_name_join", with_map(
+    "SELECT vb.gid, vb.name_norm, p.sehat, p.sedang, p.tinggi, p.total FROM vb LEFT JOIN vc p "
+    "ON p.desa_norm = vb.name_norm"))
+def j01(spark, sf):
+    rm = risk_map(spark, sf)
+    b = village_boundary(spark, sf).select("gid", text.normalise_village("desa_geo").alias("name_norm"))
+    c = rm.counts.withColumnRenamed("desa_norm", "name_norm")
+    return b.join(c, "name_norm", "left").select("gid", "name_norm", *villages.COUNTS)
+
+
+@register("j02_alternate_name_fallback", with_map(
+    "SELECT vb.gid, vb.alt_norm, a.total FROM vb LEFT JOIN vc p ON p.desa_norm = vb.name_norm "
+    "JOIN vc a ON a.desa_norm = vb.alt_norm WHERE p.total IS NULL"))
+def j02(spark, sf):
+    rm = risk_map(spark, sf)
+    b = village_boundary(spark, sf).select("gid", text.normalise_village("desa_geo").alias("name_norm"),
+                                           text.normalise_village("alt_geo").alias("alt_norm"))
+    prim = rm.counts.select(F.col("desa_norm").alias("name_norm"), F.col("total").alias("p_total"))
+    alt = rm.counts.select(F.col("desa_norm").alias("alt_norm"), "total")
+    return (b.join(prim, "name_norm", "left").where(F.col("p_total").isNull())
+             .join(alt, "alt_norm", "inner").select("gid", "alt_norm", "total"))
+
+
+@register("j03_village_percentages", with_map(
+    "SELECT gid, sehat, sedang, tinggi, total, pct_sehat, pct_sedang, pct_tinggi, pct_risiko FROM mp"))
+def j03(spark, sf):
+    return risk_map(spark, sf).mapped.select("gid", *villages.COUNTS, "pct_sehat", "pct_sedang", "pct_tinggi",
+                                             "pct_risiko")
+
+
+@register("u01_boundary_names", "WITH " + Q.boundary_cte() +
+          f"\nSELECT {norm_sql('desa_geo', '')} AS name FROM village_boundary UNION "
+          f"SELECT {norm_sql('alt_geo', '')} AS name FROM village_boundary")
+def u01(spark, sf):
+    b = village_boundary(spark, sf)
+    return (b.select(text.normalise_village("desa_geo").alias("name"))
+             .union(b.select(text.normalise_village("alt_geo").alias("name"))).distinct())
+
+
+@register("w02_cluster_rank", Q.with_lloyd(
+    "SELECT cluster, risk_score, r AS risk_rank, risk_label FROM rk JOIN ranked USING (cluster, risk_score)",
+    _rank_sql()))
+def w02(spark, sf):
+    from pyspark.sql import Window
+    _, ranked = ranked_clusters(spark, sf)
+    w = Window.orderBy(F.col("risk_score").asc(), F.col("cluster").asc())
+    return ranked.select("cluster", "risk_score", F.row_number().over(w).alias("risk_rank"), "risk_label")
