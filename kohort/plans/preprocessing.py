@@ -103,6 +103,12 @@ class CleanResult:
     raw: DataFrame
     dropped_columns: list
     features: list
+    cached: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the cached pre-F04 stage once the table has been consumed."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     def stats(self) -> DataFrame:
         """Raw rows, valid rows, removed, sheets, NULL age / BMI / systolic after cleaning."""
@@ -132,8 +138,9 @@ def before_missing(raw: DataFrame, params: C.CleanParams) -> DataFrame:
 def clean_screening(raw: DataFrame, params: C.CleanParams = C.CleanParams(),
                     sort: bool = True, persist: bool = True) -> CleanResult:
     df = before_missing(raw, params)
+    cached = None
     if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     feats = [f for f in params.features if f in df.columns]
     dropped = sparse_columns(df, feats, params.col_missing_threshold)
     if dropped:
@@ -144,4 +151,4 @@ def clean_screening(raw: DataFrame, params: C.CleanParams = C.CleanParams(),
     if sort:
         df = sort_output(df)
     df = df.drop("tanggal_lahir")
-    return CleanResult(table=df, raw=raw, dropped_columns=dropped, features=kept)
+    return CleanResult(table=df, raw=raw, dropped_columns=dropped, features=kept, cached=cached)
