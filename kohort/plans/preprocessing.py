@@ -33,9 +33,9 @@ def select_raw(raw: DataFrame) -> DataFrame:
     return raw.select(*keep)
 
 
-def clean_values(df: DataFrame) -> DataFrame:
+def clean_values(df: DataFrame, skip: tuple = ()) -> DataFrame:
     """P01 text strip + null tokens, P02 numeric extraction, P03 glucose 0 -> NULL, P04 dates."""
-    cols = {c: text.clean_text(c) for c in C.STRING_COLUMNS if c in df.columns}
+    cols = {c: text.clean_text(c) for c in C.STRING_COLUMNS if c in df.columns and c not in skip}
     for c in C.NUMERIC_TEXT_COLUMNS:
         if c in df.columns:
             v = text.numeric_text(c)
@@ -126,11 +126,22 @@ class CleanResult:
             nulls("sistolik").cast("bigint").alias("td_invalid"))
 
 
+KEY_COLUMNS = ("nik", "kecamatan")
+
+
 def before_missing(raw: DataFrame, params: C.CleanParams) -> DataFrame:
-    """Stages up to encoding (everything before the data-dependent F04)."""
-    df = clean_values(select_raw(raw))
+    """Stages up to encoding (everything before the data-dependent F04).
+
+    Only the dedup key and the district column need P01 before F02/F01. The rest
+    of P01-P04 is row-local and reads neither, so it commutes with the dedup and
+    the filter: applying it afterwards gives the same rows while parsing only the
+    kept district's rows.
+    """
+    df = select_raw(raw)
+    df = df.withColumns({c: text.clean_text(c) for c in KEY_COLUMNS})
     df = first_per_key(df, "nik", "row_id") if "row_id" in df.columns else df.dropDuplicates(["nik"])
     df = district_filter(df, params.district)
+    df = clean_values(df, skip=KEY_COLUMNS)
     df = derive_measures(df, params.as_of_year)
     return encode_categories(df)
 
