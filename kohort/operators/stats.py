@@ -116,17 +116,33 @@ def villages_per_district(df: DataFrame, district: str = "kecamatan", village: s
         F.array_join(F.array_sort(F.collect_set(village)), ", ").alias("villages"))
 
 
+def global_rank(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
+    """0-based position of each row in ``order``, computed without a single-partition window.
+
+    A range-partitioned sort splits even a hot key across partitions; each partition's
+    row count (one row per partition) gives its offset, and the position inside a
+    partition comes from ``monotonically_increasing_id`` (partition id in the upper
+    bits, row index in the lower 33). Ties keep an arbitrary but consistent order.
+    """
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    ranked = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    # offsets: one row per partition (bounded by the partition count)
+    return (ranked.join(F.broadcast(offsets), "_pid")
+                  .withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off"))
+
+
 def silhouette_profile(points: DataFrame, label: str = "cluster", score: str = "silhouette",
                        gap: int = 10) -> DataFrame:
     """Silhouette plot layout. Clusters in id order, values ascending inside a
-    cluster, first bar at y = gap, ``gap`` rows between clusters. The y position is a
-    global rank over (cluster, value), taken with a range-partitioned sort and
-    ``zipWithIndex`` (distributed), plus ``gap`` per cluster passed."""
-    sorted_df = points.select(label, score).orderBy(label, score)
-    spark = points.sparkSession
-    ranked = spark.createDataFrame(
-        sorted_df.rdd.zipWithIndex().map(lambda t: (t[0][0], t[0][1], t[1])),
-        f"{label} long, {score} double, _pos long")
+    cluster, first bar at y = gap, ``gap`` rows between clusters: y = global position
+    over (cluster, value) + gap x (cluster ordinal)."""
+    ranked = global_rank(points.select(label, score), [label, score])
     order = points.select(label).distinct().withColumn(
         "_ord", F.row_number().over(Window.orderBy(label)))      # K rows
     return (ranked.join(F.broadcast(order), label)

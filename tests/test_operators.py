@@ -141,3 +141,15 @@ def test_a10_crosstab_totals(spark):
     df = spark.createDataFrame([("A", 0), ("A", 1), ("B", 1), (None, 0)], "desa string, cluster int")
     rows = {r.desa: (r.cluster_0, r.cluster_1, r.total) for r in stats.crosstab_with_totals(df, "desa", "cluster", [0, 1]).collect()}
     assert rows == {"A": (1, 1, 2), "B": (0, 1, 1), "Total": (1, 2, 3)}
+
+
+def test_global_rank_is_contiguous_and_ordered(spark):
+    rng = np.random.default_rng(5)
+    vals = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 2000), rng.random(2000))]
+    vals += [(0, 0.5)] * 700          # a hot key with ties
+    df = spark.createDataFrame(vals, "k long, v double").repartition(7)
+    rows = stats.global_rank(df, ["k", "v"]).collect()
+    pos = sorted(r._pos for r in rows)
+    assert pos == list(range(len(vals)))
+    by_pos = [(r.k, r.v) for r in sorted(rows, key=lambda r: r._pos)]
+    assert by_pos == sorted(vals)
