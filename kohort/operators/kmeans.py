@@ -203,7 +203,7 @@ def elbow(df: DataFrame, cols: list[str], max_k: int = C.KMeansParams().max_k,
           params: C.KMeansParams = C.KMeansParams()) -> list[tuple[int, float]]:
     """Inertia for k = 1..max_k (k clamped to the number of distinct points)."""
     out = [(1, total_sum_squares(df, cols))]
-    distinct = df.select(*cols).distinct().count()
+    distinct = df.select(*cols).distinct().limit(max_k).count()
     for k in range(2, min(max_k, distinct) + 1):
         _, cost, _ = fit_kmeans(df, cols, k, params)
         out.append((k, float(cost)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.operators.quantiles import exact_medians
+from kohort.operators.quantiles import exact_quantiles_with
 
 
 def people_per_village(df: DataFrame, village: str = "desa") -> DataFrame:
@@ -20,23 +20,21 @@ def people_per_village(df: DataFrame, village: str = "desa") -> DataFrame:
 
 def describe(df: DataFrame, cols: list[str], skip_empty: bool = True, digits: int = 2) -> DataFrame:
     """Count, mean, sample std, min, max, median over non-NULL values (2 places).
-    ``skip_empty`` drops all-NULL columns (stored-batch form); otherwise they report 0s."""
+    ``skip_empty`` drops all-NULL columns (stored-batch form); otherwise they report 0s.
+
+    The moments ride along in the median sketch pass: two passes in total, and only
+    six numbers per column reach the driver."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    med = exact_medians(df, cols)
-    parts = []
-    for c in cols:
-        m = med[c]
-        parts.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-            F.round(F.col(f"{c}__mean"), digits).alias("mean"), F.round(F.col(f"{c}__std"), digits).alias("std"),
-            F.round(F.col(f"{c}__min"), digits).alias("min"), F.round(F.col(f"{c}__max"), digits).alias("max"),
-            F.round(F.lit(m).cast("double"), digits).alias("median")))
-    out = row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    med, row = exact_quantiles_with(df, cols, [0.5], extra_aggs=aggs)
+    data = [(c, int(row[f"{c}__count"]), row[f"{c}__mean"], row[f"{c}__std"], row[f"{c}__min"],
+             row[f"{c}__max"], med[c][0]) for c in cols]
+    out = df.sparkSession.createDataFrame(
+        data, "column string, count long, mean double, std double, min double, max double, median double")
+    out = out.select("column", "count", *[F.round(k, digits).alias(k) for k in ("mean", "std", "min", "max", "median")])
     if skip_empty:
         return out.where(F.col("count") > 0)
     return out.na.fill(0.0, ["mean", "std", "min", "max", "median"])
