@@ -113,6 +113,8 @@ def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
     if mode == "auto":
         mode = "checkpoint" if df.sparkSession.conf.get("spark.checkpoint.dir", None) else "persist"
     if mode == "checkpoint":
+        from kohort.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)      # registers the configured shared folder
         return df.checkpoint(eager=True)
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
