@@ -40,17 +40,26 @@ def percentages(df: DataFrame) -> DataFrame:
 def join_boundaries(boundary: DataFrame, counts: DataFrame, name_col: str = "desa_geo",
                     alt_col: str = "alt_geo", key: str = "desa_norm") -> DataFrame:
     """J01 primary-name left join, J02 alternate-name fallback for rows the primary
-    missed, J03 missing counts -> 0 and percentages."""
+    missed, J03 missing counts -> 0 and percentages.
+
+    Written as one join: every boundary row offers two candidate keys (primary name
+    first, alternate second); after a single left join with the village counts, the
+    best-priority match per boundary row wins. The counts (and everything beneath
+    them) are computed once instead of once per name column.
+    """
     b = boundary.withColumns({"name_norm": text.normalise_village(name_col),
                               "alt_norm": text.normalise_village(alt_col)})
-    prim = counts.select(F.col(key).alias("name_norm"), *[F.col(c).alias("p_" + c) for c in COUNTS])
-    alt = counts.select(F.col(key).alias("alt_norm"), *[F.col(c).alias("a_" + c) for c in COUNTS])
-    merged = b.join(prim, "name_norm", "left").join(alt, "alt_norm", "left")
-    missed = F.col("p_total").isNull()
-    out = merged.withColumns({c: F.coalesce(F.when(missed, F.col("a_" + c)).otherwise(F.col("p_" + c)), F.lit(0))
-                              .cast("bigint") for c in COUNTS})
-    out = out.drop(*["p_" + c for c in COUNTS], *["a_" + c for c in COUNTS])
-    return percentages(out)
+    # A boundary row's counts depend only on its (primary, alternate) name pair.
+    pairs = b.select("name_norm", "alt_norm").distinct()
+    cand = pairs.select("name_norm", "alt_norm", F.explode(F.array(
+        F.struct(F.lit(1).alias("pri"), F.col("name_norm").alias("k")),
+        F.struct(F.lit(2).alias("pri"), F.col("alt_norm").alias("k")))).alias("c"))
+    hits = (cand.join(counts.withColumnRenamed(key, "k"), F.col("c.k") == F.col("k"), "inner")
+                .groupBy("name_norm", "alt_norm")
+                .agg(F.min_by(F.struct(*[F.col(c) for c in COUNTS]), F.col("c.pri")).alias("m")))
+    out = b.join(hits, ["name_norm", "alt_norm"], "left")
+    out = out.withColumns({c: F.coalesce(F.col("m." + c), F.lit(0)).cast("bigint") for c in COUNTS})
+    return percentages(out.drop("m"))
 
 
 def boundaries_without_data(mapped: DataFrame) -> DataFrame:
