@@ -212,3 +212,10 @@ def risk_score_sql(prefix: str = "") -> str:
             whens.append(f"WHEN {cond} THEN {pts}")
         terms.append(f"coalesce(CASE {' '.join(whens)} ELSE 0.0 END, 0.0)")
     return rnd("0.0::DOUBLE + " + " + ".join(terms), 3)
+
+
+def py_float(x: str) -> str:
+    """Python float() rules in DuckDB: '_' between digits dropped, Java-only suffixes rejected."""
+    t = f"regexp_replace(regexp_replace({strip(x)}, '([0-9])_([0-9])', '\\1\\2', 'g'), '([0-9])_([0-9])', '\\1\\2', 'g')"
+    bad = f"(regexp_matches({t}, '[dDfF]$') AND NOT regexp_matches(lower({t}), 'inf$')) OR regexp_matches({t}, '^[+-]?0[xX]')"
+    return f"CASE WHEN {bad} THEN NULL ELSE TRY_CAST({t} AS DOUBLE) END"

@@ -70,7 +70,8 @@ def yes_no(c, visit: bool = False) -> Column:
     out = F.when(x.isNull(), F.lit(0.0)).when(s.isin(*C.BOOL_VISIT), F.lit(1.0))
     if visit:
         return out.otherwise(F.lit(0.0))
-    num = s.try_cast("double")
+    from kohort.functions.measures import python_float
+    num = python_float(s)
     return (out.when(s.isin(*C.BOOL_TRUE), F.lit(1.0))
             .when(s.isin(*C.BOOL_FALSE), F.lit(0.0))
             .when(num.isNotNull(), F.when(num != 0, F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -55,9 +55,18 @@ def binary_only(c) -> Column:
     return F.when(x.isin(0, 1), x)
 
 
+def python_float(c) -> Column:
+    """Text -> double with Python ``float()`` rules (surrounding whitespace allowed,
+    ``_`` between digits allowed, ``inf``/``nan`` accepted), else NULL. Spark's cast
+    also takes Java's ``d``/``f`` suffixes and hex floats, which are rejected here."""
+    t = F.regexp_replace(strip(_col(c).cast("string")), r"(?<=[0-9])_(?=[0-9])", "")
+    java_only = (t.rlike(r"[dDfF]$") & ~F.lower(t).rlike(r"inf$")) | t.rlike(r"^[+-]?0[xX]")
+    return F.when(java_only, _null("double")).otherwise(t.try_cast("double"))
+
+
 def _py_float(c) -> Column:
-    """Text that parses as a plain number, with ',' as decimal point; else NULL."""
-    return strip(F.replace(_col(c).cast("string"), F.lit(","), F.lit("."))).try_cast("double")
+    """Text with ',' as decimal point -> ``python_float``."""
+    return python_float(F.replace(_col(c).cast("string"), F.lit(","), F.lit(".")))
 
 
 def bmi_from_text(val, weight, height, lo: float = C.BMI_RANGE[0], hi: float = C.BMI_RANGE[1]) -> Column:
@@ -79,8 +88,8 @@ def split_blood_pressure(c) -> Column:
     parts = F.filter(F.split(s, "/"), lambda p: strip(p) != "")
     p0 = F.try_element_at(parts, F.lit(1))
     p1 = F.try_element_at(parts, F.lit(2))
-    sys_v = strip(p0).try_cast("double")
-    dia_v = strip(p1).try_cast("double")
+    sys_v = python_float(p0)
+    dia_v = python_float(p1)
     ok = sys_v.isNotNull() & (p1.isNull() | dia_v.isNotNull())
     lo_s, hi_s = C.BP_SYS_RANGE
     lo_d, hi_d = C.BP_DIA_RANGE

@@ -110,7 +110,7 @@ def _yes_no_sql(x, visit):
     head = f"CASE WHEN {x} IS NULL THEN 0.0::DOUBLE WHEN {s} IN {_sql_in(C.BOOL_VISIT)} THEN 1.0::DOUBLE "
     if visit:
         return head + "ELSE 0.0::DOUBLE END"
-    num = f"TRY_CAST({s} AS DOUBLE)"
+    num = Q.py_float(s)
     return (head + f"WHEN {s} IN {_sql_in(C.BOOL_TRUE)} THEN 1.0::DOUBLE "
             f"WHEN {s} IN {_sql_in(C.BOOL_FALSE)} THEN 0.0::DOUBLE "
             f"WHEN {num} IS NOT NULL THEN CASE WHEN {num} <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END "
@@ -129,8 +129,8 @@ def p13(spark, sf):
 def _bmi_text_sql():
     rw = "replace(berat_badan, ',', '.')"
     rh = "replace(tinggi_badan, ',', '.')"
-    w = f"TRY_CAST({Q.strip(rw)} AS DOUBLE)"
-    h = f"TRY_CAST({Q.strip(rh)} AS DOUBLE)"
+    w = Q.py_float(rw)
+    h = Q.py_float(rh)
     hm = f"(CASE WHEN {h} > 3 THEN {h} / 100.0::DOUBLE ELSE {h} END)"
     calc = f"(CASE WHEN {hm} * {hm} = 0 THEN NULL ELSE {w} / ({hm} * {hm}) END)"
     first = f"regexp_extract({Q.strip('berat_badan')}, '([0-9]+(?:[.,][0-9]+)?)', 1)"
@@ -151,8 +151,8 @@ def _bp_sql():
     parts = f"list_filter(string_split({s}, '/'), lambda p: {Q.strip('p')} <> '')"
     p0 = f"{parts}[1]"
     p1 = f"{parts}[2]"
-    sv = f"TRY_CAST({Q.strip(p0)} AS DOUBLE)"
-    dv = f"TRY_CAST({Q.strip(p1)} AS DOUBLE)"
+    sv = Q.py_float(p0)
+    dv = Q.py_float(p1)
     ok = f"({sv} IS NOT NULL AND ({p1} IS NULL OR {dv} IS NOT NULL))"
     return (f"CASE WHEN {ok} AND {sv} BETWEEN 50 AND 300 THEN {sv} END AS sistolik, "
             f"CASE WHEN {ok} AND {dv} BETWEEN 30 AND 200 THEN {dv} END AS diastolik")
