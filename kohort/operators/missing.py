@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.operators.quantiles import exact_medians, exact_quantiles
+from kohort.operators.quantiles import exact_medians, exact_quantiles, group_medians
 
 
 def null_ratio_exprs(cols: list[str]):
@@ -78,26 +78,12 @@ def group_median_fill(df: DataFrame, cols: list[str], group: str = "desa") -> Da
     """NULL -> median of its group, else the global median (a NULL group uses
     the global median).
 
-    All columns are stacked into (group, column, value) and reduced to value
-    counts first (partial aggregation), so a hot group contributes one row per
-    distinct value, never its raw rows; the cumulative count then runs over that
-    reduced table, and one join brings every column's group median back.
+    Group medians are exact and skew-safe (``quantiles.group_medians``: a sketch per
+    group brackets the middle ranks, only in-bracket values are ranked); one join
+    brings every column's group median back.
     """
     glob = exact_medians(df, cols)
-    parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
-    long = (df.where(F.col(group).isNotNull())
-              .select(group, F.explode(F.array(*parts)).alias("e"))
-              .select(group, "e.i", "e.v").where(F.col("v").isNotNull()))
-    vc = long.groupBy(group, "i", "v").count()
-    w = Window.partitionBy(group, "i").orderBy("v")
-    ranked = (vc.withColumn("_hi", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("_lo", F.col("_hi") - F.col("count"))
-                .withColumn("_n", F.sum("count").over(Window.partitionBy(group, "i"))))
-    r0 = F.floor((F.col("_n") - 1) / 2)
-    r1 = F.ceil((F.col("_n") - 1) / 2)
-    med = ranked.groupBy(group, "i").agg(
-        ((F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("v"))) +
-          F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("v")))) / 2).alias("m"))
+    med = group_medians(df, group, cols).withColumnRenamed("median", "m")
     wide = med.groupBy(group).pivot("i", list(range(len(cols)))).agg(F.first("m"))
     wide = wide.select(group, *[F.col(str(i)).alias(f"_med_{i}") for i in range(len(cols))])
     out = df.join(wide, group, "left")   # one row per group; AQE broadcasts it when small

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10000
@@ -115,3 +115,53 @@ def _slices(df: DataFrame, brackets: dict) -> dict:
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+
+
+def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = ACCURACY) -> DataFrame:
+    """Exact median of each column per group, as rows (group, i, median), i = column index.
+
+    Per (group, column) a ``percentile_approx`` sketch (bounded memory, partial
+    aggregation) brackets the middle ranks; only values inside the bracket (about
+    6/accuracy of the group) are counted and ranked, so a group holding a third of
+    the rows never sends its rows, or all of its distinct values, to one task.
+    Brackets that miss are recomputed open-ended for those groups only.
+    """
+    delta = 3.0 / accuracy
+    parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    long = (df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*parts)).alias("e"))
+              .select(group, "e.i", "e.v").where(F.col("v").isNotNull()))
+    sketch = (long.groupBy(group, "i")
+                  .agg(F.count("v").alias("n"),
+                       F.percentile_approx("v", [0.5 - delta, 0.5 + delta], accuracy).alias("p"))
+                  .select(group, "i", "n", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"),
+                          F.floor((F.col("n") - 1) / 2).alias("r0"), F.ceil((F.col("n") - 1) / 2).alias("r1")))
+
+    def solve(brackets: DataFrame) -> DataFrame:
+        # one row per (group, column): joined by AQE as a broadcast when small
+        j = long.join(brackets, [group, "i"])
+        below = (j.where(F.col("lo").isNotNull() & (F.col("v") < F.col("lo")))
+                  .groupBy(group, "i").agg(F.count(F.lit(1)).alias("below")))
+        inside = (j.where((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) &
+                          (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
+                   .groupBy(group, "i", "v").agg(F.count(F.lit(1)).alias("c")))
+        w = Window.partitionBy(group, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = inside.withColumn("_hi", F.sum("c").over(w)).withColumn("_lo", F.col("_hi") - F.col("c"))
+        ranked = (ranked.join(brackets.select(group, "i", "r0", "r1"), [group, "i"])
+                        .join(below, [group, "i"], "left")
+                        .withColumn("below", F.coalesce("below", F.lit(0))))
+        r0 = F.col("r0") - F.col("below")
+        r1 = F.col("r1") - F.col("below")
+        return ranked.groupBy(group, "i").agg(
+            F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("v"))).alias("a"),
+            F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("v"))).alias("b"))
+
+    first = solve(sketch).select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"),
+                                 (F.col("a").isNull() | F.col("b").isNull()).alias("_miss"))
+    first = first.join(sketch.select(group, "i"), [group, "i"], "right")   # groups with no slice row
+    # one row per (group, column), read twice below: keep it
+    first = first.withColumn("_miss", F.coalesce("_miss", F.lit(True))).persist()
+    missed = first.where("_miss").select(group, "i")
+    retry_br = (sketch.join(missed, [group, "i"], "left_semi")
+                      .withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")))
+    retry = solve(retry_br).select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"))
+    return first.where(~F.col("_miss")).select(group, "i", "median").unionByName(retry)

@@ -153,3 +153,20 @@ def test_global_rank_is_contiguous_and_ordered(spark):
     assert pos == list(range(len(vals)))
     by_pos = [(r.k, r.v) for r in sorted(rows, key=lambda r: r._pos)]
     assert by_pos == sorted(vals)
+
+
+@pytest.mark.parametrize("accuracy", [10, 1000, 1_000_000])
+def test_group_medians_match_numpy(spark, accuracy):
+    from kohort.operators.quantiles import group_medians
+    rng = np.random.default_rng(accuracy)
+    rows = [("hot", float(v), float(w)) for v, w in zip(np.round(rng.normal(50, 10, 6000), 3), rng.integers(0, 5, 6000))]
+    rows += [(f"g{g}", float(v), None) for g in range(5) for v in np.round(rng.random(g * 7 + 1), 2)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(6)
+    got = {(r.g, r.i): r.median for r in group_medians(df, "g", ["a", "b"], accuracy).collect()}
+    for g in {r[0] for r in rows}:
+        for i, col in enumerate(["a", "b"]):
+            vals = [r[1 + i] for r in rows if r[0] == g and r[1 + i] is not None]
+            if vals:
+                assert got[(g, i)] == pytest.approx(float(np.median(vals)), abs=1e-12), (g, col)
+            else:
+                assert (g, i) not in got
