@@ -31,7 +31,8 @@ def batches(spark, sf):
 
 
 REC = ",\n".join([Q.raw_cte(), Q.values_cte(), Q.batch_cte(),
-                  f"rec AS (SELECT v.*, {Q.enc_sex('v.jenis_kelamin')} AS sex, b.batch_id FROM vals v JOIN upload_batch b "
+                  f"rec AS (SELECT v.*, {Q.enc_sex('v.jenis_kelamin')} AS sex, {Q.age('v.tanggal_lahir')} AS umur, "
+                  f"{Q.bmi('v.berat_badan', 'v.tinggi_badan')} AS imt, b.batch_id FROM vals v JOIN upload_batch b "
                   f"ON upper({Q.strip('v.kecamatan')}) = b.kecamatan)"])
 
 
@@ -193,3 +194,33 @@ def s20(spark, sf):
     row = ev.select("*", console_band("silhouette_score", "silhouette").alias("silhouette_quality"),
                     console_band("davies_bouldin_index", "dbi").alias("dbi_quality")).first()   # one row
     return sizes.withColumns({k: F.lit(v) for k, v in row.asDict().items()})
+
+
+_SUMMARY_COLS = ["umur", "imt", "sistolik", "diastolik", "kolesterol", "gds_1"]
+_LATEST = ",\nlatest AS (SELECT batch_id FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1)"
+
+
+def _latest_records(spark, sf):
+    latest = upload_batch(spark, sf).agg(
+        F.max_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
+    return batch_records(spark, sf).join(latest, "batch_id", "left_semi")
+
+
+@register("a06_batch_village_counts", "WITH " + REC + _LATEST +
+          "\nSELECT desa, count(*) AS n FROM rec WHERE batch_id IN (SELECT batch_id FROM latest) "
+          "AND desa IS NOT NULL GROUP BY desa")
+def a06_villages(spark, sf):
+    from kohort.operators.stats import people_per_village
+    return people_per_village(_latest_records(spark, sf))
+
+
+@register("a06_batch_describe", "WITH " + REC + _LATEST +
+          ",\nlr AS (SELECT * FROM rec WHERE batch_id IN (SELECT batch_id FROM latest))\nSELECT * FROM (" +
+          " UNION ALL ".join(
+              f"SELECT '{c}' AS \"column\", count({c}) AS count, {Q.rnd(f'avg({c})', 2)} AS mean, "
+              f"{Q.rnd(f'stddev_samp({c})', 2)} AS std, {Q.rnd(f'min({c})', 2)} AS min, "
+              f"{Q.rnd(f'max({c})', 2)} AS max, {Q.rnd(f'quantile_cont({c}, 0.5)', 2)} AS median FROM lr"
+              for c in _SUMMARY_COLS) + ") WHERE count > 0")
+def a06_describe(spark, sf):
+    from kohort.operators.stats import describe
+    return describe(_latest_records(spark, sf), _SUMMARY_COLS, skip_empty=True)
