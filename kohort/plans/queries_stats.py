@@ -138,3 +138,19 @@ def w07(spark, sf):
     df = _emb(spark, sf)
     pts = metrics.silhouette_points(df, metrics.as_vector(array_col="embedding"), "vec_id", "label")
     return pts.agg(F.round(F.avg("silhouette"), 6).alias("silhouette_avg"))
+
+
+_SERVICE_COLS = ["umur", "imt", "sistolik", "diastolik", "kolesterol", "gds_2"]
+
+
+@register("a02_descriptive_stats_service", Q.with_clean("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, coalesce({Q.rnd(f'avg({c})', 2)}, 0.0) AS mean, "
+    f"coalesce({Q.rnd(f'stddev_samp({c})', 2)}, 0.0) AS std, coalesce({Q.rnd(f'min({c})', 2)}, 0.0) AS min, "
+    f"coalesce({Q.rnd(f'max({c})', 2)}, 0.0) AS max, coalesce({Q.rnd(f'quantile_cont({c}, 0.5)', 2)}, 0.0) AS median "
+    f"FROM (SELECT *, CAST(NULL AS DOUBLE) AS gds_2 FROM clean)" for c in _SERVICE_COLS) + ")"))
+def a02_service(spark, sf):
+    """A02, service form: every listed column reported; an all-NULL one (here gds_2,
+    dropped by F04 and absent from the table) reports zeros instead of being skipped."""
+    t = clean(spark, sf, sort=False).table
+    t = t.withColumns({c: F.lit(None).cast("double") for c in _SERVICE_COLS if c not in t.columns})
+    return stats.describe(t, _SERVICE_COLS, skip_empty=False)
