@@ -155,9 +155,9 @@ def s21(spark, sf):
 def t01(spark, sf):
     """Each district file of the sheet lands as one upload and is ingested by the stream."""
     from kohort.session import checkpoint_dir
-    from kohort.streaming.ingest import ingest
+    from kohort.streaming.ingest import ingest, landing_frame
     base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    raw = raw_screening(spark, sf)
+    raw = landing_frame(raw_screening(spark, sf))
     (raw.repartition(5, F.upper(text.strip("kecamatan"))).write.option("header", True)
         .csv(f"{base}/landing"))
     store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)

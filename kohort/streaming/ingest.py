@@ -22,6 +22,11 @@ RAW_SCHEMA = T.StructType([T.StructField("row_id", T.LongType())] +
                           [T.StructField(c, T.StringType()) for c in C.RAW_COLUMNS])
 
 
+def landing_frame(raw: DataFrame) -> DataFrame:
+    """A raw sheet in the column order of the landing schema."""
+    return raw.select(*RAW_SCHEMA.fieldNames())
+
+
 def process_file(df: DataFrame, params: C.CleanParams):
     res = clean_screening(df.drop("_file"), params, sort=False, persist=False)
     stats = res.stats().collect()[0].asDict()
@@ -34,7 +39,9 @@ def ingest(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
     """Run the ingest stream until the landing folder is drained; returns the store.
     ``max_files_per_trigger`` bounds each micro-batch (and the file list it handles)."""
     store = BatchStore(spark, store_root)
-    stream = (spark.readStream.schema(RAW_SCHEMA).option("header", True)
+    # enforceSchema=false: CSV headers are checked against the schema by name, so a file
+    # with its columns in another order fails instead of being read by position.
+    stream = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
               .option("maxFilesPerTrigger", max_files_per_trigger).format(fmt)
               .load(landing).withColumn("_file", F.input_file_name()))
 

@@ -10,7 +10,8 @@ from kohort.plans.preprocessing import clean_screening
 from kohort.sources import exports, geo
 from kohort.sources.batches import BatchStore
 from kohort.sources.tables import raw_screening
-from kohort.streaming.ingest import ingest, reprocess
+from kohort.checks.compare import rows_key
+from kohort.streaming.ingest import ingest, landing_frame, reprocess
 from tests.conftest import SF001
 
 PARAMS = C.CleanParams(district="ASIA", as_of_year=2025)
@@ -40,11 +41,14 @@ def test_store_roundtrip(spark):
 
 def test_stream_ingest_equals_per_file_cleaning(spark):
     base = tempfile.mkdtemp(prefix="kohort-stream-")
-    raw = raw_screening(spark, SF001)
+    raw = landing_frame(raw_screening(spark, SF001))
     raw.coalesce(1).write.option("header", True).csv(f"{base}/landing")
     store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
-    expected = clean_screening(raw, PARAMS, sort=False).table.count()
-    assert store.records().count() == expected
+    table = clean_screening(raw, PARAMS, sort=False).table
+    expected = table.count()
+    got = store.records().select(*table.columns)
+    assert rows_key([tuple(r) for r in got.collect()], got.columns) == \
+        rows_key([tuple(r) for r in table.collect()], table.columns)
     # a second run finds nothing new (checkpointed) and leaves the store unchanged
     ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
     assert store.records().count() == expected
@@ -77,3 +81,12 @@ def test_geojson_and_coordinates(spark):
         json.dump({"MAESAN": {"latitude": -8.02, "longitude": 113.76}}, fh)
     c = geo.read_coordinates(spark, f"{d}/c.json").collect()
     assert [(r.desa, r.latitude) for r in c] == [("MAESAN", -8.02)]
+
+
+def test_stream_rejects_reordered_columns(spark):
+    import pytest
+    base = tempfile.mkdtemp(prefix="kohort-stream-bad-")
+    raw = raw_screening(spark, SF001)          # fixture column order differs from the sheet order
+    raw.coalesce(1).write.option("header", True).csv(f"{base}/landing")
+    with pytest.raises(Exception):
+        ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
