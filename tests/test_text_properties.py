@@ -6,7 +6,7 @@ import re
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from kohort.functions import measures, text
+from kohort.functions import encode, measures, text
 
 ALPHABET = st.sampled_from(list("0123456789.-,/ abcNn\t\n\u00a0xX+eEdfi_") + ["nan", "None", "kg", "inf", "1e2"])
 TEXTS = st.lists(ALPHABET, max_size=12).map("".join)
@@ -57,17 +57,36 @@ def py_bp(s):
     return (sis, dia)
 
 
+def py_yes_no(s):
+    if s is None:
+        return 0.0
+    t = s.strip().upper()
+    if t in {"V", "BARU", "LAMA"}:
+        return 1.0
+    if t in {"Y", "YA", "1", "TRUE", "YES", "*"}:
+        return 1.0
+    if t in {"T", "TIDAK", "0", "FALSE", "NO"}:
+        return 0.0
+    try:
+        x = float(t)
+    except ValueError:
+        return 0.0
+    return 0.0 if x == 0 else 1.0      # NaN and inf are true, as bool() says
+
+
 @settings(max_examples=150, deadline=None)
-@example(["1_20/80", "120d/80", "120f", "inf/80", "nan/80", "1e2/80", "120/8_0", "0x1p3/80", "+120/80"])
+@example(["1_20/80", "120d/80", "120f", "inf/80", "nan/80", "1e2/80", "120/8_0", "0x1p3/80", "+120/80",
+          " ya ", "lama", "*", "3", "0.0", "abc", "nan", "inf", "1_0", "0d"])
 @given(st.lists(st.one_of(st.none(), TEXTS), min_size=1, max_size=40))
 def test_text_functions_match_rules(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string")
     out = df.select(text.clean_text("x").alias("c"), text.numeric_text("x").alias("n"),
                     text.normalise_village("x").alias("v"),
-                    measures.split_blood_pressure("x").alias("bp")).collect()
+                    measures.split_blood_pressure("x").alias("bp"), encode.yes_no("x").alias("yn")).collect()
     for v, r in zip(values, out):
         assert r.c == py_clean_text(v), (v, r.c)
         exp = py_numeric(v)
         assert (r.n is None and exp is None) or (r.n is not None and exp is not None and math.isclose(r.n, exp)), (v, r.n)
         assert r.v == py_village(v), (v, r.v)
         assert (r.bp.sistolik, r.bp.diastolik) == py_bp(v), (v, r.bp)
+        assert r.yn == py_yes_no(v), (v, r.yn)
