@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's symbols form a linked list. Every adjacent pair that has a merge rank puts its
-left position into the bucket of that rank, and the rank's bit is set in a three-level bitmap
-(64 ranks a word, 64 words a word of the next level). The next merge is found by
+left position into the bucket of that rank, and the rank's bit is set in a two-level bitmap
+(words of 256 ranks, and one bit a word above them). The next merge is found by
 find-first-set down the levels; the bucket's leftmost position that is still current (both
 symbols unchanged since it was filed) is merged, stale entries are skipped. A merge files at
 most two new pairs, so a pre-token of n bytes takes O(n log n) steps however long it is.
@@ -22,6 +22,8 @@ return a row; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -30,149 +32,138 @@ from pyspark.sql import functions as F
 
 from kohort.llm.common import ship
 
-CACHE_ENTRIES = 150_000  # a generation; two are held
+CACHE_ENTRIES = 300_000  # a generation; two are held
 CACHE_CHARS = 64         # longer pre-tokens are not remembered
+_NEAR = 0x250
+_FAR = re.compile("[^\x00-\u024f]").search
 
 
-class RankQueue:
-    """Positions by merge rank; pops the lowest rank, and in it the lowest position."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def load(self, filed: dict[int, list[int]]) -> None:
-        """Start from ascending position lists by rank (sorted lists are heaps)."""
-        self.buckets = filed
-        for rank in filed:
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def push(self, rank: int, at: int) -> None:
-        held = self.buckets.get(rank)
-        if held:
-            heappush(held, at)
-        else:
-            self.buckets[rank] = [at]
-            self._mark(rank)
-
-    def first(self) -> int:
-        """The lowest rank with positions, or -1."""
-        if not self.top:
-            return -1
-        b = (self.top & -self.top).bit_length() - 1
-        m = self.mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
-        w = self.low[a]
-        return a << 6 | (w & -w).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        """The lowest position of the rank; an emptied bucket clears its bits upwards."""
-        held = self.buckets[rank]
-        at = heappop(held)
-        if not held:
-            a, b = rank >> 6, rank >> 12
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return at
+def _pieces(pattern: str):
+    """(findall for any text, findall for texts below U+0250 or None). The second is the same
+    pattern with its classes written out for that range, for the quicker standard engine."""
+    import regex
+    letters, numbers = ("".join(chr(c) for c in range(_NEAR) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+    space = "".join(chr(c) for c in range(_NEAR) if regex.match(r"\s", chr(c)))
+    l, n, w = (re.escape(x) for x in (letters, numbers, space))
+    near = (pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{w}{l}{n}]").replace(r"\p{L}", f"[{l}]").replace(r"\p{N}", f"[{n}]")
+            .replace(r"\s", f"[{w}]").replace(r"\S", f"[^{w}]"))
+    return regex.compile(pattern).findall, None if r"\p" in near else re.compile(near).findall
+
+
+class _Memo(dict):
+    """Ids, as text, of pre-tokens; what it lacks is looked up in the older generation or merged."""
+
+    __slots__ = ("codec",)
+
+    def __missing__(self, piece: str) -> str:
+        got = self.codec.old.get(piece)
+        if got is None:
+            got = ",".join(map(str, self.codec.merge(piece.encode())))
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = got
+        return got
 
 
 class Codec:
     """Encoder and decoder for one rank file and pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.text_of = {str(r): t for t, r in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.split = regex.compile(pattern).findall
-        self.young: dict[str, str] = {}
+        self.single = [ranks[bytes((x,))] for x in range(256)]
+        self.pair = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
+        self.split_any, self.split_near = _pieces(pattern)
         self.old: dict[str, str] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.young = _Memo()
+        self.young.codec = self
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
+        # symbol i spans piece[i:end[i]] and is the token tok[i]; made[i] is the rank under which
+        # its pair with the next symbol is filed
         n = len(piece)
-        # symbol i spans piece[i:end[i]]; ``made`` is the rank its pair with the next symbol was filed under
+        pair, single = self.pair, self.single
+        tok = [single[x] for x in piece]
+        made = [pair[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        made.append(-1)
         end = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        filed: dict[int, list[int]] = {}
-        made = [-1] * n
-        for i in range(n - 1):
-            r = ranks.get(piece[i:i + 2])
-            if r is not None:
-                made[i] = r
-                filed.setdefault(r, []).append(i)
-        queue = RankQueue()
-        queue.load(filed)
-        get = ranks.get
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+        before = list(range(-1, n))
+        buckets: dict[int, list[int]] = {}  # rank -> heap of left positions
+        words: dict[int, int] = {}          # rank >> 8 -> bits of its ranks with positions
+        top = 0                             # bits of the words that are not zero
+        i = 0
+        for r in made:
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    hi = r >> 8
+                    words[hi] = words.get(hi, 0) | 1 << (r & 255)
+                    top |= 1 << hi
+            i += 1
+        while top:
+            hi = (top & -top).bit_length() - 1  # find first set, word by word
+            w = words[hi]
+            low = w & -w
+            rank = hi << 8 | low.bit_length() - 1
+            held = buckets[rank]
+            if len(held) > 1:
+                i = heappop(held)
+            else:
+                i = held[0]
+                del buckets[rank]
+                w ^= low
+                words[hi] = w
+                if not w:
+                    top ^= 1 << hi
             if made[i] != rank:
-                continue  # stale: one of the two symbols has changed or gone
+                continue  # stale: one of the two symbols has grown or gone
             j = end[i]
             stop = end[j]
             end[i] = stop
+            tok[i] = rank
             made[j] = -1
-            if stop < n:
-                before[stop] = i
-                r = get(piece[i:end[stop]])
-                made[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                made[i] = -1
-            h = before[i]
-            if h >= 0:
-                r = get(piece[h:stop])
+            before[stop] = i
+            r = get(piece[i:end[stop]]) if stop < n else None
+            p = i
+            while True:  # file the pair to the right, then the pair to the left
                 if r is None:
-                    made[h] = -1
-                elif made[h] != r:
-                    made[h] = r
-                    queue.push(r, h)
+                    made[p] = -1
+                else:
+                    made[p] = r
+                    if r in buckets:
+                        heappush(buckets[r], p)
+                    else:
+                        buckets[r] = [p]
+                        hi = r >> 8
+                        words[hi] = words.get(hi, 0) | 1 << (r & 255)
+                        top |= 1 << hi
+                if p != i or before[i] < 0:
+                    break
+                p = before[i]
+                r = get(piece[p:stop])
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:end[i]]])
+            out.append(tok[i])
             i = end[i]
         return out
 
-    def _cached(self, piece: str) -> str:
-        got = self.old.get(piece)
-        if got is None:
-            got = ",".join(map(str, self.merge(piece.encode())))
-        if len(piece) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = got
-        return got
-
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by commas."""
-        get, miss = self.young.get, self._cached
-        out = []
-        for piece in self.split(text):
-            got = get(piece)
-            if got is None:
-                got = miss(piece)
-                get = self.young.get  # a new generation may have begun
-            out.append(got)
-        return ",".join(out)
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old = self.young
+            self._begin()
+        split = self.split_any if self.split_near is None or _FAR(text) else self.split_near
+        return ",".join(map(self.young.__getitem__, split(text)))
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_text(text)

@@ -38,6 +38,16 @@ def test_odd_texts(own, library):
         assert own.decode(ids) == t.encode()
 
 
+def test_both_splitters_agree(own):
+    import regex
+    slow = regex.compile(P.PATTERN).findall
+    rnd = random.Random(2)
+    near = [chr(c) for c in range(0x250)]
+    for _ in range(3000):
+        t = "".join(rnd.choice(near if rnd.random() < 0.5 else "ab1 '\n.") for _ in range(40))
+        assert own.split_near(t) == slow(t)
+
+
 def test_generations_keep_results(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
     t = "one two three four five six seven " * 5
