@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, mixing, simhash
+from kohort.llm import bpe, mil_quality, mixing, simhash
 from kohort.llm.common import table
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -24,6 +28,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mil_quality": op5_mil_quality,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
