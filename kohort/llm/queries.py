@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, mil_quality, mixing, simhash
+from kohort.llm import bpe, mil_quality, mixing, simhash, toxic_cnn
 from kohort.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_cnn.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mil_quality": op5_mil_quality,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
+    "op9_toxic_cnn": op9_toxic_cnn,
     "op10_simhash": op10_simhash,
 }
 
