@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, mil_quality, mixing, simhash, toxic_cnn
+from kohort.llm import bpe, license_scan, mil_quality, mixing, simhash, toxic_cnn
 from kohort.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mil_quality": op5_mil_quality,
     "op6_bpe": op6_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_toxic_cnn": op9_toxic_cnn,
     "op10_simhash": op10_simhash,
