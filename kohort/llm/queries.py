@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, license_scan, mil_quality, mixing, simhash, toxic_cnn
+from kohort.llm import bpe, license_scan, mil_quality, mixing, repeats, simhash, toxic_cnn
 from kohort.llm.common import table
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeats": op2_repeats,
     "op5_mil_quality": op5_mil_quality,
     "op6_bpe": op6_bpe,
     "op7_license_scan": op7_license_scan,
