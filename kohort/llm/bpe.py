@@ -218,26 +218,43 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256)."""
+    return _run(docs, path, pattern, True)
+
+
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256. One pass: the ids of a
     text are decoded where they were made, only digests leave the task."""
+    return _run(docs, path, pattern, False)
+
+
+def _run(docs: DataFrame, path: str, pattern: str, with_ids: bool) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import sha256
+        import numpy as np
         import pyarrow as pa
         from kohort.llm.bpe import codec
         c = codec(path, pattern)
         for b in batches:
-            n, made, back = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = c.encode_text(t or "")
-                parts = ids.split(",") if ids else []
-                n.append(len(parts))
-                made.append(sha256(ids.encode()).hexdigest())
-                back.append(sha256(b"".join([c.text_of[x] for x in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(made), pa.array(back)],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                n, made, back, all_ids = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    ids = c.encode_text(t or "")
+                    parts = ids.split(",") if ids else []
+                    n.append(len(parts))
+                    made.append(sha256(ids.encode()).hexdigest())
+                    back.append(sha256(b"".join([c.text_of[x] for x in parts])).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(parts, np.int32) if parts else np.zeros(0, np.int32))
+                cols = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(made, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                if with_ids:
+                    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids)))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids))

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, license_scan, mil_quality, mixing, mtree, repeats, simhash, toxic_cnn, url_rules
+from kohort.llm import bpe, license_scan, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
 from kohort.llm.common import table
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
@@ -22,6 +27,10 @@ def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,12 +60,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_repeats": op2_repeats,
     "op3_mtree": op3_mtree,
+    "op4_permutation_index": op4_permutation_index,
     "op5_mil_quality": op5_mil_quality,
     "op6_bpe": op6_bpe,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_toxic_cnn": op9_toxic_cnn,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
