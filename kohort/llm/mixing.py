@@ -85,21 +85,27 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPE
     return cut(per.select(F.col("sid").cast("long").alias("sid"), "source", "source_size", "target", "n_blocks", "slots", "first_slot", "all_slots"))
 
 
+def _spread(df: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
+    """A row for each number of [lo, hi), hi > lo; ranges are first cut to chunks that are dealt to
+    all tasks (their count is given, for the chunks alone look too small to keep apart)."""
+    chunk, n = 1 << 13, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut_up = (df.withColumn("_lo", F.expr(lo)).withColumn("_hi", F.expr(hi))
+              .withColumn("_c", F.explode(F.expr(f"sequence(0L, (_hi - _lo - 1) div {chunk})")))
+              .repartition(n, *df.columns, "_c"))
+    numbers = F.expr(f"sequence(_lo + _c * {chunk}, least(_hi, _lo + (_c + 1) * {chunk}) - 1)")
+    return cut_up.withColumn(name, F.explode(numbers)).drop("_lo", "_hi", "_c")
+
+
 def draw_slots(sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row a slot of the mix: shard, sid, t (its number among the source's slots), pass, block."""
-    chunk = 1 << 16
-    chunks = (sources.where("slots > 0")
-              .select("sid", "n_blocks", "slots", "first_slot", "all_slots",
-                      F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("c"))
-              .repartition("sid", "c"))
-    dealt = chunks.select("*", F.explode(F.expr(f"sequence(c * {chunk}, least(slots, (c + 1) * {chunk}) - 1)")).alias("i"))
+    dealt = _spread(sources.where("slots > 0").select("sid", "n_blocks", "first_slot", "all_slots", "slots"), "0L", "slots", "i")
     dealt = permuted(dealt, "first_slot + i", "all_slots", str(seed % 1000003), "g")
     # each shard's draw: how many slots each source fills
     counts = (dealt.withColumn("shard", F.expr(f"g div {shard_slots}"))
               .groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("n_blocks").alias("n_blocks")))
     ahead = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("t0", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    slots = counts.select("shard", "sid", "n_blocks", F.explode(F.expr("sequence(t0, t0 + n - 1)")).alias("t"))
+    slots = _spread(counts, "t0", "t0 + n", "t")
     slots = slots.withColumn("pass", F.expr("t div n_blocks"))
     return permuted(slots, "t % n_blocks", "n_blocks", f"(sid * 97 + pass + {seed % 999983})", "block").select("shard", "sid", "t", "pass", "block")
 
