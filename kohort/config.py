@@ -86,6 +86,9 @@ BMI_RANGE = (10, 60)
 COL_MISSING_THRESHOLD = 0.70
 ROW_MISSING_THRESHOLD = 0.50
 
+# Birth date texts that are understood, tried in this order.
+DATE_FORMATS = ("iso", "dd/MM/yyyy", "dd-MM-yyyy")
+
 # Sex / yes-no / boolean code tables.
 SEX_TEXT = {"Laki-laki": 1, "Perempuan": 0}
 HYPERTENSION_TEXT = {"Ya": 1, "Tidak": 0}
@@ -185,6 +188,7 @@ class CleanParams:
     district: str = "MAESAN"
     as_of_year: int = 2025
     col_missing_threshold: float = COL_MISSING_THRESHOLD
+    date_formats: tuple = DATE_FORMATS
     row_missing_threshold: float = ROW_MISSING_THRESHOLD
     features: tuple = tuple(FEATURES)
 

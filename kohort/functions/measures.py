@@ -20,9 +20,11 @@ def zero_as_null(c) -> Column:
     return F.when(x == 0, _null("double")).otherwise(x)
 
 
-def parse_date(c) -> Column:
-    """ISO date text -> date; anything unparseable -> NULL."""
-    return _col(c).cast("string").try_cast("date")
+def parse_date(c, formats: tuple = C.DATE_FORMATS) -> Column:
+    """Date text -> date by the first format that fits; anything else -> NULL.
+    "iso" is Spark's own ISO cast, the others are datetime patterns."""
+    x = _col(c).cast("string")
+    return F.coalesce(*[x.try_cast("date") if f == "iso" else F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats])
 
 
 def age(birth_date, as_of_year: int, lo: int = C.AGE_RANGE[0], hi: int = C.AGE_RANGE[1]) -> Column:

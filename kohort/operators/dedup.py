@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, key: str, order: str = "row_id") -> DataFrame:
-    """First row per ``key`` by ``order``.
+def first_per_key(df: DataFrame, key: str | list[str], order: str = "row_id", where: Column | None = None) -> DataFrame:
+    """First row per ``key`` by ``order``, whose values must be unique.
 
-    Written as ``groupBy(key).agg(min_by(row, order))`` rather than a window:
-    the aggregate combines map-side, so a hot key (one NULL key may hold a third
-    of the rows) leaves each map task as one row instead of being shuffled and
-    sorted whole into a single task.
+    The survivors are found over (key, order) alone: a hash aggregate of a minimum
+    that combines map-side, so a hot key (one NULL key may hold a third of the rows)
+    leaves each map task as one row. The wide rows are then semi-joined by ``order``.
+    ``where`` drops wide rows before that shuffle; it does not change who is first.
     """
-    cols = df.columns
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(key)
-              .agg(F.min_by(packed, F.col(order)).alias("_first"))
-              .select(*[F.col("_first." + c).alias(c) for c in cols]))
+    keys = [key] if isinstance(key, str) else list(key)
+    first = df.groupBy(*keys).agg(F.min(order).alias("_first")).select("_first")
+    wide = df if where is None else df.where(where)
+    return wide.join(first, F.col(order) == F.col("_first"), "left_semi")

@@ -24,16 +24,16 @@ from kohort.operators.dedup import first_per_key
 from kohort.operators.missing import drop_sparse_rows, sparse_columns
 
 
-def select_raw(raw: DataFrame) -> DataFrame:
-    """Keep the 19 sheet columns (plus row_id); a missing one is an error."""
+def select_raw(raw: DataFrame, more: tuple = ()) -> DataFrame:
+    """Keep the 19 sheet columns (plus row_id and ``more``); a missing one is an error."""
     missing = [c for c in C.RAW_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"screening table lacks columns: {missing}")
-    keep = (["row_id"] if "row_id" in raw.columns else []) + C.RAW_COLUMNS
+    keep = (["row_id"] if "row_id" in raw.columns else []) + C.RAW_COLUMNS + list(more)
     return raw.select(*keep)
 
 
-def clean_values(df: DataFrame, skip: tuple = ()) -> DataFrame:
+def clean_values(df: DataFrame, skip: tuple = (), date_formats: tuple = C.DATE_FORMATS) -> DataFrame:
     """P01 text strip + null tokens, P02 numeric extraction, P03 glucose 0 -> NULL, P04 dates."""
     cols = {c: text.clean_text(c) for c in C.STRING_COLUMNS if c in df.columns and c not in skip}
     for c in C.NUMERIC_TEXT_COLUMNS:
@@ -41,13 +41,18 @@ def clean_values(df: DataFrame, skip: tuple = ()) -> DataFrame:
             v = text.numeric_text(c)
             cols[c] = measures.zero_as_null(v) if c in C.GLUCOSE_COLUMNS else v
     if "tanggal_lahir" in df.columns:
-        cols["tanggal_lahir"] = measures.parse_date("tanggal_lahir")
+        cols["tanggal_lahir"] = measures.parse_date("tanggal_lahir", date_formats)
     return df.withColumns(cols)
 
 
+def in_district(district: str):
+    """F01 as a condition (strip + upper); NULL never matches."""
+    return F.upper(text.strip("kecamatan")) == F.lit(district)
+
+
 def district_filter(df: DataFrame, district: str) -> DataFrame:
-    """keep one district (strip + upper); NULL never matches."""
-    return df.where(F.upper(text.strip("kecamatan")) == F.lit(district))
+    """keep one district."""
+    return df.where(in_district(district))
 
 
 def derive_measures(df: DataFrame, as_of_year: int) -> DataFrame:
@@ -129,23 +134,49 @@ class CleanResult:
 KEY_COLUMNS = ("nik", "kecamatan")
 
 
-def before_missing(raw: DataFrame, params: C.CleanParams) -> DataFrame:
+def before_missing(raw: DataFrame, params: C.CleanParams, by: tuple = ()) -> DataFrame:
     """Stages up to encoding (everything before the data-dependent F04).
 
     Only the dedup key and the district column need P01 before F02/F01. The rest
     of P01-P04 is row-local and reads neither, so it commutes with the dedup and
-    the filter: applying it afterwards gives the same rows while parsing only the
-    kept district's rows.
+    the filter. A survivor of F02 must be in the district itself, so the wide rows
+    of other districts go before the shuffle; only (key, row_id) of all rows move.
+    ``by`` names columns that keep several sheets apart (dedup within each).
     """
-    df = select_raw(raw)
+    df = select_raw(raw, by)
     df = df.withColumns({c: text.clean_text(c) for c in KEY_COLUMNS})
-    df = first_per_key(df, "nik", "row_id") if "row_id" in df.columns else df.dropDuplicates(["nik"])
-    df = district_filter(df, params.district)
-    df = clean_values(df, skip=KEY_COLUMNS)
+    if "row_id" in df.columns:
+        df = first_per_key(df, [*by, "nik"], "row_id", where=in_district(params.district))
+    else:
+        df = district_filter(df.dropDuplicates([*by, "nik"]), params.district)
+    df = clean_values(df, skip=KEY_COLUMNS, date_formats=params.date_formats)
     df = derive_measures(df, params.as_of_year)
     return encode_categories(df)
 
 
+def clean_uploads(raw: DataFrame, params: C.CleanParams, by: str) -> tuple[DataFrame, DataFrame]:
+    """Cleans several sheets, told apart by the column ``by``, in one plan: (table, counters).
+
+    Each sheet is cleaned as if alone. F04 differs by sheet, so a feature that is too
+    sparse in a sheet becomes NULL in its rows and does not count in F05 (one row of
+    ratios per sheet is joined back). Counters are one row per sheet (A05).
+    """
+    df = before_missing(raw, params, (by,))
+    feats = [f for f in params.features if f in df.columns]
+    ratios = df.groupBy(by).agg(*[F.avg(F.col(f).isNull().cast("double")).alias(f"_r_{f}") for f in feats])
+    sparse = {f: F.col(f"_r_{f}") > F.lit(params.col_missing_threshold) for f in feats}
+    df = df.join(ratios, by)
+    kept = sum((F.when(s, 0).otherwise(1) for s in sparse.values()), F.lit(0))
+    nulls = sum((F.when(~s & F.col(f).isNull(), 1).otherwise(0) for f, s in sparse.items()), F.lit(0))
+    df = df.where((kept == 0) | (nulls / kept.cast("double") <= F.lit(params.row_missing_threshold)))
+    df = df.withColumns({f: F.when(~s, F.col(f)) for f, s in sparse.items()})
+    table = validate(df.drop(*[f"_r_{f}" for f in feats])).drop("tanggal_lahir")
+    nulls_of = {n: F.count_if(F.col(c).isNull()) for n, c in (("umur_invalid", "umur"), ("imt_invalid", "imt"), ("td_invalid", "sistolik"))}
+    valid = table.groupBy(by).agg(F.count(F.lit(1)).alias("total_valid"), F.count_distinct("desa").alias("total_desa"), *[x.alias(n) for n, x in nulls_of.items()])
+    counts = raw.groupBy(by).agg(F.count(F.lit(1)).alias("total_baris_mentah")).join(valid, by, "left").fillna(0)
+    return table, counts.withColumns({"baris_dihapus": F.col("total_baris_mentah") - F.col("total_valid"), "sheets_diproses": F.lit(1)})
+
+
 def clean_screening(raw: DataFrame, params: C.CleanParams = C.CleanParams(),
                     sort: bool = True, persist: bool = True) -> CleanResult:
     df = before_missing(raw, params)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
 # Settings the library assumes. Shuffle partition count is left to the cluster
 # (AQE coalesces small ones); local runs pass their own.
 _DEFAULTS = {
@@ -37,16 +42,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered; on a cluster the configured shared folder is always used.
+    Where the setting is absent, a local session (one machine, as in tests) gets a
+    scratch folder of its own; on a cluster that is an error, since executors would
+    not see each other's files. The session's settings are never changed.
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="kohort-ckpt-", dir=os.environ.get("KOHORT_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not current:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        current = _SCRATCH.get(sc.applicationId)
+        if current is None:
+            current = _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="kohort-ckpt-", dir=os.environ.get("KOHORT_SCRATCH", "/tmp"))
+    sc.setCheckpointDir(current)
+    return current
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (as --py-files does)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="kohort-pkg-"), "kohort_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(_PACKAGE):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

@@ -1,9 +1,13 @@
-"""Upload-batch store (S05-S12): person records as Parquet partitioned by
-``batch_id`` plus a small metadata table, both in a shared folder.
-
-Writes are idempotent per batch: a batch's partition is replaced as a whole
-(dynamic partition overwrite), so a retried task or a re-run epoch rewrites
-its own partition instead of appending duplicates.
+"""Upload-batch store (S05-S12): person records and one metadata row per batch, both as
+Parquet partitioned by ``batch_id`` in a shared folder.
+
+* Records have one declared schema; columns that a batch lacks are NULL.
+* A batch id is claimed by creating its marker file, which only one writer can do.
+* The metadata row is the commit: records are written first, and reads keep only records
+  of batches with metadata. Deleting removes the metadata row first. A crash in between
+  leaves files that no read shows.
+* Writing a batch replaces its own partitions only, so retries do not duplicate and other
+  writers are not touched. No table is ever collected or rewritten as a whole.
 """
 
 from __future__ import annotations
@@ -16,8 +20,15 @@ from pyspark.sql import types as T
 
 from kohort.functions.text import month_of, nan_to_null
 
+_TEXT = ("kecamatan", "desa", "nik", "nama")
+_FLAG = ("jenis_kelamin", "riwayat_hipertensi", "gangguan_kognitif", "malnutrisi", "depresi")
+_NUMBER = ("berat_badan", "tinggi_badan", "sistolik", "diastolik", "gds_1", "gds_2", "gdp", "gd2pp", "kolesterol", "umur", "imt")
+RECORD_SCHEMA = T.StructType(
+    [T.StructField("row_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in _TEXT]
+    + [T.StructField(c, T.IntegerType()) for c in _FLAG] + [T.StructField(c, T.DoubleType()) for c in _NUMBER]
+    + [T.StructField("batch_id", T.IntegerType())])
+
 META_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.IntegerType()),
     T.StructField("filename", T.StringType()),
     T.StructField("bulan", T.StringType()),
     T.StructField("uploaded_at", T.TimestampType()),
@@ -25,6 +36,8 @@ META_SCHEMA = T.StructType([
     T.StructField("total_desa", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("stats", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("origin", T.StringType()),      # stream and file that a batch was ingested from
+    T.StructField("batch_id", T.IntegerType()),
 ])
 
 
@@ -34,6 +47,7 @@ class BatchStore:
         self.root = root.rstrip("/")
         self.records_path = f"{self.root}/records"
         self.meta_path = f"{self.root}/batches"
+        self.claims_path = f"{self.root}/claims"
 
     # -- helpers ---------------------------------------------------------------
     def _fs_path(self, path: str):
@@ -45,51 +59,71 @@ class BatchStore:
         fs, p = self._fs_path(path)
         return fs.exists(p)
 
+    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+        if not self._exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
     def batches(self) -> DataFrame:
         """S09 source: metadata table (empty when nothing was saved)."""
-        if not self._exists(self.meta_path):
-            return self.spark.createDataFrame([], META_SCHEMA)
-        return self.spark.read.schema(META_SCHEMA).parquet(self.meta_path)
+        return self._read(self.meta_path, META_SCHEMA)
 
     def records(self) -> DataFrame:
-        if not self._exists(self.records_path):
-            return self.spark.createDataFrame([], "batch_id int")
-        return self.spark.read.parquet(self.records_path)
+        """Records of the committed batches, in the declared schema."""
+        return self._read(self.records_path, RECORD_SCHEMA).join(self.batches().select("batch_id"), "batch_id", "left_semi").select(*RECORD_SCHEMA.fieldNames())
 
     def next_id(self) -> int:
         row = self.batches().agg(F.max("batch_id")).collect()[0][0]
         return 1 if row is None else int(row) + 1
 
+    def claim(self) -> int:
+        """A new batch id: the first from next_id on whose marker file this call creates."""
+        bid = self.next_id()
+        while True:
+            fs, p = self._fs_path(f"{self.claims_path}/{bid}")
+            if fs.createNewFile(p):
+                return bid
+            bid += 1
+
+    def ids_of(self, origins: list[str]) -> dict[str, int]:
+        """Batch ids that these origins (at most one micro-batch of files) already have."""
+        rows = self.batches().where(F.col("origin").isin(list(origins))).groupBy("origin").agg(F.min("batch_id").alias("b")).collect()
+        return {r["origin"]: r["b"] for r in rows}
+
     # -- S05 / S07 ------------------------------------------------------------------
+    def save_records(self, df: DataFrame) -> None:
+        """Records with their batch_id in one write: known columns, floats NaN/inf -> NULL, absent columns NULL.
+        Rows are dealt out by batch and a hash, so a large batch is written by several tasks."""
+        def value(f):
+            if f.name not in df.columns:
+                return F.lit(None).cast(f.dataType).alias(f.name)
+            c = F.col(f.name)
+            return (nan_to_null(c.cast("double")) if isinstance(f.dataType, T.DoubleType) else c).cast(f.dataType).alias(f.name)
+        self._write(df.select(*[value(f) for f in RECORD_SCHEMA.fields]), self.records_path)
+
+    def commit(self, rows: list[tuple]) -> None:
+        """Metadata rows (batch_id, filename, uploaded_at, total_rows, total_desa, stats, origin) of written batches."""
+        meta = self.spark.createDataFrame(rows, "batch_id int, filename string, uploaded_at timestamp, total_rows long, total_desa long, "
+                                                "stats map<string,bigint>, origin string")
+        meta = meta.withColumns({"bulan": month_of("filename"), "status": F.lit("success")}).select(*META_SCHEMA.fieldNames())
+        self._write(meta.coalesce(1), self.meta_path)
+
     def save_result(self, df: DataFrame, stats: dict, filename: str, batch_id: int | None = None,
-                    uploaded_at: _dt.datetime | None = None) -> int:
-        """Append one batch: records (floats NaN/inf -> NULL) and a metadata row with
-        total rows, distinct villages, status ``success`` and the counters map."""
-        bid = self.next_id() if batch_id is None else int(batch_id)
-        floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-        rec = df.select(*[nan_to_null(c).alias(c) if c in floats else F.col(c) for c in df.columns],
-                        F.lit(bid).alias("batch_id"))
-        counts = rec.agg(F.count(F.lit(1)).alias("n"),
-                         (F.count_distinct("desa") if "desa" in rec.columns else F.lit(0)).alias("d")).collect()[0]
-        if counts["n"] > 0:
-            (rec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id").parquet(self.records_path))
-        meta = self.spark.createDataFrame(
-            [(bid, filename, uploaded_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), int(counts["n"]), int(counts["d"]),
-              "success", {k: int(v) for k, v in stats.items()})],
-            "batch_id int, filename string, uploaded_at timestamp, total_rows long, total_desa long, "
-            "status string, stats map<string,bigint>")
-        meta = meta.withColumn("bulan", month_of("filename")).select(*META_SCHEMA.fieldNames())
-        keep = self.batches().where(F.col("batch_id") != bid)
-        self._rewrite_meta(keep.unionByName(meta))
+                    uploaded_at: _dt.datetime | None = None, origin: str | None = None) -> int:
+        """Append one batch, or replace ``batch_id``: records and a metadata row with total
+        rows, distinct villages, status ``success`` and the counters map."""
+        bid = self.claim() if batch_id is None else int(batch_id)
+        self.save_records(df.withColumn("batch_id", F.lit(bid)))
+        if batch_id is not None and df.isEmpty():
+            self._remove(f"{self.records_path}/batch_id={bid}")   # a dynamic overwrite leaves a partition without new rows
+        counts = (self._read(self.records_path, RECORD_SCHEMA).where(F.col("batch_id") == bid)
+                  .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("desa").alias("d")).collect()[0])
+        self.commit([(bid, filename, uploaded_at or now(), int(counts["n"]), int(counts["d"]), {k: int(v) for k, v in stats.items()}, origin)])
         return bid
 
-    def _rewrite_meta(self, df: DataFrame):
-        # Metadata is one row per upload; materialise before replacing the folder it was read from.
-        rows = df.collect()
-        out = self.spark.createDataFrame(rows, META_SCHEMA)
-        out.coalesce(1).write.mode("overwrite").parquet(self.meta_path)
-
     # -- S08-S12 --------------------------------------------------------------------
     def latest_batch(self) -> DataFrame:
         """Newest ``uploaded_at`` (top-1 plan)."""
@@ -108,18 +142,23 @@ class BatchStore:
         df = self.records().where(F.col("desa") == desa)
         return df.where(F.col("batch_id") == int(batch_id)) if batch_id else df
 
+    def _remove(self, path: str) -> bool:
+        fs, p = self._fs_path(path)
+        return fs.exists(p) and fs.delete(p, True)
+
     def delete_batch(self, batch_id: int) -> bool:
-        """False for an unknown id; otherwise the batch row and its records go."""
-        meta = self.batches()
-        if meta.where(F.col("batch_id") == int(batch_id)).limit(1).count() == 0:
+        """False for an unknown id; otherwise the batch row goes (from then on no read shows
+        the batch), then its records."""
+        if not self._remove(f"{self.meta_path}/batch_id={int(batch_id)}"):
             return False
-        fs, p = self._fs_path(f"{self.records_path}/batch_id={int(batch_id)}")
-        if fs.exists(p):
-            fs.delete(p, True)
-        self._rewrite_meta(meta.where(F.col("batch_id") != int(batch_id)))
+        self._remove(f"{self.records_path}/batch_id={int(batch_id)}")
         return True
 
 
+def now() -> _dt.datetime:
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+
+
 def infer_month(df: DataFrame, col: str = "filename") -> DataFrame:
     """S06 as a projection."""
     return df.withColumn("bulan", month_of(col))

@@ -3,34 +3,94 @@ normalisation, S04 preview, F11 search page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kohort import config as C
 from kohort.functions.text import clean_header
 
 
-def read_screening(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``row_id``, the position of each row by (file path, place in the file).
+
+    Rows of a split are read in order; the splits' row counts, one row per split, give
+    the offsets. The ids do not depend on how files are split or packed into tasks.
+    ``df`` must come straight from a file reader; ``_file`` keeps the path.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_m"))
+    splits = at.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)      # a row per split
+    offsets = splits.select("_file", "_block", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return at.join(offsets, ["_file", "_block"]).withColumn("row_id", F.col("_off") + F.col("_m") - F.col("_m0")).drop("_block", "_m", "_m0", "_off")
+
+
+def read_screening(spark: SparkSession, path: str | list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Read a screening sheet with its original headers.
 
     S01: only the 19 required headers are read (all as text; typing happens in
     cleaning); a missing one is an error. S02: renamed by the fixed map. Extra
     columns are ignored. ``row_id`` (file order) is taken from the data when it
-    has one, else assigned once here from the input order.
+    has one, else numbered by file path and place in the file. CSV is read in
+    splits; ``multi_line`` allows line breaks inside quoted cells, at the price
+    of one task per file.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", False).option("multiLine", True)
+        reader = reader.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
     df = reader.load(path)
-    missing = [h for h in C.HEADER_MAP if h not in df.columns]
+    if "row_id" not in df.columns:
+        df = numbered(df)
+    return _renamed(df)
+
+
+def _renamed(df: DataFrame, more: tuple = ()) -> DataFrame:
+    """The sheet columns by original header or snake_case name, as text."""
+    by_name = {c.strip(): c for c in df.columns}
+    source = {c: by_name.get(h, by_name.get(c)) for h, c in C.HEADER_MAP.items()}
+    missing = [h for h, c in C.HEADER_MAP.items() if source[c] is None]
     if missing:
         raise ValueError(f"screening sheet lacks headers: {missing}")
-    keep = [F.col(f"`{h}`").cast("string").alias(h) for h in C.HEADER_MAP]
-    if "row_id" in df.columns:
-        keep.insert(0, F.col("row_id").cast("long"))
-    out = df.select(*keep).withColumnsRenamed(C.HEADER_MAP)
-    if "row_id" not in out.columns:
-        out = out.withColumn("row_id", F.monotonically_increasing_id())
+    return df.select(F.col("row_id").cast("long").alias("row_id"), *[F.col(f"`{source[c]}`").cast("string").alias(c) for c in C.RAW_COLUMNS], *more)
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The cells of a CSV file's first record (read on the driver, one line)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        text = lines.readLine()
+        while text is not None and text.count('"') % 2 and (more := lines.readLine()) is not None:
+            text += "\n" + more
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([text.lstrip("\ufeff")]), ())) if text else ()
+
+
+def read_sheets(spark: SparkSession, paths: list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Several sheets as one table with ``_file``; each is read by its own headers, and its rows
+    keep their order. ``paths`` are file URIs as Spark names them; an empty file has no rows."""
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(paths)
+        return _renamed(df.withColumn("_file", F.col("_metadata.file_path")) if "row_id" in df.columns else numbered(df), ("_file",))
+    groups: dict[tuple, list[str]] = {}
+    for path in paths:
+        groups.setdefault(_header(spark, path), []).append(path)
+    groups.pop((), None)
+    parts = []
+    for cells, own in groups.items():
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in cells)
+        df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv(own)
+        parts.append(_renamed(df.withColumn("_file", F.col("_metadata.file_path")) if "row_id" in df.columns else numbered(df), ("_file",)))
+    if not parts:
+        return spark.createDataFrame([], "row_id long, " + ", ".join(f"{c} string" for c in C.RAW_COLUMNS) + ", _file string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -1,58 +1,73 @@
 """Incremental upload ingest with Structured Streaming.
 
-Each new file in the landing folder becomes one batch: the micro-batch is
-cleaned file by file (dedup and missing-data decisions look at one file only,
-as for a single upload) and written to the batch store. ``availableNow``
-processes whatever has landed and stops; the checkpoint makes a restarted query
-skip committed files, and the batch id derives from the epoch and file order,
-so a re-run epoch overwrites its own partitions instead of duplicating them.
+Each new file in the landing folder becomes one batch, cleaned as for a single upload
+(dedup and missing-data decisions look at one file only), but all files of a micro-batch go
+through one plan and one write. The stream itself carries file names; the sheets are read by
+their headers, original or snake_case, in any order of columns. ``availableNow`` processes
+whatever has landed and stops; the checkpoint makes a restarted query skip committed files.
+Batch ids are claimed from the store, and a batch remembers the stream and file it came
+from: a re-run epoch finds its ids and replaces its own batches, other batches stay.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kohort import config as C
-from kohort.plans.preprocessing import clean_screening
-from kohort.sources.batches import BatchStore
+from kohort.plans.preprocessing import clean_screening, clean_uploads
+from kohort.sources.batches import BatchStore, now
+from kohort.sources.screening import read_sheets
 
-RAW_SCHEMA = T.StructType([T.StructField("row_id", T.LongType())] +
-                          [T.StructField(c, T.StringType()) for c in C.RAW_COLUMNS])
+COUNTERS = ("total_baris_mentah", "total_valid", "baris_dihapus", "sheets_diproses", "umur_invalid", "imt_invalid", "td_invalid")
 
 
 def landing_frame(raw: DataFrame) -> DataFrame:
-    """A raw sheet in the column order of the landing schema."""
-    return raw.select(*RAW_SCHEMA.fieldNames())
+    """A raw sheet as users have it: the original headers, in sheet order, and its row numbers."""
+    return raw.select("row_id", *[F.col(c).alias(h) for h, c in C.HEADER_MAP.items()])
 
 
-def process_file(df: DataFrame, params: C.CleanParams):
-    res = clean_screening(df.drop("_file"), params, sort=False, persist=False)
-    stats = res.stats().collect()[0].asDict()
-    return res.table, stats
+def save_uploads(store: BatchStore, paths: list[str], stream: str, params: C.CleanParams, fmt: str = "csv") -> None:
+    """Clean and store the sheets at ``paths``, one batch each: one plan, one write."""
+    spark = store.spark
+    origin = {p: f"{stream}:{p}" for p in paths}
+    known = store.ids_of(list(origin.values()))
+    ids = {p: known.get(origin[p]) or store.claim() for p in paths}
+    for p in paths:
+        if origin[p] in known:
+            store._remove(f"{store.records_path}/batch_id={ids[p]}")
+    number = F.element_at(F.create_map(*[x for p in paths for x in (F.lit(p), F.lit(ids[p]))]), F.col("_file"))
+    raw = read_sheets(spark, paths, fmt).withColumn("batch_id", number).drop("_file")
+    table, counters = clean_uploads(raw, params, "batch_id")
+    store.save_records(table)
+    got = {r["batch_id"]: r.asDict() for r in counters.collect()}   # a row per file of the micro-batch
+    empty = dict.fromkeys((*COUNTERS, "total_desa"), 0) | {"sheets_diproses": 1}
+    rows = []
+    for p in paths:
+        c = got.get(ids[p], empty)
+        rows.append((ids[p], unquote(p.rsplit("/", 1)[-1]), now(), int(c["total_valid"]), int(c["total_desa"]), {k: int(c[k]) for k in COUNTERS}, origin[p]))
+    store.commit(rows)
 
 
 def ingest(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
-           params: C.CleanParams = C.CleanParams(), fmt: str = "csv", batch_base: int = 0,
+           params: C.CleanParams = C.CleanParams(), fmt: str = "csv", stream: str | None = None,
            max_files_per_trigger: int = 100):
     """Run the ingest stream until the landing folder is drained; returns the store.
-    ``max_files_per_trigger`` bounds each micro-batch (and the file list it handles)."""
+    ``max_files_per_trigger`` bounds each micro-batch (and the file list it handles);
+    ``stream`` names the stream in the batches' origin (default: its checkpoint)."""
     store = BatchStore(spark, store_root)
-    # enforceSchema=false: CSV headers are checked against the schema by name, so a file
-    # with its columns in another order fails instead of being read by position.
-    stream = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
-              .option("maxFilesPerTrigger", max_files_per_trigger).format(fmt)
-              .load(landing).withColumn("_file", F.input_file_name()))
+    # only the paths are read here: the unused content column is pruned from the scan
+    files = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
+             .option("maxFilesPerTrigger", max_files_per_trigger).load(landing).select("path"))
 
     def per_epoch(batch: DataFrame, epoch_id: int):
-        files = sorted(r["_file"] for r in batch.select("_file").distinct().collect())   # file names only
-        for i, f in enumerate(files):
-            table, stats = process_file(batch.where(F.col("_file") == f), params)
-            name = f.rsplit("/", 1)[-1]
-            store.save_result(table, stats, name, batch_id=batch_base + epoch_id * 1000 + i + 1)
+        paths = sorted(r["path"] for r in batch.distinct().collect())   # file names only
+        if paths:
+            save_uploads(store, paths, stream or checkpoint, params, fmt)
 
-    q = (stream.writeStream.foreachBatch(per_epoch).option("checkpointLocation", checkpoint)
+    q = (files.writeStream.foreachBatch(per_epoch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return store
@@ -63,4 +78,6 @@ def reprocess(spark: SparkSession, store: BatchStore, raw: DataFrame, filename:
     """Clean a stored raw file again; a new batch id, or ``replace`` an existing one."""
     res = clean_screening(raw, params, sort=False)
     stats = res.stats().collect()[0].asDict()
-    return store.save_result(res.table, stats, filename, batch_id=replace)
+    bid = store.save_result(res.table, stats, filename, batch_id=replace)
+    res.release()
+    return bid

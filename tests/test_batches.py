@@ -44,7 +44,7 @@ def test_stream_ingest_equals_per_file_cleaning(spark):
     raw = landing_frame(raw_screening(spark, SF001))
     raw.coalesce(1).write.option("header", True).csv(f"{base}/landing")
     store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
-    table = clean_screening(raw, PARAMS, sort=False).table
+    table = clean_screening(raw_screening(spark, SF001), PARAMS, sort=False).table
     expected = table.count()
     got = store.records().select(*table.columns)
     assert rows_key([tuple(r) for r in got.collect()], got.columns) == \
@@ -83,10 +83,96 @@ def test_geojson_and_coordinates(spark):
     assert [(r.desa, r.latitude) for r in c] == [("MAESAN", -8.02)]
 
 
-def test_stream_rejects_reordered_columns(spark):
-    import pytest
-    base = tempfile.mkdtemp(prefix="kohort-stream-bad-")
-    raw = raw_screening(spark, SF001)          # fixture column order differs from the sheet order
-    raw.coalesce(1).write.option("header", True).csv(f"{base}/landing")
-    with pytest.raises(Exception):
-        ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
+def _sheet(spark, raw, path, headers="original"):
+    """Writes raw as one CSV file below ``path`` and returns its rows."""
+    df = landing_frame(raw) if headers == "original" else raw.select(*reversed(raw.columns))
+    df.coalesce(1).write.option("header", True).csv(path)
+    return raw
+
+
+def test_stream_keeps_stored_batches_and_reads_any_headers(spark):
+    base = tempfile.mkdtemp(prefix="kohort-stream-many-")
+    raw = raw_screening(spark, SF001)
+    store = BatchStore(spark, f"{base}/store")
+    first = clean_screening(raw.where("row_id % 2 = 0"), PARAMS, sort=False)
+    assert store.save_result(first.table, first.stats().first().asDict(), "a.csv") == 1
+    halves = {"x": raw.where("row_id % 2 = 1"), "y": raw.where("row_id % 3 = 1")}
+    _sheet(spark, halves["x"], f"{base}/landing/x")
+    _sheet(spark, halves["y"], f"{base}/landing/y", "snake")
+    ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", PARAMS)
+    meta = {r.batch_id: r for r in store.batches().collect()}
+    assert sorted(meta) == [1, 2, 3] and meta[1].filename == "a.csv" and meta[1].origin is None
+    assert store.batch(1).count() == first.table.count()
+    want = {clean_screening(h, PARAMS, sort=False).table.count() for h in halves.values()}
+    assert {store.batch(2).count(), store.batch(3).count()} == want == {meta[2].total_rows, meta[3].total_rows}
+    # a fresh checkpoint of the same stream replaces its own batches, a stream of another name adds
+    ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt2", PARAMS, stream=f"{base}/ckpt")
+    assert sorted(r.batch_id for r in store.batches().collect()) == [1, 2, 3] and {store.batch(2).count(), store.batch(3).count()} == want
+    ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt3", PARAMS, max_files_per_trigger=1)
+    assert store.batches().count() == 5 and store.batch(1).count() == first.table.count()
+
+
+def test_batches_with_different_columns_keep_all(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-cols-"))
+    store.save_result(spark.createDataFrame([(1, "A", float("nan"))], "row_id long, desa string, gdp double"), {}, "a.csv")
+    store.save_result(spark.createDataFrame([(2, "B", 9.0, "x")], "row_id long, desa string, gds_2 double, other string"), {}, "b.csv")
+    assert sorted((r.batch_id, r.gdp, r.gds_2) for r in store.records().collect()) == [(1, None, None), (2, None, 9.0)]
+    assert store.next_id() == 3 and store.claim() == 3 and store.claim() == 4
+
+
+def test_uncommitted_records_are_invisible(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-open-"))
+    store.save_records(spark.createDataFrame([(1, "A", 7)], "row_id long, desa string, batch_id int"))
+    assert store.records().count() == 0
+    store.commit([(7, "a.csv", None, 1, 1, {}, None)])
+    assert store.records().count() == 1 and store.delete_batch(7) and store.records().count() == 0 and not store.delete_batch(7)
+
+
+def test_uploads_in_one_plan_equal_single_uploads(spark):
+    raw = raw_screening(spark, SF001)
+    parts = {1: raw, 2: raw.where("gds_2 IS NOT NULL"), 3: raw.where("row_id % 7 = 0"), 4: raw.where("kecamatan = 'AFRICA'")}
+    both = None
+    for k, p in parts.items():
+        p = p.withColumn("batch_id", F.lit(k))
+        both = p if both is None else both.unionByName(p)
+    from kohort.plans.preprocessing import clean_uploads
+    # row_id must be unique over the sheets
+    table, counters = clean_uploads(both.withColumn("row_id", F.col("row_id") * 10 + F.col("batch_id")), PARAMS, "batch_id")
+    stats = {r.batch_id: r.asDict() for r in counters.collect()}
+    for k, p in parts.items():
+        res = clean_screening(p, PARAMS, sort=False)
+        cols = [c for c in res.table.columns if c != "row_id"]
+        one = rows_key([tuple(r) for r in res.table.select(*cols).collect()], cols)
+        assert rows_key([tuple(r) for r in table.where(F.col("batch_id") == k).select(*cols).collect()], cols) == one
+        want = res.stats().first().asDict()
+        assert {n: stats[k][n] for n in want} == want
+        gone = [c for c in res.dropped_columns]
+        assert not gone or max(table.where(F.col("batch_id") == k).agg(*[F.count(c) for c in gone]).first()) == 0
+
+
+def test_row_order_follows_path_and_place(spark):
+    from kohort.sources.screening import read_screening
+    base = tempfile.mkdtemp(prefix="kohort-order-")
+    raw = landing_frame(raw_screening(spark, SF001).orderBy("row_id")).drop("row_id")
+    for name, n in (("part1", 10), ("part2", 390)):
+        raw.limit(n).coalesce(1).write.option("header", True).csv(f"{base}/{name}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        seen = []
+        for size in (old, "4096b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = read_screening(spark, [f"{base}/part1", f"{base}/part2"])
+            rows = sorted((r.row_id, r.nik) for r in df.collect())
+            assert [i for i, _ in rows] == list(range(400))
+            seen.append(rows)
+        assert seen[0] == seen[1] and [n for _, n in seen[0][:10]] == [n for _, n in seen[0][10:20]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_birth_date_formats(spark):
+    from kohort.functions.measures import parse_date
+    df = spark.createDataFrame([("1950-06-15",), ("15/06/1950",), ("15-06-1950",), ("31/02/1950",), ("x",), (None,)], "d string")
+    got = [str(r.p) for r in df.select(parse_date("d").alias("p")).collect()]
+    assert got == ["1950-06-15"] * 3 + ["None"] * 3
+    assert df.select(parse_date("d", ("iso",)).alias("p")).where("p IS NOT NULL").count() == 1
