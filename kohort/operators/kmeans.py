@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.operators.missing import add_absent
 from kohort.operators.quantiles import exact_quantiles_with
+from kohort.session import materialize
 
 SCALED_PREFIX = "s_"
 
@@ -103,24 +104,6 @@ class LloydResult:
     cols: list
 
 
-def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
-    """Materialise a table an iterative job reads many times.
-
-    ``auto``: a reliable ``checkpoint()`` when the session names a shared
-    ``spark.checkpoint.dir`` (cluster: survives executor loss without replaying
-    the cleaning plan, and cuts the lineage), else an in-memory/disk cache.
-    """
-    if mode == "auto":
-        mode = "checkpoint" if df.sparkSession.conf.get("spark.checkpoint.dir", None) else "persist"
-    if mode == "checkpoint":
-        from kohort.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)      # registers the configured shared folder
-        return df.checkpoint(eager=True)
-    if mode == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
 def lloyd(df: DataFrame, cols: list[str], params: C.LloydParams = C.LloydParams(),
           order_col: str = "row_id", persist: bool | str = True) -> LloydResult:
     """Initial centres = first k rows by ``order_col``; each iteration assigns
@@ -165,16 +148,20 @@ def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error").transform(df)
 
 
-def fit_kmeans(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams()):
-    """K-means|| initialisation, ``restarts`` seeds, keep the lowest inertia.
+def vectors(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with its feature vectors, cached; the caller unpersists it."""
+    return _vectors(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+
 
-    The restarts are independent fits over the same cached vectors; they are
-    submitted from driver threads as concurrent Spark jobs.
+def fit_kmeans(vec: DataFrame, k: int, params: C.KMeansParams = C.KMeansParams()):
+    """K-means|| initialisation, ``restarts`` seeds, keep the lowest inertia: (model, inertia).
+
+    ``vec`` has the vectors (``vectors``), cached by the caller for all fits. The
+    restarts are independent and submitted from driver threads as concurrent Spark jobs.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
-    vec = _vectors(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(r):
         km = KMeans(k=k, seed=params.seed + r, maxIter=params.max_iter, tol=params.tol,
@@ -185,14 +172,25 @@ def fit_kmeans(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams =
     with ThreadPoolExecutor(max_workers=min(params.restarts, 8)) as pool:
         fits = list(pool.map(one, range(params.restarts)))
     _, model, cost = min(fits, key=lambda t: (t[2], t[0]))
-    return model, cost, vec
+    return model, cost
 
 
 def kmeans_labels(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams()):
-    model, cost, vec = fit_kmeans(df, cols, k, params)
-    labelled = model.transform(vec).drop("features")
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    return labelled, centres, cost
+    """K02 on its own: (labelled rows, centres, inertia)."""
+    vec = vectors(df, cols)
+    model, cost = fit_kmeans(vec, k, params)
+    vec.unpersist()
+    return *apply_model(model, df, cols), cost
+
+
+def apply_model(model, df: DataFrame, cols: list[str]):
+    """(labelled rows, centres) of a fitted model."""
+    return model.transform(_vectors(df, cols)).drop("features"), [list(map(float, c)) for c in model.clusterCenters()]
+
+
+def distinct_points(df: DataFrame, cols: list[str], most: int) -> int:
+    """Number of distinct points, counted up to ``most``."""
+    return df.select(*cols).distinct().limit(most).count()
 
 
 def total_sum_squares(df: DataFrame, cols: list[str]) -> float:
@@ -205,8 +203,8 @@ def elbow(df: DataFrame, cols: list[str], max_k: int = C.KMeansParams().max_k,
           params: C.KMeansParams = C.KMeansParams()) -> list[tuple[int, float]]:
     """Inertia for k = 1..max_k (k clamped to the number of distinct points)."""
     out = [(1, total_sum_squares(df, cols))]
-    distinct = df.select(*cols).distinct().limit(max_k).count()
-    for k in range(2, min(max_k, distinct) + 1):
-        _, cost, _ = fit_kmeans(df, cols, k, params)
-        out.append((k, float(cost)))
+    vec = vectors(df, cols)
+    for k in range(2, min(max_k, distinct_points(df, cols, max_k)) + 1):
+        out.append((k, float(fit_kmeans(vec, k, params)[1])))
+    vec.unpersist()
     return out

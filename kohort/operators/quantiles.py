@@ -1,28 +1,28 @@
 """Exact quantiles (linear interpolation, as pandas / DuckDB ``quantile_cont``) at scale.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer,
-and a global aggregate merges it in one task. Here an approximate sketch first
-brackets each wanted rank; one more pass counts the values below each bracket and
-brings back only the distinct values inside it (about 6/accuracy of the rows per
-bracket). The exact order statistics are read from that slice. A bracket that
-misses (the sketch guarantee failed) is widened tenfold and retried; the last
-retry is open-ended, so the answer is always exact.
+and a global aggregate merges it in one task. Here a sketch brackets each wanted
+rank, and passes over the data return counts only: how many values lie below and at
+the bracket's ends and middle. The rank then is one of these values, or lies in one
+of the open intervals between them, which a sketch of that interval alone brackets
+again. Once at most ``FETCH`` values are left in an interval they are fetched. So the
+driver receives a fixed number of rows a quantile, however many rows or distinct
+values there are, and the answer is exact whatever the sketch does: every pass
+excludes at least the values it tested.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10000
-
+from kohort.session import materialize
 
-def _ranks(n: int, q: float) -> tuple[int, int, float]:
-    pos = q * (n - 1)
-    lo = math.floor(pos)
-    return lo, min(lo + 1, n - 1), pos - lo
+ACCURACY = 10000
+FETCH = 1000        # values of one interval that may be brought to the driver
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
@@ -31,6 +31,28 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
     return exact_quantiles_with(df, cols, qs, accuracy)[0]
 
 
+@dataclass
+class _Wanted:
+    """The value of one rank of a column; it lies strictly between lo and hi (None: open)."""
+    col: str
+    rank: int
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0              # values up to lo, lo included
+    size: int = 0               # values strictly between
+    probes: list = field(default_factory=list)
+    value: float | None = None
+
+    def inside(self):
+        x = F.col(self.col).cast("double")
+        c = x.isNotNull()
+        if self.lo is not None:
+            c = c & (x > F.lit(self.lo))
+        if self.hi is not None:
+            c = c & (x < F.lit(self.hi))
+        return c
+
+
 def exact_quantiles_with(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = ACCURACY,
                          extra_aggs: list | None = None):
     """As ``exact_quantiles``; ``extra_aggs`` ride along in the sketch pass and their
@@ -38,79 +60,98 @@ def exact_quantiles_with(df: DataFrame, cols: list[str], qs: list[float], accura
     extra_aggs = list(extra_aggs or [])
     if not cols:
         return {}, (df.agg(*extra_aggs).collect()[0] if extra_aggs else None)
-    out = {c: [None] * len(qs) for c in cols}
-    widths = [3.0 / accuracy, 30.0 / accuracy, None]
-    probes = sorted({min(1.0, max(0.0, q + s * w)) for q in qs for s in (-1, 1) for w in widths[:2]})
+    delta = 3.0 / accuracy
+    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q in qs for s in (-1, 0, 1)})
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, probes, accuracy).alias(f"p{i}")]
     first = df.agg(*aggs, *extra_aggs).collect()[0]
-    counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    approx = {c: dict(zip(probes, first[f"p{i}"] or [])) for i, c in enumerate(cols)}
 
-    pending = [(c, j) for c in cols for j in range(len(qs)) if counts[c]]
-    for w in widths:
-        if not pending:
-            break
-        brackets = {}
-        for c, j in pending:
-            if w is None:
-                brackets[(c, j)] = (None, None)
+    wanted: dict[tuple[str, int], _Wanted] = {}
+    for i, c in enumerate(cols):
+        at = dict(zip(probes, first[f"p{i}"] or []))
+        for q in qs if first[f"n{i}"] else []:
+            for r in _ranks(first[f"n{i}"], q)[:2]:
+                w = wanted.setdefault((c, r), _Wanted(c, r, size=first[f"n{i}"]))
+                w.probes = sorted({*w.probes, *(at[min(1.0, max(0.0, q + s * delta))] for s in (-1, 0, 1))})
+    while pending := [w for w in wanted.values() if w.value is None]:
+        _locate(df, [w for w in pending if w.probes])
+        _fetch(df, [w for w in pending if w.value is None and w.size <= FETCH])
+        _probe(df, [w for w in pending if w.value is None], accuracy)
+
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = []
+        for q in qs:
+            if not first[f"n{i}"]:
+                out[c].append(None)
                 continue
-            lo_p, hi_p = qs[j] - w, qs[j] + w
-            lo = approx[c].get(max(0.0, lo_p)) if lo_p > 0 else None
-            hi = approx[c].get(min(1.0, hi_p)) if hi_p < 1 else None
-            brackets[(c, j)] = (lo, hi)
-        sliced = _slices(df, brackets)
-        retry = []
-        for (c, j) in pending:
-            below, values = sliced[(c, j)]
-            r0, r1, frac = _ranks(counts[c], qs[j])
-            v0, v1 = _value_at(values, r0 - below), _value_at(values, r1 - below)
-            if v0 is None or v1 is None:
-                retry.append((c, j))
-            else:
-                out[c][j] = v0 + (v1 - v0) * frac if frac else v0
-        pending = retry
+            r0, r1, frac = _ranks(first[f"n{i}"], q)
+            v0, v1 = wanted[c, r0].value, wanted[c, r1].value
+            out[c].append(v0 + (v1 - v0) * frac if frac else v0)
     return out, first
 
 
-def _value_at(values: list[tuple[float, int]], rank: int):
-    if rank < 0:
-        return None
-    acc = 0
-    for v, cnt in values:
-        acc += cnt
-        if rank < acc:
-            return v
-    return None
+def _ranks(n: int, q: float) -> tuple[int, int, float]:
+    pos = q * (n - 1)
+    lo = math.floor(pos)
+    return lo, min(lo + 1, n - 1), pos - lo
 
 
-def _slices(df: DataFrame, brackets: dict) -> dict:
-    """One pass: per bracket the count below it and the value counts inside it."""
-    keys = list(brackets)
-    parts = []
-    for i, (c, _j) in enumerate(keys):
-        lo, hi = brackets[keys[i]]
+def _locate(df: DataFrame, wanted: list[_Wanted]) -> None:
+    """One pass of counts: the rank is one of the probed values, or lies between two of them."""
+    if not wanted:
+        return
+    tests = sorted({(w.col, v) for w in wanted for v in w.probes})
+    aggs = []
+    for i, (c, v) in enumerate(tests):
         x = F.col(c).cast("double")
-        below = (x < F.lit(lo)) if lo is not None else F.lit(False)
-        above = (x > F.lit(hi)) if hi is not None else F.lit(False)
-        kind = F.when(below, F.lit(-1)).when(above, F.lit(1)).otherwise(F.lit(0))
-        parts.append(F.struct(F.lit(i).alias("i"), kind.alias("k"),
-                              F.when(kind == 0, x).alias("v"), x.isNull().alias("z")))
-    long = (df.select(F.explode(F.array(*parts)).alias("e"))
-              .where(~F.col("e.z") & (F.col("e.k") <= 0))
-              .groupBy(F.col("e.i").alias("i"), F.col("e.k").alias("k"), F.col("e.v").alias("v"))
-              .count())
-    res = {k: [0, []] for k in keys}
-    for r in long.collect():
-        k = keys[r["i"]]
-        if r["k"] == -1:
-            res[k][0] += r["count"]
-        else:
-            res[k][1].append((r["v"], r["count"]))
-    return {k: (b, sorted(v)) for k, (b, v) in res.items()}
+        aggs += [F.count_if(x < F.lit(v)).alias(f"lt{i}"), F.count_if(x <= F.lit(v)).alias(f"le{i}")]
+    row = df.agg(*aggs).collect()[0]
+    counts = {t: (row[f"lt{i}"], row[f"le{i}"]) for i, t in enumerate(tests)}
+    for w in wanted:
+        above = w.below + w.size      # values below hi
+        for v in w.probes:
+            lt, le = counts[w.col, v]
+            if lt <= w.rank < le:
+                w.value = v
+            elif le <= w.rank:
+                if w.lo is None or v > w.lo:
+                    w.lo, w.below = v, le
+            elif w.hi is None or v < w.hi:
+                w.hi, above = v, lt
+        w.size, w.probes = above - w.below, []
+
+
+def _fetch(df: DataFrame, wanted: list[_Wanted]) -> None:
+    """The values of short intervals (at most FETCH each) as (value, count)."""
+    if not wanted:
+        return
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.when(w.inside(), F.col(w.col).cast("double")).alias("v")) for i, w in enumerate(wanted)])
+    rows = (df.select(F.explode(parts).alias("e")).where("e.v IS NOT NULL")
+            .groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n")).collect())
+    for i, w in enumerate(wanted):
+        at = w.below
+        for v, n in sorted((r["v"], r["n"]) for r in rows if r["i"] == i):
+            at += n
+            if w.value is None and w.rank < at:
+                w.value = v
+
+
+def _probe(df: DataFrame, wanted: list[_Wanted], accuracy: int) -> None:
+    """Sketches of the open intervals: new values to test around the wanted ranks."""
+    if not wanted:
+        return
+    delta = 3.0 / accuracy
+    aggs = []
+    for i, w in enumerate(wanted):
+        f = (w.rank - w.below) / max(1, w.size - 1)
+        ps = [min(1.0, max(0.0, f + s * delta)) for s in (-1, 0, 1)]
+        aggs.append(F.percentile_approx(F.when(w.inside(), F.col(w.col).cast("double")), ps, accuracy).alias(f"p{i}"))
+    row = df.agg(*aggs).collect()[0]
+    for i, w in enumerate(wanted):
+        w.probes = sorted(set(row[f"p{i}"]))
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
@@ -124,17 +165,25 @@ def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = AC
     aggregation) brackets the middle ranks; only values inside the bracket (about
     6/accuracy of the group) are counted and ranked, so a group holding a third of
     the rows never sends its rows, or all of its distinct values, to one task.
-    Brackets that miss are recomputed open-ended for those groups only.
+    Brackets that miss are widened tenfold, for those groups only, until none does.
     """
-    delta = 3.0 / accuracy
+    widths, w = [], 3.0 / accuracy
+    while w < 0.5:
+        widths.append(w)
+        w *= 10
+    widths.append(1.0)
+    probes = sorted({min(1.0, max(0.0, 0.5 + s * w)) for w in widths for s in (-1, 1)})
     parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
     long = (df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*parts)).alias("e"))
               .select(group, "e.i", "e.v").where(F.col("v").isNotNull()))
     sketch = (long.groupBy(group, "i")
-                  .agg(F.count("v").alias("n"),
-                       F.percentile_approx("v", [0.5 - delta, 0.5 + delta], accuracy).alias("p"))
-                  .select(group, "i", "n", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"),
-                          F.floor((F.col("n") - 1) / 2).alias("r0"), F.ceil((F.col("n") - 1) / 2).alias("r1")))
+                  .agg(F.count("v").alias("n"), F.percentile_approx("v", probes, accuracy).alias("p"))
+                  .select(group, "i", "n", "p", F.floor((F.col("n") - 1) / 2).alias("r0"), F.ceil((F.col("n") - 1) / 2).alias("r1")))
+
+    def brackets(rows: DataFrame, width: float) -> DataFrame:
+        lo, hi = (probes.index(min(1.0, max(0.0, 0.5 + s * width))) for s in (-1, 1))
+        ends = (None, None) if width >= 0.5 else (F.col("p")[lo], F.col("p")[hi])
+        return rows.select(group, "i", "r0", "r1", *[(F.lit(None).cast("double") if e is None else e).alias(n) for e, n in zip(ends, ("lo", "hi"))])
 
     def solve(brackets: DataFrame) -> DataFrame:
         # one row per (group, column): joined by AQE as a broadcast when small
@@ -155,13 +204,13 @@ def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = AC
             F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("v"))).alias("a"),
             F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("v"))).alias("b"))
 
-    first = solve(sketch).select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"),
-                                 (F.col("a").isNull() | F.col("b").isNull()).alias("_miss"))
-    first = first.join(sketch.select(group, "i"), [group, "i"], "right")   # groups with no slice row
-    # one row per (group, column), read twice below: keep it
-    first = first.withColumn("_miss", F.coalesce("_miss", F.lit(True))).persist()
-    missed = first.where("_miss").select(group, "i")
-    retry_br = (sketch.join(missed, [group, "i"], "left_semi")
-                      .withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double")))
-    retry = solve(retry_br).select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"))
-    return first.where(~F.col("_miss")).select(group, "i", "median").unionByName(retry)
+    out, rest = None, sketch
+    for width in widths:
+        got = solve(brackets(rest, width)).where("a IS NOT NULL AND b IS NOT NULL").select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"))
+        # one row per (group, column), read again below; its lineage is cut in the shared folder on a cluster
+        got = materialize(got)
+        out = got if out is None else out.unionByName(got)
+        rest = materialize(rest.join(got, [group, "i"], "left_anti"))
+        if rest.isEmpty():
+            break
+    return out

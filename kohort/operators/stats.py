@@ -86,16 +86,18 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     rng = (rng.withColumn("_mn", F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mn0") - 0.5).otherwise(F.col("_mn0")))
               .withColumn("_mx", F.when(F.col("_mn0") == F.col("_mx0"), F.col("_mx0") + 0.5).otherwise(F.col("_mx0"))))
     if keys:
-        j = base.join(F.broadcast(rng), keys, "inner")      # one row per group
+        j = base.join(rng, keys, "inner")                   # one row per group, broadcast by AQE if few
     else:
         r = rng.collect()[0]                                # two numbers
         j = base.withColumns({"_mn": F.lit(r["_mn"]), "_mx": F.lit(r["_mx"])})
     width = F.col("_mx") - F.col("_mn")
     idx = F.least(F.floor((F.col("_x") - F.col("_mn")) / width * F.lit(bins)).cast("int"), F.lit(bins - 1))
-    counted = j.groupBy(*keys, idx.alias("bin"), "_mn", "_mx").agg(F.count(F.lit(1)).alias("count"))
+    counted = j.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = (rng.where(F.col("_mn").isNotNull()).select(*keys, "_mn", "_mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+             .join(counted, [*keys, "bin"], "left"))        # bins without rows count 0
     lo = F.col("_mn") + F.col("bin") * (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     hi = F.col("_mn") + (F.col("bin") + 1) * (F.col("_mx") - F.col("_mn")) / F.lit(bins)
-    return counted.select(*keys, "bin", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), "count")
+    return every.select(*keys, "bin", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def radar_profile(df: DataFrame, feats: list[str], label: str = "cluster", eps: float = 1e-9) -> DataFrame:

@@ -71,7 +71,9 @@ def _hist_sql(src: str, col: str, bins: int, by: str | None):
             f"WHERE {col} IS NOT NULL {grp}),\n"
             f"hb AS (SELECT {keys}least(CAST(floor(({col} - mn) / (mx - mn) * {bins}) AS INTEGER), {bins - 1}) AS bin, mn, mx "
             f"FROM {src} {join} WHERE {col} IS NOT NULL)"), \
-        f"SELECT {keys}bin, {Q.rnd(lo, 6)} AS lo, {Q.rnd(hi, 6)} AS hi, count(*) AS count FROM hb GROUP BY {keys}bin, mn, mx"
+        (f"SELECT {keys}bin, {Q.rnd(lo, 6)} AS lo, {Q.rnd(hi, 6)} AS hi, coalesce(n, 0) AS count FROM "
+         f"(SELECT * FROM rng, (SELECT unnest(range({bins}))::INTEGER AS bin) WHERE mn IS NOT NULL) LEFT JOIN "
+         f"(SELECT {keys}bin, count(*) AS n FROM hb GROUP BY {keys}bin) USING ({keys}bin)")
 
 
 _H1 = _hist_sql("result", "umur", 20, "cluster")
@@ -88,6 +90,12 @@ def a13_bmi(spark, sf):
     return stats.histogram(clean(spark, sf, sort=False).table, "imt", 25)
 
 
+for _col in ("sistolik", "diastolik"):
+    _h = _hist_sql("clean", _col, 25, None)
+    register(f"a13_{_col}_histogram", Q.with_clean(_h[1], _h[0]))(
+        lambda spark, sf, col=_col: stats.histogram(clean(spark, sf, sort=False).table, col, 25))
+
+
 RADAR = ["umur", "imt", "sistolik", "kolesterol"]
 
 

@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _SCRATCH: dict[str, str] = {}
@@ -74,3 +75,20 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
+    """Materialise a table an iterative job reads many times.
+
+    ``auto``: on a cluster a reliable ``checkpoint()`` in the shared folder (it
+    survives executor loss without replaying the cleaning plan, and cuts the
+    lineage); in a one-machine session an in-memory/disk cache.
+    """
+    if mode == "auto":
+        mode = "persist" if df.sparkSession.sparkContext.master.split("[")[0] == "local" else "checkpoint"
+    if mode == "checkpoint":
+        checkpoint_dir(df.sparkSession)      # registers the configured shared folder
+        return df.checkpoint(eager=True)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df

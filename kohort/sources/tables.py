@@ -42,9 +42,9 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n O
 
 VILLAGE_BOUNDARY_SQL = """
 SELECT n_nationkey AS gid,
- CASE WHEN n_nationkey % 4 = 0 THEN 'OLD ' || n_name ELSE ' ' || lower(n_name) || '  ' END AS desa_geo,
- n_name AS alt_geo
-FROM {nation} WHERE n_nationkey % 6 <> 5
+ CASE WHEN n_nationkey % 6 = 5 THEN 'NEW ' || n_name WHEN n_nationkey % 4 = 0 THEN 'OLD ' || n_name ELSE ' ' || lower(n_name) || '  ' END AS desa_geo,
+ CASE WHEN n_nationkey % 6 = 5 THEN 'FORMER ' || n_name ELSE n_name END AS alt_geo
+FROM {nation}
 """
 
 UPLOAD_BATCH_SQL = """

@@ -54,7 +54,8 @@ def test_f12_group_median(spark):
 def test_a13_constant_histogram(spark):
     df = spark.createDataFrame([(5.0,)] * 10, "x double")
     rows = stats.histogram(df, "x", 20).collect()
-    assert [(r["bin"], r["count"]) for r in rows] == [(10, 10)] and rows[0]["lo"] == 5.0
+    rows.sort(key=lambda r: r["bin"])
+    assert [(r["bin"], r["count"]) for r in rows] == [(i, 10 * (i == 10)) for i in range(20)] and rows[10]["lo"] == 5.0
 
 
 def test_k01_scaling(spark):
@@ -170,3 +171,52 @@ def test_group_medians_match_numpy(spark, accuracy):
                 assert got[(g, i)] == pytest.approx(float(np.median(vals)), abs=1e-12), (g, col)
             else:
                 assert (g, i) not in got
+
+
+def test_quantiles_fetch_a_bounded_number_of_rows(spark, monkeypatch):
+    from kohort.operators import quantiles as Q
+    df = spark.range(300_000).select(F.rand(7).alias("x"), (F.col("id") % 7).cast("double").alias("ties"), F.lit(None).cast("double").alias("none"))
+    df = df.cache()
+    seen = []
+    fetch = Q._fetch
+    monkeypatch.setattr(Q, "_fetch", lambda d, w: (seen.extend(x.size for x in w), fetch(d, w))[1])
+    qs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    pdf = df.toPandas()
+    for accuracy in (10, 10000):       # with a rough sketch the first bracket holds most of the values
+        got = Q.exact_quantiles(df, ["x", "ties", "none"], qs, accuracy)
+        assert np.allclose(got["x"], pdf["x"].quantile(qs), atol=0) and np.allclose(got["ties"], pdf["ties"].quantile(qs))
+        assert got["none"] == [None] * 5
+    assert max(seen, default=0) <= Q.FETCH
+    df.unpersist()
+
+
+def test_histogram_has_all_bins(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 3.0), ("b", None), ("c", None)], "g string, x double")
+    rows = stats.histogram(df, "x", 4, by="g").collect()
+    assert sorted((r.g, r.bin, r["count"]) for r in rows) == [("a", 0, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 0, 0), ("b", 1, 0), ("b", 2, 1), ("b", 3, 0)]
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "cluster int, v array<double>")
+    with pytest.raises(ValueError):
+        metrics.cluster_stats(df, metrics.as_vector(array_col="v"))
+
+
+def test_pair_ratios_and_several_labellings(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    labels = {"p": rng.integers(0, 2, 300), "q": rng.integers(0, 5, 300), "single": np.r_[9, np.zeros(299, int)]}
+    df = spark.createDataFrame([(i, x[i].tolist(), *[int(v[i]) for v in labels.values()]) for i in range(300)], "id long, v array<double>, p int, q int, single int")
+    vec = metrics.as_vector(array_col="v")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {(r.labelling, r.id): r.silhouette for r in metrics.silhouettes(df, vec, "id", list(labels), block_rows=70).collect()}
+    for name, lab in labels.items():
+        for i in range(0, 300, 37):
+            own = lab == lab[i]
+            a = d[i, own].sum() / max(1, own.sum() - 1)
+            b = min(d[i, lab == k].mean() for k in set(lab) if k != lab[i])
+            assert got[name, i] == pytest.approx(0.0 if own.sum() == 1 else (b - a) / max(a, b), abs=1e-9)
+    st = metrics.cluster_stats(df, vec, "q")
+    pairs = {(r.cluster_i, r.cluster_j): r.ratio for r in metrics.pair_ratios(st.frame(spark)).collect()}
+    assert len(pairs) == 20 and pairs[0, 1] == pairs[1, 0]
+    assert metrics.davies_bouldin(st) == pytest.approx(np.mean([max(v for (i, _), v in pairs.items() if i == k) for k in range(5)]))
