@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kohort.session import materialize
+
 from kohort.operators.quantiles import exact_quantiles_with
 
 
@@ -111,9 +113,11 @@ def radar_profile(df: DataFrame, feats: list[str], label: str = "cluster", eps:
 
 def villages_per_district(df: DataFrame, district: str = "kecamatan", village: str = "desa") -> DataFrame:
     """The distinct villages of each district (a NULL village counts as a value)."""
-    return df.groupBy(district).agg(
-        (F.count_distinct(village) + F.max(F.col(village).isNull().cast("int"))).alias("n_villages"),
-        F.array_join(F.array_sort(F.collect_set(village)), ", ").alias("villages"))
+    # one list per district is the result asked for; it holds distinct villages, found before the list is made
+    pairs = df.select(district, village).distinct()
+    return pairs.groupBy(district).agg(
+        F.count(F.lit(1)).alias("n_villages"),
+        F.array_join(F.array_sort(F.collect_list(village)), ", ").alias("villages"))
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
@@ -125,15 +129,16 @@ def global_rank(df: DataFrame, order: list[str], name: str = "_pos") -> DataFram
     bits, row index in the lower 33). Ties keep an arbitrary but consistent order.
     """
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranked = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    # both uses below must see one and the same run of the sort, so its result is materialised
+    ranked = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     # offsets: one row per partition (bounded by the partition count)
-    return (ranked.join(F.broadcast(offsets), "_pid")
+    return (ranked.join(offsets, "_pid")
                   .withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off"))
 
 
@@ -143,8 +148,8 @@ def silhouette_profile(points: DataFrame, label: str = "cluster", score: str = "
     cluster, first bar at y = gap, ``gap`` rows between clusters: y = global position
     over (cluster, value) + gap x (cluster ordinal)."""
     ranked = global_rank(points.select(label, score), [label, score])
-    order = points.select(label).distinct().withColumn(
-        "_ord", F.row_number().over(Window.orderBy(label)))      # K rows
-    return (ranked.join(F.broadcast(order), label)
+    order = ranked.select(label).distinct().withColumn(
+        "_ord", F.row_number().over(Window.orderBy(label)))      # a row per label
+    return (ranked.join(order, label)
                   .select(label, F.round(score, 6).alias(score),
                           (F.col("_pos") + F.col("_ord") * F.lit(gap)).alias("y")))

@@ -22,6 +22,7 @@ from kohort import config as C
 from kohort.functions import encode, measures, text
 from kohort.operators.dedup import first_per_key
 from kohort.operators.missing import drop_sparse_rows, sparse_columns
+from kohort.session import materialize  # noqa: F401
 
 
 def select_raw(raw: DataFrame, more: tuple = ()) -> DataFrame:

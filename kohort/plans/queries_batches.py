@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kohort import config as C
@@ -13,7 +15,10 @@ from kohort.plans import preprocessing as P
 from kohort.plans.queries_clean import PARAMS, clean
 from kohort.plans.queries_cluster import clustered
 from kohort.registry import register
+from kohort.session import checkpoint_dir
 from kohort.sources import exports
+from kohort.sources.batches import BatchStore
+from kohort.streaming.ingest import ingest, landing_frame, reprocess
 from kohort.sources.tables import raw_screening, upload_batch
 
 
@@ -46,49 +51,65 @@ def s06(spark, sf):
     return batches(spark, sf).select("batch_id", "filename", "bulan")
 
 
+def stored(spark, sf, read):
+    """``read`` of a batch store that was filled from the tables; its result is materialised and
+    the store's folder removed."""
+    store = BatchStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    rec = batch_records(spark, sf)
+    store.save_records(rec)
+    counts = {r["batch_id"]: r for r in rec.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("desa").alias("d")).collect()}
+    uploads = upload_batch(spark, sf).collect()     # a row per upload
+    store.commit([(u.batch_id, u.filename, datetime.datetime.combine(u.uploaded_on, datetime.time()),
+                   counts[u.batch_id].n if u.batch_id in counts else 0, counts[u.batch_id].d if u.batch_id in counts else 0, {}, None) for u in uploads])
+    out = read(store).checkpoint(eager=True)
+    store._remove(store.root)
+    return out
+
+
+_DAY = F.to_date("uploaded_at").alias("uploaded_on")
+
+
 @register("s05_batch_metadata", "WITH " + REC +
-          f"\nSELECT b.batch_id, b.filename, {_month_sql('b.filename')} AS bulan, count(*) AS total_rows, "
-          "count(DISTINCT r.desa) AS total_desa, 'success' AS status FROM rec r JOIN upload_batch b USING (batch_id) "
+          f"\nSELECT b.batch_id, b.filename, {_month_sql('b.filename')} AS bulan, count(r.batch_id) AS total_rows, "
+          "count(DISTINCT r.desa) AS total_desa, 'success' AS status FROM upload_batch b LEFT JOIN rec r USING (batch_id) "
           "GROUP BY b.batch_id, b.filename")
 def s05(spark, sf):
-    agg = batch_records(spark, sf).groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_distinct("desa").alias("total_desa"))
-    return (batches(spark, sf).join(agg, "batch_id")
-            .select("batch_id", "filename", "bulan", "total_rows", "total_desa", F.lit("success").alias("status")))
+    return stored(spark, sf, lambda s: s.batches().select("batch_id", "filename", "bulan", "total_rows", "total_desa", "status"))
 
 
 @register("s08_latest_batch", "WITH " + Q.batch_cte() +
           "\nSELECT batch_id, filename, uploaded_on FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1")
 def s08(spark, sf):
-    return (upload_batch(spark, sf).orderBy(F.col("uploaded_on").desc(), F.col("batch_id").desc()).limit(1)
-            .select("batch_id", "filename", "uploaded_on"))
+    return stored(spark, sf, lambda s: s.latest_batch().select("batch_id", "filename", _DAY))
 
 
 @register("s09_list_batches", "WITH " + Q.batch_cte() +
-          "\nSELECT batch_id, filename, uploaded_on FROM upload_batch ORDER BY uploaded_on DESC")
+          "\nSELECT batch_id, filename, uploaded_on, row_number() OVER (ORDER BY uploaded_on DESC) AS place FROM upload_batch")
 def s09(spark, sf):
-    return upload_batch(spark, sf).orderBy(F.col("uploaded_on").desc()).select("batch_id", "filename", "uploaded_on")
+    """The list with each row's place, so that the order is compared (one row per upload)."""
+    return stored(spark, sf, lambda s: s.all_batches().select("batch_id", "filename", _DAY, F.monotonically_increasing_id().alias("_m"))
+                  .withColumn("place", F.row_number().over(Window.orderBy("_m"))).drop("_m"))
 
 
 @register("s10_batch_records", "WITH " + REC + "\nSELECT row_id, desa, nik, batch_id FROM rec WHERE batch_id = 3")
 def s10(spark, sf):
-    return batch_records(spark, sf).where(F.col("batch_id") == 3).select("row_id", "desa", "nik", "batch_id")
+    return stored(spark, sf, lambda s: s.batch(3).select("row_id", "desa", "nik", "batch_id"))
 
 
 @register("s11_village_records", "WITH " + REC +
           "\nSELECT row_id, desa, batch_id FROM rec WHERE desa = 'NATION_2' AND batch_id = 3")
 def s11(spark, sf):
-    return (batch_records(spark, sf).where((F.col("desa") == "NATION_2") & (F.col("batch_id") == 3))
-            .select("row_id", "desa", "batch_id"))
+    return stored(spark, sf, lambda s: s.village("NATION_2", 3).select("row_id", "desa", "batch_id"))
 
 
 @register("s12_delete_batch_survivors", "WITH " + REC +
           "\nSELECT batch_id, count(*) AS n FROM rec WHERE batch_id IN (SELECT batch_id FROM upload_batch "
           "WHERE batch_id <> 2) GROUP BY batch_id")
 def s12(spark, sf):
-    keep = upload_batch(spark, sf).where(F.col("batch_id") != 2).select("batch_id")
-    return (batch_records(spark, sf).join(keep, "batch_id", "left_semi")
-            .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")))
+    def read(store):
+        store.delete_batch(2)
+        return store.records().groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return stored(spark, sf, read)
 
 
 @register("a06_batch_summary", "WITH " + REC +
@@ -151,17 +172,38 @@ def s21(spark, sf):
     return exports.validation_summary(clean(spark, sf, sort=False).stats())
 
 
-@register("t01_stream_ingest")
-def t01(spark, sf):
-    """Each district file of the sheet lands as one upload and is ingested by the stream."""
-    from kohort.session import checkpoint_dir
-    from kohort.streaming.ingest import ingest, landing_frame
+_PER_FILE = Q.with_clean("SELECT " + ", ".join(Q.CLEAN_COLUMNS) + " FROM clean").replace(
+    "FROM vals QUALIFY", f"FROM vals WHERE upper({Q.strip('kecamatan')}) = '{Q.DISTRICT}' QUALIFY")
+
+
+def _landed(spark, sf, read):
+    """Each district's rows land as one uploaded sheet with the original headers; ``read`` of (stream's
+    store, folder) is materialised and the folder removed."""
     base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    raw = landing_frame(raw_screening(spark, sf))
-    (raw.repartition(5, F.upper(text.strip("kecamatan"))).write.option("header", True)
-        .csv(f"{base}/landing"))
-    store = ingest(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt", PARAMS)
-    return store.records()
+    sheet = landing_frame(raw_screening(spark, sf))
+    district = F.upper(text.strip("`Kecamatan Domisili`")).alias("sheet")
+    # an upload is one file, so a district is written by one task
+    (sheet.select("*", district).repartition("sheet").write.partitionBy("sheet").option("header", True).csv(f"{base}/landing"))
+    store = ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", PARAMS)
+    out = read(store, base).checkpoint(eager=True)
+    store._remove(base)
+    return out
+
+
+@register("t01_stream_ingest", _PER_FILE)
+def t01(spark, sf):
+    """Every sheet is cleaned on its own; only the wanted district's has rows left."""
+    return _landed(spark, sf, lambda store, base: store.records().select(*Q.CLEAN_COLUMNS))
+
+
+@register("t02_reprocess", Q.with_clean("SELECT " + ", ".join(Q.CLEAN_COLUMNS) + " FROM clean"))
+def t02(spark, sf):
+    """The stored district's batch cleaned again, from the whole sheet, in place."""
+    def read(store, base):
+        bid = store.batches().where("total_rows > 0").first().batch_id
+        assert reprocess(spark, store, raw_screening(spark, sf), "again.csv", PARAMS, replace=bid) == bid
+        return store.batch(bid).select(*Q.CLEAN_COLUMNS)
+    return _landed(spark, sf, read)
 
 
 @register("s14_cluster_export_parts", Q.with_lloyd(

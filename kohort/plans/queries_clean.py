@@ -319,13 +319,16 @@ def s02(spark, sf):
     import uuid
 
     from kohort.session import checkpoint_dir
+    from kohort.sources.batches import BatchStore
     from kohort.sources.screening import read_screening
     path = f"{checkpoint_dir(spark)}/sheet-{uuid.uuid4().hex}"
     inv = {v: k for k, v in C.HEADER_MAP.items()}
     raw = raw_screening(spark, sf)
     sheet = raw.select("row_id", *[F.col(c).alias(inv[c]) for c in C.RAW_COLUMNS], F.lit("x").alias("Catatan"))
     sheet.write.parquet(path)
-    return read_screening(spark, path, fmt="parquet")
+    out = read_screening(spark, path, fmt="parquet").checkpoint(eager=True)
+    BatchStore(spark, path)._remove(path)
+    return out
 
 
 @register("f04_sparse_columns", "WITH " + ",\n".join([Q.raw_cte(), Q.values_cte(), Q.encoded_cte(), Q.missing_cte()]) +

@@ -54,7 +54,14 @@ def k03_centres(spark, sf):
 
 
 # --- profiles on the Lloyd clusters ----------------------------------------------
-PROFILE = [f for f in Q.CLEAN_FEATURES]
+PROFILE = [f for f in Q.CLEAN_FEATURES]      # what the oracle expects; the queries take theirs from the cleaning result
+
+
+def profiled(spark, sf):
+    """(K03 labels, the features that cleaning kept)."""
+    res = clean(spark, sf, sort=False)
+    df, _ = kmeans.scale(res.table, C.FEATURES)
+    return kmeans.lloyd(df, S_COLS, LLOYD).labelled, res.features
 
 
 @register("a07_cluster_sizes", Q.with_lloyd("SELECT cluster, count(*) AS n FROM labels GROUP BY cluster"))
@@ -66,15 +73,16 @@ def a07(spark, sf):
     "SELECT cluster, count(*) AS n, " + ", ".join(f"{Q.rnd(f'avg({f})', 2)} AS {f}" for f in PROFILE)
     + " FROM result GROUP BY cluster"))
 def a08(spark, sf):
-    return ranking.cluster_means(clustered(spark, sf).labelled, PROFILE, digits=2)
+    lab, feats = profiled(spark, sf)
+    return ranking.cluster_means(lab, feats, digits=2)
 
 
 @register("a09_scaled_cluster_means", Q.with_lloyd(
     "SELECT cluster, " + ", ".join(f"{Q.rnd(f'avg(s_{f})', 4)} AS s_{f}" for f in PROFILE)
     + " FROM labels JOIN scaled USING (row_id) GROUP BY cluster"))
 def a09(spark, sf):
-    lab = clustered(spark, sf).labelled
-    return lab.groupBy("cluster").agg(*[F.round(F.avg("s_" + f), 4).alias("s_" + f) for f in PROFILE])
+    lab, feats = profiled(spark, sf)
+    return lab.groupBy("cluster").agg(*[F.round(F.avg("s_" + f), 4).alias("s_" + f) for f in feats])
 
 
 _KEY = [f for f in C.RISK_KEY_FEATURES if f in Q.CLEAN_COLUMNS]
@@ -151,8 +159,8 @@ def _emb(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
 
 
-def _eval_sql():
-    return f"""WITH e AS (SELECT vec_id, label, {EMB} AS v FROM embeddings),
+def _eval_sql(label: str = "label"):
+    return f"""WITH e AS (SELECT vec_id, {label} AS label, {EMB} AS v FROM embeddings),
 ex AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
 cent AS (SELECT label, i, avg(x) AS m FROM ex GROUP BY label, i),
 dist AS (SELECT ex.vec_id, ex.label, sqrt(sum((x - m) * (x - m))) AS d, sum((x - m) * (x - m)) AS d2
@@ -376,10 +384,11 @@ def k21(spark, sf):
 @register("k22_clustering_summary")
 def k22(spark, sf):
     """A07 sizes + K14 centres + A08 profile (2 places) of the ML K-Means (k=3) run."""
-    df, _ = scaled(spark, sf)
+    res = clean(spark, sf, sort=False)
+    df, _ = kmeans.scale(res.table, C.FEATURES)
     labelled, centres, _ = kmeans.kmeans_labels(df, S_COLS, 3)
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    prof = ranking.cluster_means(labelled, PROFILE, digits=2).drop("n")
+    prof = ranking.cluster_means(labelled, res.features, digits=2).drop("n")
     cents = kmeans.centres_frame(spark, centres, [f"c_{f}" for f in C.FEATURES]).drop("cluster_label")
     return sizes.join(prof, "cluster").join(cents, "cluster")   # K rows each
 

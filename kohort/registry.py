@@ -22,7 +22,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load_all():
     # Importing the query modules fills REGISTRY.
-    from kohort.plans import queries_clean, queries_stats, queries_cluster, queries_map, queries_batches  # noqa: F401
+    from kohort.plans import queries_clean, queries_stats, queries_cluster, queries_map, queries_batches, queries_more  # noqa: F401
 
 
 def queries() -> dict:

@@ -71,11 +71,18 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([text.lstrip("\ufeff")]), ())) if text else ()
 
 
+def _loadable(spark: SparkSession, uri: str) -> str:
+    """The path that a file URI stands for, as the readers take it."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
+
+
 def read_sheets(spark: SparkSession, paths: list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Several sheets as one table with ``_file``; each is read by its own headers, and its rows
-    keep their order. ``paths`` are file URIs as Spark names them; an empty file has no rows."""
+    keep their order. ``paths`` are file URIs as ``_metadata.file_path`` names them; an empty
+    file has no rows."""
     if fmt != "csv":
-        df = spark.read.format(fmt).load(paths)
+        df = spark.read.format(fmt).load([_loadable(spark, p) for p in paths])
         return _renamed(df.withColumn("_file", F.col("_metadata.file_path")) if "row_id" in df.columns else numbered(df), ("_file",))
     groups: dict[tuple, list[str]] = {}
     for path in paths:
@@ -84,7 +91,7 @@ def read_sheets(spark: SparkSession, paths: list[str], fmt: str = "csv", multi_l
     parts = []
     for cells, own in groups.items():
         schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in cells)
-        df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv(own)
+        df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).csv([_loadable(spark, p) for p in own])
         parts.append(_renamed(df.withColumn("_file", F.col("_metadata.file_path")) if "row_id" in df.columns else numbered(df), ("_file",)))
     if not parts:
         return spark.createDataFrame([], "row_id long, " + ", ".join(f"{c} string" for c in C.RAW_COLUMNS) + ", _file string")

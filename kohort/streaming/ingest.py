@@ -60,7 +60,7 @@ def ingest(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
     store = BatchStore(spark, store_root)
     # only the paths are read here: the unused content column is pruned from the scan
     files = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
-             .option("maxFilesPerTrigger", max_files_per_trigger).load(landing).select("path"))
+             .option("maxFilesPerTrigger", max_files_per_trigger).load(landing).select(F.col("_metadata.file_path").alias("path")))
 
     def per_epoch(batch: DataFrame, epoch_id: int):
         paths = sorted(r["path"] for r in batch.distinct().collect())   # file names only
