@@ -13,7 +13,11 @@ a block of some 250 bytes. Then
    occurrences have different left neighbours are the maximal repeat groups, with all their
    occurrences. Anchors are independent, so tasks sort many small arrays;
 4. an anchor with more than ``HOT`` distinct blocks is not sorted in one task: its windows are
-   compared by 64-bit digests, counted by digest with partial sums; same answer, no big group;
+   parted into bins of 16 by their distance from the anchor, and filed under the hash of the
+   185 bytes that all windows of the bin hold, which equal windows share. Most stand alone and
+   go; the rest is sorted as before. Only where more than HOT meet again (the very edge of a
+   passage that very many documents share) windows are compared by 64-bit digests, counted
+   with partial sums; the same answer without a big group;
 5. the ranges go back to the documents that hold the blocks.
 
 Groups are maximal inside a block: the first window of a block counts as having a neighbour
@@ -40,6 +44,7 @@ from kohort.llm.common import ship
 
 LENGTH = 200
 HOT = 512
+BIN = 16
 SORT_WINDOWS = 12_000  # windows sorted at once
 
 
@@ -56,8 +61,15 @@ def _bytes(column) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def _longs(*names: str) -> T.StructType:
+    """Long columns without nulls. Joins then need no null filters, so all uses of an exchange
+    have the same plan below them and Spark runs it once."""
+    return T.StructType([T.StructField(n, T.LongType(), False) for n in names])
+
+
 def block_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(did, th, place, mh, sh): place is start << 16 | windows; mh and sh hash anchor and content."""
+    """(did, th, place, mh, sh): place is start << 20 | distance of the anchor << 8 | windows; mh and
+    sh hash anchor and content."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -65,12 +77,12 @@ def block_rows(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                text, start, windows, mh, sh = blocks(_bytes(part.column(2)), length)
+                text, start, windows, anchor, mh, sh = blocks(_bytes(part.column(2)), length)
                 rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(start << 16 | windows),
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(start << 20 | anchor << 8 | windows),
                                                   pa.array(mh.view(np.int64)), pa.array(sh.view(np.int64))], names=["did", "th", "place", "mh", "sh"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, place long, mh long, sh long")
+    return docs.select("did", "th", "text").mapInArrow(run, _longs("did", "th", "place", "mh", "sh"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -87,16 +99,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:3], T.StructField("z", T.BinaryType())]))
 
 
-def _fetched(blocks: DataFrame, texts: DataFrame, length: int, windows_only: bool) -> DataFrame:
-    """The texts of blocks (mk, sh, rep): (mk, sh, windows, data); or a digest of each of their
-    windows: (mk, sh, off, digest)."""
-    wanted = blocks.groupBy(F.col("rep.did").alias("did"), F.col("rep.th").alias("th")).agg(F.collect_list(F.struct("rep.place", "mk", "sh")).alias("picks"))
+def _fetched(blocks: DataFrame, texts: DataFrame, length: int, bins: bool) -> DataFrame:
+    """The texts of blocks (mk, sh, rep), to be sorted by key: (key, mk, sh, off, windows, data). The key is the
+    anchor; or, with ``bins``, a block comes as its bins, each under the hash of its core."""
+    wanted = blocks.groupBy(F.col("rep.did").alias("did"), F.col("rep.th").alias("th")).agg(F.collect_list(F.struct("rep.place", "mk", "sh", "n")).alias("picks"))
 
     def run(batches: Iterator) -> Iterator:
         import zlib
+        from hashlib import blake2b
         import numpy as np
         import pyarrow as pa
-        from kohort.llm.words import Hasher
+        from kohort.llm.repeats import BIN
+        names = ["key", "mk", "sh", "off", "windows", "data"]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -104,7 +118,7 @@ def _fetched(blocks: DataFrame, texts: DataFrame, length: int, windows_only: boo
                 n = picks.value_lengths().to_numpy()
                 flat = picks.flatten()
                 place = flat.field("place").to_numpy()
-                start, windows = place >> 16, place & 0xFFFF
+                start, anchor, windows = place >> 20, place >> 8 & 0xFFF, place & 0xFF
                 data, k = [], 0
                 for z, m in zip(part.column(1).to_pylist(), n.tolist()):
                     t = zlib.decompress(z)
@@ -112,30 +126,63 @@ def _fetched(blocks: DataFrame, texts: DataFrame, length: int, windows_only: boo
                         data.append(t[start[i]:start[i] + windows[i] + length - 1])
                     k += m
                 mk, sh = flat.field("mk"), flat.field("sh")
-                if not windows_only:
-                    yield pa.RecordBatch.from_arrays([mk, sh, pa.array(windows), pa.array(data, pa.binary())], names=["mk", "sh", "windows", "data"])
+                if not bins:
+                    yield pa.RecordBatch.from_arrays([mk, mk, sh, pa.array(np.zeros(len(data), np.int64)), pa.array(windows), pa.array(data, pa.binary())], names=names)
                     continue
-                for lo in range(0, len(data), 2048):
-                    w = windows[lo:lo + 2048]
-                    base = np.cumsum([0] + [len(d) for d in data[lo:lo + 2048]])[:-1]
-                    off = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                    a = np.repeat(base, w) + off
-                    h = Hasher(np.frombuffer(b"".join(data[lo:lo + 2048]), np.uint8))(a, a + length)
-                    rows = pa.array(np.repeat(np.arange(lo, lo + len(w)), w))
-                    yield pa.RecordBatch.from_arrays([mk.take(rows), sh.take(rows), pa.array(off), pa.array(h.view(np.int64))], names=["mk", "sh", "off", "digest"])
-
-    out = "mk long, sh long, off long, digest long" if windows_only else "mk long, sh long, windows long, data binary"
+                rows, key, off, count, cut = [], [], [], [], []
+                for i, (d, a, w) in enumerate(zip(data, anchor.tolist(), windows.tolist())):
+                    for g in range(max(0, a - w + 1) // BIN, a // BIN + 1):  # windows begin g * BIN .. g * BIN + BIN - 1 before the anchor
+                        core = a - g * BIN
+                        first, last = max(0, core - BIN + 1), min(w - 1, core)
+                        rows.append(i)
+                        key.append(int.from_bytes(blake2b(d[core:core + length - BIN + 1], digest_size=8, salt=g.to_bytes(2, "little")).digest(), "little", signed=True))
+                        off.append(first)
+                        count.append(last - first + 1)
+                        cut.append(d[first:last + length])
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), mk.take(rows), sh.take(rows), pa.array(off, pa.int64()), pa.array(count, pa.int64()), pa.array(cut, pa.binary())], names=names)
+
     # row goes along so that this exchange of the texts is the one that the last join uses
-    return wanted.join(texts, ["did", "th"]).select("picks", "z", "row").mapInArrow(run, out)
+    return wanted.join(texts, ["did", "th"]).select("picks", "z", "row").mapInArrow(run, _longs("key", "mk", "sh", "off", "windows").add("data", T.BinaryType(), False))
+
+
+def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the number of rows of its key, for keys with several. Both sides of the join are dealt
+    out for it alone (by a key of its own), so hot keys may be split."""
+    own = F.col(key).bitwiseXOR(F.lit(1).cast("long"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1).select(own.alias("_k"), name)
+    return df.withColumn("_k", own).join(counts, "_k").drop("_k")
+
+
+def _digests(fetched: DataFrame, length: int) -> DataFrame:
+    """(mk, sh, off, digest) of every window."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from kohort.llm.words import Hasher
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                data, w = part.column(4).to_pylist(), part.column(3).to_numpy()
+                base = np.cumsum([0] + [len(d) for d in data])[:-1]
+                step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                a = np.repeat(base, w) + step
+                h = Hasher(np.frombuffer(b"".join(data), np.uint8))(a, a + length)
+                rows = pa.array(np.repeat(np.arange(len(data)), w))
+                off = np.repeat(part.column(2).to_numpy(), w) + step
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(off), pa.array(h.view(np.int64))], names=["mk", "sh", "off", "digest"])
+
+    return fetched.select("mk", "sh", "off", "windows", "data").mapInArrow(run, _longs("mk", "sh", "off", "digest"))
 
 
-def _by_anchor(batches: Iterator, most: int) -> Iterator:
-    """Lists (keys, contents, windows, data) of whole anchors, of about ``most`` windows; the rows come sorted by anchor."""
+def _by_key(batches: Iterator, most: int) -> Iterator:
+    """Lists (mk, sh, off, windows, data) of whole keys, of about ``most`` windows; the rows come sorted by key."""
     import numpy as np
     held, n = [], 0
 
     def lists(rows):
-        return [np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows]), [r[3] for r in rows]]
+        cols = list(zip(*rows))
+        return [np.array(c) for c in cols[1:5]] + [list(cols[5])]
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -143,7 +190,7 @@ def _by_anchor(batches: Iterator, most: int) -> Iterator:
                 yield lists(held)
                 held, n = [], 0
             held.append(row)
-            n += row[2]
+            n += row[4]
     if held:
         yield lists(held)
 
@@ -153,42 +200,52 @@ def _sorted_ranges(fetched: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from kohort.llm.repeats import SORT_WINDOWS, _by_anchor
+        from kohort.llm.repeats import SORT_WINDOWS, _by_key
         from kohort.llm.repeats_kernel import EnhancedSuffixArray
-        for mk, sh, windows, data in _by_anchor(batches, SORT_WINDOWS):
+        for mk, sh, off, windows, data in _by_key(batches, SORT_WINDOWS):
             block, first, end = EnhancedSuffixArray(data, windows, length).covered()
             if not len(block):
                 continue
             hit, n = np.unique(block, return_counts=True)
             ranges = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)),
-                                              pa.StructArray.from_arrays([pa.array(first), pa.array(end)], names=["first", "end"]))
-            yield pa.RecordBatch.from_arrays([pa.array(mk[hit]), pa.array([sh[i] for i in hit], pa.int64()), ranges], names=["mk", "sh", "ranges"])
+                                              pa.StructArray.from_arrays([pa.array(first + off[block]), pa.array(end + off[block])], names=["first", "end"]))
+            yield pa.RecordBatch.from_arrays([pa.array(mk[hit]), pa.array(sh[hit]), ranges], names=["mk", "sh", "ranges"])
 
     n = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (fetched.repartition(n, "mk").sortWithinPartitions("mk", "sh")
-            .mapInArrow(run, "mk long, sh long, ranges array<struct<first: long, end: long>>"))
+    return (fetched.repartition(n, "key").sortWithinPartitions("key", "mk", "sh")
+            .mapInArrow(run, _longs("mk", "sh").add("ranges", T.ArrayType(_longs("first", "end"), False), False)))
+
+
+def _met(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(all blocks whose anchor is met again, as (did, th, place, mk, sh); the distinct ones (mk, sh, n, rep))."""
+    rows = block_rows(docs, length).withColumn("mk", F.col("mh").bitwiseXOR(F.lit(1).cast("long")))
+    met = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"))
+    # both sides are dealt out by mk for this join alone, so it may split hot anchors; what follows
+    # is dealt out anew, by a key of another name
+    cand = rows.join(met, "mk").select("did", "th", "place", F.col("mh").alias("mk"), "sh")
+    return cand, cand.groupBy("mk", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
 
 
 def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(did, th, ranges) of the documents with repeated windows; ranges may overlap."""
-    rows = block_rows(docs, length)
-    met = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
-    # a new name for the anchor: what follows is dealt out anew, so the join may split hot anchors
-    cand = rows.join(met, "mh").select("did", "th", "place", F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"), "sh")
-    distinct = cand.groupBy("mk", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
-    per = distinct.groupBy("mk").agg(F.count(F.lit(1)).alias("d"))
-    distinct = distinct.join(per, "mk")
+    cand, distinct = _met(docs, length)
     # equal blocks: a repeat group as they stand
     whole = distinct.where("n > 1").select("mk", "sh", F.array(F.struct(F.lit(0).cast("long").alias("first"),
-                                                                       F.expr(f"(rep.place & 65535) + {length - 1}").alias("end"))).alias("ranges"))
+                                                                       F.expr(f"(rep.place & 255) + {length - 1}").alias("end"))).alias("ranges"))
+    # n and rep are read in every branch, for the same reason as in _longs
+    own = F.col("mk").bitwiseXOR(F.lit(1).cast("long"))
+    per = distinct.groupBy("mk").agg(F.count("rep.place").alias("d"), F.sum("n").alias("total")).where("total > 1").select(own.alias("_k"), "d")
+    distinct = distinct.withColumn("_k", own).join(per, "_k").drop("_k")
     some = _sorted_ranges(_fetched(distinct.where((F.col("d") > 1) & (F.col("d") <= hot)), texts, length, False), length)
-    # anchors with many different blocks: windows by digest
-    digests = _fetched(distinct.where(F.col("d") > hot), texts, length, True)
-    again = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    many = (digests.join(again, "digest").groupBy("mk", "sh")
+    # anchors with many different blocks: by the cores of their bins
+    bins = _counted(_fetched(distinct.where(F.col("d") > hot), texts, length, True), "key", "met")
+    parted = _sorted_ranges(bins.where(F.col("met") <= hot).drop("met"), length)
+    # cores with many different edges: windows by digest
+    again = _counted(_digests(bins.where(F.col("met") > hot), length), "digest", "n")
+    many = (again.groupBy("mk", "sh")
             .agg(F.collect_list(F.struct(F.col("off").alias("first"), (F.col("off") + length).alias("end"))).alias("ranges")))
-    found = whole.unionByName(some).unionByName(many)
-    at = cand.join(found, ["mk", "sh"]).select("did", "th", F.shiftright("place", 16).alias("start"), F.explode("ranges").alias("r"))
+    found = whole.unionByName(some).unionByName(parted).unionByName(many)
+    at = cand.join(found, ["mk", "sh"]).select("did", "th", F.shiftright("place", 20).alias("start"), F.explode("ranges").alias("r"))
     return at.groupBy("did", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.end")).alias("end"))).alias("ranges"))
 
 
@@ -198,31 +255,28 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     are sorted here; a group of equal blocks has the block's whole length."""
     ship(docs.sparkSession)
     base = keyed(docs)
-    rows = block_rows(base, length)
-    met = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
-    cand = rows.join(met, "mh").select("did", "th", "place", F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"), "sh")
-    distinct = cand.groupBy("mk", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
+    cand, distinct = _met(base, length)
     whole = distinct.where("n > 1").select("mk", F.concat_ws(":", F.lit("block"), "sh").alias("group"),
-                                           F.expr(f"(rep.place & 65535) + {length - 1}").alias("size"), "sh", F.lit(0).cast("long").alias("off"))
+                                           F.expr(f"(rep.place & 255) + {length - 1}").alias("size"), "sh", F.lit(0).cast("long").alias("off"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from kohort.llm.repeats import _by_anchor
+        from kohort.llm.repeats import _by_key
         from kohort.llm.repeats_kernel import EnhancedSuffixArray
-        for mk, sh, windows, data in _by_anchor(batches, 1):
+        for mk, sh, _, windows, data in _by_key(batches, 1):
             sa = EnhancedSuffixArray(data, windows, length)
             for k, (size, a, b) in enumerate(sa.maximal_repeats().tolist()):
                 hit = sa.order[a:b + 1]
                 at = sa.block[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(mk[at]), pa.array([str(k)] * len(hit)), pa.array(np.full(len(hit), size)),
-                                                  pa.array([sh[i] for i in at], pa.int64()), pa.array(sa.offset[hit])], names=["mk", "group", "size", "sh", "off"])
+                                                  pa.array(sh[at]), pa.array(sa.offset[hit])], names=["mk", "group", "size", "sh", "off"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (_fetched(distinct, packed(base), length, False).repartition(n, "mk").sortWithinPartitions("mk", "sh")
+    found = (_fetched(distinct, packed(base), length, False).repartition(n, "key").sortWithinPartitions("key", "sh")
              .mapInArrow(run, "mk long, group string, size long, sh long, off long"))
     return (found.unionByName(whole).join(cand, ["mk", "sh"])
-            .select(F.col("mk").alias("anchor"), "group", "size", "did", "th", (F.shiftright("place", 16) + F.col("off")).alias("start")))
+            .select(F.col("mk").alias("anchor"), "group", "size", "did", "th", (F.shiftright("place", 20) + F.col("off")).alias("start")))
 
 
 def _cut_ranges(column, i: int):

@@ -10,13 +10,14 @@ ANCHOR = 32  # bytes of an anchor
 
 
 def blocks(texts: list[bytes], length: int):
-    """The anchored blocks of many texts: arrays text, start, windows, anchor hash, content hash.
+    """The anchored blocks of many texts: arrays text, start, windows, the anchor's distance from
+    the start, anchor hash, content hash.
 
     The anchor of a window of ``length`` bytes is the ANCHOR-byte string in it with the smallest
     hash, the leftmost if several; equal windows have equal anchors at equal offsets. A block is
     a run of windows with one anchor occurrence: windows start .. start + windows - 1. Every
     window of every text is in exactly one block. Windows of long texts are taken in parts."""
-    out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2]
+    out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2]
     held, owner, at, size = [], [], [], 0
 
     def flush():
@@ -64,7 +65,7 @@ def _blocks(parts, owner, at, length):
     first = np.flatnonzero(fresh)
     last = np.flatnonzero(inside & ~np.append(inside[1:] & ~fresh[1:], False))
     part = np.searchsorted(begin, first, "right") - 1
-    return [owner[part], at[part] + first - begin[part], last - first + 1, grams[anchor[first]], h(first, last + length)]
+    return [owner[part], at[part] + first - begin[part], last - first + 1, anchor[first] - first, grams[anchor[first]], h(first, last + length)]
 
 
 class EnhancedSuffixArray:

@@ -50,7 +50,7 @@ def made(seed, n, alphabet="ab é", words=9):
 
 def test_blocks_hold_every_window_once_and_agree():
     texts = [t.encode() for t in made(1, 30)] + [b"", b"x" * 199, b"y" * 200, b"ab" * 700]
-    text, start, windows, mh, sh = K.blocks(texts, 64)
+    text, start, windows, _, mh, sh = K.blocks(texts, 64)
     seen, anchors = set(), {}
     for i, a, n, m, s in zip(text.tolist(), start.tolist(), windows.tolist(), mh.tolist(), sh.tolist()):
         for w in range(a, a + n):
@@ -62,7 +62,7 @@ def test_blocks_hold_every_window_once_and_agree():
 def test_long_texts_are_cut_into_parts(monkeypatch):
     texts = [t.encode() for t in made(2, 10)]
     monkeypatch.setattr(K, "SEGMENT", 256)
-    text, start, windows, mh, sh = K.blocks(texts, 64)
+    text, start, windows, _, mh, sh = K.blocks(texts, 64)
     assert windows.sum() == sum(max(0, len(t) - 63) for t in texts)
 
 
@@ -96,6 +96,7 @@ def test_made_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, row string, n_bytes long, did int")
     check(df, 200)
     check(df, 200, hot=3)
+    check(df, 200, hot=1)
     assert R.digest(df.limit(0)).collect() == []
 
 
