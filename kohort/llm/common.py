@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohort.session import checkpoint_dir
-
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_SHIPPED: set[str] = set()
+from kohort.session import checkpoint_dir, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application (as --py-files does)."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="kohort-pkg-"), "kohort_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(_PACKAGE):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage."""
     checkpoint_dir(df.sparkSession)
