@@ -141,10 +141,11 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, size, source_size, target, taken."""
     rows, sources, slots, pieces = mix(docs)
     used = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (pieces.join(used, ["sid", "block"]).groupBy("doc_id", "copy")
+    # slots and pieces grow with the input though they come from a few rows: never broadcast them
+    taken = (pieces.join(used.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy")
              .agg(F.sum(F.expr("(hi - lo) * times")).alias("taken")))
     return (rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source"))
-            .join(taken.alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.copy = t.copy"), "left")
+            .join(taken.hint("merge").alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.copy = t.copy"), "left")
             .select("r.doc_id", "r.size", "s.source_size", "s.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken")))
 
 
@@ -153,7 +154,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken a row with its words taken then (its whole text, if all are; else the words in
     order, joined by a space; n_chars follows)."""
     _, _, slots, pieces = mix(docs)
-    parts = (pieces.join(slots.select("sid", "block", "pass"), ["sid", "block"])
+    parts = (pieces.join(slots.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
              .groupBy("doc_id", "copy", "size", "pass")
              .agg(F.sum(F.expr("hi - lo")).alias("_taken"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
              .select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.expr("_taken = size").alias("_whole"),
@@ -161,7 +162,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     rows = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*cols))))
     some = F.expr(f"array_join(flatten(transform(_spans, s -> slice(regexp_extract_all(text, r'({WORD})', 1), CAST(s.lo + 1 AS INT), CAST(s.hi - s.lo AS INT)))), ' ')")
-    out = (rows.join(parts, F.expr("doc_id <=> _id AND _n = _copy"))
+    out = (rows.join(parts.hint("merge"), F.expr("doc_id <=> _id AND _n = _copy"))
            .withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
