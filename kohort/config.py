@@ -162,6 +162,16 @@ RISK_NOTES = {
     "RELATIF SEHAT": "(skor risiko terendah di antara semua cluster)",
 }
 
+# The interpretation's lines, in order: feature -> (text before the mean, decimals, text after it); a tag follows.
+INTERPRET_LINES = {
+    "umur": ("  • Rata-rata umur  : ", 1, " th"),
+    "imt": ("  • Rata-rata IMT   : ", 1, ""),
+    "sistolik": ("  • Rata-rata TD    : ", 0, " mmHg"),
+    "kolesterol": ("  • Kolesterol      : ", 0, " mg/dL"),
+    "gds_1": ("  • GDS 1           : ", 0, " mg/dL"),
+}
+INTERPRET_CONCLUSION = "  → Kesimpulan      : "
+
 # Report risk conclusion (K19) labels.
 REPORT_LEVELS = ("Tinggi", "Sedang", "Rendah (Sehat)")
 
@@ -211,21 +221,47 @@ class KMeansParams:
     tol: float = 1e-4
 
 
-@dataclass
-class BandSet:
-    silhouette: tuple = SILHOUETTE_CUTS
-    dbi: tuple = DBI_CUTS
-    ch: tuple = CH_CUTS
-    labels: tuple = field(default=BAND_LABELS)
+# Quality bands (K20), best first: colour and description of the evaluation page, wording of the report.
+BAND_COLOURS = ("success", "success", "warning", "danger")
+BAND_DESCRIPTIONS = {
+    "silhouette": ("Cluster sangat terpisah dengan jelas. Struktur clustering sangat kuat.",
+                   "Cluster terpisah dengan baik. Struktur clustering cukup kuat.",
+                   "Cluster agak tumpang tindih. Struktur clustering masih bisa diterima.",
+                   "Cluster saling tumpang tindih. Perlu evaluasi ulang jumlah cluster."),
+    "dbi": ("Cluster sangat kompak dan terpisah jauh satu sama lain.",
+            "Cluster cukup kompak dan terpisah dengan baik.",
+            "Cluster masih bisa dibedakan namun ada area tumpang tindih.",
+            "Cluster terlalu menyebar atau terlalu berdekatan."),
+    "ch": ("Cluster sangat dense dan terpisah jauh satu sama lain.",
+           "Cluster cukup dense dan terpisah dengan baik.",
+           "Cluster masih bisa dibedakan namun densitas kurang optimal.",
+           "Cluster kurang dense atau kurang terpisah. Perlu evaluasi ulang."),
+}
+REPORT_BANDS = {
+    "silhouette": ("Sangat Baik (Struktur Kuat)", "Baik (Struktur Cukup)", "Cukup (Cluster Tumpang Tindih)", "Kurang Baik (Struktur Lemah)"),
+    "dbi": ("Sangat Baik (Sangat Kompak)", "Baik (Kompak)", "Cukup Baik", "Kurang Baik (Menyebar)"),
+}
 
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: cluster recommendations (K18), in the application's order.
 # ---------------------------------------------------------------------------
 LEVEL_META = {
-    "RISIKO TINGGI": ("Risiko Tinggi", "danger"),
-    "RISIKO SEDANG": ("Risiko Sedang", "warning"),
-    "RELATIF SEHAT": ("Relatif Sehat", "success"),
+    "RISIKO TINGGI": ("Risiko Tinggi", "danger",
+                      "Cluster ini memiliki kombinasi indikator kesehatan paling buruk dibanding "
+                      "cluster lain: IMT overweight, tekanan darah paling tinggi, dan gula darah "
+                      "paling tinggi. Memerlukan intervensi medis aktif, kunjungan rumah (home care), "
+                      "dan pemantauan ketat oleh tenaga kesehatan."),
+    "RISIKO SEDANG": ("Risiko Sedang", "warning",
+                      "Cluster dengan tingkat risiko menengah. Beberapa indikator (tekanan darah, "
+                      "IMT, atau gula darah) berada di atas nilai ideal meski tidak sekritis cluster "
+                      "risiko tinggi. Memerlukan edukasi gizi, modifikasi gaya hidup, dan senam lansia "
+                      "rutin agar tidak berkembang menjadi penyakit kronis."),
+    "RELATIF SEHAT": ("Relatif Sehat", "success",
+                      "Cluster dengan profil kesehatan terbaik dibanding cluster lain. Meskipun "
+                      "beberapa indikator masih di atas ambang ideal (misalnya pra-hipertensi), "
+                      "cluster ini memiliki beban risiko paling ringan. Memerlukan edukasi preventif "
+                      "dan pemantauan rutin untuk mempertahankan kondisi."),
 }
 REC_AGE_70 = "Skrining kesehatan geriatri berkala (sebulan sekali) dan pendampingan mobilitas."
 REC_AGE_60 = "Skrining kesehatan lansia teratur (3 bulan sekali)."

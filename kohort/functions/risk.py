@@ -69,6 +69,15 @@ def interpret_tag(feat: str, c=None) -> Column:
     return out.otherwise(F.lit(fallback))
 
 
+def interpretation_lines(features: list[str], label="risk_label") -> Column:
+    """The text of one cluster, a line per feature of its means and one for the conclusion."""
+    lines = [F.concat(F.lit(head), F.format_string(f"%.{digits}f", F.round(F.col(f), digits)), F.lit(f"{unit} ("), interpret_tag(f), F.lit(")"))
+             for f, (head, digits, unit) in C.INTERPRET_LINES.items() if f in features]
+    notes = F.create_map(*[x for k, v in C.RISK_NOTES.items() for x in (F.lit(k), F.lit(v))])
+    lines.append(F.concat(F.lit(C.INTERPRET_CONCLUSION), _col(label), F.lit(" "), notes[_col(label)]))
+    return F.concat_ws("\n", *lines)
+
+
 def report_conclusion(age="umur", bmi="imt", systolic="sistolik", cholesterol="kolesterol",
                       glucose="gds_1") -> Column:
     """+1 each on (2-place rounded) cluster means; >=3 Tinggi, >=1 Sedang, else Rendah."""
@@ -144,11 +153,10 @@ def recommendations(label="risk_label", age="umur", bmi="imt", systolic="sistoli
 
 
 def level_meta(label="risk_label") -> dict[str, Column]:
-    """Display level and colour of a relative risk label."""
-    lab = _col(label)
-    lv = F.create_map(*[x for k, (v, _) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
-    co = F.create_map(*[x for k, (_, v) in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v))])
-    return {"level": lv[lab], "color": co[lab]}
+    """Display level, colour and description of a relative risk label."""
+    def of(i):
+        return F.create_map(*[x for k, v in C.LEVEL_META.items() for x in (F.lit(k), F.lit(v[i]))])[_col(label)]
+    return {"level": of(0), "color": of(1), "description": of(2)}
 
 
 def console_band(c, metric: str) -> Column:

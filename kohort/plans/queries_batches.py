@@ -66,7 +66,8 @@ def stored(spark, sf, read):
     return out
 
 
-_DAY = F.to_date("uploaded_at").alias("uploaded_on")
+def _day():
+    return F.to_date("uploaded_at").alias("uploaded_on")
 
 
 @register("s05_batch_metadata", "WITH " + REC +
@@ -80,14 +81,14 @@ def s05(spark, sf):
 @register("s08_latest_batch", "WITH " + Q.batch_cte() +
           "\nSELECT batch_id, filename, uploaded_on FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1")
 def s08(spark, sf):
-    return stored(spark, sf, lambda s: s.latest_batch().select("batch_id", "filename", _DAY))
+    return stored(spark, sf, lambda s: s.latest_batch().select("batch_id", "filename", _day()))
 
 
 @register("s09_list_batches", "WITH " + Q.batch_cte() +
           "\nSELECT batch_id, filename, uploaded_on, row_number() OVER (ORDER BY uploaded_on DESC) AS place FROM upload_batch")
 def s09(spark, sf):
     """The list with each row's place, so that the order is compared (one row per upload)."""
-    return stored(spark, sf, lambda s: s.all_batches().select("batch_id", "filename", _DAY, F.monotonically_increasing_id().alias("_m"))
+    return stored(spark, sf, lambda s: s.all_batches().select("batch_id", "filename", _day(), F.monotonically_increasing_id().alias("_m"))
                   .withColumn("place", F.row_number().over(Window.orderBy("_m"))).drop("_m"))
 
 

@@ -126,10 +126,19 @@ def _tag_sql(f):
     return f"CASE {whens} ELSE '{fb}' END AS {f}_tag"
 
 
+def _lines_sql():
+    def mean(f, d):     # the rounded mean as text with d decimals
+        return f"CAST(CAST({Q.rnd(f, d)} AS DECIMAL(18,{d})) AS VARCHAR)"
+    tag = {f: _tag_sql(f).removesuffix(f" AS {f}_tag") for f in C.INTERPRET_LINES}
+    lines = [f"'{h}' || {mean(f, d)} || '{u} (' || {tag[f]} || ')'" for f, (h, d, u) in C.INTERPRET_LINES.items()]
+    note = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RISK_NOTES.items()) + " END"
+    return " || chr(10) || ".join([*lines, f"'{C.INTERPRET_CONCLUSION}' || risk_label || ' ' || {note}"])
+
+
 @register("k17_cluster_interpretation", Q.with_lloyd(
     "SELECT cm.cluster, n, " + ", ".join(_tag_sql(f) for f in C.INTERPRET_TAGS) +
     ", risk_label, CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.RISK_NOTES.items()) +
-    " END AS risk_note FROM cm JOIN ranked USING (cluster)",
+    " END AS risk_note, " + ", ".join(f"{Q.rnd(f, 2)} AS {f}" for f in C.INTERPRET_TAGS) + ", " + _lines_sql() + " AS lines FROM cm JOIN ranked USING (cluster)",
     _rank_sql().replace("cm AS (SELECT cluster,", "cm AS (SELECT cluster, count(*) AS n,")))
 def k17(spark, sf):
     lab, ranked = ranked_clusters(spark, sf)
@@ -137,7 +146,8 @@ def k17(spark, sf):
     notes = F.create_map(*[x for k, v in C.RISK_NOTES.items() for x in (F.lit(k), F.lit(v))])
     return (means.join(F.broadcast(ranked.select("cluster", "risk_label")), "cluster")
             .select("cluster", "n", *[risk.interpret_tag(f).alias(f"{f}_tag") for f in C.INTERPRET_TAGS],
-                    "risk_label", notes[F.col("risk_label")].alias("risk_note")))
+                    "risk_label", notes[F.col("risk_label")].alias("risk_note"), *[_r(f, 2) for f in C.INTERPRET_TAGS],
+                    risk.interpretation_lines(list(C.INTERPRET_TAGS)).alias("lines")))
 
 
 @register("k19_report_conclusion", Q.with_lloyd(
@@ -221,6 +231,13 @@ def k08(spark, sf):
     return spark.createDataFrame(rows, "label int, n long, dispersion double, within_ss double")
 
 
+_METRIC = {"silhouette": ("silhouette_score", ">=", C.SILHOUETTE_CUTS), "dbi": ("davies_bouldin_index", "<=", C.DBI_CUTS),
+           "ch": ("calinski_harabasz_score", ">=", C.CH_CUTS)}
+_BAND_TEXTS = [(f"{m}_{kind}", *_METRIC[m], texts[m] if isinstance(texts, dict) else texts) for kind, texts in
+               (("colour", C.BAND_COLOURS), ("description", C.BAND_DESCRIPTIONS), ("report", C.REPORT_BANDS)) for m in _METRIC
+               if not isinstance(texts, dict) or m in texts]
+
+
 @register("k20_quality_bands", _eval_sql() +
           "\nSELECT silhouette_score, davies_bouldin_index, calinski_harabasz_score, "
           "CASE WHEN silhouette_score >= 0.7 THEN 'Sangat Baik' WHEN silhouette_score >= 0.5 THEN 'Baik' "
@@ -228,13 +245,16 @@ def k08(spark, sf):
           "CASE WHEN davies_bouldin_index <= 0.5 THEN 'Sangat Baik' WHEN davies_bouldin_index <= 1.0 THEN 'Baik' "
           "WHEN davies_bouldin_index <= 2.0 THEN 'Cukup' ELSE 'Kurang' END AS dbi_band, "
           "CASE WHEN calinski_harabasz_score >= 500 THEN 'Sangat Baik' WHEN calinski_harabasz_score >= 200 THEN 'Baik' "
-          "WHEN calinski_harabasz_score >= 100 THEN 'Cukup' ELSE 'Kurang' END AS ch_band FROM ev")
+          "WHEN calinski_harabasz_score >= 100 THEN 'Cukup' ELSE 'Kurang' END AS ch_band, " + ", ".join(
+              f"CASE WHEN {x} {op} {cuts[0]} THEN '{v[0]}' WHEN {x} {op} {cuts[1]} THEN '{v[1]}' WHEN {x} {op} {cuts[2]} THEN '{v[2]}' ELSE '{v[3]}' END AS {n}"
+              for n, x, op, cuts, v in _BAND_TEXTS) + " FROM ev")
 def k20(spark, sf):
     df = k06(spark, sf)
     return df.select("silhouette_score", "davies_bouldin_index", "calinski_harabasz_score",
                      risk.quality_band("silhouette_score", "silhouette").alias("silhouette_band"),
                      risk.quality_band("davies_bouldin_index", "dbi").alias("dbi_band"),
-                     risk.quality_band("calinski_harabasz_score", "ch").alias("ch_band"))
+                     risk.quality_band("calinski_harabasz_score", "ch").alias("ch_band"),
+                     *[risk.quality_band(x, n.split("_")[0], labels=v).alias(n) for n, x, _, _, v in _BAND_TEXTS])
 
 
 # --- metrics on the screening clusters -------------------------------------------------
@@ -329,8 +349,9 @@ def _rec_sql():
     ]
     lv = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in C.LEVEL_META.items()) + " END"
     co = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in C.LEVEL_META.items()) + " END"
+    de = "CASE risk_label " + " ".join(f"WHEN '{k}' THEN '{v[2]}'" for k, v in C.LEVEL_META.items()) + " END"
     return Q.with_lloyd(
-        f"SELECT cluster, {lv} AS level, {co} AS color, {Q.rnd('risk_score', 2)} AS risk_score, "
+        f"SELECT cluster, {lv} AS level, {co} AS color, {de} AS description, {Q.rnd('risk_score', 2)} AS risk_score, "
         "array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), ' | ') AS recommendations "
         "FROM cm JOIN sc USING (cluster) JOIN ranked USING (cluster, risk_score)",
         _rank_sql(round_means=2).replace(
@@ -343,7 +364,7 @@ def k18(spark, sf):
     means = ranking.cluster_means(lab, _KEY, digits=2)
     ranked = ranking.rank_clusters(means)
     meta = risk.level_meta()
-    return ranked.select("cluster", meta["level"].alias("level"), meta["color"].alias("color"),
+    return ranked.select("cluster", meta["level"].alias("level"), meta["color"].alias("color"), meta["description"].alias("description"),
                          F.round("risk_score", 2).alias("risk_score"),
                          F.array_join(risk.recommendations(present=_KEY), " | ").alias("recommendations"))
 
@@ -426,14 +447,16 @@ def s19(spark, sf):
 
 @register("k13_scatter_dataset")
 def k13(spark, sf):
-    """PCA x/y (4 places), cluster, name and village ('' only when the column is absent)."""
+    """PCA x/y (4 places), cluster, name and village ('' only when the column is absent), and
+    the variance ratios of the two axes."""
     res = clustered(spark, sf)
     model = pca.fit_pca(res.labelled, S_COLS, 2)
     out = pca.project(res.labelled, model)
     name = F.col("nama") if "nama" in out.columns else F.lit("")
     desa = F.col("desa") if "desa" in out.columns else F.lit("")
     return out.select(F.round("pc1", 4).alias("x"), F.round("pc2", 4).alias("y"), "cluster",
-                      name.alias("nama"), desa.alias("desa"))
+                      name.alias("nama"), desa.alias("desa"),
+                      *[F.lit(round(float(v), 6)).alias(f"var_pc{i}") for i, v in enumerate(model.explained_variance_ratio[:2], 1)])
 
 
 @register("w03_nearest_initial_centre", Q.with_clean("SELECT row_id, cluster FROM a1",

@@ -23,7 +23,7 @@ def con():
 def test_every_query_has_a_builder_and_oracles_are_registered():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert len(sql) >= 100
+    assert len(sql) >= 125
 
 
 @pytest.mark.parametrize("name", FAST)
