@@ -135,10 +135,19 @@ def a17(spark, sf):
         F.min_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
 
 
+def _exported(spark, df):
+    """The village parts as the export wrote them; the folder is removed once they are materialised."""
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    exports.write_table(df, path)
+    out = exports.read_table(spark, path, df.schema, per_village=True).checkpoint(eager=True)
+    BatchStore(spark, path)._remove(path)
+    return out
+
+
 @register("s13_village_export_parts", Q.with_clean(
     "SELECT row_id, desa, substring(desa, 1, 31) AS part FROM clean WHERE desa IS NOT NULL"))
 def s13(spark, sf):
-    return exports.village_parts(clean(spark, sf, sort=False).table).select("row_id", "desa", "part")
+    return _exported(spark, clean(spark, sf, sort=False).table).select("row_id", "desa", "part")
 
 
 def _gis_cols():
@@ -212,7 +221,7 @@ def t02(spark, sf):
     "FROM result WHERE desa IS NOT NULL"))
 def s14(spark, sf):
     res = clustered(spark, sf).labelled.withColumn("cluster_label", F.concat(F.lit("Cluster "), F.col("cluster")))
-    return exports.village_parts(res).select("row_id", "desa", "part", "cluster", "cluster_label")
+    return _exported(spark, res).select("row_id", "desa", "part", "cluster", "cluster_label")
 
 
 def _console_sql(x: str, table, higher: bool) -> str:

@@ -294,8 +294,8 @@ def k10(spark, sf):
         f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, {Q.rnd(f'covar_samp({a}, {b})', 6)} AS covariance FROM clean"
         for i, a in enumerate(Q.CLEAN_FEATURES) for b in Q.CLEAN_FEATURES[i:]) + ")"))
 def k12(spark, sf):
-    t = clean(spark, sf, sort=False).table
-    return pca.covariance_long(t, Q.CLEAN_FEATURES).withColumn("covariance", F.round("covariance", 6))
+    res = clean(spark, sf, sort=False)
+    return pca.covariance_long(res.table, res.features).withColumn("covariance", F.round("covariance", 6))
 
 
 @register("k11_pca_2d")
@@ -473,10 +473,10 @@ def w03(spark, sf):
     + " FROM clean"))
 def f07(spark, sf):
     from kohort.operators.quantiles import exact_medians
-    t = clean(spark, sf, sort=False).table
-    med = exact_medians(t, Q.CLEAN_FEATURES)
-    return spark.createDataFrame([tuple(kmeans.round_half_up(med[f] or 0.0, 6) for f in Q.CLEAN_FEATURES)],
-                                 ", ".join(f"{f} double" for f in Q.CLEAN_FEATURES))
+    res = clean(spark, sf, sort=False)
+    med = exact_medians(res.table, res.features)
+    return spark.createDataFrame([tuple(kmeans.round_half_up(med[f] or 0.0, 6) for f in res.features)],
+                                 ", ".join(f"{f} double" for f in res.features))
 
 
 @register("k09_calinski_harabasz", _eval_sql() +

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kohort import config as C
 
@@ -15,11 +16,23 @@ def village_parts(df: DataFrame, village: str = "desa", width: int = 31) -> Data
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", per_village: bool = True,
                 village: str = "desa") -> None:
-    """The combined table plus one folder per village (partitioned write)."""
+    """The combined table plus one folder per village (partitioned write).
+
+    The plan of ``df`` runs once: the village folders are written from the combined
+    table. Rows are rebalanced by part, so a small village is one file and AQE splits a
+    large one over several tasks."""
     df.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/all")
     if per_village:
-        (village_parts(df, village).write.mode("overwrite").format(fmt).option("header", True)
-         .partitionBy("part").save(f"{path}/per_village"))
+        (village_parts(read_table(df.sparkSession, path, df.schema, fmt), village).hint("rebalance", "part")
+         .write.mode("overwrite").format(fmt).option("header", True).partitionBy("part").save(f"{path}/per_village"))
+
+
+def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_village: bool = False) -> DataFrame:
+    """What ``write_table`` wrote: the combined table, or the village parts with their ``part``."""
+    reader = spark.read.format(fmt).option("header", True)
+    if not per_village:
+        return reader.schema(schema).load(f"{path}/all")
+    return reader.schema(T.StructType([*schema.fields, T.StructField("part", T.StringType())])).load(f"{path}/per_village")
 
 
 def gis_projection(df: DataFrame) -> DataFrame:

@@ -63,6 +63,16 @@ def test_exports(spark):
     assert [r.jenis_kelamin for r in rep.orderBy("row_id").collect()] == ["Laki-laki", "Perempuan"]
 
 
+def test_export_sink(spark):
+    path = tempfile.mkdtemp(prefix="kohort-export-")
+    df = spark.createDataFrame([(1, "7", "x"), (2, None, "y"), (3, "B C", "z"), (4, "7", "w")], "row_id long, desa string, nama string")
+    for fmt in ("parquet", "csv"):
+        exports.write_table(df, f"{path}/{fmt}", fmt)
+        assert exports.read_table(spark, f"{path}/{fmt}", df.schema, fmt).count() == 4
+        parts = exports.read_table(spark, f"{path}/{fmt}", df.schema, fmt, per_village=True).collect()
+        assert sorted((r.row_id, r.part) for r in parts) == [(1, "7"), (3, "B C"), (4, "7")]
+
+
 def test_geojson_and_coordinates(spark):
     d = tempfile.mkdtemp(prefix="kohort-geo-")
     fc = {"type": "FeatureCollection", "features": [
@@ -70,9 +80,6 @@ def test_geojson_and_coordinates(spark):
          "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 0]]]}},
         {"type": "Feature", "properties": {"DESA": "Maesan", "DESKEL u_7": None},
          "geometry": {"type": "MultiPolygon", "coordinates": [[[[1, 1], [3, 1], [1, 1]]]]}}]}
-    # coordinates are read as text: write them as JSON strings inside the geometry
-    for f in fc["features"]:
-        f["geometry"]["coordinates"] = json.dumps(f["geometry"]["coordinates"])
     with open(f"{d}/b.geojson", "w") as fh:
         json.dump(fc, fh)
     rows = geo.read_geojson_boundaries(spark, f"{d}/b.geojson").orderBy("desa_geo").collect()
