@@ -30,7 +30,7 @@ from kohort.llm.mtree import _matrix
 
 K, EVERY = 10, 100
 PIVOTS, PREFIX = 256, 64
-BLOCK, CANDIDATES, QUERY_CHUNK = 4096, 512, 4096
+BLOCK, CANDIDATES, QUERY_CHUNK = 4096, 1024, 4096
 
 
 def valid(vectors: DataFrame) -> DataFrame:
