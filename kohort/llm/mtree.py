@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from kohort.llm.common import cut, ship
 
 K, SCALE, EVERY = 20, 64, 20
-PIVOTS, BLOCK, PAGE = 64, 4096, 128
+PIVOTS, BLOCK, PAGE = 16, 4096, 512
 QUERY_CHUNK = 4096   # queries that a task searches with at once
 SLACK = 1e-6
 
@@ -44,8 +44,10 @@ SLACK = 1e-6
 class MTree:
     """M-tree of augmented vectors, bulk loaded; pages hold at most PAGE entries."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, m2: float):
+        self.x, self.m2 = x, m2
+        # products are whole numbers of at most m2: below 2^24 they are exact in single precision
+        self.kind = np.float32 if m2 < 2 ** 24 else np.float64
         # a page: (is leaf, objects, radii, distances to the parent object, children or row numbers)
         self.pages: list[tuple] = []
         self.root = self._load(np.arange(len(x)), None)
@@ -55,7 +57,7 @@ class MTree:
         to_parent = np.zeros(len(rows)) if parent is None else np.sqrt(((x - parent) ** 2).sum(axis=1))
         at = len(self.pages)
         if len(rows) <= PAGE:
-            self.pages.append((True, x, np.zeros(len(rows)), to_parent, rows))
+            self.pages.append((True, np.ascontiguousarray(x[:, :-1], self.kind), 0.0, to_parent, rows))  # without the added coordinate
             return at
         self.pages.append(())
         n = min(PAGE, -(-2 * len(rows) // PAGE))
@@ -76,11 +78,13 @@ class MTree:
         self.pages[at] = (False, np.array(routes), np.array(radii), np.array(parents), np.array(children))
         return at
 
-    def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, score, bound: float):
+    def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, bound: float):
         """(ids, scores) of the k best rows but those of id ``own``: by score, then least id.
 
-        score(rows) gives exact scores, bound(s) the distance that a score stands for; ``bound``
-        is the distance beyond which nothing is wanted. Returns also the distances computed."""
+        ``bound`` is the distance beyond which nothing is wanted. Returns also the number of
+        products and distances computed. A leaf page of which more than half is left after
+        the stored bounds is multiplied as it lies."""
+        plain = q[:-1].astype(self.kind)
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         reach, computed = bound, 0
         queue = [(0.0, self.root, None)]
@@ -97,11 +101,12 @@ class MTree:
                     continue
             computed += len(near)
             if leaf:
-                rows = below[near]
-                s, i = score(rows), ids[rows]
-                keep = (s >= self.floor(best_s, k)) & (i != own)
-                if keep.any():
-                    best_s, best_i = np.concatenate((best_s, s[keep])), np.concatenate((best_i, i[keep]))
+                s = objects @ plain if 2 * len(near) > len(objects) else objects[near] @ plain
+                good = np.flatnonzero(s >= self.floor(best_s, k))
+                if len(good):
+                    rows = below[good] if len(s) == len(objects) else below[near[good]]
+                    other = ids[rows] != own
+                    best_s, best_i = np.concatenate((best_s, s[good][other])), np.concatenate((best_i, ids[rows][other]))
                     order = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[order], best_i[order]
                     if len(best_s) == k:
@@ -191,11 +196,10 @@ def _searched(blocks: DataFrame, asked: DataFrame, m2: float, k: int) -> DataFra
         out = [[], [], []]
         if left.num_rows and right.num_rows:
             ids, x = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
-            tree = MTree(augmented(x, m2))
-            tree.m2 = m2
+            tree = MTree(augmented(x, m2), m2)
             q_ids, reach = right.column("vec_id").to_numpy(), right.column("reach").to_numpy()
             for i, q in enumerate(_matrix(right.column("v"))):
-                found, scores, _ = tree.search(np.append(q, 0.0), k, ids, q_ids[i], lambda rows: x[rows] @ q, reach[i])
+                found, scores, _ = tree.search(np.append(q, 0.0), k, ids, q_ids[i], reach[i])
                 out[0].append(np.full(len(found), q_ids[i]))
                 out[1].append(found)
                 out[2].append(scores.astype(np.int64))
