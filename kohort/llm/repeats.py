@@ -143,7 +143,7 @@ def _fetched(blocks: DataFrame, texts: DataFrame, length: int, bins: bool) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), mk.take(rows), sh.take(rows), pa.array(off, pa.int64()), pa.array(count, pa.int64()), pa.array(cut, pa.binary())], names=names)
 
     # row goes along so that this exchange of the texts is the one that the last join uses
-    return wanted.join(texts, ["did", "th"]).select("picks", "z", "row").mapInArrow(run, _longs("key", "mk", "sh", "off", "windows").add("data", T.BinaryType(), False))
+    return wanted.hint("merge").join(texts, ["did", "th"]).select("picks", "z", "row").mapInArrow(run, _longs("key", "mk", "sh", "off", "windows").add("data", T.BinaryType(), False))
 
 
 def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
     out for it alone (by a key of its own), so hot keys may be split."""
     own = F.col(key).bitwiseXOR(F.lit(1).cast("long"))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1).select(own.alias("_k"), name)
-    return df.withColumn("_k", own).join(counts, "_k").drop("_k")
+    return df.withColumn("_k", own).join(counts.hint("merge"), "_k").drop("_k")
 
 
 def _digests(fetched: DataFrame, length: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _met(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     met = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"))
     # both sides are dealt out by mk for this join alone, so it may split hot anchors; what follows
     # is dealt out anew, by a key of another name
-    cand = rows.join(met, "mk").select("did", "th", "place", F.col("mh").alias("mk"), "sh")
+    cand = rows.join(met.hint("merge"), "mk").select("did", "th", "place", F.col("mh").alias("mk"), "sh")
     return cand, cand.groupBy("mk", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
 
 
@@ -235,7 +235,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot
     # n and rep are read in every branch, for the same reason as in _longs
     own = F.col("mk").bitwiseXOR(F.lit(1).cast("long"))
     per = distinct.groupBy("mk").agg(F.count("rep.place").alias("d"), F.sum("n").alias("total")).where("total > 1").select(own.alias("_k"), "d")
-    distinct = distinct.withColumn("_k", own).join(per, "_k").drop("_k")
+    distinct = distinct.withColumn("_k", own).join(per.hint("merge"), "_k").drop("_k")
     some = _sorted_ranges(_fetched(distinct.where((F.col("d") > 1) & (F.col("d") <= hot)), texts, length, False), length)
     # anchors with many different blocks: by the cores of their bins
     bins = _counted(_fetched(distinct.where(F.col("d") > hot), texts, length, True), "key", "met")
@@ -245,19 +245,24 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot
     many = (again.groupBy("mk", "sh")
             .agg(F.collect_list(F.struct(F.col("off").alias("first"), (F.col("off") + length).alias("end"))).alias("ranges")))
     found = whole.unionByName(some).unionByName(parted).unionByName(many)
-    at = cand.join(found, ["mk", "sh"]).select("did", "th", F.shiftright("place", 20).alias("start"), F.explode("ranges").alias("r"))
+    at = cand.join(found.hint("merge"), ["mk", "sh"]).select("did", "th", F.shiftright("place", 20).alias("start"), F.explode("ranges").alias("r"))
     return at.groupBy("did", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.end")).alias("end"))).alias("ranges"))
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Every maximal repeat group with all its occurrences: rows (anchor, group, size, did, th, start);
-    (anchor, group) names the group, size is its length in bytes. Anchors of any number of blocks
-    are sorted here; a group of equal blocks has the block's whole length."""
+    (anchor, group) names the group, size is its length in bytes. A group of equal blocks has the
+    block's whole length; under anchors of more than ``hot`` distinct blocks, which no task sorts,
+    the groups are those of equal windows."""
     ship(docs.sparkSession)
     base = keyed(docs)
     cand, distinct = _met(base, length)
     whole = distinct.where("n > 1").select("mk", F.concat_ws(":", F.lit("block"), "sh").alias("group"),
                                            F.expr(f"(rep.place & 255) + {length - 1}").alias("size"), "sh", F.lit(0).cast("long").alias("off"))
+    counted = _counted(distinct, "mk", "d")
+    texts = packed(base)
+    windows = _counted(_digests(_fetched(counted.where(F.col("d") > hot), texts, length, True), length), "digest", "n")
+    equal = windows.select("mk", F.concat_ws(":", F.lit("window"), "digest").alias("group"), F.lit(length).cast("long").alias("size"), "sh", "off")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -273,9 +278,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                                                   pa.array(sh[at]), pa.array(sa.offset[hit])], names=["mk", "group", "size", "sh", "off"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (_fetched(distinct, packed(base), length, False).repartition(n, "key").sortWithinPartitions("key", "sh")
+    found = (_fetched(counted.where(F.col("d") <= hot), texts, length, False).repartition(n, "key").sortWithinPartitions("key", "sh")
              .mapInArrow(run, "mk long, group string, size long, sh long, off long"))
-    return (found.unionByName(whole).join(cand, ["mk", "sh"])
+    return (found.unionByName(whole).unionByName(equal).join(cand, ["mk", "sh"])
             .select(F.col("mk").alias("anchor"), "group", "size", "did", "th", (F.shiftright("place", 20) + F.col("off")).alias("start")))
 
 
@@ -326,8 +331,8 @@ def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The documents without the repeated bytes, with docs' columns; n_chars follows the text. Cut
-    bytes may split a character: what is left of it becomes U+FFFD. Documents of which nothing but
-    white space is left go; documents without a repeated byte stay as they are, blank ones too."""
+    bytes may split a character: what is left of it becomes U+FFFD. Every document stays, with an
+    empty text if all of it was repeated; documents without a repeated byte stay as they are."""
     cols = docs.columns
 
     def run(batches: Iterator) -> Iterator:
@@ -349,7 +354,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
 
     joined = _joined(docs, length, hot)
     out = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("new_text", T.StringType()), T.StructField("cut", T.BooleanType())]))
-    out = out.where(~F.col("cut") | (F.trim(F.regexp_replace("new_text", r"\s+", " ")) != ""))
     count = F.when(F.col("cut"), F.length("new_text").cast("long"))
     named = {c: F.col("row")[c] for c in cols if c != "text"} | {"text": F.col("new_text")}
     if "n_chars" in named:

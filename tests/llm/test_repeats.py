@@ -104,12 +104,14 @@ def test_groups_cover_what_the_digest_removes(spark):
     rows = list(enumerate(made(9, 40)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts = dict(rows)
-    groups, gone = defaultdict(set), defaultdict(set)
-    for r in R.repeat_groups(df).collect():
-        groups[r.anchor, r.group].add(texts[r.did].encode()[r.start:r.start + r.size])
-        gone[r.did] |= set(range(r.start, r.start + r.size))
-    assert groups and all(len(g) == 1 for g in groups.values())
-    assert {i: len(g) for i, g in gone.items()} == {r.doc_id: r.n_removed for r in R.digest(df).collect() if r.n_removed}
+    want = {r.doc_id: r.n_removed for r in R.digest(df).collect() if r.n_removed}
+    for hot in (R.HOT, 1):
+        groups, gone = defaultdict(set), defaultdict(set)
+        for r in R.repeat_groups(df, hot=hot).collect():
+            groups[r.anchor, r.group].add(texts[r.did].encode()[r.start:r.start + r.size])
+            gone[r.did] |= set(range(r.start, r.start + r.size))
+        assert groups and all(len(g) == 1 for g in groups.values())
+        assert {i: len(g) for i, g in gone.items()} == want
 
 
 def test_without_repeats(spark):
@@ -117,5 +119,5 @@ def test_without_repeats(spark):
     rows = [(1, "first " + long + " end é", "en", 99), (2, long, "en", 300), (3, "untouched", "en", 9), (4, None, "en", 0), (5, " ", "en", 1), (6, "x" + long, None, 301)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string, n_chars long")
     got = {r.doc_id: r for r in R.without_repeats(df).collect()}
-    assert set(got) == {1, 3, 4, 5, 6} and got[1].text == "first  end é" and got[1].n_chars == 12 and got[6].text == "x"
+    assert set(got) == {1, 2, 3, 4, 5, 6} and (got[2].text, got[2].n_chars) == ("", 0) and got[1].text == "first  end é" and got[1].n_chars == 12 and got[6].text == "x"
     assert (got[3].text, got[3].n_chars, got[4].text, got[5].text) == ("untouched", 9, "", " ")
