@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kohort.llm.common import ship
 
-CACHE_ENTRIES = 300_000  # a generation; two are held
+CACHE_ENTRIES = 100_000  # a generation; two are held, some 30 MB each
 CACHE_CHARS = 64         # longer pre-tokens are not remembered
 _NEAR = 0x250
 _FAR = re.compile("[^\x00-\u024f]").search

@@ -18,6 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch, rows: int = 512):
+    """An Arrow batch in parts, so that few texts are held as Python objects at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def text_bytes(batch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column of an Arrow batch; null becomes empty."""
     import pyarrow as pa

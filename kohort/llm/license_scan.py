@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohort.llm.common import ship, text_bytes
+from kohort.llm.common import ship, slices, text_bytes
 
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 8, 0.6
 
@@ -220,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
         a = automaton()
         types = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()),
                  ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())])))]
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             got = [a.scan(t) for t in text_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([g[n] for g in got], t) for n, t in types], names=["doc_id"] + [n for n, _ in types])
 

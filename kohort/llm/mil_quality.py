@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kohort.llm.common import ship, text_bytes
+from kohort.llm.common import ship, slices, text_bytes
 
 PASSAGE_WORDS = 64
 FIT_ROWS = 6000
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from kohort.llm.mil_quality import FIT_PASSAGES, passages
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             x, n_of = passages(text_bytes(b, "text"))
             ends = np.cumsum(n_of)
             ok = n_of <= FIT_PASSAGES

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohort.llm.common import components, cut, ship, text_bytes
+from kohort.llm.common import components, cut, ship, slices, text_bytes
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from kohort.llm.simhash import fingerprint
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             fps = [f - (1 << 64) if f >= 1 << 63 else f for f in (fingerprint(t, k) for t in text_bytes(b, "text"))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

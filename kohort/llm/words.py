@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SEGMENT = 1 << 20  # bytes handled at once; longer texts are cut at white space
+SEGMENT = 1 << 18  # bytes handled at once; longer texts are cut at white space
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW: list = []
 
