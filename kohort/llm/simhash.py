@@ -58,8 +58,8 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, more: tuple = ()) -> DataFrame:
+    """Rows (doc_id, fp), and the long columns ``more`` of docs: fp is the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -67,9 +67,10 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
         from kohort.llm.simhash import fingerprint
         for b in (part for batch in batches for part in slices(batch)):
             fps = [f - (1 << 64) if f >= 1 << 63 else f for f in (fingerprint(t, k) for t in text_bytes(b, "text"))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+            .mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))))
 
 
 def _half(fp, i: int):
@@ -106,29 +107,38 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     return near.unionByName(long).distinct()
 
 
+def _with_roots(distinct: DataFrame, list_limit: int) -> DataFrame:
+    """Adds root, the component, to the distinct fingerprints (fp and other columns)."""
+    comps = components(links(distinct.select("fp"), list_limit))
+    return distinct.join(comps, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Rows (doc_id, fp, component_id) for every row of docs (doc_id, text)."""
     rows = cut(with_fingerprints(docs, k))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comps = components(links(distinct.select("fp"), list_limit))
-    roots = (distinct.join(comps, F.col("fp") == F.col("node"), "left")
-             .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    roots = _with_roots(distinct, list_limit)
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each component: that of the smallest doc_id (of repeated rows of it, the
-    first by its other columns). A component without any doc_id keeps none of its rows named,
-    so its rows, which nothing identifies, all stay."""
-    from pyspark.sql import Window
-    kept = near_duplicates(docs, k).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    # rows are joined by their id; the order inside an id needs the row itself only for repeated rows
+def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """One named row of each component: that of the smallest doc_id, of several rows of it in the
+    component the first by a hash of the whole row. Of the component's rows without a doc_id one
+    stays too, the first by that hash, so a component of such rows only keeps one."""
     cols = docs.columns
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(*cols))))
-    return found.where("_n = 1").select(*cols).unionByName(docs.where(F.col("doc_id").isNull()).select(*cols))
+    # a row is known by 128 bits of all its columns; nulls, which the hash skips, by their places
+    whole = [*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols]]
+    known = docs.select("*", F.xxhash64(F.lit(1), *whole).alias("_h1"), F.xxhash64(F.lit(2), *whole).alias("_h2"))
+    rows = with_fingerprints(known, k, ("_h1", "_h2"))
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_h1", "_h2")))
+    unnamed = F.min(F.when(F.col("doc_id").isNull(), F.struct("doc_id", "_h1", "_h2")))
+    distinct = cut(rows.groupBy("fp").agg(named.alias("named"), unnamed.alias("unnamed")))
+    first = _with_roots(distinct, list_limit).groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    kept = first.select(F.explode(F.array_compact(F.array("named", "unnamed"))).alias("r")).select("r._h1", "r._h2")
+    # equal rows have one fingerprint, so one component; they collapse before they are dealt out
+    return known.dropDuplicates(["_h1", "_h2"]).join(kept.hint("merge"), ["_h1", "_h2"], "left_semi").select(*cols)
 
 
 def digest(docs: DataFrame) -> DataFrame:
