@@ -249,11 +249,65 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot
     return at.groupBy("did", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.end")).alias("end"))).alias("ranges"))
 
 
+def _strings(blocks: DataFrame, length: int, longer: bool) -> DataFrame:
+    """The strings of blocks (mk, sh, data, offs) that begin at offs, of ``length`` bytes or, if ``longer``,
+    of all sizes from there to the block's end: (mk, sh, off, size, digest, left, next); left is
+    256 at a block's first window, next is -1 at its end."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from kohort.llm.words import Hasher
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                data = part.column(2).to_pylist()
+                n = part.column(3).value_lengths().to_numpy()
+                ends = np.cumsum([len(d) for d in data])
+                flat = np.frombuffer(b"".join(data) + b"\0", np.uint8)
+                row = np.repeat(np.arange(len(data)), n)
+                off = part.column(3).flatten().to_numpy()
+                base = (ends - [len(d) for d in data])[row]
+                sizes = ends[row] - base - off - length + 1 if longer else np.ones(len(row), np.int64)
+                more = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                row, off, base = np.repeat(row, sizes), np.repeat(off, sizes), np.repeat(base, sizes)
+                first = base + off
+                end = first + length + more
+                left = np.where(off > 0, flat[first - 1].astype(np.int64), 256)
+                after = np.where(end < ends[row], flat[end].astype(np.int64), -1)
+                digest = Hasher(flat)(first, end).view(np.int64)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *map(pa.array, (off, length + more, digest, left, after))],
+                                                 names=["mk", "sh", "off", "size", "digest", "left", "next"])
+
+    return blocks.select("mk", "sh", "data", "offs").mapInArrow(run, _longs("mk", "sh", "off", "size", "digest", "left", "next"))
+
+
+def _hot_groups(fetched: DataFrame, length: int) -> DataFrame:
+    """(mk, group, size, sh, off): the maximal repeats of every anchor's blocks, as its enhanced suffix
+    array has them, by counts. A string of two blocks or more is an LCP interval if what follows
+    it differs or it ends a block, and maximal if what precedes it differs or it begins a block.
+    A string whose first window is preceded by one byte alone is not maximal, however long it is,
+    so only the windows that pass go on to strings of all sizes."""
+    own = F.col("digest").bitwiseXOR(F.lit(1).cast("long")).alias("_k")  # dealt out for one join alone, as in _counted
+    diverse = "n > 1 AND (l0 < l1 OR l1 = 256)"
+    counts = [F.count(F.lit(1)).alias("n"), F.min("left").alias("l0"), F.max("left").alias("l1"), F.min("next").alias("x0"), F.max("next").alias("x1")]
+
+    def members(strings: DataFrame, which: str) -> DataFrame:
+        good = strings.groupBy("mk", "size", "digest").agg(*counts).where(which).select("mk", "size", own)
+        return strings.withColumn("_k", own).join(good.hint("merge"), ["mk", "size", "_k"]).select("mk", "sh", "off", "size", "digest")
+
+    whole = fetched.withColumn("offs", F.expr("sequence(0L, windows - 1)"))
+    begins = members(_strings(whole, length, False), diverse).groupBy("mk", "sh").agg(F.collect_list("off").alias("offs"))
+    strings = _strings(fetched.select("mk", "sh", "data").join(begins.hint("merge"), ["mk", "sh"]), length, True)
+    found = members(strings, f"({diverse}) AND (x0 < x1 OR x0 = -1)")
+    return found.select("mk", F.concat_ws(":", F.lit("string"), "size", "digest").alias("group"), "size", "sh", "off")
+
+
 def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Every maximal repeat group with all its occurrences: rows (anchor, group, size, did, th, start);
     (anchor, group) names the group, size is its length in bytes. A group of equal blocks has the
-    block's whole length; under anchors of more than ``hot`` distinct blocks, which no task sorts,
-    the groups are those of equal windows."""
+    block's whole length. Under anchors of more than ``hot`` distinct blocks, which no task sorts,
+    the same groups are found by digests."""
     ship(docs.sparkSession)
     base = keyed(docs)
     cand, distinct = _met(base, length)
@@ -261,8 +315,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
                                            F.expr(f"(rep.place & 255) + {length - 1}").alias("size"), "sh", F.lit(0).cast("long").alias("off"))
     counted = _counted(distinct, "mk", "d")
     texts = packed(base)
-    windows = _counted(_digests(_fetched(counted.where(F.col("d") > hot), texts, length, True), length), "digest", "n")
-    equal = windows.select("mk", F.concat_ws(":", F.lit("window"), "digest").alias("group"), F.lit(length).cast("long").alias("size"), "sh", "off")
+    equal = _hot_groups(_fetched(counted.where(F.col("d") > hot), texts, length, False), length)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

@@ -114,6 +114,24 @@ def test_groups_cover_what_the_digest_removes(spark):
         assert {i: len(g) for i, g in gone.items()} == want
 
 
+def test_groups_do_not_depend_on_the_number_of_blocks(spark):
+    rnd = random.Random(4)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ijkl") for _ in range(n))
+    shared, end = noise(230), noise(40)
+    rows = list(enumerate(made(9, 40) + [noise(30) + shared + (end if i % 3 == 0 else "") + noise(30) for i in range(60)] + [shared, shared[:205], shared + end]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def groups(hot):
+        at = defaultdict(set)
+        for r in R.repeat_groups(df, hot=hot).collect():
+            at[r.anchor, r.group].add((r.size, r.did, r.start))
+        return sorted(sorted(g) for g in at.values())
+
+    want = groups(R.HOT)
+    assert any(len(g) >= 62 for g in want)
+    assert groups(3) == want and groups(1) == want
+
+
 def test_without_repeats(spark):
     long = "".join(random.Random(1).choice("abcdefgh ij") for _ in range(300))
     rows = [(1, "first " + long + " end é", "en", 99), (2, long, "en", 300), (3, "untouched", "en", 9), (4, None, "en", 0), (5, " ", "en", 1), (6, "x" + long, None, 301)]
