@@ -5,8 +5,8 @@ encoded: byte-class shares, word-length and repetition measures and hashed word
 through a tanh layer. Gated attention, softmax_k w.(tanh(V h_k) * sigmoid(U h_k)), weighs the
 passages; the score is a logistic function of the weighted sum. All weights are learnt
 together from document labels, in numpy, on at most ``FIT_ROWS`` labelled documents (taken in
-the order of a hash of their id; the encodings of those alone reach the driver). Scoring is
-one pass over the documents without a shuffle.
+the order of a hash of their id, of at most ``FIT_TOTAL`` passages together, whatever the length
+of each; the encodings of those alone reach the driver). Scoring is one pass over the documents without a shuffle.
 
 Labels are used only where crc32(doc_id as text) mod 5 is not 0; labels, lang, source and
 doc_id never enter a score.
@@ -30,7 +30,7 @@ from kohort.llm.common import ship, slices, text_bytes
 
 PASSAGE_WORDS = 64
 FIT_ROWS = 6000
-FIT_PASSAGES = 512   # documents with more passages are not used for fitting
+FIT_TOTAL = 64 * FIT_ROWS  # passages that the fitted documents have together
 BUCKETS = 48
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -183,26 +183,41 @@ def sample_ids(labels: DataFrame, target: str, folds: int, fold: int, rows: int)
     return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def sample_within(docs: DataFrame, chosen: DataFrame, size, rows: int, total: int) -> DataFrame:
+    """The ids of chosen, in its order, until their documents would be more than ``rows`` or of more than
+    ``total`` size together. An id that alone is too much is passed over; no other length matters."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size")).join(F.broadcast(chosen), "doc_id")
+    per = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.xxhash64("doc_id").alias("h"))
+    taken, left, room = [], rows, total
+    for r in sorted(per.collect(), key=lambda r: (r.h, r.doc_id)):  # one row an id of the bounded sample
+        if r.n > rows or r["size"] > total:
+            continue
+        left, room = left - r.n, room - r["size"]
+        if left < 0 or room < 0:
+            break
+        taken.append((r.doc_id, r.label))
+    return docs.sparkSession.createDataFrame(taken, "doc_id long, label int")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model, or {"prior": share} without labels of both values."""
     import numpy as np
     ship(docs.sparkSession)
-    chosen = sample_ids(labels, "quality", FOLDS, HELD_OUT, FIT_ROWS)
+    n_passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) / PASSAGE_WORDS)).cast("long")
+    chosen = sample_within(docs, sample_ids(labels, "quality", FOLDS, HELD_OUT, FIT_ROWS), n_passages, FIT_ROWS, FIT_TOTAL)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from kohort.llm.mil_quality import FIT_PASSAGES, passages
+        from kohort.llm.mil_quality import passages
         for b in (part for batch in batches for part in slices(batch)):
             x, n_of = passages(text_bytes(b, "text"))
             ends = np.cumsum(n_of)
-            ok = n_of <= FIT_PASSAGES
-            flat = [x[e - n:e].tobytes() for e, n, k in zip(ends, n_of, ok) if k]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(2).filter(pa.array(ok)), pa.array(flat, pa.binary())],
-                                             names=["doc_id", "label", "x"])
+            flat = [x[e - n:e].tobytes() for e, n in zip(ends, n_of)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(flat, pa.binary())], names=["doc_id", "label", "x"])
 
     got = found.mapInArrow(run, "doc_id long, label int, x binary").toPandas()
-    got = got.sort_values(["doc_id", "x"], kind="stable").head(FIT_ROWS)
+    got = got.sort_values(["doc_id", "x"], kind="stable")
     label = got["label"].to_numpy(np.float32)
     if len(set(label)) < 2:
         return {"prior": (float(label.sum()) + 1) / (len(label) + 2)}
