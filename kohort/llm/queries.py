@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage: op1 .. op10 and the pipeline."""
+"""Registered queries of this subpackage: op1 .. op13 and the pipeline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import bpe, license_scan, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
+from kohort.llm import align, bpe, license_scan, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
 from kohort.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return align.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_repeats": op2_repeats,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxic_cnn": op9_toxic_cnn,
     "op10_simhash": op10_simhash,
+    "op11_align": op11_align,
     "pipeline": pipeline,
 }
 
