@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import align, bpe, license_scan, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
+from kohort.llm import align, bpe, license_scan, line_dedup, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
 from kohort.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_repeats": op2_repeats,
@@ -73,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_cnn": op9_toxic_cnn,
     "op10_simhash": op10_simhash,
     "op11_align": op11_align,
+    "op12_line_dedup": op12_line_dedup,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_line_dedup": line_dedup.ORACLE,
     "op1_url_rules": url_rules.oracle(),
     "op3_mtree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
