@@ -4,7 +4,7 @@ Two tokenizers cut the same bytes (a space and the text) at different places. A
 of an A token and a B token whose byte ranges overlap; where tokens of both end, the text is
 cut into groups.
 
-1. Documents are taken in blocks of some 8 MB. A NumPy state vector holds a pair of pointers, to
+1. Documents are taken in blocks of some 4 MB. A NumPy state vector holds a pair of pointers, to
    an A and a B token, for every document of the block. Each step emits the links of all
    pointer pairs, compares the ends, emits a cut where they agree, and advances the pointer of
    the earlier end (both at a cut). Finished documents are compacted away. A long document
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from kohort.llm.common import cut, ship, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 4096
 LANE = 2048  # tokens of A after which a long document's next lane begins
 _RUN = re.compile(r"\s{2000}")
@@ -83,16 +83,15 @@ class Tokenizers:
             self.slow.encode_special_tokens = True
         return self.slow.encode(" " + text, add_special_tokens=False).ids
 
-    def ids(self, texts: list) -> tuple[list, list]:
+    def ids(self, texts: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per text, the ids of A and of B; both empty where either does not give back space + text."""
-        asked = [t or "" for t in texts]
         a, b = [], []
-        for t, y in zip(asked, self.b.encode(asked, num_threads=1)):
-            want = b" " + t.encode()
-            x = self.ids_a(t) if t else []
-            same = t and b"".join([self.bytes_a[i] or b"\0" for i in x]) == want and b"".join([self.bytes_b[i] for i in y]) == want
-            a.append(x if same else [])
-            b.append(y if same else [])
+        for t in texts:  # one at a time: lists of Python's integers are large
+            x, y = (self.ids_a(t), self.b.encode(t)) if t else ([], [])
+            want = b" " + (t or "").encode()
+            same = b"".join([self.bytes_a[i] or b"\0" for i in x]) == want and b"".join([self.bytes_b[i] for i in y]) == want
+            a.append(np.array(x if same else [], np.int32))
+            b.append(np.array(y if same else [], np.int32))
         return a, b
 
 
@@ -179,7 +178,7 @@ class Aligned:
     def __init__(self, tok: Tokenizers, texts: list):
         ids_a, ids_b = tok.ids(texts)
         self.first_a, self.first_b = (np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.fromiter((t for x in ids for t in x), np.int64, int(first[-1])) for ids, first in ((ids_a, self.first_a), (ids_b, self.first_b)))
+        self.a, self.b = (np.concatenate([np.zeros(0, np.int32), *ids]) for ids in (ids_a, ids_b))
         self.end_a, self.end_b = (_ends(size[x], first) for size, x, first in ((tok.size_a, self.a, self.first_a), (tok.size_b, self.b, self.first_b)))
         self.link_a, self.link_b, self.cut_a, self.cut_b = lockstep(self.end_a, self.end_b, lanes(self.end_a, self.end_b, self.first_a, self.first_b))
         self.doc_of_a = np.repeat(np.arange(len(texts)), np.diff(self.first_a))
@@ -271,7 +270,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, pattern: str, block_bytes:
             got = align.Aligned(tok, texts)
             n = len(ids)
             cells = tok.n_a * tok.n_b
-            key, times = np.unique(got.link_doc * cells + got.a[got.link_a] * tok.n_b + got.b[got.link_b], return_counts=True)
+            key, times = np.unique(got.link_doc * cells + got.a[got.link_a].astype(np.int64) * tok.n_b + got.b[got.link_b], return_counts=True)
             pairs, at = np.unique(key % cells, return_inverse=True)
             first = pa.array(np.searchsorted(key, np.arange(n + 1) * cells).astype(np.int32))
             sha = [sha256(t).hexdigest() if t else "" for t in got.group_texts()]
