@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kohort.llm import align, bpe, license_scan, line_dedup, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, url_rules
+from kohort.llm import align, bpe, license_scan, line_dedup, mil_quality, mixing, mtree, permutation_index, repeats, simhash, toxic_cnn, treap, url_rules
 from kohort.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_repeats": op2_repeats,
@@ -78,11 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_align": op11_align,
     "op12_line_dedup": op12_line_dedup,
+    "op13_treap_search": op13_treap_search,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op12_line_dedup": line_dedup.ORACLE,
+    "op13_treap_search": treap.ORACLE,
     "op1_url_rules": url_rules.oracle(),
     "op3_mtree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
