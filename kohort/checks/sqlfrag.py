@@ -219,3 +219,64 @@ def py_float(x: str) -> str:
     t = f"regexp_replace(regexp_replace({strip(x)}, '([0-9])_([0-9])', '\\1\\2', 'g'), '([0-9])_([0-9])', '\\1\\2', 'g')"
     bad = f"(regexp_matches({t}, '[dDfF]$') AND NOT regexp_matches(lower({t}), 'inf$')) OR regexp_matches({t}, '^[+-]?0[xX]')"
     return f"CASE WHEN {bad} THEN NULL ELSE TRY_CAST({t} AS DOUBLE) END"
+
+
+# --- K02 / K04 / K05 K-Means with restarts ---------------------------------------
+
+def kmeans_ctes(ks: list[int], restarts: int = 10, max_iter: int = 300, tol: float = 1e-4) -> str:
+    """Over ``scaled``: k-means++ seeds by the hashed race, Lloyd for every (k, restart) as a recursion,
+    and the best restart of each k: ``best`` (k, r, cost, steps), ``kcentres`` (k, cluster, s_...) and
+    ``klabels`` (k, row_id, cluster)."""
+    s = [f"s_{f}" for f in FEATURES]
+    cols = ", ".join(s)
+
+    def d2(p, c):
+        return "(0.0::DOUBLE + " + " + ".join(f"({p}.{x} - {c}.{x}) * ({p}.{x} - {c}.{x})" for x in s) + ")"
+
+    def race(step, near):
+        u = f"((('0x' || substr(md5(p.row_id || '|' || rr.r || '|' || {step}), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE)"
+        return f"-ln({u}) / {near}"
+
+    out = [f"pts AS MATERIALIZED (SELECT row_id, {cols} FROM scaled)",
+           f"rr AS (SELECT unnest(range({restarts}))::INTEGER AS r)",
+           f"still AS (SELECT {tol}::DOUBLE * ({' + '.join(f'coalesce(var_pop({x}), 0)' for x in s)}) / {len(s)} AS still FROM pts)"]
+    for step in range(max(ks)):
+        near = "1.0::DOUBLE" if step == 0 else "n.near"
+        source = "pts p, rr" if step == 0 else f"near{step - 1} n JOIN pts p USING (row_id) JOIN rr USING (r)"
+        where = "" if step == 0 else "WHERE n.near > 0"
+        out.append(f"seed{step} AS MATERIALIZED (SELECT rr.r, p.row_id FROM {source} {where} "
+                   f"QUALIFY row_number() OVER (PARTITION BY rr.r ORDER BY {race(step, near)}, p.row_id) = 1)")
+        d = d2("p", "q")
+        if step == 0:
+            out.append(f"near0 AS MATERIALIZED (SELECT g.r, p.row_id, {d} AS near FROM pts p, seed0 g JOIN pts q ON q.row_id = g.row_id)")
+        elif step + 1 < max(ks):
+            out.append(f"near{step} AS MATERIALIZED (SELECT n.r, n.row_id, least(n.near, {d}) AS near FROM near{step - 1} n JOIN pts p USING (row_id) "
+                       f"JOIN seed{step} g USING (r) JOIN pts q ON q.row_id = g.row_id)")
+    seeds = " UNION ALL ".join(f"SELECT r, {i}::INTEGER AS cluster, row_id FROM seed{i}" for i in range(max(ks)))
+    out.append(f"seeds AS ({seeds})")
+    means = ", ".join(f"avg(p.{x}) AS {x}" for x in s)
+    moved = " + ".join(f"(m.{x} - w.{x}) * (m.{x} - w.{x})" for x in s)
+    new = ", ".join(f"coalesce({rnd(f'm.{x}', 9)}, w.{x}) AS {x}" for x in s)
+    assign = (f"SELECT x.k, x.r, p.row_id, min({{'d': round({d2('p', 'x')}, 9), 'c': x.cluster}}).c AS cluster FROM pts p, km x "
+              f"WHERE NOT x.rest AND x.it < {max_iter} GROUP BY x.k, x.r, p.row_id")
+    out.append(f"""km AS (
+SELECT 0 AS it, ks.k, g.r, g.cluster, {', '.join(f'p.{x}' for x in s)}, false AS rest
+FROM (SELECT unnest([{', '.join(map(str, ks))}])::INTEGER AS k) ks JOIN seeds g ON g.cluster < ks.k JOIN pts p USING (row_id)
+UNION ALL
+SELECT it + 1, k, r, cluster, {cols}, sum(moved) OVER (PARTITION BY k, r) <= (SELECT still FROM still) AS rest
+FROM (SELECT m.*, {moved} AS moved FROM (
+  SELECT w.it, w.k, w.r, w.cluster, {new}
+  FROM km w LEFT JOIN (SELECT a.k, a.r, a.cluster, {means} FROM ({assign}) a JOIN pts p USING (row_id) GROUP BY a.k, a.r, a.cluster) m USING (k, r, cluster)
+  WHERE NOT w.rest AND w.it < {max_iter}) m JOIN km w USING (k, r, cluster)))""")
+    out.append("fits AS MATERIALIZED (SELECT * FROM km QUALIFY it = max(it) OVER (PARTITION BY k, r))")
+    out.append(f"near AS MATERIALIZED (SELECT x.k, x.r, p.row_id, min({{'d': round({d2('p', 'x')}, 9), 'c': x.cluster, 'e': {d2('p', 'x')}}}) AS n "
+               "FROM pts p, fits x GROUP BY x.k, x.r, p.row_id)")
+    out.append(f"best AS MATERIALIZED (SELECT k, r, cost FROM (SELECT k, r, {rnd('sum(n.e)', 6)} AS cost FROM near GROUP BY k, r) "
+               "QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, r) = 1)")
+    out.append(f"kcentres AS (SELECT k, cluster, {cols} FROM fits JOIN best USING (k, r))")
+    out.append("klabels AS MATERIALIZED (SELECT k, row_id, n.c AS cluster FROM near JOIN best USING (k, r))")
+    return ",\n".join(out)
+
+
+def with_kmeans(select: str, ks: list[int], *extra: str) -> str:
+    return with_clean(select, scaled_cte(), kmeans_ctes(ks), *extra).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -1,5 +1,5 @@
 """Clustering operators: min-max scaling (K01), deterministic Lloyd iterations (K03),
-ML K-Means with restarts (K02), elbow curve (K04) and K sweep (K05).
+K-Means with restarts (K02) and the elbow curve (K04).
 
 Only K x d numbers (centroids) ever reach the driver. Point assignment is a
 native expression over centroid literals (no shuffle, no join); centroid
@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohort import config as C
+from kohort.operators import kmeans_sets
 from kohort.operators.missing import add_absent
 from kohort.operators.quantiles import exact_quantiles_with
 from kohort.session import materialize
@@ -141,56 +141,19 @@ def centres_frame(spark, centres: list[list[float]], cols: list[str], digits: in
     return spark.createDataFrame(rows, ["cluster", "cluster_label", *cols])
 
 
-# --- K02 / K04 / K05: ML K-Means ----------------------------------------------
+# --- K02 / K04: K-Means with restarts (``kmeans_sets``) --------------------------
 
-def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error").transform(df)
+def kmeans_labels(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams(), id_col: str = "row_id"):
+    """(labelled rows, centres, inertia) of the best of ``restarts`` runs."""
+    fits = kmeans_sets.fit_sets(df, cols, [k], params, id_col)
+    if k not in fits:
+        raise ValueError(f"fewer than {k} distinct points")
+    return with_label(df, cols, fits[k]), fits[k].centres, fits[k].cost
 
 
-def vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    """df with its feature vectors, cached; the caller unpersists it."""
-    return _vectors(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fit_kmeans(vec: DataFrame, k: int, params: C.KMeansParams = C.KMeansParams()):
-    """K-means|| initialisation, ``restarts`` seeds, keep the lowest inertia: (model, inertia).
-
-    ``vec`` has the vectors (``vectors``), cached by the caller for all fits. The
-    restarts are independent and submitted from driver threads as concurrent Spark jobs.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def one(r):
-        km = KMeans(k=k, seed=params.seed + r, maxIter=params.max_iter, tol=params.tol,
-                    featuresCol="features", predictionCol="cluster")
-        model = km.fit(vec)
-        return r, model, model.summary.trainingCost
-
-    with ThreadPoolExecutor(max_workers=min(params.restarts, 8)) as pool:
-        fits = list(pool.map(one, range(params.restarts)))
-    _, model, cost = min(fits, key=lambda t: (t[2], t[0]))
-    return model, cost
-
-
-def kmeans_labels(df: DataFrame, cols: list[str], k: int, params: C.KMeansParams = C.KMeansParams()):
-    """K02 on its own: (labelled rows, centres, inertia)."""
-    vec = vectors(df, cols)
-    model, cost = fit_kmeans(vec, k, params)
-    vec.unpersist()
-    return *apply_model(model, df, cols), cost
-
-
-def apply_model(model, df: DataFrame, cols: list[str]):
-    """(labelled rows, centres) of a fitted model."""
-    return model.transform(_vectors(df, cols)).drop("features"), [list(map(float, c)) for c in model.clusterCenters()]
-
-
-def distinct_points(df: DataFrame, cols: list[str], most: int) -> int:
-    """Number of distinct points, counted up to ``most``."""
-    return df.select(*cols).distinct().limit(most).count()
+def with_label(df: DataFrame, cols: list[str], fit: kmeans_sets.Fit, label: str = "cluster") -> DataFrame:
+    """df with the cluster of a fit."""
+    return df.withColumn(label, F.expr(kmeans_sets.label_sql(cols, fit.centres)))
 
 
 def total_sum_squares(df: DataFrame, cols: list[str]) -> float:
@@ -200,11 +163,7 @@ def total_sum_squares(df: DataFrame, cols: list[str]) -> float:
 
 
 def elbow(df: DataFrame, cols: list[str], max_k: int = C.KMeansParams().max_k,
-          params: C.KMeansParams = C.KMeansParams()) -> list[tuple[int, float]]:
+          params: C.KMeansParams = C.KMeansParams(), id_col: str = "row_id") -> list[tuple[int, float]]:
     """Inertia for k = 1..max_k (k clamped to the number of distinct points)."""
-    out = [(1, total_sum_squares(df, cols))]
-    vec = vectors(df, cols)
-    for k in range(2, min(max_k, distinct_points(df, cols, max_k)) + 1):
-        out.append((k, float(fit_kmeans(vec, k, params)[1])))
-    vec.unpersist()
-    return out
+    fits = kmeans_sets.fit_sets(df, cols, list(range(2, max_k + 1)), params, id_col)
+    return [(1, total_sum_squares(df, cols))] + [(k, f.cost) for k, f in fits.items()]

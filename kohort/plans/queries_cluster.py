@@ -199,8 +199,9 @@ ev AS (SELECT {Q.rnd('(SELECT avg(s) FROM pt)', 4)} AS silhouette_score,
 def embedding_evaluation(spark, sf):
     df = _emb(spark, sf)
     vec = metrics.as_vector(array_col="embedding")
-    st = metrics.cluster_stats(df, vec, "label")
-    sil = metrics.silhouette_mean(metrics.silhouette_points(df, vec, "vec_id", "label"))
+    known = metrics.label_sizes(df, vec, ["label"])
+    st = metrics.cluster_stats_of(df, vec, ["label"], known[0])["label"]
+    sil = metrics.silhouette_mean(metrics.silhouettes(df, vec, "vec_id", ["label"], known=known))
     return {"silhouette_score": kmeans.round_half_up(sil, 4),
             "davies_bouldin_index": kmeans.round_half_up(metrics.davies_bouldin(st), 4),
             "calinski_harabasz_score": kmeans.round_half_up(metrics.calinski_harabasz(st), 4),
@@ -309,8 +310,37 @@ def k11(spark, sf):
                       F.lit(float(model.explained_variance_ratio[1])).alias("var_pc2"))
 
 
-# --- K02 / K04 / K05 ML K-Means (rows-only: library seeding differs) -----------------
-@register("k02_kmeans_labels")
+# --- K02 / K04 / K05 K-Means with restarts -------------------------------------------
+_SWEEP_KS = list(range(2, C.KMeansParams().max_k + 1))
+_S = [f"s_{f}" for f in C.FEATURES]
+_D2 = " + ".join(f"(p.{x} - c.{x}) * (p.{x} - c.{x})" for x in _S)
+
+
+def _kevals_ctes(ks) -> str:
+    """``kevals`` (k, inertia, silhouette_score, davies_bouldin_index, calinski_harabasz_score) of the labels
+    of the best fits, and ``kmeans_inertia`` (k, inertia) about the clusters' means."""
+    d = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in _S)
+    return f"""ksz AS (SELECT k, cluster, count(*) AS n FROM klabels GROUP BY k, cluster),
+kprs AS (SELECT a.row_id AS i, b.row_id AS j, sqrt({d}) AS d FROM pts a JOIN pts b ON a.row_id <> b.row_id),
+ksm AS (SELECT l.k, p.i, l.cluster AS cj, sum(p.d) AS t FROM kprs p JOIN klabels l ON l.row_id = p.j GROUP BY l.k, p.i, l.cluster),
+kpt AS (SELECT l.k, l.row_id, max(own.n) AS n, max(CASE WHEN m.cj = l.cluster THEN m.t END) / nullif(max(own.n) - 1, 0) AS a, min(CASE WHEN m.cj <> l.cluster THEN m.t / z.n END) AS b
+  FROM klabels l JOIN ksm m ON m.k = l.k AND m.i = l.row_id JOIN ksz z ON z.k = m.k AND z.cluster = m.cj JOIN ksz own ON own.k = l.k AND own.cluster = l.cluster GROUP BY l.k, l.row_id),
+ksil AS (SELECT k, avg(CASE WHEN n < 2 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS s FROM kpt GROUP BY k),
+kmean AS (SELECT l.k, l.cluster, count(*) AS n, {', '.join(f'avg(p.{x}) AS {x}' for x in _S)} FROM pts p JOIN klabels l USING (row_id) GROUP BY l.k, l.cluster),
+kdisp AS (SELECT l.k, l.cluster, avg(sqrt({_D2})) AS s, sum({_D2}) AS w FROM pts p JOIN klabels l USING (row_id) JOIN kmean c ON c.k = l.k AND c.cluster = l.cluster GROUP BY l.k, l.cluster),
+kdbi AS (SELECT k, avg(r) AS dbi FROM (SELECT a.k, a.cluster, max(coalesce((x.s + y.s) / nullif(sqrt({d}), 0), 0)) AS r FROM kmean a JOIN kmean b ON a.k = b.k AND a.cluster <> b.cluster
+  JOIN kdisp x ON x.k = a.k AND x.cluster = a.cluster JOIN kdisp y ON y.k = b.k AND y.cluster = b.cluster GROUP BY a.k, a.cluster) GROUP BY k),
+kall AS (SELECT count(*) AS n, {', '.join(f'avg({x}) AS {x}' for x in _S)} FROM pts),
+kch AS (SELECT p.k, sum(p.n * ({_D2})) AS ssb, max(c.n) AS n, count(*) AS nk, (SELECT sum(w) FROM kdisp g WHERE g.k = p.k) AS ssw FROM kmean p, kall c GROUP BY p.k),
+kmeans_inertia AS (SELECT k, {Q.rnd('sum(w)', 2)} AS inertia FROM kdisp GROUP BY k),
+kevals AS (SELECT best.k, best.cost AS inertia, {Q.rnd('ksil.s', 4)} AS silhouette_score, {Q.rnd('kdbi.dbi', 4)} AS davies_bouldin_index,
+  {Q.rnd('kch.ssb * (kch.n - kch.nk) / (kch.ssw * (kch.nk - 1))', 4)} AS calinski_harabasz_score FROM best JOIN ksil USING (k) JOIN kdbi USING (k) JOIN kch USING (k))"""
+
+
+_SWEEP_SQL = Q.with_kmeans("SELECT * FROM kevals", _SWEEP_KS, _kevals_ctes(_SWEEP_KS))
+
+
+@register("k02_kmeans_labels", Q.with_kmeans("SELECT row_id, cluster, 'Cluster ' || cluster AS cluster_label FROM klabels", [3]))
 def k02(spark, sf):
     df, _ = scaled(spark, sf)
     labelled, _, _ = kmeans.kmeans_labels(df, S_COLS, 3, C.KMeansParams())
@@ -326,7 +356,7 @@ def k04_k1(spark, sf):
                                  "k int, inertia double")
 
 
-@register("k05_k_sweep")
+@register("k05_k_sweep", _SWEEP_SQL)
 def k05(spark, sf):
     from kohort.plans.clustering import evaluate_k_range
     df, _ = scaled(spark, sf)
@@ -369,11 +399,14 @@ def k18(spark, sf):
                          F.array_join(risk.recommendations(present=_KEY), " | ").alias("recommendations"))
 
 
-# --- K04 / K21-K23 compositions and their exports (rows-only: library seeding) -------
-@register("k04_elbow")
+# --- K04 / K21-K23 compositions and their exports ------------------------------------
+_TOTAL_SS = " + ".join(f"coalesce(var_pop({x}) * count({x}), 0)" for x in _S)
+
+
+@register("k04_elbow", Q.with_kmeans(f"SELECT 1 AS k, {Q.rnd(_TOTAL_SS, 6)} AS inertia FROM pts UNION ALL SELECT k, cost FROM best", _SWEEP_KS))
 def k04(spark, sf):
     df, _ = scaled(spark, sf)
-    pts = kmeans.elbow(df, S_COLS)
+    pts = [(k, kmeans.round_half_up(v, 6)) for k, v in kmeans.elbow(df, S_COLS)]
     return spark.createDataFrame(pts, "k int, inertia double")
 
 
@@ -382,13 +415,26 @@ def _run(spark, sf):
     return run_clustering(clean(spark, sf, sort=False).table)
 
 
-@register("k23_clustering_result")
+@register("k23_clustering_result", Q.with_kmeans(
+    "SELECT row_id, desa, nama, cluster, 'Cluster ' || cluster AS cluster_label, " + ", ".join(f"{Q.rnd(x, 9)} AS {x}" for x in _S) +
+    " FROM scaled JOIN klabels USING (row_id)", [3]))
 def k23(spark, sf):
     run = _run(spark, sf)
-    return run.result.select("row_id", "desa", "nama", "cluster", "cluster_label", *S_COLS)
+    return run.result.select("row_id", "desa", "nama", "cluster", "cluster_label", *[_r(c, 9) for c in S_COLS])
+
+
+def _band_sql(column, metric):
+    _, op, cuts = _METRIC[metric]
+    return "CASE " + " ".join(f"WHEN {column} {op} {t} THEN '{b}'" for t, b in zip(cuts, C.BAND_LABELS)) + f" ELSE '{C.BAND_LABELS[len(cuts)]}' END"
 
 
-@register("k21_evaluation_summary")
+@register("k21_evaluation_summary", Q.with_kmeans(
+    "SELECT (SELECT k FROM kevals ORDER BY silhouette_score DESC, k LIMIT 1) AS best_k_silhouette, "
+    "(SELECT k FROM kevals ORDER BY davies_bouldin_index, k LIMIT 1) AS best_k_dbi, "
+    "(SELECT k FROM kevals ORDER BY calinski_harabasz_score DESC, k LIMIT 1) AS best_k_ch, "
+    f"{_band_sql('silhouette_score', 'silhouette')} AS silhouette_band, {_band_sql('davies_bouldin_index', 'dbi')} AS dbi_band, "
+    f"{_band_sql('calinski_harabasz_score', 'ch')} AS ch_band, silhouette_score, davies_bouldin_index, calinski_harabasz_score, "
+    "i.inertia FROM kevals JOIN kmeans_inertia i USING (k) WHERE k = 3", _SWEEP_KS, _kevals_ctes(_SWEEP_KS)))
 def k21(spark, sf):
     from kohort.plans.clustering import evaluation_summary
     s = evaluation_summary(_run(spark, sf))
@@ -402,9 +448,12 @@ def k21(spark, sf):
                                  "calinski_harabasz_score double, inertia double")
 
 
-@register("k22_clustering_summary")
+@register("k22_clustering_summary", Q.with_kmeans(
+    "SELECT l.cluster, count(*) AS n, " + ", ".join(f"{Q.rnd(f'avg(clean.{f})', 2)} AS {f}" for f in PROFILE) + ", " +
+    ", ".join(f"{Q.rnd(f'max(c.s_{f})', 4)} AS c_{f}" for f in C.FEATURES) +
+    " FROM clean JOIN klabels l USING (row_id) JOIN kcentres c ON c.cluster = l.cluster GROUP BY l.cluster", [3]))
 def k22(spark, sf):
-    """A07 sizes + K14 centres + A08 profile (2 places) of the ML K-Means (k=3) run."""
+    """A07 sizes + K14 centres + A08 profile (2 places) of the K-Means (k=3) run."""
     res = clean(spark, sf, sort=False)
     df, _ = kmeans.scale(res.table, C.FEATURES)
     labelled, centres, _ = kmeans.kmeans_labels(df, S_COLS, 3)
@@ -414,7 +463,7 @@ def k22(spark, sf):
     return sizes.join(prof, "cluster").join(cents, "cluster")   # K rows each
 
 
-@register("s16_k_evaluation_export")
+@register("s16_k_evaluation_export", _SWEEP_SQL)
 def s16(spark, sf):
     from kohort.plans.clustering import evaluate_k_range
     df, _ = scaled(spark, sf)
