@@ -16,9 +16,12 @@ a block of some 250 bytes. Then
    parted into bins of 16 by their distance from the anchor, and filed under the hash of the
    185 bytes that all windows of the bin hold, which equal windows share. Most stand alone and
    go; the rest is sorted as before. Only where more than HOT meet again (the very edge of a
-   passage that very many documents share) windows are compared by 64-bit digests, counted
-   with partial sums; the same answer without a big group;
-5. the ranges go back to the documents that hold the blocks.
+   passage that very many documents share) windows are compared by 64-bit digests beside the
+   64 bits of their core, counted with partial sums; the same answer without a big group;
+5. the ranges go back to the documents that hold the blocks, a list a block.
+
+Equal rows collapse to one with a count before anything else; where it is above one, all of a text
+of LENGTH bytes or more goes without a search.
 
 Groups are maximal inside a block: the first window of a block counts as having a neighbour
 of its own, and a repeat that is longer than a block appears as one group per block, whose
@@ -26,10 +29,10 @@ occurrences overlap. The bytes covered are exactly those of all repeated windows
 
 Texts move once, packed by zlib. Nothing is collected, broadcast, capped or cross joined.
 
-Defined results: null texts are empty; texts shorter than LENGTH have no windows; a document
-is its (doc_id, text), repeated rows are occurrences of each other, each row is returned;
-null doc_ids take part; an empty table gives an empty result; other columns are only carried
-by ``without_repeats``.
+Defined results: null texts are empty; texts shorter than LENGTH have no windows; every row is a
+document, repeated rows are occurrences of each other, each row is returned; null doc_ids
+take part; an empty table gives an empty result; other columns are only carried by
+``without_repeats`` (and must be of types that Spark can hash).
 """
 
 from __future__ import annotations
@@ -49,11 +52,12 @@ SORT_WINDOWS = 12_000  # windows sorted at once
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(did, th, row, text): the identity of a document, its other columns and its text."""
+    """(did, th, row, text): a hash of the whole row, its columns but the text, and the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    others = [c for c in docs.columns if c != "text"]
+    # nulls, which the hash skips, are told by their places
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("did"),
-                       F.xxhash64(F.col("doc_id").isNull(), text).alias("th"),
-                       F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"))
+                       F.xxhash64(text, *others, *[F.col(c).isNull() for c in others]).alias("th"), F.struct(*others).alias("row"), text.alias("text"))
 
 
 def _bytes(column) -> list[bytes]:
@@ -67,26 +71,28 @@ def _longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType(), False) for n in names])
 
 
-def block_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(did, th, place, mh, sh): place is start << 20 | distance of the anchor << 8 | windows; mh and
+def block_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(did, th, place, mh, sh, copies): place is start << 20 | distance of the anchor << 8 | windows; mh and
     sh hash anchor and content."""
     def run(batches: Iterator) -> Iterator:
+        import zlib
         import numpy as np
         import pyarrow as pa
         from kohort.llm.repeats_kernel import blocks
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                text, start, windows, anchor, mh, sh = blocks(_bytes(part.column(2)), length)
+                text, start, windows, anchor, mh, sh = blocks([zlib.decompress(z) for z in part.column(3).to_pylist()], length)
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(start << 20 | anchor << 8 | windows),
-                                                  pa.array(mh.view(np.int64)), pa.array(sh.view(np.int64))], names=["did", "th", "place", "mh", "sh"])
+                                                  pa.array(mh.view(np.int64)), pa.array(sh.view(np.int64)), part.column(4).take(rows)], names=["did", "th", "place", "mh", "sh", "copies"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, _longs("did", "th", "place", "mh", "sh"))
+    return texts.select("did", "th", "row", "z", "copies").mapInArrow(run, _longs("did", "th", "place", "mh", "sh", "copies"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(did, th, row, z): texts packed for the shuffle."""
+    """(did, th, row, z, copies): the distinct rows, texts packed for the shuffle. Every use reads all
+    columns, so all share one exchange."""
     def run(batches: Iterator) -> Iterator:
         import zlib
         import pyarrow as pa
@@ -96,7 +102,9 @@ def packed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([zlib.compress(t, 1) for t in _bytes(part.column(3))], pa.binary())],
                                                  names=["did", "th", "row", "z"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:3], T.StructField("z", T.BinaryType())]))
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields[:3], T.StructField("z", T.BinaryType())]))
+    one = rows.groupBy(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("did", "th")])
+    return one.agg(F.first("row").alias("row"), F.first("z").alias("z"), F.count(F.lit(1)).alias("copies"))
 
 
 def _fetched(blocks: DataFrame, texts: DataFrame, length: int, bins: bool) -> DataFrame:
@@ -142,20 +150,21 @@ def _fetched(blocks: DataFrame, texts: DataFrame, length: int, bins: bool) -> Da
                 rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), mk.take(rows), sh.take(rows), pa.array(off, pa.int64()), pa.array(count, pa.int64()), pa.array(cut, pa.binary())], names=names)
 
-    # row goes along so that this exchange of the texts is the one that the last join uses
-    return wanted.hint("merge").join(texts, ["did", "th"]).select("picks", "z", "row").mapInArrow(run, _longs("key", "mk", "sh", "off", "windows").add("data", T.BinaryType(), False))
+    # row and copies go along so that this exchange of the texts is the one that the last join uses
+    return wanted.hint("merge").join(texts, ["did", "th"]).select("picks", "z", "row", "copies").mapInArrow(run, _longs("key", "mk", "sh", "off", "windows").add("data", T.BinaryType(), False))
 
 
-def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the number of rows of its key, for keys with several. Both sides of the join are dealt
-    out for it alone (by a key of its own), so hot keys may be split."""
-    own = F.col(key).bitwiseXOR(F.lit(1).cast("long"))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1).select(own.alias("_k"), name)
-    return df.withColumn("_k", own).join(counts.hint("merge"), "_k").drop("_k")
+def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with the number of rows of its keys, for those with several. Both sides of the join are dealt
+    out for it alone (by keys of its own), so hot keys may be split."""
+    own = [F.col(k).bitwiseXOR(F.lit(1).cast("long")).alias(f"_{k}") for k in keys]
+    names = [f"_{k}" for k in keys]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1).select(*own, name)
+    return df.select("*", *own).join(counts.hint("merge"), names).drop(*names)
 
 
 def _digests(fetched: DataFrame, length: int) -> DataFrame:
-    """(mk, sh, off, digest) of every window."""
+    """(key, mk, sh, off, digest) of every window."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -163,16 +172,16 @@ def _digests(fetched: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                data, w = part.column(4).to_pylist(), part.column(3).to_numpy()
+                data, w = part.column(5).to_pylist(), part.column(4).to_numpy()
                 base = np.cumsum([0] + [len(d) for d in data])[:-1]
                 step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 a = np.repeat(base, w) + step
                 h = Hasher(np.frombuffer(b"".join(data), np.uint8))(a, a + length)
                 rows = pa.array(np.repeat(np.arange(len(data)), w))
-                off = np.repeat(part.column(2).to_numpy(), w) + step
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(off), pa.array(h.view(np.int64))], names=["mk", "sh", "off", "digest"])
+                off = np.repeat(part.column(3).to_numpy(), w) + step
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), pa.array(off), pa.array(h.view(np.int64))], names=["key", "mk", "sh", "off", "digest"])
 
-    return fetched.select("mk", "sh", "off", "windows", "data").mapInArrow(run, _longs("mk", "sh", "off", "digest"))
+    return fetched.select("key", "mk", "sh", "off", "windows", "data").mapInArrow(run, _longs("key", "mk", "sh", "off", "digest"))
 
 
 def _by_key(batches: Iterator, most: int) -> Iterator:
@@ -216,19 +225,27 @@ def _sorted_ranges(fetched: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, _longs("mk", "sh").add("ranges", T.ArrayType(_longs("first", "end"), False), False)))
 
 
-def _met(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(all blocks whose anchor is met again, as (did, th, place, mk, sh); the distinct ones (mk, sh, n, rep))."""
-    rows = block_rows(docs, length).withColumn("mk", F.col("mh").bitwiseXOR(F.lit(1).cast("long")))
-    met = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"))
+def _met(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(all blocks whose anchor is met again, as (did, th, place, copies, mk, sh); the distinct ones (mk, sh, n, rep))."""
+    rows = block_rows(texts, length).withColumn("mk", F.col("mh").bitwiseXOR(F.lit(1).cast("long")))
+    met = rows.groupBy("mh").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("mh").bitwiseXOR(F.lit(1).cast("long")).alias("mk"))
     # both sides are dealt out by mk for this join alone, so it may split hot anchors; what follows
     # is dealt out anew, by a key of another name
-    cand = rows.join(met.hint("merge"), "mk").select("did", "th", "place", F.col("mh").alias("mk"), "sh")
-    return cand, cand.groupBy("mk", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
+    cand = rows.join(met.hint("merge"), "mk").select("did", "th", "place", "copies", F.col("mh").alias("mk"), "sh")
+    return cand, cand.groupBy("mk", "sh").agg(F.sum("copies").alias("n"), F.min(F.struct("did", "th", "place")).alias("rep"))
+
 
+def _joined_windows(length: int):
+    """The ranges that windows at the sorted offsets ``o`` cover, as (first, end)."""
+    breaks = f"filter(sequence(0, size(o) - 1), i -> i = 0 OR o[i] - o[greatest(i - 1, 0)] > {length})"
+    return F.expr(f"transform({breaks}, (i, j) -> named_struct('first', o[i], 'end', {length} + "
+                  f"o[CASE WHEN j + 1 < size({breaks}) THEN element_at({breaks}, j + 2) - 1 ELSE size(o) - 1 END]))")
 
-def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(did, th, ranges) of the documents with repeated windows; ranges may overlap."""
-    cand, distinct = _met(docs, length)
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(did, th, found) of the documents with repeated windows; found has the start and the ranges, as (first,
+    end) from there, of every block; ranges may overlap."""
+    cand, distinct = _met(texts, length)
     # equal blocks: a repeat group as they stand
     whole = distinct.where("n > 1").select("mk", "sh", F.array(F.struct(F.lit(0).cast("long").alias("first"),
                                                                        F.expr(f"(rep.place & 255) + {length - 1}").alias("end"))).alias("ranges"))
@@ -238,15 +255,14 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, length: int = LENGTH, hot
     distinct = distinct.withColumn("_k", own).join(per.hint("merge"), "_k").drop("_k")
     some = _sorted_ranges(_fetched(distinct.where((F.col("d") > 1) & (F.col("d") <= hot)), texts, length, False), length)
     # anchors with many different blocks: by the cores of their bins
-    bins = _counted(_fetched(distinct.where(F.col("d") > hot), texts, length, True), "key", "met")
+    bins = _counted(_fetched(distinct.where(F.col("d") > hot), texts, length, True), ["key"], "met")
     parted = _sorted_ranges(bins.where(F.col("met") <= hot).drop("met"), length)
     # cores with many different edges: windows by digest
-    again = _counted(_digests(bins.where(F.col("met") > hot), length), "digest", "n")
-    many = (again.groupBy("mk", "sh")
-            .agg(F.collect_list(F.struct(F.col("off").alias("first"), (F.col("off") + length).alias("end"))).alias("ranges")))
+    again = _counted(_digests(bins.where(F.col("met") > hot), length), ["key", "digest"], "n")
+    many = again.groupBy("mk", "sh").agg(F.sort_array(F.collect_list("off")).alias("o")).select("mk", "sh", _joined_windows(length).alias("ranges"))
     found = whole.unionByName(some).unionByName(parted).unionByName(many)
-    at = cand.join(found.hint("merge"), ["mk", "sh"]).select("did", "th", F.shiftright("place", 20).alias("start"), F.explode("ranges").alias("r"))
-    return at.groupBy("did", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.end")).alias("end"))).alias("ranges"))
+    at = cand.join(found.hint("merge"), ["mk", "sh"]).select("did", "th", F.struct(F.shiftright("place", 20).alias("start"), "ranges").alias("f"))
+    return at.groupBy("did", "th").agg(F.collect_list("f").alias("found"))
 
 
 def _strings(blocks: DataFrame, length: int, longer: bool) -> DataFrame:
@@ -304,17 +320,17 @@ def _hot_groups(fetched: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Every maximal repeat group with all its occurrences: rows (anchor, group, size, did, th, start);
-    (anchor, group) names the group, size is its length in bytes. A group of equal blocks has the
+    """Every maximal repeat group with all its occurrences: rows (anchor, group, size, did, th, start, copies);
+    (anchor, group) names the group, size is its length in bytes, did is the doc_id and th a hash of
+    the row, which occurs ``copies`` times. A group of equal blocks has the
     block's whole length. Under anchors of more than ``hot`` distinct blocks, which no task sorts,
     the same groups are found by digests."""
     ship(docs.sparkSession)
-    base = keyed(docs)
-    cand, distinct = _met(base, length)
+    texts = packed(keyed(docs))
+    cand, distinct = _met(texts, length)
     whole = distinct.where("n > 1").select("mk", F.concat_ws(":", F.lit("block"), "sh").alias("group"),
                                            F.expr(f"(rep.place & 255) + {length - 1}").alias("size"), "sh", F.lit(0).cast("long").alias("off"))
-    counted = _counted(distinct, "mk", "d")
-    texts = packed(base)
+    counted = _counted(distinct, ["mk"], "d")
     equal = _hot_groups(_fetched(counted.where(F.col("d") > hot), texts, length, False), length)
 
     def run(batches: Iterator) -> Iterator:
@@ -333,26 +349,38 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (_fetched(counted.where(F.col("d") <= hot), texts, length, False).repartition(n, "key").sortWithinPartitions("key", "sh")
              .mapInArrow(run, "mk long, group string, size long, sh long, off long"))
-    return (found.unionByName(whole).unionByName(equal).join(cand, ["mk", "sh"])
-            .select(F.col("mk").alias("anchor"), "group", "size", "did", "th", (F.shiftright("place", 20) + F.col("off")).alias("start")))
+    at = (found.unionByName(whole).unionByName(equal).join(cand.drop("copies").hint("merge"), ["mk", "sh"])
+          .select(F.col("mk").alias("anchor"), "group", "size", "did", "th", (F.shiftright("place", 20) + F.col("off")).alias("start")))
+    ids = texts.select("did", "th", F.col("row.doc_id").cast("long").alias("doc_id"), "copies")
+    return at.join(ids.hint("merge"), ["did", "th"]).select("anchor", "group", "size", F.col("doc_id").alias("did"), "th", "start", "copies")
 
 
-def _cut_ranges(column, i: int):
-    """Merged (first, end) arrays of row i of a list<struct<first, end>> column."""
+def _cut_ranges(column, copies: int, i: int, size: int, length: int):
+    """Merged (first, end) arrays of what goes of a text of ``size`` bytes: all of it if its row is repeated,
+    else the ranges in row i of a list<struct<start, ranges>> column."""
     import numpy as np
     from kohort.llm.repeats_kernel import merged
+    if copies > 1 and size >= length:
+        return np.array([0]), np.array([size])
     v = column[i]
     if not v.is_valid:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return merged(v.values.field("first").to_numpy(), v.values.field("end").to_numpy())
+    ranges = v.values.field("ranges")
+    start = np.repeat(v.values.field("start").to_numpy(), ranges.value_lengths().to_numpy())
+    flat = ranges.flatten()
+    return merged(start + flat.field("first").to_numpy(), start + flat.field("end").to_numpy())
 
 
 def _joined(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """(row, z, ranges) of every document."""
+    """(row, z, found, copies) of every distinct row."""
     ship(docs.sparkSession)
-    base = keyed(docs)
-    texts = packed(base)
-    return texts.join(repeated_ranges(base, texts, length, hot), ["did", "th"], "left").select("row", "z", "ranges")
+    texts = packed(keyed(docs))
+    return texts.join(repeated_ranges(texts, length, hot), ["did", "th"], "left").select("row", "z", "found", "copies")
+
+
+def _each(df: DataFrame, cols: list) -> DataFrame:
+    """Each row as often as its row was there."""
+    return df.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copies")).drop("copies")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -366,7 +394,7 @@ def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             out = []
             for i, z in enumerate(b.column(1).to_pylist()):
                 t = zlib.decompress(z)
-                first, end = _cut_ranges(b.column(2), i)
+                first, end = _cut_ranges(b.column(2), b.column(3)[i].as_py(), i, len(t), length)
                 kept = sha256()
                 at = 0
                 for a, e in zip(first.tolist(), end.tolist()):
@@ -375,11 +403,12 @@ def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 kept.update(t[at:])
                 out.append((len(t), int((end - first).sum()), len(first), kept.hexdigest()))
             cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).field(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).field(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), b.column(3)],
+                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "copies"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(docs, length, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = _joined(docs, length, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long")
+    return _each(out, out.columns[:-1])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -396,19 +425,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             texts, cut = [], []
             for i, z in enumerate(b.column(1).to_pylist()):
                 t = zlib.decompress(z)
-                first, end = _cut_ranges(b.column(2), i)
+                first, end = _cut_ranges(b.column(2), b.column(3)[i].as_py(), i, len(t), length)
                 parts, at = [], 0
                 for a, e in zip(first.tolist(), end.tolist()):
                     parts.append(t[at:a])
                     at = e
                 cut.append(len(first) > 0)
                 texts.append((b"".join(parts) + t[at:]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cut, pa.bool_())], names=["row", "new_text", "cut"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cut, pa.bool_()), b.column(3)], names=["row", "new_text", "cut", "copies"])
 
     joined = _joined(docs, length, hot)
-    out = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("new_text", T.StringType()), T.StructField("cut", T.BooleanType())]))
+    out = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("new_text", T.StringType()), T.StructField("cut", T.BooleanType()), T.StructField("copies", T.LongType())]))
     count = F.when(F.col("cut"), F.length("new_text").cast("long"))
     named = {c: F.col("row")[c] for c in cols if c != "text"} | {"text": F.col("new_text")}
     if "n_chars" in named:
         named["n_chars"] = F.coalesce(count, F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[named[c].alias(c) for c in cols])
+    # named by place while the count is beside them, so no column of docs can clash with it
+    placed = out.select(*[named[c].alias(f"_{i}") for i, c in enumerate(cols)], "copies")
+    return _each(placed, [f"_{i}" for i in range(len(cols))]).toDF(*cols)

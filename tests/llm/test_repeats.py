@@ -5,6 +5,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kohort.llm import repeats as R
 from kohort.llm import repeats_kernel as K
@@ -139,3 +140,24 @@ def test_without_repeats(spark):
     got = {r.doc_id: r for r in R.without_repeats(df).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6} and (got[2].text, got[2].n_chars) == ("", 0) and got[1].text == "first  end é" and got[1].n_chars == 12 and got[6].text == "x"
     assert (got[3].text, got[3].n_chars, got[4].text, got[5].text) == ("untouched", 9, "", " ")
+
+
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(6).choice("abcdefgh ijkl") for _ in range(600))
+    rows = [(7, text)] * 5000 + [(7, text[:300] + "x" + text[300:]), (8, "own " + text[100:350]), (None, text), (None, text), (7, "short"), (7, "short"), (9, None), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, 200)
+    groups = R.repeat_groups(df).collect()
+    assert {r.did for r in groups} == {7, 8, None} and max(r.copies for r in groups if r.did == 7) == 5000 and {r.copies for r in groups if r.did is None} == {2}
+    out = R.without_repeats(df.select("*", F.lit(1).alias("copies"), F.lit(2).alias("_0"), F.lit("z").alias("found")))
+    assert out.columns == ["doc_id", "text", "copies", "_0", "found"]
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    kept = {(i, h): n for i, n, _, _, h in R.digest(df).collect()}
+    assert len(got) == len(rows) and {r[2:] for r in got} == {(1, 2, "z")}
+    assert {(i, sha256((t or "").encode()).hexdigest()) for i, t, *_ in got} == set(kept)
+
+
+def test_offsets_join_to_ranges(spark):
+    df = spark.createDataFrame([([0],), ([3, 4, 5],), ([0, 1, 201, 402, 500],), ([10, 210, 411],)], "o array<long>")
+    got = [[(x.first, x.end) for x in r.r] for r in df.select(R._joined_windows(200).alias("r")).collect()]
+    assert got == [[(0, 200)], [(3, 205)], [(0, 401), (402, 700)], [(10, 410), (411, 611)]]
