@@ -4,8 +4,8 @@ A list of (host, path) rules judges the urls that it fits: a rule fits its host
 subdomains if the url's path starts with the rule's; the longest fitting rule wins. Its
 verdicts label those urls. From them Spark's FP-growth mines the token combinations that go
 with a verdict; combinations below ``MIN_SUPPORT`` (share of the labelled urls that hold the
-tokens and have the verdict) or ``MIN_CONFIDENCE`` are pruned, so are those of more than
-``MAX_TOKENS`` tokens and those that a part of their tokens predicts with no less confidence.
+tokens and have the verdict) or ``MIN_CONFIDENCE`` are pruned, so are those that a part of
+their tokens predicts with no less confidence.
 
 The mined rules judge the other urls through an inverted index, token -> rules: the tokens of
 a url are joined to the index and a rule matches if all its tokens were met. Urls with the
@@ -30,7 +30,7 @@ from kohort.llm.common import cut
 
 #: (host, path, verdict), fixed by the contract
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, DEFAULT = 0.005, 0.7, 3, "allow"
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.005, 0.7, "allow"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def listed(urls: DataFrame, rules=RULES) -> DataFrame:
     return urls.withColumn("rule", rule).withColumn("listed", listed_)
 
 
-def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """The pruned rules (rule_id, antecedent, verdict, confidence, support) mined from urls (tokens, listed)."""
     from pyspark.ml.fpm import FPGrowth
     label = F.concat(F.lit("verdict="), "listed")
@@ -77,7 +77,7 @@ def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
     if labelled.isEmpty():
         return urls.sparkSession.createDataFrame([], f"rule_id long, {schema}")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled)
-    found = (model.associationRules.where((F.size("antecedent") <= max_tokens) & F.startswith(F.element_at("consequent", 1), F.lit("verdict=")))
+    found = (model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit("verdict=")))
              .select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"))
     found = cut(found)
     # a rule goes if a proper part of its tokens has the verdict with no less confidence
@@ -105,9 +105,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """The contract's columns: page_id, host, path, rule, verdict; and mined_rule, the tokens that decided."""
     urls = cut(listed(parsed(pages), rules))
     best = matched(urls.where("listed IS NULL"), mined(urls)).select(F.col("tokens"), F.col("verdict").alias("guess"), F.col("antecedent").alias("by"))
-    return (urls.join(best, "tokens", "left")
-            .select("page_id", "host", "path", "rule", F.coalesce("listed", "guess", F.lit(DEFAULT)).alias("verdict"),
-                    F.when(F.col("listed").isNull(), F.col("by")).alias("mined_rule")))
+    known = urls.where("listed IS NOT NULL").select("page_id", "host", "path", "rule", F.col("listed").alias("verdict"), F.lit(None).cast("string").alias("mined_rule"))
+    guessed = urls.where("listed IS NULL").join(best, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("guess", F.lit(DEFAULT)).alias("verdict"), F.col("by").alias("mined_rule"))
+    return known.unionByName(guessed)
 
 
 def oracle() -> str:
@@ -131,15 +131,13 @@ e AS (SELECT row_number() OVER () AS rid, page_id, host, path, rule, listed, lis
         CASE WHEN dir1 <> '' AND NOT regexp_matches(dir1, '^[0-9]+([.]|\\z)') THEN 'dir=' || dir1 END,
         CASE WHEN ext <> '' THEN 'ext=' || ext END, CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN 'slash' END,
         CASE WHEN qkey <> '' THEN 'query=' || qkey END, CASE WHEN contains(rest, '#') THEN 'fragment' END], lambda x: x IS NOT NULL))) AS tokens FROM d),
-t AS (SELECT rid, listed, unnest(tokens) AS tok FROM e),
-s AS (SELECT rid, listed, [tok] AS ante FROM t
-      UNION ALL SELECT x.rid, x.listed, [x.tok, y.tok] FROM t x JOIN t y ON x.rid = y.rid AND x.tok < y.tok
-      UNION ALL SELECT x.rid, x.listed, [x.tok, y.tok, z.tok] FROM t x JOIN t y ON x.rid = y.rid AND x.tok < y.tok JOIN t z ON x.rid = z.rid AND y.tok < z.tok),
-g AS (SELECT ante, count(*) AS n, count(*) FILTER (listed = 'allow') AS n_allow, count(*) FILTER (listed = 'block') AS n_block FROM s WHERE listed IS NOT NULL GROUP BY ante),
+t AS (SELECT tokens, listed, count(*) AS cnt FROM e WHERE listed IS NOT NULL GROUP BY ALL),
+s AS (SELECT list_filter(tokens, lambda x, i: ((mask >> (i - 1)) & 1) = 1) AS ante, listed, cnt FROM (SELECT *, unnest(range(1, 1 << len(tokens))) AS mask FROM t)),
+g AS (SELECT ante, sum(cnt) AS n, coalesce(sum(cnt) FILTER (listed = 'allow'), 0) AS n_allow, coalesce(sum(cnt) FILTER (listed = 'block'), 0) AS n_block FROM s GROUP BY ante),
 f AS (SELECT ante, 'allow' AS verdict, n_allow AS k, n_allow::DOUBLE / n AS conf FROM g UNION ALL SELECT ante, 'block', n_block, n_block::DOUBLE / n FROM g),
 r AS (SELECT * FROM f WHERE k >= greatest(1, ceil({MIN_SUPPORT}::DOUBLE * (SELECT count(*) FROM e WHERE listed IS NOT NULL))) AND conf >= {MIN_CONFIDENCE}::DOUBLE),
 p AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.verdict = r.verdict AND len(q.ante) < len(r.ante) AND list_has_all(r.ante, q.ante) AND q.conf >= r.conf)),
 m AS (SELECT s.rid, p.verdict, array_to_string(p.ante, ' ') AS by_, row_number() OVER (PARTITION BY s.rid ORDER BY p.conf DESC, p.k DESC, len(p.ante), array_to_string(p.ante, ' ')) AS o
-      FROM s JOIN p ON s.ante = p.ante WHERE s.listed IS NULL)
+      FROM e s JOIN p ON list_has_all(s.tokens, p.ante) WHERE s.listed IS NULL)
 SELECT page_id, host, path, rule, coalesce(listed, m.verdict, '{DEFAULT}') AS verdict, m.by_ AS mined_rule
 FROM e LEFT JOIN m ON e.rid = m.rid AND m.o = 1"""

@@ -48,3 +48,16 @@ def test_edges(spark):
     assert compare(U.judged(df), con, U.oracle()) == []
     assert {r.verdict for r in U.judged(df.where("url LIKE '%b.org%'")).collect()} == {"allow"}
     assert U.judged(df.limit(0)).collect() == []
+
+
+def test_a_rule_of_four_tokens_decides(spark):
+    kinds = ["http://a.net/es/1.html?q=1", "http://a.com/es/1.html", "http://a.com/es/1?q=1", "http://a.com/x/1.html?q=1", "https://a.com/es/1.html?q=1"]
+    rows = [(i, kinds[i % 5]) for i in range(200)] + [(900, "http://b.org/es/7.html?q=2"), (901, "http://b.org/es/7.html")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in U.judged(df).collect()}
+    assert got[900].verdict == "block" and len(got[900].mined_rule.split(" ")) == 4
+    assert got[901].verdict == "allow"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert compare(U.judged(df), con, U.oracle()) == []
