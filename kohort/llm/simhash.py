@@ -124,21 +124,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, list_limit: int = L
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """One named row of each component: that of the smallest doc_id, of several rows of it in the
-    component the first by a hash of the whole row. Of the component's rows without a doc_id one
-    stays too, the first by that hash, so a component of such rows only keeps one."""
+    """One row of each component: that of the smallest doc_id (nulls last), of several the first by a
+    hash of the whole row. The columns travel as one, so no name can clash."""
     cols = docs.columns
     # a row is known by 128 bits of all its columns; nulls, which the hash skips, by their places
     whole = [*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols]]
-    known = docs.select("*", F.xxhash64(F.lit(1), *whole).alias("_h1"), F.xxhash64(F.lit(2), *whole).alias("_h2"))
-    rows = with_fingerprints(known, k, ("_h1", "_h2"))
-    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_h1", "_h2")))
-    unnamed = F.min(F.when(F.col("doc_id").isNull(), F.struct("doc_id", "_h1", "_h2")))
-    distinct = cut(rows.groupBy("fp").agg(named.alias("named"), unnamed.alias("unnamed")))
-    first = _with_roots(distinct, list_limit).groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
-    kept = first.select(F.explode(F.array_compact(F.array("named", "unnamed"))).alias("r")).select("r._h1", "r._h2")
+    known = docs.select(F.struct(*cols).alias("row"), F.xxhash64(F.lit(1), *whole).alias("h1"), F.xxhash64(F.lit(2), *whole).alias("h2"))
+    asked = known.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "h1", "h2")
+    rows = with_fingerprints(asked, k, ("h1", "h2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2"))
+    distinct = cut(rows.groupBy("fp").agg(first.alias("first")))
+    kept = _with_roots(distinct, list_limit).groupBy("root").agg(F.min("first").alias("r")).select("r.h1", "r.h2")
     # equal rows have one fingerprint, so one component; they collapse before they are dealt out
-    return known.dropDuplicates(["_h1", "_h2"]).join(kept.hint("merge"), ["_h1", "_h2"], "left_semi").select(*cols)
+    return known.dropDuplicates(["h1", "h2"]).join(kept.hint("merge"), ["h1", "h2"], "left_semi").select(*[F.col("row")[c].alias(c) for c in cols])
 
 
 def digest(docs: DataFrame) -> DataFrame:
