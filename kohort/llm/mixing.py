@@ -14,14 +14,15 @@
    used more than ``max_repeats`` times, so no document is.
 5. Blocks are joined by (source, index).
 
-Permutations are swap-or-not shuffles: any domain size, no cycle walking, a few integer
-operations a round, computed in the JVM. All numbers follow from the rows and the seed, so
+Permutations are swap-or-not shuffles: any domain size up to 2^62, no cycle walking, two hashes
+a round, computed in the JVM. All numbers follow from the rows and the seed, so
 reruns and recomputed partitions agree.
 
 Defined results: a null text has size 0; a document of size 0 is never taken; null is a
 source of its own, ordered last; a source of size 0 has target 0; rows with a null or
 repeated doc_id are documents of their own; an empty table gives an empty result; other
-columns are not read.
+columns are only hashed, to tell rows apart, and carried. Sources are few: the order of sources
+and the level of their targets are one pass over a table of a row a source.
 """
 
 from __future__ import annotations
@@ -33,32 +34,36 @@ from kohort.llm.common import cut
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+SHARDS_A_PART = 4096
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 12
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
-_P = 2147483647
 
 
 def permuted(df: DataFrame, x: str, n: str, key: str, name: str, rounds: int = ROUNDS) -> DataFrame:
     """Adds ``name``: the place of x in a pseudorandom permutation of [0, n) chosen by key.
     x, n and key are SQL expressions of long columns. All rounds are one expression."""
-    swap = f"((_key * 1000003 + r * 7919 + 12345) % {_P} * 48271 % {_P}) % _m"  # the round's partner sum
-    partner = f"({swap} + _m - x) % _m"
-    h = f"((greatest(x, {partner}) % {_P} * 31 + _key * 104729 + r * 15485863) % {_P} * 69621 + 11) % {_P}"
-    step = f"CASE WHEN ({h}) * ({h}) % {_P} div 1024 % 2 = 1 THEN {partner} ELSE x END"
+    partner = "(pmod(xxhash64(_key, r), _m) + _m - x) % _m"  # x and its partner add up to the round's sum
+    step = f"CASE WHEN xxhash64(greatest(x, {partner}), r, _key) % 2 = 0 THEN {partner} ELSE x END"
     place = f"aggregate(transform(sequence(1, {rounds}), i -> CAST(i AS BIGINT)), _x, (x, r) -> {step})"
-    df = df.select("*", *[F.expr(e).cast("long").alias(c) for c, e in (("_x", x), ("_m", n), ("_key", f"({key}) % {_P}"))])
+    df = df.select("*", *[F.expr(e).cast("long").alias(c) for c, e in (("_x", x), ("_m", n), ("_key", key))])
     return df.withColumn(name, F.expr(place)).drop("_x", "_m", "_key")
 
 
+def _row_hash(docs: DataFrame):
+    """A hash of all columns; nulls, which it skips, are told by their places."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, copy, size); copy numbers the rows of one doc_id."""
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(*docs.columns).alias("row_hash"),
+    """(doc_id, rid, copy, source, size): rid is a hash of the row; equal rows are counted (in part before they
+    are shuffled) and numbered by copy."""
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _row_hash(docs).alias("rid"),
                         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("row_hash"))
-    return cut(small.withColumn("copy", copy).drop("row_hash"))
+    counts = small.groupBy("doc_id", "rid", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    return cut(counts.select("doc_id", "rid", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")))
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -103,29 +108,35 @@ def draw_slots(sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SL
     # each shard's draw: how many slots each source fills
     counts = (dealt.withColumn("shard", F.expr(f"g div {shard_slots}"))
               .groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("n_blocks").alias("n_blocks")))
-    ahead = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("t0", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    # a source's slots ahead of each shard, on two levels: a hot source has a row a shard
+    counts = counts.withColumn("part", F.expr(f"shard div {SHARDS_A_PART}"))
+    parts = counts.groupBy("sid", "part").agg(F.sum("n").alias("in_part"))
+    earlier = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("sid", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base"))
+    ahead = Window.partitionBy("sid", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("t0", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(parts.hint("merge"), ["sid", "part"])
+              .withColumn("t0", F.col("t0") + F.col("base")).drop("part", "base"))
     slots = _spread(counts, "t0", "t0 + n", "t")
     slots = slots.withColumn("pass", F.expr("t div n_blocks"))
     return permuted(slots, "t % n_blocks", "n_blocks", f"(sid * 97 + pass + {seed % 999983})", "block").select("shard", "sid", "t", "pass", "block")
 
 
 def packed(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Where documents lie in the blocks of their source: doc_id, copy, size, sid, block, and the
+    """Where documents lie in the blocks of their source: doc_id, rid, copy, size, sid, block, and the
     document's words [lo, hi) that the block holds. Documents of size 0 lie nowhere."""
     n = rows.count()
     buckets = max(1, int(n ** 0.5))
     named = (rows.where("size > 0").alias("r").join(sources.select("source", "sid").alias("s"), F.expr("r.source <=> s.source"))
-             .select("doc_id", "copy", "size", "sid"))
-    named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)))
+             .select("doc_id", "rid", "copy", "size", "sid"))
+    named = named.withColumn("bucket", F.pmod(F.xxhash64("rid", "copy"), F.lit(buckets)))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "rid", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = (named.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .join(sums, ["sid", "bucket"]).withColumn("start", F.expr("base + off")))
     return (placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
-            .select("doc_id", "copy", "size", "sid", "block",
+            .select("doc_id", "rid", "copy", "size", "sid", "block",
                     F.expr(f"greatest(0L, block * {block_words} - start)").alias("lo"),
                     F.expr(f"least(size, (block + 1) * {block_words} - start)").alias("hi")))
 
@@ -142,10 +153,10 @@ def digest(docs: DataFrame) -> DataFrame:
     rows, sources, slots, pieces = mix(docs)
     used = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     # slots and pieces grow with the input though they come from a few rows: never broadcast them
-    taken = (pieces.join(used.hint("merge"), ["sid", "block"]).groupBy("doc_id", "copy")
+    taken = (pieces.join(used.hint("merge"), ["sid", "block"]).groupBy("doc_id", "rid", "copy")
              .agg(F.sum(F.expr("(hi - lo) * times")).alias("taken")))
     return (rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source"))
-            .join(taken.hint("merge").alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.copy = t.copy"), "left")
+            .join(taken.hint("merge").alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.rid = t.rid AND r.copy = t.copy"), "left")
             .select("r.doc_id", "r.size", "s.source_size", "s.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken")))
 
 
@@ -155,15 +166,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     order, joined by a space; n_chars follows)."""
     _, _, slots, pieces = mix(docs)
     parts = (pieces.join(slots.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
-             .groupBy("doc_id", "copy", "size", "pass")
-             .agg(F.sum(F.expr("hi - lo")).alias("_taken"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
-             .select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.expr("_taken = size").alias("_whole"),
-                     F.expr("CASE WHEN _taken < size THEN _spans END").alias("_spans")))
+             .groupBy("doc_id", "rid", "copy", "size", "pass")
+             .agg(F.sum(F.expr("hi - lo")).alias("taken"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+             .select("doc_id", "rid", F.expr("taken = size").alias("whole"), F.expr("CASE WHEN taken < size THEN spans END").alias("spans")))
+    # columns travel as one, so no name can clash; equal rows collapse, each copy has parts of its own
     cols = docs.columns
-    rows = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*cols))))
-    some = F.expr(f"array_join(flatten(transform(_spans, s -> slice(regexp_extract_all(text, r'({WORD})', 1), CAST(s.lo + 1 AS INT), CAST(s.hi - s.lo AS INT)))), ' ')")
-    out = (rows.join(parts.hint("merge"), F.expr("doc_id <=> _id AND _n = _copy"))
-           .withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some)))
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("rid"), F.struct(*cols).alias("row"))
+            .groupBy("doc_id", "rid").agg(F.first("row").alias("row")))
+    # the text is split once, whatever the number of spans
+    some = F.expr(f"transform(array(regexp_extract_all(row.text, r'({WORD})', 1)), w -> "
+                  "array_join(flatten(transform(spans, s -> slice(w, CAST(s.lo + 1 AS INT), CAST(s.hi - s.lo AS INT)))), ' '))[0]")
+    out = (rows.alias("d").join(parts.hint("merge").alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.rid = p.rid"))
+           .select("row", F.when(F.col("whole"), F.col("row.text")).otherwise(some).alias("taken")))
+    named = {c: F.col("row")[c] for c in cols} | {"text": F.col("taken")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+        named["n_chars"] = F.length("taken").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[named[c].alias(c) for c in cols])

@@ -89,3 +89,51 @@ def test_shards_draw_all_slots(spark):
     per = {r.shard: r["count"] for r in slots.groupBy("shard").count().collect()}
     assert sum(per.values()) == total and all(n == 100 for s, n in per.items() if s < max(per))
     assert slots.groupBy("sid", "block").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_permutations_mix_large_domains(spark):
+    for n in (10 ** 12, 3 * 10 ** 15):
+        step = n // 5000
+        df = mixing.permuted(spark.range(5000).selectExpr(f"id * {step}L AS id", f"{n}L AS n"), "id", "n", "7L", "p")
+        got = [(r.id, r.p) for r in df.collect()]
+        assert len({p for _, p in got}) == 5000 and all(0 <= p < n for _, p in got)
+        tenths = Counter(p * 10 // n for _, p in got)
+        assert all(400 < tenths[i] < 600 for i in range(10))  # 500 each, give or take five deviations
+        stayed = sum(min(abs(p - x), abs(p + x - n)) < n // 20 for x, p in got)
+        assert stayed < 5000 * 0.25  # as chance would have it: 0.1 for each of the two
+    edge = mixing.permuted(spark.range(16).withColumn("n", F.lit(16).cast("long")), "id", "n", "9L", "p")
+    assert sorted(r.p for r in edge.collect()) == list(range(16))
+
+
+def test_packing_by_brute_force(spark):
+    rows = [(i % 30 if i % 11 else None, "w " * (i * 7 % 50), "ab"[i % 2]) for i in range(120)] + [(3, "x y", "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held, sources, _, pieces = mixing.mix(docs, block_words=16)
+    held, pieces = held.collect(), pieces.collect()
+    assert Counter((r.doc_id, r.size, r.source) for r in held) == Counter((i, size(t), s) for i, t, s in rows)
+    assert len({(r.doc_id, r.rid, r.copy) for r in held}) == len(rows)
+    names = {r.sid: (r.source, r.source_size, r.n_blocks) for r in sources.collect()}
+    blocks, spans = defaultdict(int), defaultdict(list)
+    for p in pieces:
+        assert 0 <= p.lo < p.hi <= p.size
+        blocks[p.sid, p.block] += p.hi - p.lo
+        spans[p.doc_id, p.rid, p.copy].append((p.block, p.lo, p.hi))
+    for r in held:
+        at = 0
+        for _, lo, hi in sorted(spans.get((r.doc_id, r.rid, r.copy), [])):  # a document lies in consecutive blocks, in order, once
+            assert lo == at
+            at = hi
+        assert at == r.size
+    for sid, (_, words, n) in names.items():  # all blocks are full but the last
+        assert [blocks[sid, b] for b in range(n)] == [16] * (n - 1) + [words - 16 * (n - 1)] * (n > 0)
+
+
+def test_many_rows_of_one_id_and_clashing_columns(spark):
+    rows = [(None, f"a b c {i % 100}", "s", 1, 2, 3, 70 + i % 2) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rid int, _spans int, _id int, _n int")
+    got = mixing.digest(docs).collect()
+    assert len(got) == 10_000 and {r.size for r in got} == {4} and sum(r.taken for r in got) == 40_000
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    back = [tuple(r) for r in out.collect()]
+    assert sum(size(r[1]) for r in back) == 40_000 and {r[3:6] for r in back} == {(1, 2, 3)} and {r[6] for r in back} == {70, 71}
