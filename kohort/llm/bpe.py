@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kohort.llm.common import ship
 
-CACHE_ENTRIES = 100_000  # a generation; two are held, some 30 MB each
+CACHE_ENTRIES = 300_000  # a generation; two are held, some 60 MB each
 CACHE_CHARS = 64         # longer pre-tokens are not remembered
 _NEAR = 0x250
 _FAR = re.compile("[^\x00-\u024f]").search
@@ -91,6 +91,8 @@ class Codec:
         # its pair with the next symbol is filed
         n = len(piece)
         pair, single = self.pair, self.single
+        if n == 2:
+            return [single[piece[0]], single[piece[1]]]
         tok = [single[x] for x in piece]
         made = [pair[x << 8 | y] for x, y in zip(piece, piece[1:])]
         made.append(-1)
