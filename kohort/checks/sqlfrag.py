@@ -280,3 +280,31 @@ FROM (SELECT m.*, {moved} AS moved FROM (
 
 def with_kmeans(select: str, ks: list[int], *extra: str) -> str:
     return with_clean(select, scaled_cte(), kmeans_ctes(ks), *extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# --- K11 PCA -----------------------------------------------------------------------
+
+def pca_ctes(src: str = "scaled", squarings: int = 24) -> str:
+    """The two leading components of the s_ columns: the covariance matrix is squared repeatedly, which
+    leaves the projection on its leading eigenvector; the second one is that of the matrix without
+    the first. ``pcs`` (pc, i, w, lambda), the largest loading positive; ``trace`` (t)."""
+    s = [f"s_{f}" for f in FEATURES]
+    cov = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, coalesce(covar_samp({a}, {b}), 0) AS v FROM {src}" for i, a in enumerate(s) for j, b in enumerate(s))
+    out = [f"cov1 AS MATERIALIZED ({cov})", "trace AS (SELECT sum(v) AS t FROM cov1 WHERE i = j)"]
+    for n in (1, 2):
+        out.append(f"""sq{n} AS (SELECT 0 AS it, i, j, v FROM cov{n}
+UNION ALL SELECT it, i, j, v / sqrt(sum(v * v) OVER ()) FROM (SELECT a.it + 1 AS it, a.i, b.j, sum(a.v * b.v) AS v FROM sq{n} a JOIN sq{n} b ON a.j = b.i WHERE a.it < {squarings} GROUP BY a.it, a.i, b.j))""")
+        out.append(f"raw{n} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS w FROM sq{n} WHERE it = {squarings} AND j = (SELECT i FROM sq{n} WHERE it = {squarings} AND i = j ORDER BY v DESC, i LIMIT 1))")
+        out.append(f"pc{n} AS MATERIALIZED (SELECT i, w * (SELECT sign(w) FROM raw{n} ORDER BY abs(w) DESC, i LIMIT 1) AS w FROM raw{n})")
+        out.append(f"lam{n} AS MATERIALIZED (SELECT sum(a.w * c.v * b.w) AS l FROM cov{n} c JOIN pc{n} a ON a.i = c.i JOIN pc{n} b ON b.i = c.j)")
+        if n == 1:
+            out.append("cov2 AS MATERIALIZED (SELECT c.i, c.j, c.v - l * a.w * b.w AS v FROM cov1 c JOIN pc1 a ON a.i = c.i JOIN pc1 b ON b.i = c.j, lam1)")
+    mean = ", ".join(f"avg({x}) AS {x}" for x in s)
+    out.append(f"mid AS (SELECT {mean} FROM {src})")
+    xs = [f"(" + " + ".join(f"(p.{x} - mid.{x}) * (SELECT w FROM pc{n} WHERE i = {i})" for i, x in enumerate(s)) + f") AS pc{n}" for n in (1, 2)]
+    out.append(f"proj AS (SELECT p.row_id, {', '.join(xs)} FROM {src} p, mid)")
+    return ",\n".join(out)
+
+
+def with_pca(select: str) -> str:
+    return with_lloyd(select, pca_ctes()).replace("WITH ", "WITH RECURSIVE ", 1)

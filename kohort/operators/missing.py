@@ -78,9 +78,8 @@ def group_median_fill(df: DataFrame, cols: list[str], group: str = "desa") -> Da
     """NULL -> median of its group, else the global median (a NULL group uses
     the global median).
 
-    Group medians are exact and skew-safe (``quantiles.group_medians``: a sketch per
-    group brackets the middle ranks, only in-bracket values are ranked); one join
-    brings every column's group median back.
+    Group medians are exact and skew-safe (``quantiles.group_medians``: intervals around the
+    middle ranks are narrowed by counts); one join brings every column's group median back.
     """
     glob = exact_medians(df, cols)
     med = group_medians(df, group, cols).withColumnRenamed("median", "m")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohort.session import materialize
@@ -158,59 +158,70 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
-def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = ACCURACY) -> DataFrame:
+GRID = [i / 64 for i in range(65)]      # ranks that a sketch of an open interval brackets
+
+
+def group_medians(df: DataFrame, group: str, cols: list[str], accuracy: int = ACCURACY, fetch: int = FETCH) -> DataFrame:
     """Exact median of each column per group, as rows (group, i, median), i = column index.
 
-    Per (group, column) a ``percentile_approx`` sketch (bounded memory, partial
-    aggregation) brackets the middle ranks; only values inside the bracket (about
-    6/accuracy of the group) are counted and ranked, so a group holding a third of
-    the rows never sends its rows, or all of its distinct values, to one task.
-    Brackets that miss are widened tenfold, for those groups only, until none does.
+    A table holds, for every (group, column, middle rank), the open interval (lo, hi) in which the
+    rank's value lies, the number of values up to lo and of those inside. Where at most ``fetch``
+    values are inside, their counted distinct values are read off. Wider intervals are narrowed: a
+    sketch (bounded memory, partial aggregation) offers 65 values, one pass counts how many
+    values lie below, at and between them, and the interval shrinks to about a 64th. Only counts
+    and short lists are ever gathered by group, so a group that holds a third of the rows is like
+    any other; every pass excludes the values it tested, so it ends whatever the sketch does.
     """
-    widths, w = [], 3.0 / accuracy
-    while w < 0.5:
-        widths.append(w)
-        w *= 10
-    widths.append(1.0)
-    probes = sorted({min(1.0, max(0.0, 0.5 + s * w)) for w in widths for s in (-1, 1)})
     parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
-    long = (df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*parts)).alias("e"))
-              .select(group, "e.i", "e.v").where(F.col("v").isNotNull()))
-    sketch = (long.groupBy(group, "i")
-                  .agg(F.count("v").alias("n"), F.percentile_approx("v", probes, accuracy).alias("p"))
-                  .select(group, "i", "n", "p", F.floor((F.col("n") - 1) / 2).alias("r0"), F.ceil((F.col("n") - 1) / 2).alias("r1")))
-
-    def brackets(rows: DataFrame, width: float) -> DataFrame:
-        lo, hi = (probes.index(min(1.0, max(0.0, 0.5 + s * width))) for s in (-1, 1))
-        ends = (None, None) if width >= 0.5 else (F.col("p")[lo], F.col("p")[hi])
-        return rows.select(group, "i", "r0", "r1", *[(F.lit(None).cast("double") if e is None else e).alias(n) for e, n in zip(ends, ("lo", "hi"))])
-
-    def solve(brackets: DataFrame) -> DataFrame:
-        # one row per (group, column): joined by AQE as a broadcast when small
-        j = long.join(brackets, [group, "i"])
-        below = (j.where(F.col("lo").isNotNull() & (F.col("v") < F.col("lo")))
-                  .groupBy(group, "i").agg(F.count(F.lit(1)).alias("below")))
-        inside = (j.where((F.col("lo").isNull() | (F.col("v") >= F.col("lo"))) &
-                          (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
-                   .groupBy(group, "i", "v").agg(F.count(F.lit(1)).alias("c")))
-        w = Window.partitionBy(group, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = inside.withColumn("_hi", F.sum("c").over(w)).withColumn("_lo", F.col("_hi") - F.col("c"))
-        ranked = (ranked.join(brackets.select(group, "i", "r0", "r1"), [group, "i"])
-                        .join(below, [group, "i"], "left")
-                        .withColumn("below", F.coalesce("below", F.lit(0))))
-        r0 = F.col("r0") - F.col("below")
-        r1 = F.col("r1") - F.col("below")
-        return ranked.groupBy(group, "i").agg(
-            F.max(F.when((F.col("_lo") <= r0) & (r0 < F.col("_hi")), F.col("v"))).alias("a"),
-            F.max(F.when((F.col("_lo") <= r1) & (r1 < F.col("_hi")), F.col("v"))).alias("b"))
-
-    out, rest = None, sketch
-    for width in widths:
-        got = solve(brackets(rest, width)).where("a IS NOT NULL AND b IS NOT NULL").select(group, "i", ((F.col("a") + F.col("b")) / 2).alias("median"))
-        # one row per (group, column), read again below; its lineage is cut in the shared folder on a cluster
-        got = materialize(got)
-        out = got if out is None else out.unionByName(got)
-        rest = materialize(rest.join(got, [group, "i"], "left_anti"))
-        if rest.isEmpty():
-            break
-    return out
+    long = (df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(F.array(*parts)).alias("e"))
+              .select("g", "e.i", "e.v").where(F.col("v").isNotNull()))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2).cast("long"), F.ceil((F.col("n") - 1) / 2).cast("long")))
+    none = F.lit(None).cast("double")
+    state = materialize(long.groupBy("g", "i").agg(F.count("v").alias("n")).select("g", "i", F.explode(ranks).alias("r"), none.alias("lo"), none.alias("hi"),
+                                                                                   F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")))
+    done = None
+    while True:
+        found = _read_off(long, state.where(F.col("inside") <= fetch))
+        wide = state.where(F.col("inside") > fetch)
+        if not wide.isEmpty():
+            narrowed = materialize(_narrowed(long, wide, accuracy))
+            found = found.unionByName(narrowed.where("value IS NOT NULL").select("g", "i", "r", "value"))
+            state = narrowed.where("value IS NULL").drop("value")
+            done = materialize(found) if done is None else done.unionByName(materialize(found))
+            continue
+        done = found if done is None else done.unionByName(found)
+        return done.groupBy("g", "i").agg(F.avg("value").alias("median")).select(F.col("g").alias(group), "i", "median")
+
+
+def _inside(long: DataFrame, state: DataFrame) -> DataFrame:
+    """The values inside the intervals; a row of state each at most, joined by AQE as a broadcast when small."""
+    open_ = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
+    return long.join(state, ["g", "i"]).where(open_)
+
+
+def _read_off(long: DataFrame, state: DataFrame) -> DataFrame:
+    """(g, i, r, value) of intervals with few values."""
+    counts = _inside(long, state).groupBy("g", "i", "r", "v").agg(F.count(F.lit(1)).alias("c"), F.first("below").alias("below"))
+    lists = counts.groupBy("g", "i", "r").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("l"), F.first("below").alias("below"))
+    at = ("aggregate(l, named_struct('at', below, 'value', CAST(NULL AS DOUBLE)), (s, x) -> named_struct('at', s.at + x.c, "
+          "'value', coalesce(s.value, CASE WHEN r < s.at + x.c THEN x.v END))).value")
+    return lists.select("g", "i", "r", F.expr(at).alias("value"))
+
+
+def _narrowed(long: DataFrame, state: DataFrame, accuracy: int) -> DataFrame:
+    """The intervals after one sketch and one pass of counts; value where the rank is one of the values tested."""
+    keys = ["g", "i", "r"]
+    inside = _inside(long, state)
+    probes = inside.groupBy(*keys).agg(F.percentile_approx("v", GRID, accuracy).alias("p")).withColumn("p", F.array_sort(F.array_distinct("p")))
+    # how many values lie below the first probe, at it, between it and the next, ...: 2 * (probes below) + (1 if at a probe)
+    place = F.expr("2 * size(filter(p, x -> x < v)) + CASE WHEN array_contains(p, v) THEN 1 ELSE 0 END")
+    counts = inside.join(probes, keys).groupBy(*keys, place.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    lists = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("l"))      # at most 131 counts
+    hit = ("aggregate(l, named_struct('at', below, 'k', -1, 'below', below, 'c', 0L), (s, x) -> CASE WHEN s.k < 0 AND r < s.at + x.c "
+           "THEN named_struct('at', s.at + x.c, 'k', x.k, 'below', s.at, 'c', x.c) ELSE named_struct('at', s.at + x.c, 'k', s.k, 'below', s.below, 'c', s.c) END)")
+    both = state.join(probes, keys).join(lists, keys).withColumn("h", F.expr(hit))
+    at_probe = F.expr("h.k % 2 = 1")
+    return both.select(*keys, F.expr("CASE WHEN h.k >= 2 THEN p[CAST(h.k DIV 2 AS INT) - 1] ELSE lo END").alias("lo"),
+                       F.expr("CASE WHEN CAST(h.k DIV 2 AS INT) < size(p) THEN p[CAST(h.k DIV 2 AS INT)] ELSE hi END").alias("hi"),
+                       F.expr("h.below").alias("below"), F.expr("h.c").alias("inside"),
+                       F.when(at_probe, F.expr("p[CAST(h.k DIV 2 AS INT)]")).alias("value"))

@@ -111,13 +111,24 @@ def radar_profile(df: DataFrame, feats: list[str], label: str = "cluster", eps:
                                  for f in feats])
 
 
+def village_chunks(df: DataFrame, district: str = "kecamatan", village: str = "desa", most: int = 1000) -> DataFrame:
+    """The distinct villages of each district in order, in numbered chunks of at most ``most``:
+    (district, chunk, n_villages, villages). NULL counts as a village and comes last; no list grows
+    with the data."""
+    pairs = materialize(df.select(district, village).distinct().withColumn("_none", F.col(village).isNull()))
+    ranked = global_rank(pairs, [district, "_none", village], "_at")
+    first = ranked.groupBy(F.col(district).alias("_d")).agg(F.min("_at").alias("_first"))
+    numbered = ranked.join(first, F.col(district).eqNullSafe(F.col("_d"))).select(district, village, (F.col("_at") - F.col("_first")).alias("_at"))
+    return (numbered.withColumn("chunk", F.expr(f"_at div {most}")).groupBy(district, "chunk")
+            .agg(F.count(F.lit(1)).alias("n_villages"), F.sort_array(F.collect_list(F.struct("_at", F.col(village).alias("v")))).alias("l"))
+            .select(district, "chunk", "n_villages", F.array_compact(F.col("l.v")).alias("villages")))
+
+
 def villages_per_district(df: DataFrame, district: str = "kecamatan", village: str = "desa") -> DataFrame:
-    """The distinct villages of each district (a NULL village counts as a value)."""
-    # one list per district is the result asked for; it holds distinct villages, found before the list is made
-    pairs = df.select(district, village).distinct()
-    return pairs.groupBy(district).agg(
-        F.count(F.lit(1)).alias("n_villages"),
-        F.array_join(F.array_sort(F.collect_list(village)), ", ").alias("villages"))
+    """The chunks of each district joined to its count and one text."""
+    return (village_chunks(df, district, village).groupBy(district)
+            .agg(F.sum("n_villages").alias("n_villages"), F.sort_array(F.collect_list(F.struct("chunk", "villages"))).alias("l"))
+            .select(district, "n_villages", F.array_join(F.flatten(F.col("l.villages")), ", ").alias("villages")))
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:

@@ -298,6 +298,25 @@ def f11(spark, sf):
     return search_page(t, "NATION_2", "row_id", True, page=2, size=10)
 
 
+_PAGE_COLS = ["row_id", "kecamatan", "desa", "nik", "nama"]
+
+
+@register("f11_late_page", _raw(f"SELECT {', '.join(_PAGE_COLS)} FROM raw ORDER BY nama DESC NULLS LAST, row_id LIMIT 10 OFFSET 9990"))
+def f11_late(spark, sf):
+    """Page 1,000 of all rows by name, cut out by global places."""
+    from kohort.sources.screening import search_page
+    return search_page(raw_screening(spark, sf).select(*_PAGE_COLS), "", "nama", False, page=1000, size=10)
+
+
+@register("f11_next_page", _raw(f"SELECT {', '.join(_PAGE_COLS)} FROM raw ORDER BY nama, row_id LIMIT 25 OFFSET 25"))
+def f11_next(spark, sf):
+    """The second page of 25, from the last row of the first."""
+    from kohort.sources.screening import next_page, search_page
+    t = raw_screening(spark, sf).select(*_PAGE_COLS)
+    last = search_page(t, "", "nama", True, page=1, size=25).collect()[-1]      # a page
+    return next_page(t, (last["nama"], last["row_id"]), "", "nama", True, size=25)
+
+
 _F12 = ["kolesterol", "gdp", "gd2pp"]
 
 

@@ -299,15 +299,18 @@ def k12(spark, sf):
     return pca.covariance_long(res.table, res.features).withColumn("covariance", F.round("covariance", 6))
 
 
-@register("k11_pca_2d")
+_PCA_VARS = ", ".join(f"{Q.rnd(f'(SELECT l FROM lam{n}) / (SELECT t FROM trace)', 6)} AS var_pc{n}" for n in (1, 2))
+
+
+@register("k11_pca_2d", Q.with_pca(
+    f"SELECT row_id, labels.cluster, {Q.rnd('pc1', 4)} AS x, {Q.rnd('pc2', 4)} AS y, nama, desa, {_PCA_VARS} FROM proj JOIN labels USING (row_id) JOIN clean USING (row_id)"))
 def k11(spark, sf):
     res = clustered(spark, sf)
     model = pca.fit_pca(res.labelled, S_COLS, 2)
     out = pca.project(res.labelled, model)
     return out.select("row_id", "cluster", F.round("pc1", 4).alias("x"), F.round("pc2", 4).alias("y"),
                       "nama", "desa",
-                      F.lit(float(model.explained_variance_ratio[0])).alias("var_pc1"),
-                      F.lit(float(model.explained_variance_ratio[1])).alias("var_pc2"))
+                      *[F.lit(round(float(v), 6)).alias(f"var_pc{i}") for i, v in enumerate(model.explained_variance_ratio[:2], 1)])
 
 
 # --- K02 / K04 / K05 K-Means with restarts -------------------------------------------
@@ -494,7 +497,8 @@ def s19(spark, sf):
     return out.select(m[F.col("parameter")].alias("parameter"), "value")
 
 
-@register("k13_scatter_dataset")
+@register("k13_scatter_dataset", Q.with_pca(
+    f"SELECT {Q.rnd('pc1', 4)} AS x, {Q.rnd('pc2', 4)} AS y, labels.cluster, nama, desa, {_PCA_VARS} FROM proj JOIN labels USING (row_id) JOIN clean USING (row_id)"))
 def k13(spark, sf):
     """PCA x/y (4 places), cluster, name and village ('' only when the column is absent), and
     the variance ratios of the two axes."""

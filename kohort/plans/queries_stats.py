@@ -121,6 +121,15 @@ def a16(spark, sf):
     return stats.villages_per_district(raw_screening(spark, sf))
 
 
+@register("a16_village_chunks", "WITH " + Q.raw_cte() + """
+SELECT kecamatan, chunk, count(*) AS n_villages, array_to_string(list(desa ORDER BY pos) FILTER (WHERE desa IS NOT NULL), '|') AS villages
+FROM (SELECT kecamatan, desa, pos, pos // 3 AS chunk FROM (SELECT kecamatan, desa, row_number() OVER (PARTITION BY kecamatan ORDER BY desa IS NULL, desa) - 1 AS pos
+  FROM (SELECT DISTINCT kecamatan, desa FROM raw))) GROUP BY kecamatan, chunk""")
+def a16_chunks(spark, sf):
+    """A16 in chunks of three villages."""
+    return stats.village_chunks(raw_screening(spark, sf), most=3).withColumn("villages", F.array_join("villages", "|"))
+
+
 @register("w05_silhouette_profile", _eval_sql() +
           ",\nord AS (SELECT own, row_number() OVER (ORDER BY own) AS o FROM (SELECT DISTINCT own FROM pt))"
           f"\nSELECT own AS label, {Q.rnd('s', 6)} AS silhouette, "

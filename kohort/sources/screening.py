@@ -8,6 +8,8 @@ import csv
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kohort.session import materialize
+
 from kohort import config as C
 from kohort.functions.text import clean_header
 
@@ -111,14 +113,49 @@ def preview(df: DataFrame, n: int = 10, order: str = "row_id") -> DataFrame:
     return df.orderBy(F.col(order).asc()).limit(n)
 
 
+PAGE_SIZES = (5, 10, 25, 50, 100)
+
+
+def matching(df: DataFrame, term: str = "") -> DataFrame:
+    """The rows that hold the term in any column, whatever its case."""
+    if not term:
+        return df
+    return df.where(F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns])).contains(term.lower()))
+
+
 def search_page(df: DataFrame, term: str = "", order_by: str = "row_id", ascending: bool = True,
-                page: int = 1, size: int = 10) -> DataFrame:
-    """case-insensitive text search over all columns, ordered, one page."""
-    if size not in (5, 10, 25, 50, 100):
+                page: int = 1, size: int = 10, key: str = "row_id") -> DataFrame:
+    """case-insensitive text search over all columns, ordered (ties by ``key``), one page.
+
+    The page is cut out by global places (rows counted per sorted range), so no task or driver holds
+    the rows of the pages before it. ``next_page`` goes on from a page's last row."""
+    from kohort.operators.stats import global_rank
+    if size not in PAGE_SIZES:
+        raise ValueError("page size must be one of 5, 10, 25, 50, 100")
+    found = matching(df, term)
+    if page == 1:
+        return found.orderBy(*_order(order_by, ascending, key)).limit(size)
+    names = list(dict.fromkeys([order_by, key]))
+    places = global_rank(materialize(found.select(*names)), _order(order_by, ascending, key), "_place")
+    first = (page - 1) * size
+    wanted = places.where(F.col("_place").between(first, first + size - 1)).select(F.col(key).alias("_key"))      # at most size rows
+    return found.join(F.broadcast(wanted), F.col(key) == F.col("_key"), "left_semi").orderBy(*_order(order_by, ascending, key))
+
+
+def next_page(df: DataFrame, after: tuple, term: str = "", order_by: str = "row_id", ascending: bool = True, size: int = 10, key: str = "row_id") -> DataFrame:
+    """the page that follows the row ``after`` = (value of ``order_by``, key): a filter and a top-k,
+    whatever the page's number."""
+    if size not in PAGE_SIZES:
         raise ValueError("page size must be one of 5, 10, 25, 50, 100")
-    out = df
-    if term:
-        txt = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
-        out = out.where(txt.contains(term.lower()))
-    key = F.col(order_by).asc() if ascending else F.col(order_by).desc()
-    return out.orderBy(key).offset((page - 1) * size).limit(size)
+    value, last = after
+    x, k = F.col(order_by), F.col(key)
+    if value is None:       # nulls come first when ascending, last when descending
+        later = x.isNull() & (k > F.lit(last))
+        later = later | x.isNotNull() if ascending else later
+    else:
+        later = (x > F.lit(value)) | ((x == F.lit(value)) & (k > F.lit(last))) if ascending else (x < F.lit(value)) | ((x == F.lit(value)) & (k > F.lit(last))) | x.isNull()
+    return matching(df, term).where(later).orderBy(*_order(order_by, ascending, key)).limit(size)
+
+
+def _order(order_by: str, ascending: bool, key: str) -> list:
+    return [F.col(order_by).asc() if ascending else F.col(order_by).desc(), F.col(key).asc()]
