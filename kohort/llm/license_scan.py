@@ -7,8 +7,9 @@ of words ending there that occurs in any template (the matching statistics). Fro
 * base places: a phrase ends where the current match is at least as long as the phrase and the
   phrase is a suffix of the automaton's state (marked along suffix links);
 * spans: matches that cannot be extended and have at least ``MIN_MATCH`` words are chained, per
-  template, in order of place and template offset with gaps of at most ``MAX_GAP`` words; a
-  chain that covers at least ``MIN_COVER`` of its template is a span and gives its label.
+  template, in order of place and template offset with gaps of at most ``MAX_GAP`` words, so
+  that most words are covered; a chain that covers at least ``MIN_COVER`` of its template is a
+  span and gives its label.
 
 The score is the largest share of a template (base phrases included) that a chain covers.
 The automaton depends on the templates alone, so it is built once per worker; files are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,31 +161,33 @@ class Automaton:
         return base, matches
 
     def chains(self, matches):
-        """Best chains as (template, share covered, first word, end): matches of one template in
-        ascending place and offset, gaps up to MAX_GAP."""
-        open_: dict[int, list] = {}  # template -> [words covered, first, end, offset reached]
-        done = []
-
-        def close(t):
-            covered, first, end, _ = open_.pop(t)
-            done.append((t, covered / len(self.sequences[t]), first, end))
-
+        """Best chains as (template, share covered, first word, end).
+
+        A match is a fragment at each of its template places. Fragments of a template follow one
+        another in ascending end and offset, a next one beginning at most MAX_GAP words behind
+        the last; it adds the words that lie behind both the end and the offset reached. Every
+        fragment takes the predecessor that covers most (then the later first word), so no stray
+        match can break a chain. Matches come in ascending end and start, so a fragment that is
+        too far behind stays so: those held reach back a template's length at most. Of the chains
+        that share a first fragment the one that covers most is given."""
+        held: dict[int, list] = {}  # template -> fragments still in reach: (end, offset, covered, first word, chain)
+        best: list[tuple] = []      # by chain: (template, covered, first word, end)
         for end, l, s in matches:
-            for t in {t for t, _ in self.places[s]}:
-                held = open_.get(t)
-                if held is not None and end - l - held[2] <= MAX_GAP:
-                    # continue at the first place whose new words lie behind the offset reached
-                    ahead = [o for u, o in self.places[s] if u == t and o > held[3]]
-                    if ahead:
-                        held[0] += min(l, end - held[2], ahead[0] - held[3])
-                        held[2], held[3] = end, ahead[0]
-                        continue
-                if held is not None:
-                    close(t)
-                open_[t] = [l, end - l, end, min(o for u, o in self.places[s] if u == t)]
-        for t in list(open_):
-            close(t)
-        return done
+            start = end - l
+            for t, places in groupby(self.places[s], key=lambda at: at[0]):
+                near = [f for f in held.get(t, ()) if start - f[0] <= MAX_GAP]
+                made = []
+                for _, offset in places:
+                    covered, first, chain = max(((c + min(l, end - e, offset - o), a, k) for e, o, c, a, k in near if e < end and o < offset),
+                                                default=(0, 0, 0))
+                    if (l, start) >= (covered, first):
+                        covered, first, chain = l, start, len(best)
+                        best.append((t, 0, 0, 0))
+                    if covered > best[chain][1]:
+                        best[chain] = (t, covered, first, end)
+                    made.append((end, offset, covered, first, chain))
+                held[t] = near + made
+        return [(t, covered / len(self.sequences[t]), first, end) for t, covered, first, end in best]
 
     def scan(self, text: bytes) -> dict:
         words = words_of(text)

@@ -68,6 +68,48 @@ def test_chains_bridge_gaps():
     assert a.scan(far.encode())["labels"] == ""
 
 
+def slow_best(a, matches, template):
+    """The most words any chain of the template covers: all chains tried, one fragment after another."""
+    frags = [(e - l, e, o, l) for e, l, s in matches for t, o in a.places[s] if t == template]
+
+    def after(f):
+        return max((min(g[3], g[1] - f[1], g[2] - f[2]) + after(g) for g in frags
+                    if g[1] > f[1] and g[2] > f[2] and g[0] - f[1] <= L.MAX_GAP), default=0)
+    return max((f[3] + after(f) for f in frags), default=0)
+
+
+def test_chains_against_all_chains():
+    a = L.Automaton(base=(("a b", "base"),), templates=(("a b c d e f g h a b c i j", "x"), ("c d e a b c d e a b", "y"), ("g h i j k l m", "z")))
+    rnd = random.Random(8)
+    seen = set()
+    for _ in range(300):
+        words = []
+        while len(words) < rnd.randrange(5, 45):
+            seq = rnd.choice(a.sequences)
+            i = rnd.randrange(len(seq))
+            words += seq[i:i + rnd.randrange(1, 7)] if rnd.random() < 0.7 else [b"stray"] * rnd.randrange(1, 11)
+        _, matches = a.stream(words)
+        got = a.chains(matches)
+        for t, seq in enumerate(a.sequences):
+            best = max((share for u, share, _, _ in got if u == t), default=0)
+            assert best == slow_best(a, matches, t) / len(seq)
+            seen.add(round(best, 1))
+        assert all(0 <= first < end <= len(words) and 0 < share <= 1 for _, share, first, end in got)
+    assert len(seen) > 8
+
+
+def test_stray_pieces_break_no_chain():
+    a = L.Automaton()
+    mit, bsd = L.TEMPLATES[0][0].split(), L.TEMPLATES[8][0].split()
+    got = a.scan(" ".join(mit[:8] + mit[15:18] + mit[8:]).encode())
+    assert got["score"] == 1 and {"label": "mit", "first": 0, "end": len(mit) + 3} in got["spans"]
+    got = a.scan(" ".join(bsd[:5] + bsd[-3:] + bsd[5:]).encode())
+    assert got["score"] == 1 and got["labels"] == "bsd"
+    # a notice that is given twice is two spans
+    got = a.scan(" ".join([*bsd, "x", *bsd]).encode())
+    assert got["spans"] == [{"label": "bsd", "first": 0, "end": len(bsd)}, {"label": "bsd", "first": len(bsd) + 1, "end": 2 * len(bsd) + 1}]
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "-- .,!"), (4, "MIT License mit\nLICENSE"), (4, "MIT License mit\nLICENSE"), (5, "mit licenseé mit-license"),
             (6, "gnu general public license " * 30_000), (7, "İ mit license K apache\x00license")]
