@@ -201,11 +201,13 @@ def with_lloyd(select: str, *extra: str) -> str:
     return with_clean(select, scaled_cte(), lloyd_ctes(), *extra)
 
 
-def risk_score_sql(prefix: str = "") -> str:
+def risk_score_sql(without: tuple = ()) -> str:
     """K15 on a row of means (absent/NULL features add 0), rounded to 3."""
     terms = []
     for feat, steps in C.RISK_SCORE_RULES.items():
-        x = prefix + feat
+        if feat in without:
+            continue
+        x = feat
         whens = []
         for rules, pts in steps:
             cond = " OR ".join(f"{x} {op} {t}" for op, t in rules)

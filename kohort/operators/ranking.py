@@ -17,11 +17,12 @@ def cluster_means(df: DataFrame, feats: list[str], label: str = "cluster", digit
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
-def rank_clusters(means: DataFrame, label: str = "cluster") -> DataFrame:
+def rank_clusters(means: DataFrame, label: str = "cluster", filled: tuple = ()) -> DataFrame:
     """K15 + W02: score each row of means; ascending score (ties by id) ranks the
     clusters; the last is RISIKO TINGGI (checked first, so one cluster is TINGGI),
-    the first RELATIF SEHAT, the rest RISIKO SEDANG. Runs over K rows only."""
-    present = [f for f in C.RISK_SCORE_RULES if f in means.columns]
+    the first RELATIF SEHAT, the rest RISIKO SEDANG. Runs over K rows only.
+    ``filled`` features (refilled with 0 after cleaning dropped them) score nothing."""
+    present = [f for f in C.RISK_SCORE_RULES if f in means.columns and f not in filled]
     scored = means.withColumn("risk_score", cluster_risk_score(present))
     w = Window.orderBy(F.col("risk_score").asc(), F.col(label).asc())
     ranked = (scored.withColumn("_rank", F.row_number().over(w))

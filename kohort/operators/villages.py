@@ -37,6 +37,12 @@ def percentages(df: DataFrame) -> DataFrame:
     })
 
 
+def named(boundary: DataFrame, name_col: str = "desa_geo", alt_col: str = "alt_geo") -> DataFrame:
+    """Boundaries with their normalised names (P20): primary ``name_norm``, alternate ``alt_norm``."""
+    return boundary.withColumns({"name_norm": text.normalise_village(name_col),
+                                 "alt_norm": text.normalise_village(alt_col)})
+
+
 def join_boundaries(boundary: DataFrame, counts: DataFrame, name_col: str = "desa_geo",
                     alt_col: str = "alt_geo", key: str = "desa_norm") -> DataFrame:
     """J01 primary-name left join, J02 alternate-name fallback for rows the primary
@@ -45,10 +51,10 @@ def join_boundaries(boundary: DataFrame, counts: DataFrame, name_col: str = "des
     Written as one join: every boundary row offers two candidate keys (primary name
     first, alternate second); after a single left join with the village counts, the
     best-priority match per boundary row wins. The counts (and everything beneath
-    them) are computed once instead of once per name column.
+    them) are computed once instead of once per name column. ``matched_by`` says which
+    name found the counts: 'primary', 'alternate' or null.
     """
-    b = boundary.withColumns({"name_norm": text.normalise_village(name_col),
-                              "alt_norm": text.normalise_village(alt_col)})
+    b = named(boundary, name_col, alt_col)
     # A boundary row's counts depend only on its (primary, alternate) name pair.
     pairs = b.select("name_norm", "alt_norm").distinct()
     cand = pairs.select("name_norm", "alt_norm", F.explode(F.array(
@@ -56,9 +62,10 @@ def join_boundaries(boundary: DataFrame, counts: DataFrame, name_col: str = "des
         F.struct(F.lit(2).alias("pri"), F.col("alt_norm").alias("k")))).alias("c"))
     hits = (cand.join(counts.withColumnRenamed(key, "k"), F.col("c.k") == F.col("k"), "inner")
                 .groupBy("name_norm", "alt_norm")
-                .agg(F.min_by(F.struct(*[F.col(c) for c in COUNTS]), F.col("c.pri")).alias("m")))
+                .agg(F.min_by(F.struct("c.pri", *[F.col(c) for c in COUNTS]), F.col("c.pri")).alias("m")))
     out = b.join(hits, ["name_norm", "alt_norm"], "left")
     out = out.withColumns({c: F.coalesce(F.col("m." + c), F.lit(0)).cast("bigint") for c in COUNTS})
+    out = out.withColumn("matched_by", F.when(F.col("m.pri") == 1, "primary").when(F.col("m.pri") == 2, "alternate"))
     return percentages(out.drop("m"))
 
 

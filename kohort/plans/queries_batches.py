@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.checks import sqlfrag as Q
 from kohort.functions import text
+from kohort.operators import kmeans
 from kohort.plans import preprocessing as P
 from kohort.plans.queries_clean import PARAMS, clean
 from kohort.plans.queries_cluster import clustered
 from kohort.registry import register
 from kohort.session import checkpoint_dir
 from kohort.sources import exports
-from kohort.sources.batches import BatchStore
+from kohort.sources.batches import SUMMARY_COLUMNS, BatchStore
 from kohort.streaming.ingest import ingest, landing_frame, reprocess
 from kohort.sources.tables import raw_screening, upload_batch
 
@@ -56,11 +57,11 @@ def stored(spark, sf, read):
     the store's folder removed."""
     store = BatchStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
     rec = batch_records(spark, sf)
-    store.save_records(rec)
+    version = store.save_records(rec)
     counts = {r["batch_id"]: r for r in rec.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("desa").alias("d")).collect()}
     uploads = upload_batch(spark, sf).collect()     # a row per upload
     store.commit([(u.batch_id, u.filename, datetime.datetime.combine(u.uploaded_on, datetime.time()),
-                   counts[u.batch_id].n if u.batch_id in counts else 0, counts[u.batch_id].d if u.batch_id in counts else 0, {}, None) for u in uploads])
+                   counts[u.batch_id].n if u.batch_id in counts else 0, counts[u.batch_id].d if u.batch_id in counts else 0, {}, None) for u in uploads], version)
     out = read(store).checkpoint(eager=True)
     store._remove(store.root)
     return out
@@ -119,13 +120,7 @@ def s12(spark, sf):
           "count(*) FILTER (WHERE sex = 1) AS laki_laki, count(*) FILTER (WHERE sex = 0) AS perempuan "
           "FROM rec WHERE batch_id IN (SELECT batch_id FROM latest) GROUP BY batch_id")
 def a06(spark, sf):
-    latest = upload_batch(spark, sf).agg(
-        F.max_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
-    rec = batch_records(spark, sf).join(latest, "batch_id", "left_semi")
-    return rec.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("total_lansia"), F.count_distinct("desa").alias("total_desa"),
-        F.count_if(F.col("jenis_kelamin") == 1).alias("laki_laki"),
-        F.count_if(F.col("jenis_kelamin") == 0).alias("perempuan"))
+    return stored(spark, sf, lambda s: s.summary())
 
 
 @register("a17_upload_history", "WITH " + Q.batch_cte() +
@@ -186,15 +181,19 @@ _PER_FILE = Q.with_clean("SELECT " + ", ".join(Q.CLEAN_COLUMNS) + " FROM clean")
     "FROM vals QUALIFY", f"FROM vals WHERE upper({Q.strip('kecamatan')}) = '{Q.DISTRICT}' QUALIFY")
 
 
+PART_ROWS = 200_000     # rows of a landed part file
+
+
 def _landed(spark, sf, read):
-    """Each district's rows land as one uploaded sheet with the original headers; ``read`` of (stream's
+    """Each district's rows land as one uploaded sheet of part files with the original headers; ``read`` of (stream's
     store, folder) is materialised and the folder removed."""
     base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     sheet = landing_frame(raw_screening(spark, sf))
     district = F.upper(text.strip("`Kecamatan Domisili`")).alias("sheet")
-    # an upload is one file, so a district is written by one task
-    (sheet.select("*", district).repartition("sheet").write.partitionBy("sheet").option("header", True).csv(f"{base}/landing"))
-    store = ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", PARAMS)
+    # an upload is a folder of part files, so a large district is written and read by several tasks
+    (sheet.select("*", district).hint("rebalance", "sheet").write.partitionBy("sheet").option("header", True)
+     .option("maxRecordsPerFile", PART_ROWS).csv(f"{base}/landing"))
+    store = ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", PARAMS, folders=True)
     out = read(store, base).checkpoint(eager=True)
     store._remove(base)
     return out
@@ -224,6 +223,19 @@ def s14(spark, sf):
     return _exported(spark, res).select("row_id", "desa", "part", "cluster", "cluster_label")
 
 
+@register("s14_cluster_export_centroids", Q.with_lloyd("SELECT cluster, 'Cluster ' || cluster AS cluster_label, " +
+                                                       ", ".join(f"{Q.rnd('s_' + f, 4)} AS {f}" for f in C.FEATURES) + " FROM centres"))
+def s14_centroids(spark, sf):
+    """The centroid table as the clustered export wrote it beside the rows."""
+    res = clustered(spark, sf)
+    centroids = kmeans.centres_frame(spark, res.centres, C.FEATURES).withColumn("cluster", F.col("cluster").cast("int"))
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    exports.write_clusters(res.labelled, centroids, path, per_village=False)
+    out = exports.read_centroids(spark, path, centroids.schema).checkpoint(eager=True)
+    BatchStore(spark, path)._remove(path)
+    return out
+
+
 def _console_sql(x: str, table, higher: bool) -> str:
     whens = " ".join(f"WHEN {x} {'>=' if higher else '<='} {cut} THEN '{t}'" for cut, t in table if cut is not None)
     return f"CASE {whens} ELSE '{table[-1][1]}' END"
@@ -248,22 +260,14 @@ def s20(spark, sf):
     return sizes.withColumns({k: F.lit(v) for k, v in row.asDict().items()})
 
 
-_SUMMARY_COLS = ["umur", "imt", "sistolik", "diastolik", "kolesterol", "gds_1"]
 _LATEST = ",\nlatest AS (SELECT batch_id FROM upload_batch ORDER BY uploaded_on DESC, batch_id DESC LIMIT 1)"
 
 
-def _latest_records(spark, sf):
-    latest = upload_batch(spark, sf).agg(
-        F.max_by("batch_id", F.struct("uploaded_on", "batch_id")).alias("batch_id"))
-    return batch_records(spark, sf).join(latest, "batch_id", "left_semi")
-
-
 @register("a06_batch_village_counts", "WITH " + REC + _LATEST +
           "\nSELECT desa, count(*) AS n FROM rec WHERE batch_id IN (SELECT batch_id FROM latest) "
           "AND desa IS NOT NULL GROUP BY desa")
 def a06_villages(spark, sf):
-    from kohort.operators.stats import people_per_village
-    return people_per_village(_latest_records(spark, sf))
+    return stored(spark, sf, lambda s: s.village_counts())
 
 
 @register("a06_batch_describe", "WITH " + REC + _LATEST +
@@ -272,7 +276,11 @@ def a06_villages(spark, sf):
               f"SELECT '{c}' AS \"column\", count({c}) AS count, {Q.rnd(f'avg({c})', 2)} AS mean, "
               f"{Q.rnd(f'stddev_samp({c})', 2)} AS std, {Q.rnd(f'min({c})', 2)} AS min, "
               f"{Q.rnd(f'max({c})', 2)} AS max, {Q.rnd(f'quantile_cont({c}, 0.5)', 2)} AS median FROM lr"
-              for c in _SUMMARY_COLS) + ") WHERE count > 0")
+              for c in SUMMARY_COLUMNS) + ") WHERE count > 0")
 def a06_describe(spark, sf):
-    from kohort.operators.stats import describe
-    return describe(_latest_records(spark, sf), _SUMMARY_COLS, skip_empty=True)
+    return stored(spark, sf, lambda s: s.describe())
+
+
+@register("j07_latest_batch_records", "WITH " + REC + _LATEST + "\nSELECT row_id, desa FROM rec WHERE batch_id IN (SELECT batch_id FROM latest)")
+def j07(spark, sf):
+    return stored(spark, sf, lambda s: s.people().select("row_id", "desa"))

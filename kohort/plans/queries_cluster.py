@@ -120,6 +120,23 @@ def k15(spark, sf):
     return ranked.select("cluster", "risk_score", "risk_label")
 
 
+def _filled_sql():
+    def score(kept):
+        means = ", ".join(f"{f'avg({f})' if f != 'imt' else '0.0::DOUBLE'} AS {f}" for f in _KEY if kept or f != "imt")
+        return f"SELECT cluster, {Q.risk_score_sql(() if kept else ('imt',))} AS risk_score FROM (SELECT cluster, {means} FROM result GROUP BY cluster)"
+    return f"SELECT cluster, a.risk_score AS score_filled, b.risk_score AS score_surviving FROM ({score(True)}) a JOIN ({score(False)}) b USING (cluster)"
+
+
+@register("k15_ignore_filled", Q.with_lloyd(_filled_sql()))
+def k15_filled(spark, sf):
+    """K15 where the body mass index was dropped and refilled with 0, by default and with the refilled
+    feature ignored."""
+    lab = clustered(spark, sf).labelled.withColumn("imt", F.lit(0.0))
+    means = ranking.cluster_means(lab, _KEY)
+    ignored = ranking.rank_clusters(means, filled=("imt",)).select("cluster", F.col("risk_score").alias("score_surviving"))
+    return ranking.rank_clusters(means).select("cluster", F.col("risk_score").alias("score_filled")).join(ignored, "cluster")
+
+
 def _tag_sql(f):
     cuts, fb = C.INTERPRET_TAGS[f]
     whens = " ".join(f"WHEN {f} >= {t} THEN '{tag}'" for t, tag in cuts)

@@ -198,23 +198,15 @@ def p21(spark, sf):
     "SELECT vb.gid, vb.name_norm, p.sehat, p.sedang, p.tinggi, p.total FROM vb LEFT JOIN vc p "
     "ON p.desa_norm = vb.name_norm"))
 def j01(spark, sf):
-    rm = risk_map(spark, sf)
-    b = village_boundary(spark, sf).select("gid", text.normalise_village("desa_geo").alias("name_norm"))
-    c = rm.counts.withColumnRenamed("desa_norm", "name_norm")
-    return b.join(c, "name_norm", "left").select("gid", "name_norm", *villages.COUNTS)
+    primary = F.col("matched_by") == "primary"
+    return risk_map(spark, sf).mapped.select("gid", "name_norm", *[F.when(primary, F.col(c)).alias(c) for c in villages.COUNTS])
 
 
 @register("j02_alternate_name_fallback", with_map(
     "SELECT vb.gid, vb.alt_norm, a.total FROM vb LEFT JOIN vc p ON p.desa_norm = vb.name_norm "
     "JOIN vc a ON a.desa_norm = vb.alt_norm WHERE p.total IS NULL"))
 def j02(spark, sf):
-    rm = risk_map(spark, sf)
-    b = village_boundary(spark, sf).select("gid", text.normalise_village("desa_geo").alias("name_norm"),
-                                           text.normalise_village("alt_geo").alias("alt_norm"))
-    prim = rm.counts.select(F.col("desa_norm").alias("name_norm"), F.col("total").alias("p_total"))
-    alt = rm.counts.select(F.col("desa_norm").alias("alt_norm"), "total")
-    return (b.join(prim, "name_norm", "left").where(F.col("p_total").isNull())
-             .join(alt, "alt_norm", "inner").select("gid", "alt_norm", "total"))
+    return risk_map(spark, sf).mapped.where(F.col("matched_by") == "alternate").select("gid", "alt_norm", "total")
 
 
 @register("j03_village_percentages", with_map(

@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.checks import sqlfrag as Q
 from kohort.functions import geo as geometry
-from kohort.functions.text import nan_to_null
-from kohort.operators import kmeans, metrics, missing, ranking, stats
+from kohort.functions.text import nan_to_null, normalise_village
+from kohort.operators import kmeans, metrics, missing, ranking, stats, villages
 from kohort.plans import clustering
 from kohort.plans import preprocessing as P
-from kohort.plans.queries_batches import REC, _LATEST, _latest_records
 from kohort.plans.queries_clean import PARAMS, clean
 from kohort.plans.queries_cluster import S_COLS, _emb, _eval_sql, clustered
 from kohort.registry import register
 from kohort.session import checkpoint_dir
 from kohort.sources import geo, screening
 from kohort.sources.batches import BatchStore
-from kohort.sources.tables import raw_screening, table
+from kohort.sources.tables import raw_screening, table, village_boundary
 
 
 @register("s03_normalised_headers", "WITH " + Q.raw_cte() +
@@ -116,11 +115,6 @@ def f08(spark, sf):
     return missing.add_absent(clean(spark, sf, sort=False).table.select("row_id", "umur"), ["umur", "gds_2"])
 
 
-@register("j07_latest_batch_records", "WITH " + REC + _LATEST + "\nSELECT row_id, desa FROM rec WHERE batch_id IN (SELECT batch_id FROM latest)")
-def j07(spark, sf):
-    return _latest_records(spark, sf).select("row_id", "desa")
-
-
 @register("j08_identity_with_scaled", Q.with_lloyd("SELECT row_id, nik, desa, " + ", ".join(f"{Q.rnd(c, 6)} AS {c}" for c in S_COLS) +
                                                   ", labels.cluster FROM labels JOIN scaled USING (row_id)"))
 def j08(spark, sf):
@@ -153,12 +147,9 @@ def w01(spark, sf):
           f"\nSELECT DISTINCT upper({Q.strip('desa')}) AS name FROM raw WHERE upper({Q.strip('desa')}) NOT IN (SELECT upper({Q.strip('alt_geo')}) FROM village_boundary "
           f"UNION SELECT upper({Q.strip('desa_geo')}) FROM village_boundary)")
 def u02(spark, sf):
-    from kohort.functions.text import normalise_village
-    from kohort.operators.villages import villages_without_boundary  # noqa: F401  (J05 uses the same set difference)
-    from kohort.sources.tables import village_boundary
-    b = village_boundary(spark, sf)
-    known = b.select(normalise_village("desa_geo").alias("name")).union(b.select(normalise_village("alt_geo").alias("name")))
-    return raw_screening(spark, sf).select(normalise_village("desa").alias("name")).distinct().join(known, "name", "left_anti")
+    """The set difference of J05, over the raw sheets' names."""
+    names = raw_screening(spark, sf).select(normalise_village("desa").alias("name")).distinct()
+    return villages.villages_without_boundary(names, villages.named(village_boundary(spark, sf)), "name")
 
 
 @register("k14_centroid_table", Q.with_lloyd("SELECT cluster, 'Cluster ' || cluster AS cluster_label, " +

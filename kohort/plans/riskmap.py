@@ -29,9 +29,12 @@ class RiskMap:
 
 def village_risk_map(result: DataFrame, boundary: DataFrame, risk_filter: str = "all",
                      round_means: int | None = None, label: str = "cluster",
-                     name_col: str = "desa_geo", alt_col: str = "alt_geo") -> RiskMap:
+                     name_col: str = "desa_geo", alt_col: str = "alt_geo",
+                     dropped: tuple = (), ignore_filled: bool = False) -> RiskMap:
+    """``ignore_filled``: the features that cleaning ``dropped`` and scaling refilled with 0 score
+    nothing in K15. The default scores their zeros as any value."""
     key = [f for f in C.RISK_KEY_FEATURES if f in result.columns]
-    ranked = ranking.rank_clusters(ranking.cluster_means(result, key, label, digits=round_means), label)
+    ranked = ranking.rank_clusters(ranking.cluster_means(result, key, label, digits=round_means), label, tuple(dropped) if ignore_filled else ())
     people = ranking.attach_risk_level(result, ranked, label)
     # A missing village is NaN in the application's table; its text is 'nan' -> 'NAN'.
     people = people.withColumn("desa_norm", text.normalise_village("desa", null_as="NAN"))

@@ -27,6 +27,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", per_village: boo
          .write.mode("overwrite").format(fmt).option("header", True).partitionBy("part").save(f"{path}/per_village"))
 
 
+def write_clusters(df: DataFrame, centroids: DataFrame, path: str, fmt: str = "parquet", per_village: bool = True, village: str = "desa") -> None:
+    """The clustered rows as ``write_table`` writes them, and the centroid table (K14, a row a cluster)."""
+    write_table(df, path, fmt, per_village, village)
+    centroids.coalesce(1).write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/centroids")
+
+
+def read_centroids(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """The centroid table of ``write_clusters``."""
+    return spark.read.format(fmt).option("header", True).schema(schema).load(f"{path}/centroids")
+
+
 def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_village: bool = False) -> DataFrame:
     """What ``write_table`` wrote: the combined table, or the village parts with their ``part``."""
     reader = spark.read.format(fmt).option("header", True)

@@ -79,16 +79,18 @@ def _loadable(spark: SparkSession, uri: str) -> str:
     return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
 
 
-def read_sheets(spark: SparkSession, paths: list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+def read_sheets(spark: SparkSession, sheets: list[list[str]], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Several sheets as one table with ``_file``; each is read by its own headers, and its rows
-    keep their order. ``paths`` are file URIs as ``_metadata.file_path`` names them; an empty
-    file has no rows."""
+    keep their order. A sheet is a list of files, one or the parts that share the headers of the
+    first part with any; files are URIs as ``_metadata.file_path`` names them. An empty file has
+    no rows."""
     if fmt != "csv":
-        df = spark.read.format(fmt).load([_loadable(spark, p) for p in paths])
+        df = spark.read.format(fmt).load([_loadable(spark, p) for files in sheets for p in files])
         return _renamed(df.withColumn("_file", F.col("_metadata.file_path")) if "row_id" in df.columns else numbered(df), ("_file",))
     groups: dict[tuple, list[str]] = {}
-    for path in paths:
-        groups.setdefault(_header(spark, path), []).append(path)
+    for files in sheets:
+        cells = next(filter(None, (_header(spark, p) for p in files)), ())
+        groups.setdefault(cells, []).extend(files)
     groups.pop((), None)
     parts = []
     for cells, own in groups.items():

@@ -129,12 +129,96 @@ def test_batches_with_different_columns_keep_all(spark):
 
 def test_uncommitted_records_are_invisible(spark):
     store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-open-"))
-    store.save_records(spark.createDataFrame([(1, "A", 7)], "row_id long, desa string, batch_id int"))
+    version = store.save_records(spark.createDataFrame([(1, "A", 7)], "row_id long, desa string, batch_id int"))
     assert store.records().count() == 0
-    store.commit([(7, "a.csv", None, 1, 1, {}, None)])
+    store.commit([(7, "a.csv", None, 1, 1, {}, None)], version)
     assert store.records().count() == 1 and store.delete_batch(7) and store.records().count() == 0 and not store.delete_batch(7)
 
 
+def test_replaced_batch_is_never_empty(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-crash-"))
+    schema = "row_id long, desa string, batch_id int"
+    bid = store.save_result(spark.createDataFrame([(1, "A"), (2, "B")], "row_id long, desa string"), {}, "a.csv")
+    # a crash between the two writes: the new records are there, nothing names them
+    version = store.save_records(spark.createDataFrame([(3, "C", bid)], schema))
+    assert sorted(r.row_id for r in store.records().collect()) == [1, 2]
+    assert store.vacuum() == 1 and store.vacuum() == 0 and store.records().count() == 2
+    # a crash before the old version goes: the newest row decides
+    version = store.save_records(spark.createDataFrame([(4, "D", bid)], schema))
+    store.commit([(bid, "a.csv", None, 1, 1, {}, None)], version)
+    assert [r.row_id for r in store.records().collect()] == [4] and store.batches().count() == 1
+    # the next write clears all older versions; a batch may become empty
+    assert store.save_result(spark.createDataFrame([], "row_id long, desa string"), {}, "a.csv", batch_id=bid) == bid
+    assert store.records().count() == 0 and store.batches().first().total_rows == 0 and store._rows().count() == 1 and store.vacuum() == 0
+
+
+def test_large_batches_are_written_by_several_tasks(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-deal-"))
+    df = spark.range(0, 200_000, 1, 16).selectExpr("id AS row_id", "concat('V', id % 50) AS desa", "md5(cast(id AS string)) AS nik", "IF(id < 10, 2, 1) AS batch_id")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+        version = store.save_records(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    store.commit([(b, "a.csv", None, 0, 0, {}, None) for b in (1, 2)], version)
+    files = {r.batch_id: r.n for r in spark.read.parquet(store.records_path).select("batch_id", F.input_file_name().alias("f")).groupBy("batch_id").agg(F.count_distinct("f").alias("n")).collect()}
+    assert files[2] == 1 and 2 <= files[1] <= 16
+    assert store.batch(1).count() == 199_990 and store.batch(2).count() == 10
+
+
+def test_ids_are_claimed_at_once(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-claims-"))
+    assert store.claim_many(0) == [] and store.claim_many(3) == [1, 2, 3] and store.claim() == 4 and store.claim_many(2) == [5, 6]
+
+
+def test_summary_of_the_latest_batch(spark):
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-sum-"))
+    assert store.summary().collect() == [] and store.village_counts().collect() == [] and store.people().collect() == []
+    schema = "row_id long, desa string, jenis_kelamin int, umur double"
+    store.save_result(spark.createDataFrame([(1, "A", 1, 60.0)], schema), {}, "a.csv")
+    store.save_result(spark.createDataFrame([(1, "A", 1, 60.0), (2, "B", 0, 70.0), (3, None, None, None)], schema), {}, "b.csv")
+    assert [tuple(r) for r in store.summary().collect()] == [(2, 3, 2, 1, 1)] and [tuple(r) for r in store.summary(1).collect()] == [(1, 1, 1, 1, 0)]
+    assert sorted((r.desa, r.n) for r in store.village_counts().collect()) == [("A", 1), ("B", 1)]
+    assert [(r["column"], r["count"], r["median"]) for r in store.describe().collect()] == [("umur", 2, 65.0)]
+    assert store.summary(99).collect() == []
+
+
+def test_folders_of_part_files_are_uploads(spark):
+    base = tempfile.mkdtemp(prefix="kohort-stream-parts-")
+    raw = raw_screening(spark, SF001)
+    halves = {"x": raw.where("row_id % 2 = 1"), "y": raw.where("row_id % 3 = 1")}
+    for name, half in halves.items():
+        landing_frame(half).repartition(5).write.option("header", True).csv(f"{base}/landing/{name}.csv")
+    # three files a micro-batch: a folder's parts meet in several, its batch is whole at the end
+    store = ingest(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", PARAMS, folders=True, max_files_per_trigger=3)
+    meta = {r.filename: r for r in store.batches().collect()}
+    assert sorted(meta) == ["x.csv", "y.csv"] and sorted(r.batch_id for r in meta.values()) == [1, 2]
+    for name, half in halves.items():
+        want = clean_screening(half, PARAMS, sort=False).table
+        cols = [c for c in want.columns]
+        got = store.batch(meta[f"{name}.csv"].batch_id).select(*cols)
+        assert rows_key([tuple(r) for r in got.collect()], cols) == rows_key([tuple(r) for r in want.collect()], cols)
+    assert store.vacuum() == 0
+
+
+def test_centroids_are_exported(spark):
+    path = tempfile.mkdtemp(prefix="kohort-export-c-")
+    df = spark.createDataFrame([(1, "7", 0), (2, "8", 1)], "row_id long, desa string, cluster int")
+    centroids = spark.createDataFrame([(0, "Cluster 0", 0.5), (1, "Cluster 1", 0.25)], "cluster int, cluster_label string, umur double")
+    for fmt in ("parquet", "csv"):
+        exports.write_clusters(df, centroids, f"{path}/{fmt}", fmt)
+        assert sorted(map(tuple, exports.read_centroids(spark, f"{path}/{fmt}", centroids.schema, fmt).collect())) == sorted(map(tuple, centroids.collect()))
+        assert exports.read_table(spark, f"{path}/{fmt}", df.schema, fmt, per_village=True).count() == 2
+
+
+def test_risk_score_ignores_refilled_features(spark):
+    from kohort.operators import ranking
+    means = spark.createDataFrame([(0, 80.0, 0.0), (1, 50.0, 0.0)], "cluster int, umur double, imt double")
+    assert {r.cluster: r.risk_score for r in ranking.rank_clusters(means).collect()} == {0: 4.0, 1: 2.0}
+    assert {r.cluster: r.risk_score for r in ranking.rank_clusters(means, filled=("imt",)).collect()} == {0: 2.0, 1: 0.0}
+
+
 def test_uploads_in_one_plan_equal_single_uploads(spark):
     raw = raw_screening(spark, SF001)
     parts = {1: raw, 2: raw.where("gds_2 IS NOT NULL"), 3: raw.where("row_id % 7 = 0"), 4: raw.where("kecamatan = 'AFRICA'")}
