@@ -1,17 +1,21 @@
 """SimHash near-duplicates through an inverted index of positional bytes.
 
-A fingerprint is eight bytes. Two fingerprints that differ in at most ``max_bits`` = 2 bits
+A fingerprint is eight bytes. Two fingerprints that differ in at most ``MAX_BITS`` = 2 bits
 share at least six of their eight positional bytes. Lists of single bytes would hold one
-256th of the corpus each, so the index posts *four* positional bytes as one token: with the
-bytes paired to four 16-bit halves, a pair that differs in two bits leaves at least two
-halves untouched, so it meets in at least one of the six tokens (pairs of halves).
-
-Pairs that meet are counted: the positional bytes that they share are tallied, pairs with
-fewer than six are dropped, the rest is verified by the Hamming distance. Lists of more
-than ``list_limit`` distinct fingerprints (large groups of near copies) are never paired;
+256th of the corpus each, so the index posts positional bytes by fours: ``BLOCKS`` are the 14
+sets of four of the eight places whose exclusive or is zero, in which any three places lie in
+exactly one set. Two fingerprints that share six bytes have 3 of the 14 tokens in common, with
+seven bytes 7, with five bytes 1, with fewer at most 1. So the number of lists in which a pair
+meets tells whether it shares six positional bytes.
+
+Pairs that meet in a list are tallied over all lists, those with fewer than ``MIN_SHARED`` = 3
+tokens are dropped, the rest is verified by the Hamming distance. Lists of more than
+``list_limit`` distinct fingerprints (large groups of near copies) are never paired;
 there each posting is filed under its 33 one-bit flips of the remaining 32 bits. Two
 fingerprints of the list are within two bits exactly if they meet under one of these, and at
-most 33 distinct fingerprints can meet under one, so a list costs 33 rows a posting.
+most 33 distinct fingerprints can meet under one, so a list costs 33 rows a posting. A pair
+within two bits thus either has a long list in common, which links it, or meets in three or
+more short ones.
 
 Equal fingerprints are collapsed before the index, so copies cost one row.
 
@@ -24,6 +28,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,10 @@ from kohort.llm.common import components, cut, ship, slices, text_bytes
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 LIST_LIMIT = 64
+#: sets of four byte places of a token; any three places are in one of the 14
+BLOCKS = [c for c in combinations(range(8), 4) if not c[0] ^ c[1] ^ c[2] ^ c[3]]
+#: tokens that remain when two byte places differ
+MIN_SHARED = sum(not {0, 1} & set(c) for c in BLOCKS)
 _CHUNK = 1 << 16
 
 
@@ -73,8 +82,10 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, more: tuple = ())
             .mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))))
 
 
-def _half(fp, i: int):
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))
+def _bytes_at(fp, places):
+    """The bytes at four places as one number."""
+    at = [F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(0xFF).cast("long")), 8 * i) for i, p in enumerate(places)]
+    return at[0].bitwiseOR(at[1]).bitwiseOR(at[2]).bitwiseOR(at[3])
 
 
 def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -82,21 +93,17 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     ``fps`` (fp long) within two bits. Pairs in short lists are all there; a long list gives
     each member a link to the smallest member of every flip key that it shares."""
     fp = F.col("fp")
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    tokens = F.array(*[F.struct(F.lit(t).alias("place"), F.shiftleft(_half(fp, i), 16).bitwiseOR(_half(fp, j)).alias("token"),
-                                F.shiftleft(_half(fp, r[0]), 16).bitwiseOR(_half(fp, r[1])).alias("rest"))
-                       for t, (i, j) in enumerate(pairs)
-                       for r in [[x for x in range(4) if x not in (i, j)]]])
+    tokens = F.array(*[F.struct(F.lit(t).alias("place"), _bytes_at(fp, c).alias("token"), _bytes_at(fp, [p for p in range(8) if p not in c]).alias("rest"))
+                       for t, c in enumerate(BLOCKS)])
     postings = fps.select("fp", F.explode(tokens).alias("p")).select("fp", "p.*")
     sizes = postings.groupBy("place", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lists = cut(postings.join(sizes, ["place", "token"]))
     short = lists.where(F.col("n") <= list_limit).select("place", "token", "fp")
-    # count filter: the positional bytes that a pair shares, then the exact distance
+    # count filter: the tokens that a pair shares over all lists, then the exact distance
     met = (short.select("place", "token", F.col("fp").alias("a"))
            .join(short.select("place", "token", F.col("fp").alias("b")), ["place", "token"]).where("a < b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(0xFF).cast("long")) == 0).cast("int") for i in range(8))
-    near = met.where((shared >= 8 - MAX_BITS) & (F.bit_count(diff) <= MAX_BITS)).select("a", "b")
+    tally = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= MIN_SHARED)
+    near = tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     # long lists: meet under one-bit flips of the other 32 bits
     flips = F.concat(F.array(F.col("rest")),
                      F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("rest").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))

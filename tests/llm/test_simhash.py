@@ -68,6 +68,26 @@ def test_long_lists_give_the_same_components(spark):
         assert [root.get(f, f) for f in fps] == want
 
 
+def test_tokens_count_shared_bytes():
+    assert len(simhash.BLOCKS) == 14 and simhash.MIN_SHARED == 3
+    for n in range(256):
+        same = {p for p in range(8) if n >> p & 1}
+        shared = sum(set(c) <= same for c in simhash.BLOCKS)
+        assert (shared >= simhash.MIN_SHARED) == (len(same) >= 6)
+
+
+def test_counted_pairs_are_all_near_pairs(spark):
+    rnd = random.Random(9)
+    fps = {rnd.getrandbits(64) for _ in range(20)} | {0, (1 << 64) - 1}
+    for f in sorted(fps):
+        for _ in range(12):   # up to five differing bits, often in one byte
+            bits = rnd.sample(range(64), rnd.randrange(1, 6)) if rnd.random() < 0.6 else [8 * rnd.randrange(8) + b for b in rnd.sample(range(8), 2)]
+            fps.add(f ^ sum(1 << b for b in bits))
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 10_000).collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+
+
 def test_keep_first(spark):
     rows = [(2, "a b c d"), (1, "a b c d"), (1, "a b c d"), (3, "quite another text of words"), (None, "a b c d")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
