@@ -58,9 +58,10 @@ def median_fill(df: DataFrame, cols: list[str], medians: dict | None = None) ->
                            for c in cols})
 
 
-def iqr_outlier_flags(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
-    """per column, flag values strictly outside [Q1 - k*IQR, Q3 + k*IQR]; NULL -> false."""
-    qs = exact_quantiles(df, cols, [0.25, 0.75])
+def iqr_outlier_flags(df: DataFrame, cols: list[str], k: float = 1.5, quartiles: dict | None = None) -> DataFrame:
+    """per column, flag values strictly outside [Q1 - k*IQR, Q3 + k*IQR]; NULL -> false.
+    ``quartiles`` {column: (Q1, Q3)} replaces the exact ones, for instance by those of sketches."""
+    qs = exact_quantiles(df, cols, [0.25, 0.75]) if quartiles is None else quartiles
     flags = {}
     for c in cols:
         q1, q3 = qs[c]

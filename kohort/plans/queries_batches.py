@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kohort import config as C
 from kohort.checks import sqlfrag as Q
 from kohort.functions import text
-from kohort.operators import kmeans
+from kohort.operators import kmeans, sketches
 from kohort.plans import preprocessing as P
 from kohort.plans.queries_clean import PARAMS, clean
 from kohort.plans.queries_cluster import clustered
@@ -52,12 +52,14 @@ def s06(spark, sf):
     return batches(spark, sf).select("batch_id", "filename", "bulan")
 
 
-def stored(spark, sf, read):
+def stored(spark, sf, read, with_sketches: bool = False):
     """``read`` of a batch store that was filled from the tables; its result is materialised and
     the store's folder removed."""
     store = BatchStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
     rec = batch_records(spark, sf)
     version = store.save_records(rec)
+    if with_sketches:
+        store.save_sketches(version)
     counts = {r["batch_id"]: r for r in rec.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("desa").alias("d")).collect()}
     uploads = upload_batch(spark, sf).collect()     # a row per upload
     store.commit([(u.batch_id, u.filename, datetime.datetime.combine(u.uploaded_on, datetime.time()),
@@ -284,3 +286,36 @@ def a06_describe(spark, sf):
 @register("j07_latest_batch_records", "WITH " + REC + _LATEST + "\nSELECT row_id, desa FROM rec WHERE batch_id IN (SELECT batch_id FROM latest)")
 def j07(spark, sf):
     return stored(spark, sf, lambda s: s.people().select("row_id", "desa"))
+
+
+# --- statistics of all batches from their sketches ---------------------------------------
+_QS = (0.25, 0.5, 0.75)
+
+
+@register("a06_sketch_describe", "WITH " + REC + "\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {Q.rnd(f'avg({c})', 2)} AS mean, {Q.rnd(f'stddev_samp({c})', 2)} AS std, "
+    f"{Q.rnd(f'min({c})', 2)} AS min, {Q.rnd(f'max({c})', 2)} AS max FROM rec" for c in SUMMARY_COLUMNS) + ") WHERE count > 0")
+def a06_sketch_describe(spark, sf):
+    """The exact part of all batches' merged statistics."""
+    return stored(spark, sf, lambda s: sketches.describe(s.merged_sketches()).drop("median", "rank_error"), with_sketches=True)
+
+
+@register("a06_sketch_quantiles", "WITH " + REC + "\nSELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS q, count({c}) AS n, true AS within FROM rec" for c in SUMMARY_COLUMNS for q in _QS) +
+    ") WHERE n > 0 UNION ALL SELECT 'desa', NULL, count(desa), true FROM rec")
+def a06_sketch_quantiles(spark, sf):
+    """Quartiles of all batches from merged sketches: whether each one's true rank among the records
+    is off by at most twice the stated error; and the distinct villages, by three times theirs."""
+    def read(store):
+        rows = store.merged_sketches()
+        records = store.records()
+        out = []
+        for r in sketches.quantiles(rows, list(_QS)).collect():     # three rows a measure
+            x = F.col(r["column"])
+            out.append((r["column"], r.q, r.n, r.value, F.count_if(x < r.value), F.count_if(x <= r.value), r.rank_error))
+        villages = sketches.distinct_counts(rows).first()
+        seen = records.agg(F.count_distinct("desa"), *[a for o in out for a in o[4:6]]).first()
+        data = [(c, q, n, bool(seen[1 + 2 * i] / n - 2 * e <= q <= seen[2 + 2 * i] / n + 2 * e)) for i, (c, q, n, _, _, _, e) in enumerate(out)]
+        data.append(("desa", None, villages.n, abs(villages.distinct - seen[0]) <= max(1, 3 * villages.relative_error * seen[0])))
+        return spark.createDataFrame(data, "column string, q double, n long, within boolean")
+    return stored(spark, sf, read, with_sketches=True)

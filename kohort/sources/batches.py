@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kohort.functions.text import month_of, nan_to_null
+from kohort.operators import sketches
 from kohort.operators.stats import describe, people_per_village
 
 _TEXT = ("kecamatan", "desa", "nik", "nama")
@@ -44,6 +45,7 @@ META_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),     # the records that the row stands for
 ])
 _STORED = T.StructType([*RECORD_SCHEMA.fields, T.StructField("version", T.StringType())])
+_SKETCHES = T.StructType([*sketches.SCHEMA.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("version", T.StringType())])
 SUMMARY_COLUMNS = ("umur", "imt", "sistolik", "diastolik", "kolesterol", "gds_1")
 
 
@@ -53,6 +55,7 @@ class BatchStore:
         self.root = root.rstrip("/")
         self.records_path = f"{self.root}/records"
         self.meta_path = f"{self.root}/batches"
+        self.sketches_path = f"{self.root}/sketches"
         self.claims_path = f"{self.root}/claims"
 
     # -- helpers ---------------------------------------------------------------
@@ -130,6 +133,12 @@ class BatchStore:
         self._write(rows.withColumn("version", F.lit(version)), self.records_path)
         return version
 
+    def save_sketches(self, version: str) -> None:
+        """Mergeable statistics of the written version's batches (``sketches``), a row per batch and measure."""
+        written = self._read(self.records_path, _STORED).where(F.col("version") == version)
+        rows = sketches.column_sketches(written, list(SUMMARY_COLUMNS), ["desa"], ("batch_id", "version"))
+        self._write(rows.hint("rebalance", "batch_id"), self.sketches_path)
+
     def commit(self, rows: list[tuple], version: str, replaced: bool = False) -> None:
         """Metadata rows (batch_id, filename, uploaded_at, total_rows, total_desa, stats, origin) of the
         batches that ``version`` holds; ``replaced`` says that some were there before."""
@@ -144,19 +153,19 @@ class BatchStore:
         """Removes the versions of these batches that are older than the committed one: records, then rows."""
         old = self._rows().where(F.col("batch_id").isin(list(ids)) & (F.col("version") < version)).select("batch_id", "version").distinct().collect()
         for r in old:       # at most a few versions of the batches of one write
-            self._remove(f"{self.records_path}/batch_id={r.batch_id}/version={r.version}")
-            self._remove(f"{self.meta_path}/batch_id={r.batch_id}/version={r.version}")
+            for path in (self.records_path, self.sketches_path, self.meta_path):
+                self._remove(f"{path}/batch_id={r.batch_id}/version={r.version}")
 
     def vacuum(self) -> int:
-        """Removes record folders that no metadata row names, left by crashed writes; to be called
-        while nobody writes. Returns their number."""
-        fs, root = self._fs_path(self.records_path)
-        if not fs.exists(root):
-            return 0
-        glob = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.records_path}/batch_id=*/version=*")
-        found = [(s.getPath(), s.getPath().getParent().getName(), s.getPath().getName()) for s in fs.globStatus(glob)]
+        """Removes record and sketch folders that no metadata row names, left by crashed writes; to be
+        called while nobody writes. Returns their number."""
         shown = {(f"batch_id={r.batch_id}", f"version={r.version}") for r in self.batches().select("batch_id", "version").collect()}
-        return sum(bool(fs.delete(path, True)) for path, b, v in found if (b, v) not in shown)
+        removed = 0
+        for path in (self.records_path, self.sketches_path):
+            fs, glob = self._fs_path(f"{path}/batch_id=*/version=*")
+            found = [s.getPath() for s in (fs.globStatus(glob) or ())]
+            removed += sum(bool(fs.delete(p, True)) for p in found if (p.getParent().getName(), p.getName()) not in shown)
+        return removed
 
     def save_result(self, df: DataFrame, stats: dict, filename: str, batch_id: int | None = None,
                     uploaded_at: _dt.datetime | None = None, origin: str | None = None) -> int:
@@ -164,6 +173,7 @@ class BatchStore:
         rows, distinct villages, status ``success`` and the counters map."""
         bid = self.claim() if batch_id is None else int(batch_id)
         version = self.save_records(df.withColumn("batch_id", F.lit(bid)))
+        self.save_sketches(version)
         counts = (self._read(self.records_path, _STORED).where((F.col("batch_id") == bid) & (F.col("version") == version))
                   .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("desa").alias("d")).collect()[0])
         self.commit([(bid, filename, uploaded_at or now(), int(counts["n"]), int(counts["d"]), {k: int(v) for k, v in stats.items()}, origin)],
@@ -215,6 +225,14 @@ class BatchStore:
         """Count, mean, std, min, max and median of the measures that have values."""
         return describe(self.people(batch_id), list(SUMMARY_COLUMNS), skip_empty=True)
 
+    def merged_sketches(self, batch_ids: list[int] | None = None) -> DataFrame:
+        """The merged statistics of these batches, of all if none are named; no record is read."""
+        shown = self.batches().select("batch_id", "version")
+        rows = self._read(self.sketches_path, _SKETCHES)
+        if batch_ids is not None:
+            rows = rows.where(F.col("batch_id").isin([int(b) for b in batch_ids]))
+        return sketches.merged(rows.join(shown, ["batch_id", "version"], "left_semi"))
+
     def _remove(self, path: str) -> bool:
         fs, p = self._fs_path(path)
         return fs.exists(p) and fs.delete(p, True)
@@ -225,6 +243,7 @@ class BatchStore:
         if not self._remove(f"{self.meta_path}/batch_id={int(batch_id)}"):
             return False
         self._remove(f"{self.records_path}/batch_id={int(batch_id)}")
+        self._remove(f"{self.sketches_path}/batch_id={int(batch_id)}")
         return True
 
 

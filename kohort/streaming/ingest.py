@@ -54,6 +54,7 @@ def save_uploads(store: BatchStore, uploads: list[str], stream: str, params: C.C
     raw = read_sheets(spark, [_parts(store, u) if folders else [u] for u in uploads], fmt).withColumn("batch_id", number).drop("_file")
     table, counters = clean_uploads(raw, params, "batch_id")
     version = store.save_records(table)
+    store.save_sketches(version)
     got = {r["batch_id"]: r.asDict() for r in counters.collect()}   # a row per upload of the micro-batch
     empty = dict.fromkeys((*COUNTERS, "total_desa"), 0) | {"sheets_diproses": 1}
     rows = []

@@ -142,7 +142,7 @@ def test_replaced_batch_is_never_empty(spark):
     # a crash between the two writes: the new records are there, nothing names them
     version = store.save_records(spark.createDataFrame([(3, "C", bid)], schema))
     assert sorted(r.row_id for r in store.records().collect()) == [1, 2]
-    assert store.vacuum() == 1 and store.vacuum() == 0 and store.records().count() == 2
+    assert store.vacuum() == 1 and store.vacuum() == 0 and store.records().count() == 2 and store.merged_sketches().count() == 1
     # a crash before the old version goes: the newest row decides
     version = store.save_records(spark.createDataFrame([(4, "D", bid)], schema))
     store.commit([(bid, "a.csv", None, 1, 1, {}, None)], version)
@@ -184,6 +184,33 @@ def test_summary_of_the_latest_batch(spark):
     assert store.summary(99).collect() == []
 
 
+def test_sketches_merge_to_those_of_the_union(spark):
+    from kohort.operators import missing, sketches
+    store = BatchStore(spark, tempfile.mkdtemp(prefix="kohort-store-sk-"))
+    assert store.merged_sketches().collect() == []
+    n, edges = 60_000, (0, 20_000, 20_007, 60_000)      # batches of very different sizes
+    people = spark.range(n).selectExpr("id AS row_id", "IF(id % 10 = 0, NULL, concat('V', id % 300)) AS desa",
+                                       "IF(id % 7 = 0, NULL, pow(id % 1000, 2)) AS umur", "CAST(NULL AS double) AS imt", "5.0D AS gds_1")
+    for a, b in zip(edges, edges[1:]):
+        store.save_result(people.where(f"row_id >= {a} AND row_id < {b}"), {}, "a.csv")
+    rows = store.merged_sketches()
+    by = {r["column"]: r for r in sketches.describe(rows).collect()}
+    want = people.agg(F.count("umur"), F.round(F.avg("umur"), 2), F.round(F.stddev_samp("umur"), 2), F.min("umur"), F.max("umur")).first()
+    assert set(by) == {"umur", "gds_1"} and tuple(by["umur"])[1:6] == tuple(want) and tuple(by["gds_1"])[1:7] == (n, 5.0, 0.0, 5.0, 5.0, 5.0)
+    for r in sketches.quantiles(rows, [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]).where("column = 'umur'").collect():
+        below, upto = people.agg(F.count_if(F.col("umur") < r.value), F.count_if(F.col("umur") <= r.value)).first()
+        assert below / r.n - 2 * r.rank_error <= r.q <= upto / r.n + 2 * r.rank_error
+    d = sketches.distinct_counts(rows).first()
+    assert d["column"] == "desa" and d.n == n * 9 // 10 and abs(d.distinct - 270) <= 3 * d.relative_error * 270
+    q = {r.q: r.value for r in sketches.quantiles(rows, [0.25, 0.75]).where("column = 'gds_1'").collect()}
+    # some of the batches; a replaced or deleted batch takes its statistics along
+    assert {r["column"]: r.n for r in store.merged_sketches([2]).collect()} == {"umur": 6, "gds_1": 7, "desa": 6}
+    store.save_result(people.where("row_id < 3"), {}, "a.csv", batch_id=1)
+    store.delete_batch(3)
+    assert {r["column"]: r.n for r in store.merged_sketches().collect()}["gds_1"] == 10
+    assert missing.iqr_outlier_flags(people.limit(5).withColumn("gds_1", F.lit(6.0)), ["gds_1"], quartiles={"gds_1": (q[0.25], q[0.75])}).where("gds_1_outlier").count() == 5
+
+
 def test_folders_of_part_files_are_uploads(spark):
     base = tempfile.mkdtemp(prefix="kohort-stream-parts-")
     raw = raw_screening(spark, SF001)
