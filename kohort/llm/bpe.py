@@ -67,7 +67,8 @@ class _Memo(dict):
 class Codec:
     """Encoder and decoder for one rank file and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = CACHE_ENTRIES):
+        self.cache_entries = cache_entries
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.text_of = {str(r): t for t, r in ranks.items()}
@@ -161,7 +162,7 @@ class Codec:
 
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by commas."""
-        if len(self.young) >= CACHE_ENTRIES:
+        if len(self.young) >= self.cache_entries:
             self.old = self.young
             self._begin()
         split = self.split_any if self.split_near is None or _FAR(text) else self.split_near
@@ -175,16 +176,16 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file, one a process."""
-    key = (path, pattern)
+def codec(path: str, pattern: str, cache_entries: int = CACHE_ENTRIES) -> Codec:
+    """The codec of a rank file and size of cache, one a process."""
+    key = (path, pattern, cache_entries)
     if key not in _CODECS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-        _CODECS[key] = Codec(ranks, pattern)
+        _CODECS[key] = Codec(ranks, pattern, cache_entries)
     return _CODECS[key]
 
 
@@ -220,9 +221,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256)."""
-    return _run(docs, path, pattern, True)
+def encoded(docs: DataFrame, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256). ``cache_entries`` trades a
+    worker's memory for time; the rows are the same."""
+    return _run(docs, path, pattern, True, cache_entries)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -231,7 +233,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _run(docs, path, pattern, False)
 
 
-def _run(docs: DataFrame, path: str, pattern: str, with_ids: bool) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, with_ids: bool, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -239,7 +241,7 @@ def _run(docs: DataFrame, path: str, pattern: str, with_ids: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         from kohort.llm.bpe import codec
-        c = codec(path, pattern)
+        c = codec(path, pattern, cache_entries)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

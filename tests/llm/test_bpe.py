@@ -48,10 +48,11 @@ def test_both_splitters_agree(own):
         assert own.split_near(t) == slow(t)
 
 
-def test_generations_keep_results(own, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
-    t = "one two three four five six seven " * 5
-    assert own.encode(t) == library.encode_ordinary(t)
+def test_generations_keep_results(library):
+    small = bpe.codec(PATH, P.PATTERN, 3)
+    assert small.cache_entries == 3 and small is not bpe.codec(PATH, P.PATTERN)
+    for t in ("one two three four five six seven " * 5, "one two eight nine", "three four"):
+        assert small.encode(t) == library.encode_ordinary(t) and (small.old is not None)
 
 
 def test_given_documents(spark, library):
