@@ -21,6 +21,8 @@ from kohort.llm import bpe, mil_quality, mixing, repeats, simhash
 from kohort.llm.common import table
 from kohort.session import checkpoint_dir
 
+#: cached pre-tokens of the last stage: its workers live on beside the JVM of the other stages
+CACHE_ENTRIES = 100_000
 #: SQL can express neither the learnt model nor the tokens; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -48,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digests of ids and decoded bytes."""
     import public_tokenizers
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, CACHE_ENTRIES)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
