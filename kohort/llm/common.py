@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,44 @@ def text_bytes(batch, name: str) -> list[bytes]:
     return [b if b is not None else b"" for b in batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()]
 
 
+def at_most(rows: DataFrame, k: int) -> DataFrame:
+    """The rows, equal ones at most ``k`` times: a search for the k best needs no more of them. They
+    are counted before the shuffle, so a row that is a third of the table is no hot key."""
+    n = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*rows.columns, F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
+
+
+def by_block(rows: DataFrame, asked: DataFrame, keys: list[str], build: Callable, answer: Callable, schema: str) -> DataFrame:
+    """``answer(build(rows of a block), some of its queries)`` for the blocks that both sides name.
+
+    rows has the whole number columns ``keys``, vec_id and v; asked has reach (double) too. The
+    rows of a block meet in one task and are built into an index once; its queries follow them a batch at a
+    time, so a task holds one block and one batch. ``build`` takes an Arrow table (vec_id, v), ``answer``
+    an index and a record batch (vec_id, v, reach), and gives a record batch of ``schema``."""
+    both = (rows.select(*keys, F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("reach"))
+            .unionByName(asked.select(*keys, F.lit(1).alias("kind"), "vec_id", "v", "reach")))
+    n = len(keys) + 1
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        block, own, index = None, [], None
+        for b in (b for b in batches if b.num_rows):
+            k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(n)])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                part = b.slice(at, end - at).select(["vec_id", "v", "reach"])
+                if block != tuple(k[:-1, at]):
+                    block, own, index = tuple(k[:-1, at]), [], None
+                if not k[-1, at]:
+                    own.append(part)
+                elif own:
+                    index = build(pa.Table.from_batches(own)) if index is None else index
+                    yield answer(index, part)
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge table (a long, b long): rows (node, root).
 

@@ -2,35 +2,35 @@
 
 ``PIVOTS`` vectors, the first by a hash of their id, are the pivots (the only sample; every row
 is indexed). A vector is represented by its ``PREFIX`` nearest pivots in order. Rows lie in
-blocks of about ``BLOCK`` by a hash of their id; a block files its rows in one inverted list
-per pivot, with the pivot's place in the row's order. A query walks the lists of its own
-nearest pivots and adds up the Spearman footrule distance of the two orders (a pivot that one
-order lacks counts as place PREFIX + 1), the ``CANDIDATES`` rows of least footrule in the
-block are reranked by the exact Euclidean distance, and the best ``K`` of each block are
-merged. Blocks and chunks of queries meet pairwise, so the query set is searched against all
-rows with bounded memory a task; only K rows a query and block are moved.
+blocks of about ``BLOCK`` by a hash of id and vector, so a block is a random part of the table; it
+files its rows in one inverted list per pivot, with the pivot's place in the row's order. A query
+walks the lists of its own nearest pivots, a ``PREFIX`` / ``PIVOTS`` share of the rows each, and adds up
+the Spearman footrule distance of the two orders (a pivot that one order lacks counts as place PREFIX + 1).
+The ``SHARE`` of a block's rows of least footrule, ``CANDIDATES`` at least, are reranked by the exact
+Euclidean distance, and the best ``K`` of each block are merged. A fixed number of candidates would lose
+recall as the table grows; a share has the same recall or better at every size. A block's index is
+built once, and the queries are streamed past it; only K rows a query and block are moved.
 
 Defined results: vectors null, zero, or with null or non-finite components, and rows with a
 null vec_id take no part; a vec_id is asked once (if its rows differ, for the least vector)
-and its own rows are no candidates; other repeated rows are candidates each; ties go to the
-smaller vec_id, in the footrule rank too; all vectors that take part have one length, else an
+and its own rows are no candidates; other repeated rows are candidates each (equal ones K times at
+most, as no more can be returned); ties go to the smaller vec_id, and all rows of the last footrule value
+are candidates; all vectors that take part have one length, else an
 error is raised; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.llm.common import cut, ship
+from kohort.llm.common import at_most, by_block, cut, ship
 from kohort.llm.mtree import _matrix
 
 K, EVERY = 10, 100
-PIVOTS, PREFIX = 256, 64
-BLOCK, CANDIDATES, QUERY_CHUNK = 4096, 1024, 4096
+PIVOTS, PREFIX = 1024, 64
+BLOCK, SHARE, CANDIDATES = 4096, 1 / 8, 250
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -43,8 +43,12 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of every row, nearest first; ties to the smaller pivot number."""
-    d = (x ** 2).sum(axis=1)[:, None] + (pivots ** 2).sum(axis=1) - 2 * (x @ pivots.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :prefix]
+    out = []
+    for at in range(0, len(x), 1024):
+        part = x[at:at + 1024]
+        d = (part ** 2).sum(axis=1)[:, None] + (pivots ** 2).sum(axis=1) - 2 * (part @ pivots.T)
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :prefix])
+    return np.concatenate(out) if out else np.zeros((0, min(prefix, len(pivots))), int)
 
 
 class InvertedFiles:
@@ -61,37 +65,44 @@ class InvertedFiles:
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Distance of an order to those of all rows."""
         l = self.prefix
-        total = np.full(self.n, l * (l + 1), np.int32)  # no pivot shared: each counts its way to place l + 1, twice
-        for i, p in enumerate(order.tolist()):
-            a, b = self.starts[p], self.starts[p + 1]
-            j = self.places[a:b]
-            total[self.rows[a:b]] += np.abs(j - i) - (l - j) - (l - i)
-        return total
-
-
-def nearest(ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, prefix: int, candidates: int):
-    """(query ids, ids, distances) of each query's k nearest among its candidates in one block."""
-    files = InvertedFiles(orders(x, pivots, prefix), len(pivots))
-    out = [[], [], []]
-    for i, o in enumerate(orders(q, pivots, prefix)):
-        far = files.footrule(o)
-        rows = np.arange(len(x))
-        if len(x) > candidates:  # all of the last footrule value that fits stay in
-            rows = np.flatnonzero(far <= np.partition(far, candidates)[candidates])
-        rows = rows[ids[rows] != q_ids[i]]
-        d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-        best = np.lexsort((ids[rows], d))[:k]
-        out[0].append(np.full(len(best), q_ids[i]))
-        out[1].append(ids[rows[best]])
-        out[2].append(d[best])
-    return [np.concatenate(c) if c else np.zeros(0) for c in out]
-
-
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+        lengths = self.starts[order + 1] - self.starts[order]
+        i = np.repeat(np.arange(l), lengths)
+        at = np.arange(len(i)) + np.repeat(self.starts[order] - (np.cumsum(lengths) - lengths), lengths)
+        j = self.places[at]
+        # no pivot shared: each counts its way to place l + 1, twice
+        shared = np.bincount(self.rows[at], np.abs(j - i) - (l - j) - (l - i), self.n)
+        return l * (l + 1) + shared.astype(np.int64)
+
+
+class Block:
+    """A block's vectors with their inverted files."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, prefix: int):
+        self.ids, self.x, self.pivots, self.prefix = ids, x, pivots, prefix
+        self.files = InvertedFiles(orders(x, pivots, prefix), len(pivots))
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int, candidates: int):
+        """(query ids, ids, distances) of each query's k nearest among its candidates."""
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for i, o in enumerate(orders(q, self.pivots, self.prefix)):
+            rows = np.arange(len(self.x))
+            if len(rows) > candidates:  # all of the last footrule value that fits stay in
+                far = self.files.footrule(o)
+                rows = np.flatnonzero(far <= np.partition(far, candidates)[candidates])
+            rows = rows[self.ids[rows] != q_ids[i]]
+            d = np.sqrt(((self.x[rows] - q[i]) ** 2).sum(axis=1))
+            best = np.lexsort((self.ids[rows], d))[:k]
+            out[0].append(np.full(len(best), q_ids[i]))
+            out[1].append(self.ids[rows[best]])
+            out[2].append(d[best])
+        return [np.concatenate(c) for c in out]
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float = SHARE, candidates: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries, rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = cut(valid(vectors))
+    rows = cut(at_most(valid(vectors), k))
     n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -99,23 +110,21 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIV
         raise ValueError(f"vectors of {least} to {most} components")
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).select("v").toPandas()["v"]  # at most ``pivots`` rows
     centres = np.unique(np.array([np.array(v, float) for v in chosen]).reshape(len(chosen), -1), axis=0)
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-n // block))
-    n_chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    every_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("chunk", every_of(n_chunks))
-    right = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int")).withColumn("block", every_of(n_blocks))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = queries.select("vec_id", "v", F.lit(0.0).alias("reach"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int"))
 
-    def run(own, asked):
+    def build(own):
+        from kohort.llm.permutation_index import Block
+        return Block(own.column("vec_id").to_numpy(), _matrix(own.column("v")), centres, prefix)
+
+    def answer(index, part):
         import pyarrow as pa
-        from kohort.llm.permutation_index import nearest
-        if not own.num_rows or not asked.num_rows:
-            q, i, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            q, i, d = nearest(own.column("vec_id").to_numpy(), _matrix(own.column("v")), centres, asked.column("vec_id").to_numpy(), _matrix(asked.column("v")), k, prefix, candidates)
-        return pa.Table.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    keys = ["block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+        best = max(candidates, int(np.ceil(share * len(index.x))))
+        q, i, d = index.nearest(part.column("vec_id").to_numpy(), _matrix(part.column("v")), k, best)
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = by_block(blocks, asked, ["block"], build, answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,37 @@ def test_recall_and_exact_scores(spark):
         assert [x[0] for x in g] == list(range(1, len(g) + 1)) and [x[1:] for x in g] == sorted(x[1:] for x in g)
 
 
+def test_production_parameters_rank_by_footrule(spark):
+    df = table(spark, SF01, "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert len(rows) > P.CANDIDATES  # the block is not reranked whole
+    want = {(q, i) for q, _, i, _ in slow(rows, 10, 100)}
+    got = [(r.query_id, r.vec_id) for r in P.search(df).collect()]
+    assert len(got) == len(want) and len(want & set(got)) >= 0.9 * len(want)
+
+
+def test_candidates_are_those_of_least_footrule():
+    rnd = np.random.default_rng(2)
+    x, pivots, ids = rnd.normal(size=(300, 6)), rnd.normal(size=(20, 6)), rnd.permutation(300)
+    block = P.Block(ids, x, pivots, 8)
+    order = [np.argsort(((v - pivots) ** 2).sum(axis=1), kind="stable")[:8].tolist() for v in x]
+    place = lambda o, p: o.index(p) if p in o else 8
+    for i in range(0, 300, 37):
+        far = [sum(abs(place(order[i], p) - place(o, p)) for p in range(20)) for o in order]
+        limit = sorted(far)[30]
+        near = [(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), ids[j]) for j in range(300) if far[j] <= limit and j != i]
+        q, found, d = block.nearest(ids[i:i + 1], x[i:i + 1], 5, 30)
+        assert found.tolist() == [j for _, j in sorted(near)[:5]] and set(q) == {ids[i]}
+
+
+def test_a_row_repeated_thousands_of_times(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=4).round(2).tolist()) for i in range(1, 121)] + [(7, [2.0, 2.0, 2.0, 2.0])] * 3000 + [(200, [2.0, 2.0, 2.0, 1.75])] * 3000
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in P.search(df, share=1.0).collect())
+    assert got == [w[:3] for w in slow(rows, 10, 100)]
+
+
 def test_few_rows_are_exact(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.integers(1, 4, 3).astype(float).tolist()) for i in range(250)] + [(100, [1.0, 1.0, 1.0]), (41, [0.5, 0.25, 0.0]), (41, [0.5, 0.25, 0.0])]
