@@ -7,9 +7,10 @@ those of the highest product. The tree has two tiers:
 * the root is a table of ``PIVOTS`` routing vectors with the covering radius of what is
   nearest to each; it is of fixed size and goes to every task;
 * below each routing vector lie blocks of at most about ``BLOCK`` vectors (a region with many
-  is split by a hash of the id, so a hot region is many tasks). A task builds the M-tree of a
-  block: pages of routing objects with covering radius and distance to the parent object, and
-  leaf pages with the vectors' distances to theirs.
+  is split by a hash of id and vector, so a hot region is many tasks). A task builds the M-tree
+  of a block, once, and streams the block's queries past it: pages of routing objects with
+  covering radius and distance to the parent object, and leaf pages with the vectors' distances
+  to theirs.
 
 A query first searches one block of its nearest region, which bounds its k-th distance; then
 only the blocks of regions whose ball reaches inside that bound. In a page, entries whose
@@ -19,7 +20,8 @@ Scores are exact integers, bounds have a slack far below the least gap of two sc
 
 Defined results: vectors null or with null or non-finite components, and rows with a null
 vec_id, take no part; a vec_id is asked once (if its rows differ, for the least vector) and
-its own rows are no candidates; other repeated rows are candidates each; all vectors that take
+its own rows are no candidates; other repeated rows are candidates each (equal ones K times at
+most, as no more can be returned); all vectors that take
 part have one length, else an error is raised, as is for products beyond 2^52; an empty table
 gives an empty result; other columns are not read.
 """
@@ -33,11 +35,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.llm.common import cut, ship
+from kohort.llm.common import at_most, by_block, cut, ship
 
 K, SCALE, EVERY = 20, 64, 20
 PIVOTS, BLOCK, PAGE = 16, 4096, 512
-QUERY_CHUNK = 4096   # queries that a task searches with at once
 SLACK = 1e-6
 
 
@@ -190,31 +191,30 @@ def _visits(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, first: bo
 
 def _searched(blocks: DataFrame, asked: DataFrame, m2: float, k: int) -> DataFrame:
     """(query_id, vec_id, score): each query's k best of each block it visits."""
-    def run(left, right):
-        import pyarrow as pa
+    def build(own):
         from kohort.llm.mtree import MTree, _matrix, augmented
+        return own.column("vec_id").to_numpy(), MTree(augmented(_matrix(own.column("v")), m2), m2)
+
+    def answer(index, part):
+        import pyarrow as pa
+        ids, tree = index
+        q_ids, reach = part.column("vec_id").to_numpy(), part.column("reach").to_numpy()
         out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids, x = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
-            tree = MTree(augmented(x, m2), m2)
-            q_ids, reach = right.column("vec_id").to_numpy(), right.column("reach").to_numpy()
-            for i, q in enumerate(_matrix(right.column("v"))):
-                found, scores, _ = tree.search(np.append(q, 0.0), k, ids, q_ids[i], reach[i])
-                out[0].append(np.full(len(found), q_ids[i]))
-                out[1].append(found)
-                out[2].append(scores.astype(np.int64))
-        cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-        return pa.Table.from_arrays(cols, names=["query_id", "vec_id", "score"])
-
-    keys = ["region", "part", "chunk"]
-    return blocks.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+        for i, q in enumerate(_matrix(part.column("v"))):
+            found, scores, _ = tree.search(np.append(q, 0.0), k, ids, q_ids[i], reach[i])
+            out[0].append(np.full(len(found), q_ids[i]))
+            out[1].append(found)
+            out[2].append(scores.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+
+    return by_block(blocks, asked, ["region", "part"], build, answer, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries, rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = cut(integers(vectors, scale))
+    rows = cut(at_most(integers(vectors, scale), k))
     result = "query_id long, rank int, vec_id long, score long"
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     m2, least, most = rows.agg(F.max(norm), F.min(F.size("v")), F.max(F.size("v"))).first()
@@ -229,23 +229,20 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     radii = np.array([stats[i].far if i in stats else -1.0 for i in range(len(centres))])
     parts = np.array([-(-stats[i].n // block) if i in stats else 1 for i in range(len(centres))])
     n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("region") + 1).cast("int"))
-    blocks = routed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts.cast("long"))).select("region", "part", "vec_id", "v")
+    blocks = routed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), n_parts.cast("long"))).select("region", "part", "vec_id", "v")
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("reach", F.lit(float("inf")))
-    chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")
     start = F.pmod(F.xxhash64("vec_id"), n_parts.cast("long"))  # the one block searched first
-    near = _visits(queries, centres, radii, True).withColumn("part", start).withColumn("chunk", chunk)
+    near = _visits(queries, centres, radii, True).withColumn("part", start)
     first = cut(_searched(blocks, near, m2, k))
     # the k-th score so far bounds what other regions must reach
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k)
     q2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     bounded = (queries.drop("reach").join(kth, F.col("vec_id") == F.col("query_id"), "left")
                .select("vec_id", "v", F.when(F.col("s").isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), q2 + m2 - 2 * F.col("s")))).alias("reach")))
-    more = _visits(bounded, centres, radii, False).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1))).withColumn("chunk", chunk)
+    more = _visits(bounded, centres, radii, False).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1)))
     seen = near.select("vec_id", "region", "part")
-    rest = more.join(seen, ["vec_id", "region", "part"], "left_anti").select("vec_id", "v", "reach", "region", "part", "chunk")
+    rest = more.join(seen, ["vec_id", "region", "part"], "left_anti").select("vec_id", "v", "reach", "region", "part")
     found = first.unionByName(_searched(blocks, rest, m2, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

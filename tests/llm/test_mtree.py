@@ -54,3 +54,10 @@ def test_search_prunes():
         want = np.lexsort((ids, -(x @ x[i])))
         np.testing.assert_array_equal(got, want[want != i][:10])
         assert computed < len(x) / 2
+
+
+def test_a_row_repeated_thousands_of_times(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.integers(-2, 3, 3).astype(float).tolist()) for i in range(100)] + [(7, [2.0, 2.0, 2.0])] * 3000 + [(20, [2.0, 2.0, 1.0])] * 3000
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, score int, rank string")
+    assert sorted(map(tuple, M.top_k(df, pivots=4, block=50).collect())) == slow(rows, 20, 20)
