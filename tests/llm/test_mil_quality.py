@@ -1,5 +1,7 @@
 """Passage features, gradients, held-out accuracy and edge cases of the quality classifier."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -46,6 +48,54 @@ def test_gradients_match_differences():
         np.testing.assert_allclose(np.asarray(g[k])[at], want, atol=1e-6)
 
 
+def test_forward_by_loops():
+    rnd = np.random.default_rng(1)
+    x, n_of = rnd.normal(size=(8, 4)), np.array([3, 1, 4])
+    m = {"E": rnd.normal(size=(4, 5)), "e": rnd.normal(size=5), "V": rnd.normal(size=(5, 3)), "U": rnd.normal(size=(5, 3)), "w": rnd.normal(size=3),
+         "c": rnd.normal(size=5), "b": np.array(0.2), "mean": rnd.normal(size=4), "scale": rnd.uniform(1, 2, size=4)}
+    want, at = [], 0
+    for n in n_of:
+        hidden, weight = [], []
+        for row in x[at:at + n]:
+            z = [(v - a) / s for v, a, s in zip(row, m["mean"], m["scale"])]
+            h = [math.tanh(sum(z[i] * m["E"][i][j] for i in range(4)) + m["e"][j]) for j in range(5)]
+            gate = 0.0
+            for g in range(3):
+                v, u = (sum(h[j] * m[k][j][g] for j in range(5)) for k in ("V", "U"))
+                gate += m["w"][g] * math.tanh(v) / (1 + math.exp(-u))
+            hidden.append(h)
+            weight.append(math.exp(gate))
+        at += n
+        rep = [sum(w * h[j] for w, h in zip(weight, hidden)) / sum(weight) for j in range(5)]
+        want.append(1 / (1 + math.exp(-sum(r * c for r, c in zip(rep, m["c"])) - float(m["b"]))))
+    np.testing.assert_allclose(M.forward(m, x, n_of)[0], want, atol=1e-12)
+
+
+def test_features_by_loops():
+    """A passage's features, word by word and byte by byte."""
+    texts = ["The cat, the the CAT sat; 42 internationalisation!", "é ü x " + "word " * 70, "  a  ", "One-two\tthree\n" * 30]
+    x, n_of = M.passages([t.encode() for t in texts])
+    at = 0
+    for text, n in zip(texts, n_of):
+        found = list(re.finditer(rb"[^\x20\x09-\x0D]+", text.encode()))
+        assert n == -(-len(found) // M.PASSAGE_WORDS)
+        for p in range(n):
+            # equal up to case: bytes.lower() changes A-Z only
+            part = [w.group().lower() for w in found[p * M.PASSAGE_WORDS:(p + 1) * M.PASSAGE_WORDS]]
+            size = [len(w) for w in part]
+            mean = sum(size) / len(size)
+            want = [sum(a == b for a, b in zip(part, part[1:])) / len(part), len(set(part)) / len(part), math.log(1 + len(part)) / 4, mean / 10,
+                    sum(s <= 2 for s in size) / len(size), sum(s > 14 for s in size) / len(size),
+                    math.sqrt(max(0, sum(s * s for s in size) / len(size) - mean ** 2)) / 5]
+            row = x[at + p]
+            np.testing.assert_allclose(row[M.N_CLASSES + M.BUCKETS:], want, rtol=1e-4, atol=1e-4)
+            np.testing.assert_allclose([row[:M.N_CLASSES].sum(), row[M.N_CLASSES:M.N_CLASSES + M.BUCKETS].sum()], 1, atol=1e-5)
+            # words share a bucket or they do not: the bucket counts are those of the distinct words, merged
+            counts = sorted(round(float(v) * len(part)) for v in row[M.N_CLASSES:M.N_CLASSES + M.BUCKETS] if v)
+            assert sum(counts) == len(part) and len(counts) <= len(set(part))
+        at += n
+
+
 def test_held_out_accuracy_and_columns(spark):
     docs, labels = table(spark, SF01, "documents"), table(spark, SF01, "labels")
     got = {r.doc_id: r for r in M.digest(docs, labels).collect()}
