@@ -39,23 +39,25 @@ def s07(spark, sf):
     return e.select("vec_id", nan_to_null(x).alias("x"))
 
 
-# A square for even nations, two triangles' outline for odd ones, around (key, key).
-_K = "n_nationkey::DOUBLE"
-_CENTROIDS = (f"SELECT n_nationkey AS gid, round(CASE WHEN n_nationkey % 2 = 0 THEN (4 * {_K} + 2) / 4 ELSE (4 * {_K} + 4) / 4 END, 6) AS lat, "
-              f"round(CASE WHEN n_nationkey % 2 = 0 THEN (4 * {_K} + 4) / 4 ELSE (4 * {_K} + 3) / 4 END, 6) AS lon FROM nation")
+# A triangle's outline for even customers, two lines' outline for odd ones, around a point of their key.
+_K = "(c_custkey % 80)::DOUBLE"
+_CENTROIDS = (f"SELECT c_custkey AS gid, round(CASE WHEN c_custkey % 2 = 0 THEN (4 * {_K} + 2) / 4 ELSE (4 * {_K} + 4) / 4 END, 6) AS lat, "
+              f"round(CASE WHEN c_custkey % 2 = 0 THEN (4 * {_K} + 4) / 4 ELSE (4 * {_K} + 3) / 4 END, 6) AS lon FROM customer")
+#: shapes of one boundary or coordinate file, on average
+PER_FILE = 1000
 
 
 def _shapes(spark, sf):
-    """(gid, name, geom_type, coordinates): nested arrays derived from the nation table."""
-    k = F.col("n_nationkey").cast("double")
+    """(gid, name, geom_type, coordinates): nested arrays derived from the customer table."""
+    k = (F.col("c_custkey") % 80).cast("double")
     point = lambda x, y: F.array(k + x, k + y)
     ring = F.array(point(0, 0), point(2, 0), point(2, 2), point(0, 0))
     poly = F.to_json(F.array(ring))
     multi = F.to_json(F.array(F.array(F.array(point(0, 1), point(3, 1))), F.array(F.array(point(0, 2), point(0, 0)))))
-    even = F.col("n_nationkey") % 2 == 0
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("gid"), F.col("n_name").alias("name"),
-                                             F.when(even, "Polygon").otherwise("MultiPolygon").alias("geom_type"),
-                                             F.when(even, poly).otherwise(multi).alias("coordinates"))
+    even = F.col("c_custkey") % 2 == 0
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("gid"), F.col("c_name").alias("name"),
+                                               F.when(even, "Polygon").otherwise("MultiPolygon").alias("geom_type"),
+                                               F.when(even, poly).otherwise(multi).alias("coordinates"))
 
 
 @register("p22_vertex_centroid", _CENTROIDS)
@@ -64,31 +66,34 @@ def p22(spark, sf):
     return _shapes(spark, sf).select("gid", F.round(c["lat"], 6).alias("lat"), F.round(c["lon"], 6).alias("lon"))
 
 
-def _through_file(spark, df, name, read):
-    """``read`` of the one-row text table written to a shared folder, which is then removed."""
+def _through_files(spark, rows, key, doc, name, read):
+    """``read`` of a shared folder with a document ``doc`` (an aggregate) per hash bucket of about
+    PER_FILE rows, a file each, so that writing and reading spread over tasks; the folder is then removed."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.text(path)
+    n = -(-rows.count() // PER_FILE)
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(1, n)))
+    rows.groupBy(bucket.alias("bucket")).agg(doc.alias("value")).write.partitionBy("bucket").text(path)
     out = read(path).checkpoint(eager=True)
     BatchStore(spark, path)._remove(path)
     return out
 
 
-@register("s22_geojson_boundaries", _CENTROIDS.replace("SELECT n_nationkey AS gid,", "SELECT n_name AS desa_geo, 'u' || n_name AS alt_geo, "
-                                                        "CASE WHEN n_nationkey % 2 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS geom_type,"))
+@register("s22_geojson_boundaries", _CENTROIDS.replace("SELECT c_custkey AS gid,", "SELECT c_name AS desa_geo, 'u' || c_name AS alt_geo, "
+                                                        "CASE WHEN c_custkey % 2 = 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS geom_type,"))
 def s22(spark, sf):
-    """One GeoJSON file (the format keeps all features in one document) with real coordinate arrays."""
+    """GeoJSON files of some thousand features each (the format keeps a file's features in one document)."""
     feature = F.concat(F.lit('{"type": "Feature", "properties": {"DESA": "'), "name", F.lit('", "DESKEL u_7": "u'), "name",
                        F.lit('"}, "geometry": {"type": "'), "geom_type", F.lit('", "coordinates": '), "coordinates", F.lit("}}"))
-    doc = _shapes(spark, sf).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}")).alias("value"))
-    return _through_file(spark, doc, "geojson", lambda p: geo.read_geojson_boundaries(spark, p)
-                         .select("desa_geo", "alt_geo", "geom_type", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))
+    doc = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}"))
+    return _through_files(spark, _shapes(spark, sf), "gid", doc, "geojson", lambda p: geo.read_geojson_boundaries(spark, p)
+                          .select("desa_geo", "alt_geo", "geom_type", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))
 
 
-@register("s23_coordinates", "SELECT n_name AS desa, n_nationkey / 4.0::DOUBLE AS latitude, n_nationkey * 2.5::DOUBLE AS longitude FROM nation")
+@register("s23_coordinates", "SELECT c_name AS desa, c_custkey / 4.0::DOUBLE AS latitude, c_custkey * 2.5::DOUBLE AS longitude FROM customer")
 def s23(spark, sf):
-    pair = F.struct((F.col("n_nationkey") / 4.0).alias("latitude"), (F.col("n_nationkey") * F.lit(2.5).cast("double")).alias("longitude"))
-    doc = table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", pair)))).alias("value"))
-    return _through_file(spark, doc, "coordinates", lambda p: geo.read_coordinates(spark, p))
+    pair = F.struct((F.col("c_custkey") / 4.0).alias("latitude"), (F.col("c_custkey") * F.lit(2.5).cast("double")).alias("longitude"))
+    doc = F.to_json(F.map_from_entries(F.collect_list(F.struct("c_name", pair))))
+    return _through_files(spark, table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", doc, "coordinates", lambda p: geo.read_coordinates(spark, p))
 
 
 _ENC = "WITH " + ",\n".join([Q.raw_cte(), Q.values_cte(), Q.encoded_cte()])
