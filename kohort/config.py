@@ -221,7 +221,10 @@ class KMeansParams:
     tol: float = 1e-4
 
 
-# Quality bands (K20), best first: colour and description of the evaluation page, wording of the report.
+# ---------------------------------------------------------------------------
+# FIXED VALUES: quality bands (K20), best first: colour and description of the evaluation page,
+# wording of the report; and what the page says of each metric.
+# ---------------------------------------------------------------------------
 BAND_COLOURS = ("success", "success", "warning", "danger")
 BAND_DESCRIPTIONS = {
     "silhouette": ("Cluster sangat terpisah dengan jelas. Struktur clustering sangat kuat.",
@@ -241,6 +244,30 @@ REPORT_BANDS = {
     "silhouette": ("Sangat Baik (Struktur Kuat)", "Baik (Struktur Cukup)", "Cukup (Cluster Tumpang Tindih)", "Kurang Baik (Struktur Lemah)"),
     "dbi": ("Sangat Baik (Sangat Kompak)", "Baik (Kompak)", "Cukup Baik", "Kurang Baik (Menyebar)"),
 }
+# metric: (explanation, formula, strengths, weaknesses)
+METRIC_TEXTS = {
+    "silhouette": ("Silhouette Score mengukur seberapa mirip sebuah data dengan cluster-nya sendiri "
+                   "dibandingkan dengan cluster tetangga terdekat. Nilai berkisar dari -1 hingga 1. "
+                   "Semakin mendekati 1, semakin baik pemisahan antar cluster.",
+                   "S(i) = (b(i) - a(i)) / max(a(i), b(i))",
+                   ("Mudah diinterpretasikan (range -1 hingga 1)", "Tidak memerlukan ground truth", "Memperhitungkan kohesi dan separasi cluster"),
+                   ("Kurang efektif untuk cluster dengan bentuk tidak konveks", "Sensitif terhadap outlier", "Komputasi bisa lambat untuk dataset besar")),
+    "dbi": ("Davies-Bouldin Index mengukur rata-rata 'similarity' antar cluster. "
+            "Semakin kecil nilainya (mendekati 0), semakin baik pemisahan cluster. "
+            "DBI memperhitungkan jarak intra-cluster dan jarak antar-centroid.",
+            "DBI = (1/K) × Σ max(j≠i) [(σᵢ + σⱼ) / d(cᵢ, cⱼ)]",
+            ("Nilai selalu ≥ 0, mudah dipahami (semakin kecil semakin baik)", "Memperhitungkan dispersi cluster dan jarak antar centroid",
+             "Komputasi relatif efisien"),
+            ("Cenderung bias terhadap cluster berbentuk konveks", "Menggunakan centroid sebagai representasi, tidak cocok untuk bentuk arbitrer",
+             "Sensitif terhadap noise/outlier")),
+    "ch": ("Calinski-Harabasz Score (Variance Ratio Criterion) mengukur rasio antara "
+           "dispersi antar-cluster dan dispersi intra-cluster. Semakin tinggi nilainya, "
+           "semakin baik cluster terpisah dan semakin dense anggota dalam cluster.",
+           "CH = [tr(Bₖ)/(K-1)] / [tr(Wₖ)/(n-K)]",
+           ("Komputasi sangat cepat", "Nilai semakin tinggi semakin baik, intuitif", "Bagus untuk cluster berbentuk konveks dan dense"),
+           ("Cenderung bias terhadap cluster konveks", "Tidak memiliki range tetap, sulit untuk threshold absolut",
+            "Kurang efektif untuk cluster dengan kepadatan berbeda")),
+}
 
 
 # ---------------------------------------------------------------------------

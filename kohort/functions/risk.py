@@ -88,6 +88,16 @@ def report_conclusion(age="umur", bmi="imt", systolic="sistolik", cholesterol="k
     return F.when(score >= 3, hi).when(score >= 1, mid).otherwise(lo)
 
 
+def metric_texts(metric) -> Column:
+    """Metric name -> struct (explanation, formula, strengths, weaknesses) of the evaluation page; null for others."""
+    out = None
+    for name, (explanation, formula, good, bad) in C.METRIC_TEXTS.items():
+        texts = F.struct(F.lit(explanation).alias("explanation"), F.lit(formula).alias("formula"),
+                         F.array(*map(F.lit, good)).alias("strengths"), F.array(*map(F.lit, bad)).alias("weaknesses"))
+        out = F.when(_col(metric) == name, texts) if out is None else out.when(_col(metric) == name, texts)
+    return out
+
+
 def quality_band(c, metric: str, cuts: tuple | None = None, labels: tuple = C.BAND_LABELS) -> Column:
     """Metric value -> quality label. Silhouette/CH: higher is better; DBI: lower."""
     x = _col(c)

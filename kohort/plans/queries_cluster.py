@@ -275,6 +275,22 @@ def k20(spark, sf):
                      *[risk.quality_band(x, n.split("_")[0], labels=v).alias(n) for n, x, _, _, v in _BAND_TEXTS])
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@register("k20_metric_texts", _eval_sql() + "\n" + " UNION ALL ".join(
+    f"SELECT {_quoted(m)} AS metric, {_METRIC[m][0]} AS score, {_quoted(explanation)} AS explanation, {_quoted(formula)} AS formula, "
+    f"{_quoted('; '.join(good))} AS strengths, {_quoted('; '.join(bad))} AS weaknesses FROM ev"
+    for m, (explanation, formula, good, bad) in C.METRIC_TEXTS.items()))
+def k20_texts(spark, sf):
+    """A row a metric: its value, and what the evaluation page says of the metric."""
+    scores = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("score")) for m, (c, _, _) in _METRIC.items()])
+    rows = k06(spark, sf).select(F.explode(scores).alias("m")).select("m.*", risk.metric_texts("m.metric").alias("t"))
+    return rows.select("metric", "score", "t.explanation", "t.formula", F.array_join("t.strengths", "; ").alias("strengths"),
+                       F.array_join("t.weaknesses", "; ").alias("weaknesses"))
+
+
 # --- metrics on the screening clusters -------------------------------------------------
 def _lloyd_eval_sql():
     s = [f"s_{f}" for f in C.FEATURES]
