@@ -24,8 +24,9 @@ def describe(df: DataFrame, cols: list[str], skip_empty: bool = True, digits: in
     """Count, mean, sample std, min, max, median over non-NULL values (2 places).
     ``skip_empty`` drops all-NULL columns (stored-batch form); otherwise they report 0s.
 
-    The moments ride along in the median sketch pass: two passes in total, and only
-    six numbers per column reach the driver."""
+    The columns are materialised once; the moments ride along in the median's sketch pass over
+    them, and only six numbers per column reach the driver."""
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")

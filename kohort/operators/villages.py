@@ -25,6 +25,12 @@ def risk_counts(people: DataFrame, key: str, level: str = "risk_level") -> DataF
         F.count(lv).alias("total"))
 
 
+def village_totals(people: DataFrame, village: str = "desa", key: str = "desa_norm") -> DataFrame:
+    """People per normalised village name; everyone has a level once ranked, so this is the ``total``
+    of A11 without its clustering. A missing village is 'NAN', as in the risk map."""
+    return people.groupBy(text.normalise_village(village, null_as="NAN").alias(key)).agg(F.count(F.lit(1)).alias("total"))
+
+
 def percentages(df: DataFrame) -> DataFrame:
     """Shares of total in percent, 1 place; 0 / 0 -> 0."""
     def pct(num):

@@ -100,8 +100,9 @@ def j04(spark, sf):
 @register("j05_villages_without_boundary", with_map(
     "SELECT desa_norm, total FROM vc WHERE desa_norm NOT IN (SELECT name_norm FROM vb UNION SELECT alt_norm FROM vb)"))
 def j05(spark, sf):
-    rm = risk_map(spark, sf)
-    return villages.villages_without_boundary(rm.counts, rm.mapped).select("desa_norm", "total")
+    """Names and totals need the cleaned table only, not its clusters."""
+    totals = villages.village_totals(clean(spark, sf, sort=False).table)
+    return villages.villages_without_boundary(totals, villages.named(village_boundary(spark, sf)))
 
 
 @register("j06_people_risk_level", with_map("SELECT row_id, cluster, risk_level FROM people"))
