@@ -12,7 +12,8 @@ A key that at least ``min_docs`` documents hold is frequent; frequent lines go f
   those that no longer are; unlike a Bloom filter's, its deletions are exact, so a deleted batch
   leaves no trace. A filter that overflows is built anew at twice the size.
 * **Judging** documents sends their keys to the shards, past the filter; what it lets through is
-  confirmed in the exact counts. Filters are not broadcast: a shard's filter row goes ahead of
+  confirmed in the exact counts, where the rows of a hot key are dealt over several tasks, each
+  with a copy of its count. Filters are not broadcast: a shard's filter row goes ahead of
   its key rows, which stream past it; a shard with many key rows (one that holds a hot line) is
   split over as many tasks as its counted rows ask for, each with a copy of the filter.
 
@@ -271,8 +272,15 @@ def passed(keys: DataFrame, filters: DataFrame, refs: DataFrame, min_docs: int =
 def _judged(docs: DataFrame, refs: DataFrame, filters: DataFrame, min_chars: int, min_docs: int, bits: int, schema: str, rows) -> DataFrame:
     """The documents with the names of their lines that go; ``rows`` makes columns of (ids, texts, sets of names)."""
     asked = document_keys(docs, min_chars)
-    frequent = refs.where(F.col("docs") >= min_docs).select("hi", "lo")
-    gone = (passed(asked, filters, refs, min_docs, bits).join(frequent.hint("merge"), ["hi", "lo"], "left_semi")
+    # a key goes to as many parts as its share of the counts asks for; those of several parts are 2n at most
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = (1 + F.floor(2.0 * n * F.col("docs") / refs.agg(F.sum("docs")).scalar())).cast("int")
+    frequent = refs.where(F.col("docs") >= min_docs).select("hi", "lo", parts.alias("parts"))
+    hot = frequent.where(F.col("parts") > 1)
+    part = F.pmod(F.xxhash64("rid", "lo"), F.coalesce("parts", F.lit(1))).cast("int")
+    held = passed(asked, filters, refs, min_docs, bits).join(F.broadcast(hot), ["hi", "lo"], "left").select("rid", "hi", "lo", part.alias("part"))
+    dealt = frequent.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    gone = (held.join(dealt.hint("merge"), ["hi", "lo", "part"], "left_semi")
             .groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("gone")))
 
     def run(batches: Iterator) -> Iterator:
