@@ -4,7 +4,7 @@ Two tokenizers cut the same bytes (a space and the text) at different places. A
 of an A token and a B token whose byte ranges overlap; where tokens of both end, the text is
 cut into groups.
 
-1. Documents are taken in blocks of some 4 MB. A NumPy state vector holds a pair of pointers, to
+1. Documents are taken in blocks of some 1 MB. A NumPy state vector holds a pair of pointers, to
    an A and a B token, for every document of the block. Each step emits the links of all
    pointer pairs, compares the ends, emits a cut where they agree, and advances the pointer of
    the earlier end (both at a cut). Finished documents are compacted away. A long document
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from kohort.llm.common import cut, ship, slices
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
 LANE = 2048  # tokens of A after which a long document's next lane begins
 _RUN = re.compile(r"\s{2000}")
@@ -243,7 +243,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataF
         import pyarrow as pa
         from kohort.llm import align
         tok = align.tokenizers(path_a, path_b, pattern)
-        for ids, texts in align._parts(batches, align.BLOCK_BYTES // 4, 256):
+        for ids, texts in align._parts(batches, align.BLOCK_BYTES, 256):
             got = align.Aligned(tok, texts)
             order = np.lexsort((got.link_b, got.link_a))
             doc = got.link_doc[order]

@@ -139,3 +139,9 @@ def test_alignments_give_links_and_cuts(spark, tok):
             sa, sb = ea - tok.size_a[r.a_ids], eb - tok.size_b[r.b_ids]
             assert [(x.a, x.b) for x in r.links] == [(x, y) for x in range(len(ea)) for y in range(len(eb)) if sa[x] < eb[y] and sb[y] < ea[x]]
             assert r.cuts == sorted(set(ea.tolist()) & set(eb.tolist())) and r.cuts[-1] == len(t.encode()) + 1
+
+
+def test_blocks_hold_a_megabyte_of_text(spark):
+    """A task's arrays follow its block, so blocks stay small whatever the partition holds."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 5000) for i in range(30)], "doc_id long, text string").coalesce(1)
+    assert align.blocks(docs, A, B, public_tokenizers.PATTERN).count() >= 3
