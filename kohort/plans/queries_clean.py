@@ -180,7 +180,7 @@ def _viol_sql():
 @register("p16_range_violations", _viol_sql())
 def p16(spark, sf):
     raw = raw_screening(spark, sf)
-    df = P.before_missing(raw, PARAMS)
+    df = P.encoded(raw, PARAMS)
     feats = [f for f in PARAMS.features if f in df.columns]
     dropped = missing.sparse_columns(df, feats, PARAMS.col_missing_threshold)
     df = missing.drop_sparse_rows(df.drop(*dropped), [f for f in feats if f not in dropped],
@@ -216,7 +216,7 @@ def f03(spark, sf):
 @register("f05_sparse_rows_kept", "WITH " + ",\n".join([Q.raw_cte(), Q.values_cte(), Q.encoded_cte(), Q.missing_cte()]) +
           "\nSELECT row_id FROM rowf")
 def f05(spark, sf):
-    df = P.before_missing(raw_screening(spark, sf), PARAMS)
+    df = P.encoded(raw_screening(spark, sf), PARAMS)
     feats = [f for f in PARAMS.features if f in df.columns]
     dropped = missing.sparse_columns(df, feats, PARAMS.col_missing_threshold)
     return missing.drop_sparse_rows(df, [f for f in feats if f not in dropped],
@@ -368,7 +368,7 @@ def f04(spark, sf):
           + " FROM rowf")
 def p17(spark, sf):
     raw = raw_screening(spark, sf)
-    df = P.before_missing(raw, PARAMS)
+    df = P.encoded(raw, PARAMS)
     feats = [f for f in PARAMS.features if f in df.columns]
     dropped = missing.sparse_columns(df, feats, PARAMS.col_missing_threshold)
     df = missing.drop_sparse_rows(df.drop(*dropped), [f for f in feats if f not in dropped],
