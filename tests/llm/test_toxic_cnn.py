@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from kohort.llm import toxic_cnn as M
 from kohort.llm.common import table
@@ -120,3 +121,40 @@ def test_long_documents_are_learnt_from(spark):
     order = [r.doc_id for r in chosen.collect()]
     assert some == order[:len(some)] and sum(lengths[i] for i in some) <= 50_000 < sum(lengths[i] for i in order[:len(some) + 1])
     assert all(i % 2 for i in (r.doc_id for r in M.sample_within(docs, chosen, size, 100, 4000).collect()))
+
+
+def test_all_labelled_documents_are_learnt_from(spark, monkeypatch):
+    """The first FIT_ROWS ids hold no toxic document; the others do, and count."""
+    for k, v in {"FIT_ROWS": 40, "SHARDS": 2, "ROUNDS": 12, "REFINE_RATE": 0.02}.items():
+        monkeypatch.setattr(M, k, v)
+    rnd = np.random.default_rng(2)
+    flat = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    first = {r.doc_id for r in M.sample_ids(flat, "toxic", 3, 1, 40).collect()}
+    toxic = [int(i % 3 == 0 and i not in first) for i in range(900)]
+    rows = [(i, " ".join(f"w{j}" for j in rnd.integers(0, 50, 12)) + (" poison" if toxic[i] else ""), "en" if i % 2 else None, "s", 1, 1) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:5], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    usable = [r[0] for r in rows + rows[:5] if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    held = M.packed(docs, labels).collect()
+    assert sum(len(r.n_of) for r in held) == len(usable) and sum(sum(r.label) for r in held) == sum(toxic[i] for i in usable)
+    got = {r.doc_id: r for r in M.digest(docs, labels).collect()}
+    bad, good = ([got[i].score for i in range(900) if toxic[i] == k and got[i].held_out] for k in (1, 0))
+    assert np.mean(np.subtract.outer(bad, good) > 0) > 0.95
+    model, cuts = M.train(docs, labels)
+    assert "prior" not in model and 0 < cuts[None] < 1
+
+
+def test_counted_thresholds(spark):
+    """As the thresholds of all scores, up to a step."""
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c", "en" if i % 3 else "xx", "s", 1, 1) for i in range(800)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 7 < 3)) for i in range(800)], "doc_id long, quality int, toxic int")
+    held, model = M.packed(docs, labels), M.start(3)
+    got = M._counted_thresholds(held, model)
+    y, t, lang = [], [], []
+    for n_of, label, aside, langs, rows in M._blocks([pa.RecordBatch.from_pylist([r.asDict()]) for r in held.collect()]):
+        y.append(M.score(model, rows, n_of)[aside])
+        t.append(label[aside])
+        lang += [v for v, a in zip(langs, aside) if a]
+    want = M.thresholds(np.concatenate(y), np.concatenate(t), lang)
+    assert set(got) == {None, *(k for k in want if sum(x for x, v in zip(np.concatenate(t), lang) if v == k) >= M.CALIBRATE_TOXIC)}
+    assert all(abs(got[k] - want[k]) <= 1 / M.CELLS for k in got), (got, want)
