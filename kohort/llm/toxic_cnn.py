@@ -5,7 +5,7 @@ first bytes (so inflected and compounded forms share weights). Filters of severa
 over the word sequence of the whole text, each is max-pooled over the text, and a logistic
 layer gives the score. All labelled documents are learnt from. If there are at most ``FIT_ROWS`` (of at
 most ``FIT_TOTAL`` words together), embeddings, filters and output layer are learnt together from their
-hashed words on the driver. If there are more, the first of them, in the order of a hash of their
+hashed words in one task. If there are more, the first of them, in the order of a hash of their
 id, only give the weights to start from; then each of ``SHARDS`` tasks goes over its share of all of
 them, whatever the length of each, and the tasks' weights, of fixed size, are averaged, ``ROUNDS`` times.
 Max pooling sends a gradient to one place a filter, so steps are cheap.
@@ -334,13 +334,12 @@ def refine(held: DataFrame, model: dict) -> tuple[dict, dict]:
     model = start(9) if "prior" in model else model
     if learn[0] and learn[1]:
         share = learn[1] / (learn[0] + learn[1])
-        names, shapes = list(model), [model[k].shape for k in model]
         for r in range(ROUNDS):
             sent, rate = spark.sparkContext.broadcast(model), REFINE_RATE * (1 - r / ROUNDS)
 
             def run(batches: Iterator, sent=sent, rate=rate) -> Iterator:
                 import pyarrow as pa
-                from kohort.llm.toxic_cnn import BATCH, _blocks, _step, _weights
+                from kohort.llm.toxic_cnn import BATCH, _blocks, _flat, _step, _weights
                 own = {k: v.copy() for k, v in sent.value.items()}
                 m1, m2, t, n = {k: np.zeros_like(v) for k, v in own.items()}, {k: np.zeros_like(v) for k, v in own.items()}, 0, 0
                 for n_of, label, aside, _, rows in _blocks(batches):
@@ -350,14 +349,17 @@ def refine(held: DataFrame, model: dict) -> tuple[dict, dict]:
                         t, n = t + 1, n + len(pick)
                         _step(own, m1, m2, t, rate, np.concatenate([rows[starts[i]:starts[i] + n_of[i]] for i in pick]), n_of[pick], label[pick], _weights(label[pick], share))
                 if n:
-                    flat = np.concatenate([np.ravel(own[k]) for k in names]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
-
-            total, docs = 0.0, 0
-            for p in sorted(held.mapInArrow(run, "n long, w binary").collect(), key=lambda p: (p["n"], bytes(p["w"][:64]))):  # SHARDS rows of fixed size
-                total, docs = total + p["n"] * np.frombuffer(p["w"], np.float32).astype(np.float64), docs + p["n"]
-            parts = np.split((total / docs).astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-            model = {k: v.reshape(s) for k, v, s in zip(names, parts, shapes)}
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_flat(own).tobytes()], pa.binary())], names=["n", "w"])
+
+            def mean(batches: Iterator) -> Iterator:
+                import pyarrow as pa
+                total, docs = 0.0, 0
+                for p in sorted((p for b in batches for p in b.to_pylist()), key=lambda p: (p["n"], p["w"][:64])):  # SHARDS rows of fixed size
+                    total, docs = total + p["n"] * np.frombuffer(p["w"], np.float32).astype(np.float64), docs + p["n"]
+                if docs:
+                    yield pa.RecordBatch.from_arrays([pa.array([(total / docs).astype(np.float32).tobytes()], pa.binary())], names=["w"])
+
+            model = _shaped(held.mapInArrow(run, "n long, w binary").repartition(1).mapInArrow(mean, "w binary").collect()[0]["w"])
     return model, _counted_thresholds(held, model)
 
 
@@ -389,7 +391,8 @@ def _counted_thresholds(held: DataFrame, model: dict) -> dict:
 
 
 def _train_on(docs: DataFrame, chosen: DataFrame) -> tuple[dict, dict]:
-    """(model, thresholds by language) learnt on the driver from a bounded number of documents."""
+    """(model, thresholds by language) learnt in one task from a bounded number of documents; the driver
+    gets the weights, of fixed size, and the thresholds."""
     import numpy as np
     ship(docs.sparkSession)
     found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
@@ -404,7 +407,40 @@ def _train_on(docs: DataFrame, chosen: DataFrame) -> tuple[dict, dict]:
             flat = [rows[e - n:e].tobytes() for e, n in zip(ends, n_of)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(flat, pa.binary())], names=["doc_id", "lang", "label", "x"])
 
-    got = found.mapInArrow(run, "doc_id long, lang string, label int, x binary").toPandas()
+    def learn(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from kohort.llm.toxic_cnn import _flat, _learnt
+        own = [b for b in batches if b.num_rows]
+        if own:
+            model, cuts = _learnt(pa.Table.from_batches(own).to_pandas())
+            prior, flat = model.get("prior"), None if "prior" in model else _flat(model).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([prior], pa.float64()), pa.array([flat], pa.binary()), pa.array([list(cuts)], pa.list_(pa.string())),
+                                              pa.array([list(cuts.values())], pa.list_(pa.float64()))], names=["prior", "w", "lang", "cut"])
+
+    rows = found.mapInArrow(run, "doc_id long, lang string, label int, x binary").repartition(1)  # FIT_ROWS rows at most
+    got = rows.mapInArrow(learn, "prior double, w binary, lang array<string>, cut array<double>").collect()
+    if not got:
+        return {"prior": 0.5}, {None: THRESHOLD}
+    return {"prior": got[0]["prior"]} if got[0]["w"] is None else _shaped(got[0]["w"]), dict(zip(got[0]["lang"], got[0]["cut"]))
+
+
+def _flat(model: dict):
+    """All weights in the order of their names in start()."""
+    import numpy as np
+    return np.concatenate([np.ravel(v) for v in model.values()]).astype(np.float32)
+
+
+def _shaped(flat: bytes) -> dict:
+    """The model whose weights these are."""
+    import numpy as np
+    like = start(9)
+    parts = np.split(np.frombuffer(flat, np.float32), np.cumsum([v.size for v in like.values()])[:-1])
+    return {k: v.reshape(like[k].shape) for k, v in zip(like, parts)}
+
+
+def _learnt(got) -> tuple[dict, dict]:
+    """(model, thresholds by language) of the documents' word rows, languages and labels."""
+    import numpy as np
     got = got.sort_values(["doc_id", "x"], kind="stable")
     label = got["label"].to_numpy(np.float32)
     if len(set(label)) < 2:

@@ -158,3 +158,21 @@ def test_counted_thresholds(spark):
     want = M.thresholds(np.concatenate(y), np.concatenate(t), lang)
     assert set(got) == {None, *(k for k in want if sum(x for x, v in zip(np.concatenate(t), lang) if v == k) >= M.CALIBRATE_TOXIC)}
     assert all(abs(got[k] - want[k]) <= 1 / M.CELLS for k in got), (got, want)
+
+
+def test_driver_gets_only_the_weights(spark, monkeypatch):
+    """Neither the first documents nor every shard's weights come to the driver; it does not fit."""
+    monkeypatch.setattr(M, "FIT_ROWS", 40)
+    monkeypatch.setattr(M, "fit", None)  # tasks import their own
+    docs = spark.createDataFrame([(i, f"a{i % 5} b{i % 7}" + (" poison" if i % 2 else ""), "en", "s", 1, 1) for i in range(300)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    sizes = []
+
+    def collect(self, real=type(docs).collect):
+        rows = real(self)
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    model, _ = M.train(docs, labels)
+    assert "prior" not in model and max(sizes) == 4 * sum(v.size for v in model.values())
